@@ -50,3 +50,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None or not len(column):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def padded_slice(column: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts of a string column with one byte ``pad`` before each, and where each of these pads is."""
+    data, starts = text_bytes(column)
+    n = len(column)
+    out = np.full(len(data) + n, pad, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(starts))] = data
+    return out, starts[:-1] + np.arange(n)

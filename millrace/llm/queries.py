@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, chat, urls
+from millrace.llm import ann, chat, langid, secret_scan, urls
+from millrace.llm.common import held_out
 from millrace.sources.tables import table
 
 RULES = [urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
@@ -27,6 +28,18 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(segments, in_place=True)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.fit(docs)))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    apart = held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.filter(~apart))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), RULES)
 
@@ -34,7 +47,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ann_search": op2_ann_search,
     "op3_chat_format": op3_chat_format,
+    "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op7_language_id": op7_language_id,
 }
 
 _ESCAPED = "regexp_replace(text, '(\\\\|###|</turn>)', '\\\\\\1', 'g')"
