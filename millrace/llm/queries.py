@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, chat, langid, pieces, quality, secret_scan, urls
+from millrace.llm import ann, chat, decontam, html_text, langid, pieces, quality, secret_scan, urls
 from millrace.llm.common import held_out
 from millrace.sources.tables import table
 
@@ -55,6 +55,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return pieces.encode(docs, pieces.Vocabulary.load(tokenizer_path()), n=4, with_ids=False)
@@ -71,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op7_language_id": op7_language_id,
+    "op8_decontaminate": op8_decontaminate,
     "op9_pieces": op9_pieces,
+    "op10_html_text": op10_html_text,
 }
 
 _ESCAPED = "regexp_replace(text, '(\\\\|###|</turn>)', '\\\\\\1', 'g')"
