@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, chat, decontam, html_text, langid, pieces, quality, secret_scan, urls
+from millrace.llm import ann, chat, decontam, html_text, langid, near_dup, pieces, quality, secret_scan, urls
 from millrace.llm.common import held_out
 from millrace.sources.tables import table
 
@@ -55,6 +55,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op9_pieces": op9_pieces,
