@@ -12,7 +12,8 @@ compared with one hub of its bucket - the member that meets most others over all
 tables, then others by hash - and verified links join documents into components.
 Whatever the rounds leave apart is then settled exactly: of a bucket's
 components, all members outside the largest are compared with all members of
-other components. So no link between documents that share a bucket can join two
+other components, but for pairs that the sizes of their sets, without shingles
+that no other text of these buckets has, rule out. So no link between documents that share a bucket can join two
 components unseen, and a group of copies takes comparisons in proportion to its
 size. Signatures rule out pairs that agree in under ``LEAST_AGREE`` minhashes
 (under half of the 85 percent that are to be found, 1e-6 by chance); all other
@@ -149,6 +150,26 @@ class Verifier:
         sized = 100 * F.least("n_a", "n_b") >= self.share * F.greatest("n_a", "n_b")
         return met.filter(sized & (agree >= LEAST_AGREE)).select("a", "b")
 
+    def able(self, placed: DataFrame) -> DataFrame:
+        """``placed`` (bucket, id, component, main) without rows that nothing in their bucket can match.
+
+        Adds ``n_shingles`` and ``core``, how many shingles of a document any
+        other document of ``placed`` has: links have no more in common. A
+        document goes if its core is too small for the shortest text of its
+        bucket, which empties buckets whose texts share one passage or differ
+        from one original in many places. No link is lost.
+        """
+        ids = placed.select("id").distinct()
+        held = self.sets.join(ids, "id").select("id", F.explode("shingles").alias("shingle"))
+        single = held.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+        sizes = self.signs.select("id", "n_shingles").join(ids, "id").join(single, "id", "left").select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("core"))
+        sized = placed.join(sizes, "id")
+        shortest = sized.groupBy("bucket").agg(F.min("n_shingles").alias("shortest"))
+        other = F.greatest("core", "shortest")
+        fit = sized.join(shortest, "bucket").filter(100 * F.col("core") >= self.share * (F.col("n_shingles") + other - F.col("core")))
+        open_buckets = fit.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+        return checkpointed(fit.join(open_buckets, "bucket").select("bucket", "id", "component", "main", "n_shingles", "core"))
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a < b) whose sets are similar enough, written to the shared folder."""
         side = lambda c: self.sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
@@ -193,8 +214,10 @@ def linked_components(documents: DataFrame, signs: DataFrame, key: str, text: st
             hubs = placed.groupBy("bucket").agg(F.max_by(F.struct("id", "component"), rank).alias("hub"))
             pairs = placed.join(hubs, "bucket").filter(F.col("component") != F.col("hub.component")).select(*ordered(F.col("id"), F.col("hub.id")))
         else:
-            apart = placed.filter("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-            pairs = apart.join(placed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy")), "bucket").filter("cx <> cy").select(*ordered(F.col("x"), F.col("y")))
+            rest = check.able(placed)
+            side = lambda c: rest.select("bucket", F.col("id").alias(f"id_{c}"), F.col("component").alias(f"of_{c}"), F.col("main").alias(f"main_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("core").alias(f"core_{c}"))
+            reach = F.least("core_x", "core_y")
+            pairs = side("x").filter("of_x <> main_x").join(side("y"), "bucket").filter((F.col("of_x") != F.col("of_y")) & (100 * reach >= share * (F.col("n_x") + F.col("n_y") - reach))).select(*ordered(F.col("id_x"), F.col("id_y")))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
