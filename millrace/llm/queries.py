@@ -87,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pieces": op9_pieces,
     "op10_html_text": op10_html_text,
+    "pipeline": lambda spark, sf_dir: _pipeline(spark, sf_dir),
 }
 
 _ESCAPED = "regexp_replace(text, '(\\\\|###|</turn>)', '\\\\\\1', 'g')"
@@ -113,6 +114,12 @@ FROM f GROUP BY conv_id
 }
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 
