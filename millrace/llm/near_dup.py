@@ -7,10 +7,10 @@ in two collections, and every pair of a key of the first with a key of the secon
 is the key of a table, so ``BANDS ** 2`` tables of ``2 * ROWS`` minhashes cost
 ``2 * BANDS * ROWS`` minhashes.
 
-Within a table's bucket not all pairs are compared. In rounds, each document is
+Within a table's bucket not all pairs are compared. Each document is first
 compared with one hub of its bucket - the member that meets most others over all
-tables, then others by hash - and verified links join documents into components.
-Whatever the rounds leave apart is then settled exactly: of a bucket's
+tables; with ``STAR_ROUNDS`` over one, then others by hash - and verified links
+join documents into components. What that leaves apart is settled exactly: of a bucket's
 components, all members outside the largest are compared with all members of
 other components, but for pairs that the sizes of their sets, without shingles
 that no other text of these buckets has, rule out. So no link between documents that share a bucket can join two
@@ -20,7 +20,7 @@ size. Signatures rule out pairs that agree in under ``LEAST_AGREE`` minhashes
 links are confirmed on full sets.
 
 Components come from joins and minima with pointer jumping, in Spark, each round
-cut from its lineage in the shared checkpoint folder.
+written to the shared folder.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; texts of under ``words`` words are one shingle; a null id is a document
@@ -39,12 +39,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices
-from millrace.session import checkpointed
+from millrace.session import written
 
 BANDS, ROWS = 8, 2
 SIGNATURE = 2 * BANDS * ROWS
 LEAST_AGREE = SIGNATURE // 2
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -123,15 +123,15 @@ def sets_of(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` of all ids in ``links`` (a, b): the least id that can be reached."""
-    both = checkpointed(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component"))
-    labels = checkpointed(labels)
+    both = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("low", "id").alias("component"))
+    labels = written(labels, "labels")
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("seen"))
         step = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("before"), F.least("component", "seen").alias("component"))
         up = step.select(F.col("id").alias("up"), F.col("component").alias("higher"))
         jumped = step.join(up, step.component == up.up, "left").select("id", "before", F.least("component", "higher").alias("component"))
-        jumped = checkpointed(jumped)
+        jumped = written(jumped, "labels")
         labels = jumped.select("id", "component")
         if jumped.filter("component < before").isEmpty():
             return labels
@@ -168,7 +168,7 @@ class Verifier:
         other = F.greatest("core", "shortest")
         fit = sized.join(shortest, "bucket").filter(100 * F.col("core") >= self.share * (F.col("n_shingles") + other - F.col("core")))
         open_buckets = fit.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        return checkpointed(fit.join(open_buckets, "bucket").select("bucket", "id", "component", "main", "n_shingles", "core"))
+        return written(fit.join(open_buckets, "bucket").select("bucket", "id", "component", "main", "n_shingles", "core"), "able")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a < b) whose sets are similar enough, written to the shared folder."""
@@ -176,7 +176,7 @@ class Verifier:
         met = self._possible(pairs).join(side("a"), "a").join(side("b"), "b")
         inter = F.size(F.array_intersect("set_a", "set_b"))
         close = 100 * inter >= self.share * (F.size("set_a") + F.size("set_b") - inter)
-        return checkpointed(met.filter(close).select("a", "b"))
+        return written(met.filter(close).select("a", "b"), "links")
 
 
 def ordered(x: Column, y: Column) -> list[Column]:
@@ -190,10 +190,10 @@ def linked_components(documents: DataFrame, signs: DataFrame, key: str, text: st
     keyed = first.select("id", F.xxhash64(F.get("bands", F.col("i")), F.get("bands", F.col("j"))).alias("bucket"))
     # Buckets of one leave here, before rows meet again.
     shared = keyed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
-    members = checkpointed(keyed.join(shared, "bucket"))
-    met = checkpointed(members.groupBy("id").agg(F.sum("size").alias("met")))
+    members = written(keyed.join(shared, "bucket"), "members")
+    met = written(members.groupBy("id").agg(F.sum("size").alias("met")), "met")
     texts = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(met.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    check = Verifier(signs.join(met.select("id"), "id", "left_semi").select("id", "sig", "n_shingles"), checkpointed(sets_of(texts, "id", "text", words)), share)
+    check = Verifier(signs.join(met.select("id"), "id", "left_semi").select("id", "sig", "n_shingles"), written(sets_of(texts, "id", "text", words), "sets"), share)
 
     links = labels = tried = None
     open_members = members.join(met, "id").select("bucket", "id", "met")
@@ -204,7 +204,7 @@ def linked_components(documents: DataFrame, signs: DataFrame, key: str, text: st
             placed = open_members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
             main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
-            placed = checkpointed(placed.join(main, "bucket"))
+            placed = written(placed.join(main, "bucket"), "placed")
             open_members = placed.select("bucket", "id", "met")
             if placed.isEmpty():
                 break
@@ -221,8 +221,10 @@ def linked_components(documents: DataFrame, signs: DataFrame, key: str, text: st
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
+        pairs = written(pairs, "pairs")
         found = check.linked(pairs)
+        if labels is not None and found.isEmpty():
+            continue
         tried = pairs if tried is None else tried.unionAll(pairs)
         links = found if links is None else links.unionAll(found)
         labels = components(links)
@@ -235,9 +237,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     Texts are linked if 100 times the common shingles reach ``share`` times all
     of both; ``kept`` marks the least id of each component.
     """
-    rows = checkpointed(signed(documents, key, text, words))
+    rows = written(signed(documents, key, text, words), "signed")
     one = rows.filter("class_key is not null and id is not null").groupBy("class_key").agg(F.min("id").alias("class_id"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    one = checkpointed(one)
+    one = written(one, "classes")
     labels = linked_components(documents, one.select(F.col("class_id").alias("id"), "n_shingles", "sig", "bands"), key, text, words, share)
     named = one.select("class_key", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("class_key", F.coalesce("component", "class_id").alias("component"))
     # Copies share a class key: salted, as one class may hold much of all rows.
