@@ -77,15 +77,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     for n in short:
         tests = tests.unionAll(windows(items.filter(F.size("w") == n), {-n: tuple(range(n))}))
     tests = tests.filter("key is not null").select("item_id", "key", F.size("w").alias("item_words"), F.col("pos").alias("item_pos"), around("w", F.col("pos")).alias("item_around"))
-    if tests.count() <= limit:
-        tests = F.broadcast(tests)
     masks = long_masks | {-n: tuple(range(n)) for n in short}
     hashed = documents.select(F.col(key).alias("doc"), word_hashes(F.col(text)).alias("w"))
-    hits = windows(hashed, masks).join(tests, "key")
+    probes = windows(hashed, masks)
+    if tests.count() <= limit:
+        # Nothing moves; words around a hit are cut out after the join, in the same stage.
+        hits = probes.join(F.broadcast(tests), "key").withColumn("doc_around", around("w", F.col("pos")))
+    else:
+        hits = probes.filter("key is not null").select("doc", "pos", "key", around("w", F.col("pos")).alias("doc_around")).join(tests, "key")
     # Both sides start where the one that has fewer words before its window does.
     lead = F.least(F.lit(REACH), F.col("pos"), F.col("item_pos"))
-    doc = F.slice(F.col("w"), F.col("pos") - lead + 1, lead + SPAN + REACH)
-    other = F.slice(F.col("item_around"), F.least(F.lit(REACH), F.col("item_pos")) - lead + 1, lead + SPAN + REACH)
+    part = lambda words, pos: F.slice(words, F.least(F.lit(REACH), pos) - lead + 1, lead + SPAN + REACH)
+    doc, other = part(F.col("doc_around"), F.col("pos")), part(F.col("item_around"), F.col("item_pos"))
     # The row number keeps the comparison, which has no generated code, out of the
     # join: else the join leaves its stage and every window carries the text's words.
     cut = hits.select("doc", "item_id", "item_words", doc.alias("doc_side"), other.alias("item_side"), F.monotonically_increasing_id().alias("hit"))
