@@ -86,7 +86,11 @@ def glob_regex(pattern: str) -> str:
 def matches_filters(path: Column, roots: list[str], include: list[str], exclude: list[str]) -> Column:
     """Whether a path, or what follows one of the roots in it, is included and not excluded; no include means all."""
     names = F.array(path, *(F.when(path.startswith(r.rstrip("/") + "/"), F.substring(path, len(r.rstrip("/")) + 2, 1 << 30)).otherwise(path) for r in roots))
-    hit = lambda globs: any_of([F.exists(names, lambda n, g=g: n.rlike(glob_regex(g))) for g in globs])
+
+    def meets(regex: str) -> Column:
+        return F.exists(names, lambda n: n.rlike(regex))
+
+    hit = lambda globs: any_of([meets(glob_regex(g)) for g in globs])
     included = hit(include) if include else F.lit(True)
     return included & ~hit(exclude) if exclude else included
 

@@ -25,11 +25,11 @@ def section_issues(sections: DataFrame, evidence: DataFrame) -> DataFrame:
 def outline_issues(sections: DataFrame) -> DataFrame:
     """Faults of outlines (outline, position, id, title, depends_on array<int>): repeated ids or titles, and dependencies that do not point back or repeat."""
     title = F.lower(F.regexp_replace(F.trim("title"), r"\s+", " "))
-    rows = sections.withColumn("_title", title)
     count = lambda c: F.count("*").over(Window.partitionBy("outline", c))
+    rows = sections.withColumn("_title", title).withColumn("_ids", count("id")).withColumn("_titles", count("_title"))
     flags = {
-        "duplicate_id": count("id") > 1,
-        "duplicate_title": count("_title") > 1,
+        "duplicate_id": F.col("_ids") > 1,
+        "duplicate_title": F.col("_titles") > 1,
         "forward_dependency": F.exists("depends_on", lambda d: (d >= F.col("position")) | (d < 0)),
         "repeated_dependency": F.size("depends_on") > F.size(F.array_distinct("depends_on")),
     }
