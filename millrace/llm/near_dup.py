@@ -162,13 +162,13 @@ class Verifier:
         ids = placed.select("id").distinct()
         held = self.sets.join(ids, "id").select("id", F.explode("shingles").alias("shingle"))
         single = held.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-        sizes = self.signs.select("id", "n_shingles").join(ids, "id").join(single, "id", "left").select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("core"))
+        sizes = self.signs.select("id", "n_shingles", "bands").join(ids, "id").join(single, "id", "left").select("id", "n_shingles", "bands", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("core"))
         sized = placed.join(sizes, "id")
         shortest = sized.groupBy("bucket").agg(F.min("n_shingles").alias("shortest"))
         other = F.greatest("core", "shortest")
         fit = sized.join(shortest, "bucket").filter(100 * F.col("core") >= self.share * (F.col("n_shingles") + other - F.col("core")))
         open_buckets = fit.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        return written(fit.join(open_buckets, "bucket").select("bucket", "id", "component", "main", "n_shingles", "core"), "able")
+        return written(fit.join(open_buckets, "bucket").select("bucket", "id", "component", "main", "n_shingles", "core", "bands"), "able")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a < b) whose sets are similar enough, written to the shared folder."""
@@ -193,7 +193,7 @@ def linked_components(documents: DataFrame, signs: DataFrame, key: str, text: st
     members = written(keyed.join(shared, "bucket"), "members")
     met = written(members.groupBy("id").agg(F.sum("size").alias("met")), "met")
     texts = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(met.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    check = Verifier(signs.join(met.select("id"), "id", "left_semi").select("id", "sig", "n_shingles"), written(sets_of(texts, "id", "text", words), "sets"), share)
+    check = Verifier(signs.join(met.select("id"), "id", "left_semi").select("id", "sig", "n_shingles", "bands"), written(sets_of(texts, "id", "text", words), "sets"), share)
 
     links = labels = tried = None
     open_members = members.join(met, "id").select("bucket", "id", "met")
@@ -215,9 +215,12 @@ def linked_components(documents: DataFrame, signs: DataFrame, key: str, text: st
             pairs = placed.join(hubs, "bucket").filter(F.col("component") != F.col("hub.component")).select(*ordered(F.col("id"), F.col("hub.id")))
         else:
             rest = check.able(placed)
-            side = lambda c: rest.select("bucket", F.col("id").alias(f"id_{c}"), F.col("component").alias(f"of_{c}"), F.col("main").alias(f"main_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("core").alias(f"core_{c}"))
+            side = lambda c: rest.select("bucket", F.col("id").alias(f"id_{c}"), F.col("component").alias(f"of_{c}"), F.col("main").alias(f"main_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("core").alias(f"core_{c}"), F.col("bands").alias(f"bands_{c}"))
+            # A pair comes from the first bucket that both are in, once.
+            first = lambda low, high: F.coalesce(*(F.when(F.get("bands_x", F.lit(k)) == F.get("bands_y", F.lit(k)), F.get("bands_x", F.lit(k))) for k in range(low, high)))
+            once = F.xxhash64(first(0, BANDS), first(BANDS, 2 * BANDS)) == F.col("bucket")
             reach = F.least("core_x", "core_y")
-            pairs = side("x").filter("of_x <> main_x").join(side("y"), "bucket").filter((F.col("of_x") != F.col("of_y")) & (100 * reach >= share * (F.col("n_x") + F.col("n_y") - reach))).select(*ordered(F.col("id_x"), F.col("id_y")))
+            pairs = side("x").filter("of_x <> main_x").join(side("y"), "bucket").filter((F.col("of_x") != F.col("of_y")) & (100 * reach >= share * (F.col("n_x") + F.col("n_y") - reach)) & once).select(*ordered(F.col("id_x"), F.col("id_y")))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
