@@ -198,3 +198,41 @@ def test_windows_overlap(spark, count, width, want):
 
     df = spark.createDataFrame([(count,)], "n int")
     assert [(r.start, r.stop) for r in quality.windows(df, "n", width).orderBy("start").collect()] == want
+
+
+def test_ownership_of_shared_leaves(spark):
+    from millrace.operators import planning
+
+    rng = random.Random(3)
+    rows = [(s, leaf, c, rng.randrange(3)) for s in range(4) for leaf in range(12) for c in sorted(rng.sample(range(5), rng.randrange(1, 4)))]
+    df = spark.createDataFrame(rows, "scope int, leaf int, section int, score int").repartition(3)
+    want = {}
+    for s in range(4):
+        wins = {}
+        for leaf in range(12):
+            mine = [(c, x) for a, b, c, x in rows if (a, b) == (s, leaf)]
+            best = [c for c, x in mine if x == max(y for _, y in mine)]
+            pick = min(best, key=lambda c: (wins.get(c, 0), c))
+            if len(mine) > 1:
+                wins[pick] = wins.get(pick, 0) + 1
+            want[s, leaf] = pick
+    assert {(r.scope, r.leaf): r.section for r in planning.ownership(df, "scope").collect()} == want
+
+
+@pytest.mark.parametrize(
+    "given_text,want",
+    [
+        ('{"a": 1}', ('{"a":1}', None)),
+        ('```json\n{"a": [1, 2]}\n```', ('{"a":[1,2]}', None)),
+        ('note {"a": "}{"} more', ('{"a":"}{"}', None)),
+        ('{"a": "say "hi" now"}', ('{"a":"say \\"hi\\" now"}', None)),
+        ('{"a": "one\ntwo \\d"}', ('{"a":"one\\ntwo \\\\d"}', None)),
+        ('{"a": "cut', (None, "truncated")),
+        ("no object", (None, "invalid")),
+        (None, (None, "empty")),
+    ],
+)
+def test_json_repair(given_text, want):
+    from millrace.functions import jsonfix
+
+    assert jsonfix.decode(given_text) == want
