@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where a session names no shared folder, as in local tests.
@@ -41,11 +43,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again."""
-    import uuid
+    """``df`` as a Parquet table in the shared folder, read again.
 
+    Tables of an application stand in one folder; :func:`drop_written` removes it.
+    """
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS).rstrip("/")
-    path = f"{folder}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_written_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Remove the tables that :func:`written` has left; results read from them are lost."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(_written_folder(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _written_folder(spark: SparkSession) -> str:
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS).rstrip("/")
+    return f"{folder}/tables/{spark.sparkContext.applicationId}"
