@@ -45,6 +45,8 @@ BANDS, ROWS = 8, 2
 SIGNATURE = 2 * BANDS * ROWS
 LEAST_AGREE = SIGNATURE // 2
 STAR_ROUNDS = 1
+#: Parts that the rows of one class or component are dealt to.
+SALTS = 32
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -129,8 +131,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("seen"))
         step = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("before"), F.least("component", "seen").alias("component"))
-        up = step.select(F.col("id").alias("up"), F.col("component").alias("higher"))
-        jumped = step.join(up, step.component == up.up, "left").select("id", "before", F.least("component", "higher").alias("component"))
+        # Labels are looked up once each; a large component's members then find theirs by label and salt.
+        up = step.select(F.col("id").alias("component"), F.col("component").alias("higher"))
+        roots = step.select("component").distinct().join(up, "component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = step.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        jumped = salted.join(roots, ["component", "salt"], "left").select("id", "before", F.least("component", "higher").alias("component"))
         jumped = written(jumped, "labels")
         labels = jumped.select("id", "component")
         if jumped.filter("component < before").isEmpty():
@@ -246,9 +251,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     labels = linked_components(documents, one.select(F.col("class_id").alias("id"), "n_shingles", "sig", "bands"), key, text, words, share)
     named = one.select("class_key", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("class_key", F.coalesce("component", "class_id").alias("component"))
     # Copies share a class key: salted, as one class may hold much of all rows.
-    salts = 32
-    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    light = rows.select("id", "n_shingles", "class_key", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    light = rows.select("id", "n_shingles", "class_key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     out = light.filter("class_key is not null and id is not null").join(spread, ["class_key", "salt"]).select("id", "n_shingles", "component")
     alone = light.filter("class_key is null or id is null").select("id", "n_shingles", F.col("id").alias("component"))
     return out.unionAll(alone).select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
