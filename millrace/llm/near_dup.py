@@ -12,8 +12,8 @@ compared with one hub of its bucket - the member that meets most others over all
 tables; with ``STAR_ROUNDS`` over one, then others by hash - and verified links
 join documents into components. What that leaves apart is settled exactly: of a bucket's
 components, all members outside the largest are compared with all members of
-other components, but for pairs that the sizes of their sets, without shingles
-that no other text of these buckets has, rule out. So no link between documents that share a bucket can join two
+other components, but for pairs that the sizes of their sets rule out, counted
+without shingles that no other text of these buckets has and by bins. So no link between documents that share a bucket can join two
 components unseen, and a group of copies takes comparisons in proportion to its
 size. Signatures rule out pairs that agree in under ``LEAST_AGREE`` minhashes
 (under half of the 85 percent that are to be found, 1e-6 by chance); all other
@@ -30,7 +30,9 @@ that repeat an id are copies of that document; other columns are ignored.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ BANDS, ROWS = 8, 2
 SIGNATURE = 2 * BANDS * ROWS
 LEAST_AGREE = SIGNATURE // 2
 STAR_ROUNDS = 1
+#: Bins by which common shingles of two texts are bounded.
+BINS = 16
 #: Parts that the rows of one class or component are dealt to.
 SALTS = 32
 
@@ -158,22 +162,26 @@ class Verifier:
     def able(self, placed: DataFrame) -> DataFrame:
         """``placed`` (bucket, id, component, main) without rows that nothing in their bucket can match.
 
-        Adds ``n_shingles`` and ``core``, how many shingles of a document any
-        other document of ``placed`` has: links have no more in common. A
-        document goes if its core is too small for the shortest text of its
+        Adds ``n_shingles``, ``core``, how many shingles of a document any other
+        document of ``placed`` has, and ``bins``, how many of these are in each
+        bin by hash: two texts have no more in common than the sum over bins of
+        the smaller count. A document goes if its core is too small for the shortest text of its
         bucket, which empties buckets whose texts share one passage or differ
         from one original in many places. No link is lost.
         """
         ids = placed.select("id").distinct()
         held = self.sets.join(ids, "id").select("id", F.explode("shingles").alias("shingle"))
-        single = held.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-        sizes = self.signs.select("id", "n_shingles", "bands").join(ids, "id").join(single, "id", "left").select("id", "n_shingles", "bands", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("core"))
+        bins = F.array(*(F.count_if(F.pmod("shingle", F.lit(BINS)) == k).cast("int") for k in range(BINS)))
+        single = held.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"), bins.alias("alone_bins"))
+        binned = held.groupBy("id").agg(bins.alias("bins")).join(single, "id", "left")
+        core = binned.select("id", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce(F.zip_with("bins", "alone_bins", lambda x, y: x - y), F.col("bins")).alias("bins"))
+        sizes = self.signs.select("id", "n_shingles", "bands").join(core, "id").select("id", "n_shingles", "bands", "bins", (F.col("n_shingles") - F.col("alone")).alias("core"))
         sized = placed.join(sizes, "id")
         shortest = sized.groupBy("bucket").agg(F.min("n_shingles").alias("shortest"))
         other = F.greatest("core", "shortest")
         fit = sized.join(shortest, "bucket").filter(100 * F.col("core") >= self.share * (F.col("n_shingles") + other - F.col("core")))
         open_buckets = fit.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        return written(fit.join(open_buckets, "bucket").select("bucket", "id", "component", "main", "n_shingles", "core", "bands"), "able")
+        return written(fit.join(open_buckets, "bucket").select("bucket", "id", "component", "main", "n_shingles", "core", "bands", "bins"), "able")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a < b) whose sets are similar enough, written to the shared folder."""
@@ -220,12 +228,14 @@ def linked_components(documents: DataFrame, signs: DataFrame, key: str, text: st
             pairs = placed.join(hubs, "bucket").filter(F.col("component") != F.col("hub.component")).select(*ordered(F.col("id"), F.col("hub.id")))
         else:
             rest = check.able(placed)
-            side = lambda c: rest.select("bucket", F.col("id").alias(f"id_{c}"), F.col("component").alias(f"of_{c}"), F.col("main").alias(f"main_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("core").alias(f"core_{c}"), F.col("bands").alias(f"bands_{c}"))
+            side = lambda c: rest.select("bucket", F.col("id").alias(f"id_{c}"), F.col("component").alias(f"of_{c}"), F.col("main").alias(f"main_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("core").alias(f"core_{c}"), *(F.get("bands", F.lit(k)).alias(f"band{k}_{c}") for k in range(2 * BANDS)), *(F.get("bins", F.lit(k)).alias(f"bin{k}_{c}") for k in range(BINS)))
             # A pair comes from the first bucket that both are in, once.
-            first = lambda low, high: F.coalesce(*(F.when(F.get("bands_x", F.lit(k)) == F.get("bands_y", F.lit(k)), F.get("bands_x", F.lit(k))) for k in range(low, high)))
+            first = lambda low, high: F.coalesce(*(F.when(F.col(f"band{k}_x") == F.col(f"band{k}_y"), F.col(f"band{k}_x")) for k in range(low, high)))
             once = F.xxhash64(first(0, BANDS), first(BANDS, 2 * BANDS)) == F.col("bucket")
             reach = F.least("core_x", "core_y")
-            pairs = side("x").filter("of_x <> main_x").join(side("y"), "bucket").filter((F.col("of_x") != F.col("of_y")) & (100 * reach >= share * (F.col("n_x") + F.col("n_y") - reach)) & once).select(*ordered(F.col("id_x"), F.col("id_y")))
+            shared_bins = reduce(operator.add, (F.least(f"bin{k}_x", f"bin{k}_y") for k in range(BINS)))
+            possible = lambda common: (100 + share) * common >= share * (F.col("n_x") + F.col("n_y"))
+            pairs = side("x").filter("of_x <> main_x").join(side("y"), "bucket").filter((F.col("of_x") != F.col("of_y")) & possible(reach) & possible(shared_bins) & once).select(*ordered(F.col("id_x"), F.col("id_y")))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
