@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import chunks, markdown, paths, text
-from millrace.operators import code, graph, packing, sections, state
+from millrace.operators import code, graph, packing, runs, sections, state
 from millrace.sources import files
 from millrace.streaming import events
 
@@ -236,3 +236,24 @@ def test_json_repair(given_text, want):
     from millrace.functions import jsonfix
 
     assert jsonfix.decode(given_text) == want
+
+
+def test_branch_level(spark):
+    levels = spark.createDataFrame([("t", i, w) for i, w in enumerate([1, 5, 21, 82])] + [("one", 0, 1)], "tree string, level int, width int")
+    at = lambda target: {r.tree: r.width for r in runs.branch_level(levels, "tree", F.lit(target)).collect()}
+    assert at(64) == {"t": 82} and at(40) == {"t": 21} and at(13) == {"t": 21} and at(12) == {"t": 5}
+
+
+def test_overlapping_findings_cross_blocks(spark):
+    rng = random.Random(3)
+    spans = lambda n: [(i, rng.choice("ab"), s, s + rng.randrange(0, 200)) for i in range(n) for s in [rng.randrange(0, 9000)]]
+    cited, given_ = spans(60), spans(8)
+    df = lambda rows: spark.createDataFrame(rows, "finding int, path string, start int, end int")
+    got = {r.finding for r in runs.overlapping_findings(df(cited), df(given_).drop("finding")).collect()}
+    assert got == {f for f, p, s, e in cited if any(p == q and s <= z and e >= a for _, q, a, z in given_)}
+
+
+def test_settled_runs(spark):
+    before = spark.createDataFrame([(1, "completed"), (2, "running"), (3, "queued")], "run int, status string")
+    journal = spark.createDataFrame([(1, 1, "failed"), (2, 1, "failed"), (2, 2, "cancelled")], "run int, number int, status string")
+    assert {r.run: r.status for r in runs.settle_status(before, journal).collect()} == {1: "completed", 2: "cancelled", 3: "queued"}
