@@ -5,10 +5,11 @@ zone: inside declared boilerplate (menus, headers, footers, asides, forms,
 scripts, styles, notices, adverts, comments, by tag, class, id or role), inside
 a declared article, or in neither. Boilerplate goes. Pages of a host are sorted
 by url path, each page is paired with the nearest differing page on either side,
-their lines are aligned by longest common subsequence, and shared lines go -
-where a page declares no article. Lines inside a declared article stay even if
-a neighbour shares them: articles do quote each other, and menus do not stand
-there. A page all of whose lines are shared keeps them, as it then is a copy.
+their lines are aligned by longest common subsequence, and shared lines go.
+Lines inside a declared article stay even if a neighbour shares them: articles
+do quote each other, and menus do not stand there. Lines outside a declared
+article are judged like those of a page without one. A page all of whose lines
+would go keeps them, as it then is a copy.
 
 The sizes of hosts are counted from the urls alone, and go to all tasks if a count
 shows at most ``limit`` hosts. A host's pages are cut into blocks of about ``block_pages`` by a hash of the page
@@ -173,16 +174,12 @@ class Page:
         return cls(page_id, url, key, [t for t, _ in found], [m for _, m in found], np.zeros(len(found), bool))
 
     def against(self, other: Page) -> None:
-        """Mark the lines shared with a neighbour; only pages without a declared article need it."""
-        if not any(self.in_main):
-            self.shared |= common(self.lines, other.lines)
+        """Mark the lines shared with a neighbour."""
+        self.shared |= common(self.lines, other.lines)
 
     def text(self) -> str:
-        if any(self.in_main):
-            kept = [t for t, m in zip(self.lines, self.in_main, strict=True) if m]
-        else:
-            kept = [t for t, s in zip(self.lines, self.shared, strict=True) if not s] or self.lines
-        return " ".join(kept)
+        kept = [t for t, m, s in zip(self.lines, self.in_main, self.shared, strict=True) if m or not s]
+        return " ".join(kept or self.lines)
 
 
 def extract(pages: DataFrame, block_pages: int = 256, salts: int = 32, limit: int = 200_000) -> DataFrame:

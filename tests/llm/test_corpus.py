@@ -468,6 +468,15 @@ def test_html_differencing(spark):
     assert h.extract(df.limit(0)).count() == 0
 
 
+def test_html_differencing_beside_articles(spark):
+    """A declared article protects its own lines; all others are aligned with the neighbours'."""
+    from millrace.llm import html_text as h
+
+    rows = [(i, f"https://h.test/a/{i:03d}", f"<div>Site name</div><p>Lead of page {i}.</p><article><h2>Quoted by all</h2><p>Teaser {i}.</p></article><p>Rest of page {i}.</p><div>Shared tail</div>") for i in range(6)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Lead of page {i}. Quoted by all Teaser {i}. Rest of page {i}." for i in range(6)}
+
+
 # pipeline
 
 
