@@ -20,6 +20,8 @@ from millrace.sources.tables import table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bits a byte beyond which a text is no language that was learned; prose has 2 to 3, noise 7 to 8.
 MAX_BITS = 7.0
+#: Percent of all shingles that near duplicates have in common; op6's query is held to 85.
+NEAR_SHARE = 80
 #: Rows up to which ids go out by broadcast; about 12 MB.
 BROADCAST_IDS = 500_000
 
@@ -42,7 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of each group that has the least id."""
     docs = docs.select(*COLUMNS)
-    out = near_dup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    out = near_dup.near_duplicates(docs, share=NEAR_SHARE).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(_few(out), "doc_id", "left_anti")
 
 

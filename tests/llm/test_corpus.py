@@ -504,3 +504,17 @@ def test_pipeline(spark, tmp_path):
     n = len(english)
     assert dropped[0] == {n + 3, n + 4} and {n, n + 1} <= dropped[1] and dropped[2] == {n + 2} and not dropped[3] and not dropped[4]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    texts = []
+    for common in (82, 81, 80, 79) * 5:  # of 90 shingles each: similarity 0.837, 0.818, 0.8 and 0.782
+        base = words(94)
+        texts += [" ".join(base), " ".join(base[: common + 4] + words(90 - common))]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    kept = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "")
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(len(texts)) if i % 2 == 0 or i % 8 == 7}
