@@ -2,14 +2,18 @@
 
 The field tags tokens (runs of ``A-Za-z0-9+/_.-``) as begin, inside or outside
 of a secret. Its features are the token's shape, its neighbouring words and
-separators, and the file it stands in. Tokens of under ``MIN_LENGTH`` bytes,
-with under two digits or without a letter can only be outside; a path therefore
-passes through "outside" at each of them, and Viterbi decoding of every run of
-other tokens by itself, with outside on both sides, is exact for the text.
+separators, and the file it stands in. It decides on tokens of ``MIN_CUED`` bytes
+where an assignment sign or a quote stands before them or a key word is one of
+the two tokens before, and elsewhere on tokens of ``MIN_LENGTH`` bytes that have a
+digit, a capital after a small letter or ``VARIETY`` different bytes. Others can
+only be outside; a path therefore passes through "outside" at each of them, and Viterbi decoding of every
+run of other tokens by itself, with outside on both sides, is exact for the text.
 
 It is trained by maximum likelihood on the tokens of a bounded sample of
-documents (``sample_docs``, at most ``runs_per_doc`` runs of each); a token is
-marked as secret there if a fixed pattern covers it. Scanning reads whole texts.
+documents (``sample_docs``, at most ``runs_per_doc`` runs with a marked token and
+``plain_per_doc`` without one of each); a token is marked as secret there if a
+fixed pattern covers it, other than as the name that is assigned to. Scanning
+reads whole texts.
 
 Defined cases: a null or empty text has no spans; offsets are code points, ends
 exclusive; base spans of one kind never overlap, spans of different kinds may; a
@@ -40,7 +44,11 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
 WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
-MIN_LENGTH = 10
+#: Words that announce a secret.
+CUES = (*WORDS, b"passphrase", b"credential", b"pwd", b"private_key")
+MIN_LENGTH, MIN_CUED, VARIETY = 8, 4, 9
+#: Tokens from which on a run is cut for training, where it is outside.
+CUT = 8
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 BUCKETS = 1 << 13
 _byte = np.arange(256)
@@ -103,6 +111,12 @@ def features(token: bytes, left: bytes, right: bytes, words: list[bytes], file:
 N_FEATURES = 18
 
 
+def secret_part(text: str, span: tuple[int, int, int]) -> tuple[int, int]:
+    """Start and end of a base span without the name that is assigned to."""
+    kind, start, end = span
+    return (ASSIGN.match(text, start).start(2) if KINDS[kind] == "assign" else start), end
+
+
 @dataclass
 class Field:
     """Weights: ``emit[feature, tag]`` and ``move[tag, tag]``; None adds no spans."""
@@ -110,6 +124,15 @@ class Field:
     emit: np.ndarray
     move: np.ndarray
 
+    def all_outside(self, feats: np.ndarray) -> bool:
+        """Whether weights of the tokens alone show that the best path is outside throughout.
+
+        A stretch of k other tags has k + 1 other moves, at most 2 k.
+        """
+        score = self.emit[feats].sum(1)
+        gain = max(0.0, 2 * float(self.move.max() - self.move[OUTSIDE, OUTSIDE]))
+        return bool((score[:, OUTSIDE] - score[:, :OUTSIDE].max(1) > gain).all())
+
     def tag(self, feats: np.ndarray) -> np.ndarray:
         """Viterbi tags of one run of tokens with outside on both sides."""
         score = self.emit[feats].sum(1)
@@ -170,7 +193,8 @@ def train(feats: np.ndarray, tags: np.ndarray, starts: np.ndarray, steps: int =
         lost = np.zeros((len(tags), 3))
         lost[place[live]] = (gold - chance)[live]
         grad_emit = np.zeros_like(emit)
-        np.add.at(grad_emit, feats.ravel(), np.repeat(lost, feats.shape[1], axis=0))
+        for tag in range(3):
+            grad_emit[:, tag] = np.bincount(feats.ravel(), np.repeat(lost[:, tag], feats.shape[1]), BUCKETS)
         expected = np.zeros((3, 3))
         expected[OUTSIDE] += chance[:, 0].sum(0)
         last = chance[np.arange(n), length - 1]
@@ -204,14 +228,49 @@ class Slice:
         self.hexes = np.zeros(docs, bool)
         self.hexes[self._doc(a[b - a >= 24])] = True
         a, b = runs(TOKEN[self.data])
-        digits, letters = (np.concatenate(([0], np.cumsum(x[self.data], dtype=np.int32))) for x in (DIGIT, UPPER | SMALL))
-        may = (b - a >= MIN_LENGTH) & (digits[b] - digits[a] >= 2) & (letters[b] > letters[a])
+        # Every token has a byte before it: a text's pad at least.
+        before, second = self.data[a - 1], self.data[np.maximum(a - 2, 0)]
+        cued = np.isin(before, list(b"=:\"'`")) | ((before == 32) & np.isin(second, list(b"=:")))
+        cues = self._cues(a, b, low)
+        doc = self._doc(a)
+        for k in (1, 2):
+            after = cues[cues + k < len(a)]
+            after = after[doc[after] == doc[after + k]]
+            cued[after + k] = True
+        may = np.where(cued, b - a >= MIN_CUED, self._odd(a, b))
         self.a, self.b, self.raw, self.at = a, b, raw, np.flatnonzero(may)
         self.owner = self._doc(a[self.at])
 
     def _doc(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, place, side="right") - 1
 
+    def _odd(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Tokens of ``MIN_LENGTH`` that differ from plain words."""
+        within = lambda mask: (c := np.concatenate(([0], np.cumsum(mask, dtype=np.int32))))[b] - c[a]
+        turns = np.concatenate((SMALL[self.data[:-1]] & UPPER[self.data[1:]], [False])) if len(self.data) else np.zeros(0, bool)
+        long = b - a >= MIN_LENGTH
+        odd = long & ((within(DIGIT[self.data]) > 0) | (within(turns) > 0))
+        at = np.flatnonzero(long & ~odd & (b - a >= VARIETY))
+        size = b[at] - a[at]
+        owner = np.repeat(np.arange(len(at)), size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a[at], size)
+        held = np.zeros((len(at), 256), bool)
+        held[owner, self.data[place]] = True
+        odd[at[held.sum(1) >= VARIETY]] = True
+        return odd
+
+    def _cues(self, a: np.ndarray, b: np.ndarray, low: bytes) -> np.ndarray:
+        """The tokens that hold a key word."""
+        places = []
+        for w in CUES:
+            at = low.find(w)
+            while at >= 0:
+                places.append(at)
+                at = low.find(w, at + len(w))
+        short = a[b - a == 3]
+        pins = short[[low[i : i + 3] == b"pin" for i in short.tolist()]] if len(short) and b"pin" in low else short[:0]
+        return np.unique(np.searchsorted(a, np.concatenate((np.array(places, np.int64), pins)), side="right") - 1)
+
     def _holding(self, text: bytes, words: tuple[bytes, ...], docs: int) -> np.ndarray:
         found = np.zeros(docs, bool)
         for w in words:
@@ -253,7 +312,7 @@ class Slice:
         return out
 
 
-def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 40000, runs_per_doc: int = 40) -> Field | None:
+def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 40000, runs_per_doc: int = 40, plain_per_doc: int = 2) -> Field | None:
     """A field trained on the tokens of a bounded sample, or None if no token is marked."""
     rows = documents.select(key, text).filter(F.col(text).isNotNull())
     chosen = sampled(rows, key, sample_docs, rows.count()).select(text)
@@ -264,12 +323,25 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_do
             feats, tags = [], []
             for doc in np.unique(s.owner):
                 base = s.spans(doc)
-                for f, where in s.token_runs(doc)[:runs_per_doc]:
+                if base:
+                    body = s.column[int(doc)].as_py()
+                    base = [secret_part(body, x) for x in base]
+                pieces: list = [[], []]  # without and with a marked token
+                for f, where in s.token_runs(doc):
                     tag, before = [], OUTSIDE
                     for a, b in where:
-                        inside = any(x < b and a < y for _, x, y in base)
+                        inside = any(x < b and a < y for x, y in base)
                         before = (INSIDE if before != OUTSIDE else BEGIN) if inside else OUTSIDE
                         tag.append(before)
+                    start = 0
+                    for k in range(1, len(tag) + 1):
+                        if k == len(tag) or (k - start >= CUT and tag[k] == OUTSIDE):
+                            pieces[any(x != OUTSIDE for x in tag[start:k])].append((f[start:k], tag[start:k]))
+                            start = k
+                plain, marked = pieces
+                # Plain ones from all over the text.
+                chosen = plain if len(plain) <= plain_per_doc else [plain[(2 * k + 1) * len(plain) // (2 * plain_per_doc)] for k in range(plain_per_doc)]
+                for f, tag in marked[:runs_per_doc] + chosen:
                     feats.append([x for row in f for x in row])
                     tags.append(tag)
             yield pa.RecordBatch.from_arrays([pa.array(feats, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))], names=["feats", "tags"])
@@ -277,7 +349,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_do
     found = chosen.mapInArrow(examples, "feats array<int>, tags array<int>").toPandas()
     if not len(found) or not any((np.asarray(t) != OUTSIDE).any() for t in found["tags"]):
         return None
-    found = found.sort_values(["feats", "tags"], key=lambda c: c.map(lambda x: tuple(x)), kind="stable")
+    found = found.sort_values(["feats", "tags"], key=lambda c: c.map(lambda x: np.asarray(x, np.int32).tobytes()), kind="stable")
     lengths = found["tags"].map(len).to_numpy()
     feats = np.concatenate(found["feats"].to_list()).reshape(-1, N_FEATURES)
     return train(feats, np.concatenate(found["tags"].to_list()), np.concatenate(([0], np.cumsum(lengths)[:-1])))
@@ -290,7 +362,10 @@ def all_spans(s: Slice, doc: int, field: Field | None) -> list[tuple[int, int, i
         return base
     added = []
     for feats, where in s.token_runs(doc):
-        tags = field.tag(np.array(feats))
+        feats = np.array(feats)
+        if field.all_outside(feats):
+            continue
+        tags = field.tag(feats)
         for tag, (a, b) in zip(tags, where, strict=True):
             if tag == BEGIN:
                 added.append([a, b])

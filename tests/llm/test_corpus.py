@@ -231,6 +231,37 @@ def test_secrets(spark):
     assert z.fit(empty(spark, "doc_id bigint, text string")) is None
 
 
+def test_secrets_without_digits(spark):
+    """Keys of letters, with one digit, and pins are tagged; words are not."""
+    from millrace.llm import secret_scan as z
+
+    rng = random.Random(14)
+    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [lambda: of(letters, 14), lambda: of(letters, 9) + "7", lambda: of(letters.lower(), 12), lambda: of("0123456789", 8)]
+    prose = ["remember everything", "yesterday afternoon", "wonderful, beautiful things", "information about mountains"]
+    texts = [f"{prose[i % 4]} then password={kinds[i % 4]()} and {prose[(i + 1) % 4]}" for i in range(120)] + [f"{prose[i % 4]} with {prose[(i + 2) % 4]}" for i in range(120)]
+    field = z.fit(docs_of(spark, texts))
+    secrets = [k() for k in kinds]
+    fresh = [f"something about passphrase={x} and everything" for x in secrets] + ["something about beautiful mountains yesterday"]
+    got = [r.spans for r in z.digest(z.scan(docs_of(spark, fresh), field)).orderBy("doc_id").collect()]
+    assert got == [f"crf:27:{27 + len(x)}" for x in secrets] + [""]
+
+
+def test_outside_shortcut_is_exact():
+    from millrace.llm import secret_scan as z
+
+    rng = np.random.default_rng(3)
+    skipped = 0
+    for _ in range(300):
+        field = z.Field(rng.normal(size=(z.BUCKETS, 3)) + [0, 0, 2], rng.normal(size=(3, 3)) / 2 + z.FORBIDDEN)
+        feats = rng.integers(0, z.BUCKETS, (3, 5))
+        if field.all_outside(feats):
+            skipped += 1
+            assert (field.tag(feats) == z.OUTSIDE).all()
+    assert skipped > 30
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
