@@ -11,7 +11,7 @@ run of other tokens by itself, with outside on both sides, is exact for the text
 
 It is trained by maximum likelihood on the tokens of a bounded sample of
 documents (``sample_docs``, at most ``runs_per_doc`` runs with a marked token and
-``plain_per_doc`` without one of each); a token is marked as secret there if a
+``plain_per_doc`` without one of each, ``plain_runs`` of the latter in all); a token is marked as secret there if a
 fixed pattern covers it, other than as the name that is assigned to. Scanning
 reads whole texts.
 
@@ -312,7 +312,7 @@ class Slice:
         return out
 
 
-def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 40000, runs_per_doc: int = 40, plain_per_doc: int = 2) -> Field | None:
+def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 40000, runs_per_doc: int = 40, plain_per_doc: int = 2, plain_runs: int = 4000) -> Field | None:
     """A field trained on the tokens of a bounded sample, or None if no token is marked."""
     rows = documents.select(key, text).filter(F.col(text).isNotNull())
     chosen = sampled(rows, key, sample_docs, rows.count()).select(text)
@@ -350,6 +350,12 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_do
     if not len(found) or not any((np.asarray(t) != OUTSIDE).any() for t in found["tags"]):
         return None
     found = found.sort_values(["feats", "tags"], key=lambda c: c.map(lambda x: np.asarray(x, np.int32).tobytes()), kind="stable")
+    # Runs without a marked token are many and alike; some of them are enough.
+    marked = found["tags"].map(lambda t: bool((np.asarray(t) != OUTSIDE).any())).to_numpy()
+    plain = np.flatnonzero(~marked)
+    if len(plain) > plain_runs:
+        plain = plain[np.arange(plain_runs) * len(plain) // plain_runs]
+    found = found.iloc[np.sort(np.concatenate((np.flatnonzero(marked), plain)))]
     lengths = found["tags"].map(len).to_numpy()
     feats = np.concatenate(found["feats"].to_list()).reshape(-1, N_FEATURES)
     return train(feats, np.concatenate(found["tags"].to_list()), np.concatenate(([0], np.cumsum(lengths)[:-1])))
