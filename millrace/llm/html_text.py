@@ -1,42 +1,55 @@
 """HTML extraction by differencing pages whose urls are nearest.
 
-A page is cut into blocks (text lines) at block-level tags; every block is in a
-zone: inside declared boilerplate (menus, headers, footers, asides, forms,
-scripts, styles, notices, adverts, comments, by tag, class, id or role), inside
-a declared article, or in neither. Boilerplate goes. Pages of a host are sorted
-by url path, each page is paired with the nearest differing page on either side,
-their lines are aligned by longest common subsequence, and shared lines go.
-Lines inside a declared article stay even if a neighbour shares them: articles
-do quote each other, and menus do not stand there. Lines outside a declared
-article are judged like those of a page without one. A page all of whose lines
-would go keeps them, as it then is a copy.
-
-The sizes of hosts are counted from the urls alone, and go to all tasks if a count
-shows at most ``limit`` hosts. A host's pages are cut into blocks of about ``block_pages`` by a hash of the page
-id, so that a host of any size is spread over tasks; tasks read pages one after
-another in path order and hold three at a time.
+A page is cut into blocks (text lines) at block-level tags. Pages of a host are
+sorted by url path; each is paired with the ``near`` nearest differing pages on
+either side, its lines are aligned with theirs by longest common subsequence,
+and shared lines are marked. What a page declares of itself settles the rest:
+
+* lines in a declared article (``article``, ``main``) stay, as articles quote each other;
+* lines in declared boilerplate (menus, headers, footers, asides, forms,
+  notices, adverts, comments, by tag, class, id or role) go even if unshared;
+* of all others those go that at least two of the paired pages share, or the
+  only paired page. A page all of whose lines would go so keeps them: it then is a copy.
+
+Hosts of any size are spread over tasks: pages are dealt to parts, ranges of
+(host, path, page id, hash of the html) with bounds from a sample that affects
+no row of the result, and a first pass over short rows tells which pages on either side of a part
+are neighbours of its pages; these are sent to it as well. So every page meets
+its true neighbours whatever the number of parts. Tasks stream pages in order
+and hold a few at a time; equal rows are dealt to several parts.
 
 Defined cases: null or empty html gives an empty text; a null url is an empty
-host and path; equal paths are ordered by page id; unclosed elements end with
-the element around them; repeated rows are extracted alike, pages with equal
-lines never difference each other; other columns are ignored.
+host and path; equal paths are ordered by page id, then by hash; unclosed
+elements end with the element around them; repeated rows and pages with equal
+lines are extracted alike and never difference each other; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices
 from millrace.llm.urls import split_url
-from millrace.session import checkpointed
+
+#: Where a line stands.
+PLAIN, ARTICLE, BOILERPLATE = 0, 1, 2
+#: Parts of pages at most, and bounds drawn for each.
+MAX_PARTS, DRAWN = 20_000, 4
+#: Longer paths are no bounds.
+BOUND_CHARS = 500
 
 # HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,31 +80,33 @@ def is_marked(attributes: str) -> bool:
     return bool(HIDDEN.search(attributes))
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, whether inside a declared article) of the blocks outside declared boilerplate."""
-    out: list[tuple[str, bool]] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, drops, is an article
+def blocks(page: str) -> list[tuple[str, int]]:
+    """(text, zone) of a page's blocks in order."""
+    out: list[tuple[str, int]] = []
+    seen: list[str] = []  # of the open block
+    hidden: list[str] = []  # of the open block, in declared boilerplate
+    stack: list[tuple[str, bool, bool]] = []  # name, is boilerplate, is an article
     dropped = mains = 0
 
     def close() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                out.append((text, mains > 0))
-            parts.clear()
+        for parts, zone in ((seen, ARTICLE if mains else PLAIN), (hidden, BOILERPLATE)):
+            if parts:
+                text = " ".join(html.unescape("".join(parts)).split())
+                if text:
+                    out.append((text, zone))
+                parts.clear()
 
     at = 0
     while m := TAG.search(page, at):
-        if not dropped and m.start() > at:
-            parts.append(page[at : m.start()])
+        if m.start() > at:
+            (hidden if dropped else seen).append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if name not in INLINE:
             if name == "br":
-                parts.append("\n")
+                (hidden if dropped else seen).append("\n")
             else:
                 close()
         if m[1]:
@@ -118,12 +133,44 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         stack.append((name, drops, is_main and not drops))
         dropped += drops
         mains += is_main and not drops
-    if not dropped and at < len(page):
-        parts.append(page[at:])
+    if at < len(page):
+        (hidden if dropped else seen).append(page[at:])
     close()
     return out
 
 
+def reach(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with every prefix of ``b``, by bits of one integer."""
+    at: dict[int, int] = {}
+    for k, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    open_ = full
+    for x in a:
+        meet = open_ & at.get(x, 0)
+        open_ = ((open_ + meet) | (open_ - meet)) & full
+    bits = np.unpackbits(np.frombuffer(open_.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def aligned(a: list[int], b: list[int]) -> list[int]:
+    """Places of ``a`` in a longest common subsequence with ``b``: halves by halves, in memory that grows with the lines."""
+    out, work = [], [(0, len(a), 0, len(b))]
+    while work:
+        low, high, first, last = work.pop()
+        if low == high or first == last:
+            continue
+        if high - low == 1:
+            if a[low] in b[first:last]:
+                out.append(low)
+            continue
+        mid = (low + high) // 2
+        total = reach(a[low:mid], b[first:last]) + reach(a[mid:high][::-1], b[first:last][::-1])[::-1]
+        cut = first + int(total.argmax())
+        work += [(low, mid, first, cut), (mid, high, cut, last)]
+    return out
+
+
 def common(a: list[str], b: list[str]) -> np.ndarray:
     """Which lines of ``a`` are in a longest common subsequence with ``b``."""
     shared = np.zeros(len(a), bool)
@@ -136,88 +183,239 @@ def common(a: list[str], b: list[str]) -> np.ndarray:
         shared[len(a) - 1 - tail] = True
         tail += 1
     # Lines that the other page lacks cannot align; without them little is left.
-    inner_a = [i for i in range(head, len(a) - tail)]
-    known_b, known_a = set(b[head : len(b) - tail]), {a[i] for i in inner_a}
-    left = [i for i in inner_a if a[i] in known_b]
-    right = [x for x in b[head : len(b) - tail] if x in known_a]
+    inner_b = b[head : len(b) - tail]
+    known_a, known_b = set(a[head : len(a) - tail]), set(inner_b)
+    left = [i for i in range(head, len(a) - tail) if a[i] in known_b]
+    right = [x for x in inner_b if x in known_a]
     if left and right:
         code = {x: k for k, x in enumerate(dict.fromkeys(right))}
-        r = np.array([code[x] for x in right])
-        table = np.zeros((len(left) + 1, len(r) + 1), np.int32)
-        for k, i in enumerate(left):
-            step = np.maximum(table[k, 1:], np.where(r == code[a[i]], table[k, :-1] + 1, 0))
-            table[k + 1, 1:] = np.maximum.accumulate(step)
-        k, j = len(left), len(r)
-        while k and j:
-            if r[j - 1] == code[a[left[k - 1]]] and table[k, j] == table[k - 1, j - 1] + 1:
-                shared[left[k - 1]] = True
-                k, j = k - 1, j - 1
-            elif table[k - 1, j] >= table[k, j - 1]:
-                k -= 1
-            else:
-                j -= 1
+        for k in aligned([code[a[i]] for i in left], [code[x] for x in right]):
+            shared[left[k]] = True
     return shared
 
 
 @dataclass
 class Page:
-    page_id: int | None
-    url: str | None
-    key: tuple
     lines: list[str]
-    in_main: list[bool]
-    shared: np.ndarray
+    zones: tuple[int, ...]
+    shares: np.ndarray
+    met: int = 0
 
     @classmethod
-    def of(cls, page_id: int | None, url: str | None, key: tuple, page: str | None) -> Page:
+    def of(cls, page: str | None) -> Page:
         found = blocks(page or "")
-        return cls(page_id, url, key, [t for t, _ in found], [m for _, m in found], np.zeros(len(found), bool))
+        return cls([t for t, _ in found], tuple(z for _, z in found), np.zeros(len(found), np.int64))
+
+    @property
+    def line_key(self) -> bytes:
+        return xxhash.xxh128_digest("\n".join(self.lines).encode("utf-8", "surrogatepass"))
 
-    def against(self, other: Page) -> None:
-        """Mark the lines shared with a neighbour."""
-        self.shared |= common(self.lines, other.lines)
+    def against(self, other: list[str]) -> None:
+        """Count the lines shared with a neighbour."""
+        self.shares += common(self.lines, other)
+        self.met += 1
+
+    def deleted(self) -> np.ndarray:
+        """Lines that differencing deletes."""
+        return (self.shares >= min(2, max(self.met, 1))) & (np.array(self.zones, int) != ARTICLE)
 
     def text(self) -> str:
-        kept = [t for t, m, s in zip(self.lines, self.in_main, self.shared, strict=True) if m or not s]
-        return " ".join(kept or self.lines)
-
-
-def extract(pages: DataFrame, block_pages: int = 256, salts: int = 32, limit: int = 200_000) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every page."""
-    found = split_url(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
-    sizes = checkpointed(found.groupBy("host").agg(F.count("*").alias("pages")).select("host", F.ceil(F.col("pages") / block_pages).cast("int").alias("parts")))
-    if sizes.count() <= limit:
-        sized = found.join(F.broadcast(sizes), "host")
-    else:
-        # Hosts meet their sizes by host and salt, so no host's pages meet in one task.
-        salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        sized = found.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"])
-    parted = sized.withColumn("part", F.pmod(F.xxhash64("page_id", F.lit("part")), F.col("parts")))
-    ordered = parted.repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id").select("page_id", "url", "html", "host", "part")
+        kept = [(t, gone) for t, z, gone in zip(self.lines, self.zones, self.deleted(), strict=True) if z != BOILERPLATE]
+        return " ".join([t for t, gone in kept if not gone] or [t for t, _ in kept])
+
+
+class Run:
+    """Pages one after another with equal lines: one page for each kind of zones, and whose it is."""
+
+    def __init__(self, key: bytes, lines: list[str]):
+        self.key, self.lines, self.groups = key, lines, {}
+
+
+class Pairing:
+    """Pages in order of host and path go in; done ones come out as (page, ids and urls)."""
+
+    def __init__(self, near: int):
+        self.near, self.host = near, None
+        self.runs: deque[Run] = deque()  # of the host: the last, and 2 near before it
+
+    def add(self, host: str, page: Page, owner: tuple | None) -> list[tuple[Page, list[tuple]]]:
+        """``owner`` is (page id, url), or None for a page that is a neighbour only."""
+        done: list = []
+        if host != self.host:
+            done, self.host = self.flush(), host
+        key = page.line_key
+        if not self.runs or self.runs[-1].key != key:
+            self.runs.append(Run(key, page.lines))
+            for earlier in list(self.runs)[-1 - self.near : -1]:
+                for other, _ in earlier.groups.values():
+                    other.against(page.lines)
+            if len(self.runs) > self.near + 1:
+                settled = self.runs[-2 - self.near]
+                done += settled.groups.values()
+                settled.groups = {}
+            if len(self.runs) > 2 * self.near + 1:
+                self.runs.popleft()
+        if owner is not None:
+            groups = self.runs[-1].groups
+            if page.zones not in groups:
+                for earlier in list(self.runs)[-1 - self.near : -1]:
+                    page.against(earlier.lines)
+                groups[page.zones] = (page, [])
+            groups[page.zones][1].append(owner)
+        return done
+
+    def flush(self) -> list[tuple[Page, list[tuple]]]:
+        done = [group for run in self.runs for group in run.groups.values()]
+        self.runs.clear()
+        return done
+
+
+class Parts:
+    """Deals pages to ranges of (host, path, page id, hash)."""
+
+    def __init__(self, bounds: list[tuple]):
+        self.bounds, self.count = sorted(bounds), 0
+
+    def of(self, host: str, path: str, page_id: int | None, mixed: int) -> int:
+        key = bound(host, path, page_id, mixed)
+        low, high = bisect.bisect_left(self.bounds, key), bisect.bisect_right(self.bounds, key)
+        if high > low:  # equal rows, dealt in turn to all parts that may hold them
+            self.count += 1
+            return low + (self.count + TaskContext.get().partitionId()) % (high - low + 1)
+        return low
+
+
+def bound(host: str, path: str, page_id: int | None, mixed: int) -> tuple:
+    return host, path, page_id is not None, page_id or 0, mixed
+
+
+def row_key(host: str, path: str, page_id: int | None, mixed: int) -> int:
+    return xxhash.xxh64_intdigest(repr((host, path, page_id, mixed)).encode("utf-8", "surrogatepass")) >> 1
+
+
+def carried(ends: dict[int, list[list[tuple]]], near: int) -> dict[int, list[int]]:
+    """Row key to the parts that need the row beside their own.
+
+    ``ends`` has by part its first and its last ``near + 1`` runs in order, as
+    (host, line key, row key).
+    """
+    out: dict[int, list[int]] = {}
+    numbers = sorted(ends)
+    for forth in (False, True):
+        order = numbers if forth else numbers[::-1]
+        for at, part in enumerate(order):
+            # From the part's own edge outwards over the parts before (or behind) it.
+            own = ends[part][1][-1] if forth else ends[part][0][0]
+            last, found = own[:2], 0
+            for other in order[at + 1 :]:
+                first, final = ends[other]
+                for host, key, row in first if forth else final[::-1]:
+                    if host != own[0] or found == near:
+                        break
+                    if (host, key) != last:
+                        last, found = (host, key), found + 1
+                        out.setdefault(row, []).append(part)
+                if host != own[0] or found == near:
+                    break
+    return out
+
+
+def extract(pages: DataFrame, near: int = 2, part_pages: int = 128) -> DataFrame:
+    """``page_id, url, text, n_chars, n_lines, n_deleted`` of every page.
+
+    ``n_lines`` counts a page's lines, ``n_deleted`` those that differencing
+    deletes, boilerplate included.
+    """
+    spark = pages.sparkSession
+    typed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    found = split_url(typed).select("page_id", "url", "host", "path", F.xxhash64("html").alias("mixed"), "html")
+    total = typed.select("page_id").count()
+    n_parts = max(1, min(MAX_PARTS, -(-total // part_pages)))
+    sample = found.filter(F.length("path") <= BOUND_CHARS).select("host", "path", "page_id", "mixed").sample(min(1.0, DRAWN * n_parts / max(total, 1)), seed=5).collect() if n_parts > 1 else []
+    drawn = sorted(bound(*r) for r in sample)
+    bounds = [drawn[k * len(drawn) // n_parts] for k in range(1, n_parts)] if drawn else []
+    everywhere = spark.sparkContext.broadcast(bounds)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(everywhere.value)
+        for batch in slices(batches, 5):
+            rows = []
+            for page_id, _, host, path, mixed, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append((parts.of(host, path, page_id, mixed), host, path, page_id, mixed, Page.of(source).line_key))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "host", "path", "page_id", "mixed", "lines"])
+
+    order = ["part", "host", "path", "page_id", "mixed"]
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, head, tail = None, [], deque(maxlen=near + 1)
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([part] * 2, pa.int32()), pa.array([False, True]), pa.array([[list(map(str, r)) for r in x] for x in (head, tail)], pa.list_(pa.list_(pa.string())))], names=["part", "last", "runs"])
+        for batch in batches:
+            for number, host, path, page_id, mixed, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != part:
+                    if part is not None:
+                        yield pack()
+                    part, head, tail = number, [], deque(maxlen=near + 1)
+                run = (xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")), xxhash.xxh64_intdigest(lines))
+                if not tail or tail[-1][:2] != run:
+                    run += (row_key(host, path, page_id, mixed),)
+                    tail.append(run)
+                    if len(head) <= near:
+                        head.append(run)
+        if part is not None:
+            yield pack()
+
+    wanted: dict[int, list[int]] = {}
+    if bounds:
+        light = found.mapInArrow(short, "part int, host string, path string, page_id bigint, mixed bigint, lines binary").repartition("part").sortWithinPartitions(*order)
+        by_part: dict[int, list] = {}
+        for r in light.mapInArrow(ends, "part int, last boolean, runs array<array<string>>").toLocalIterator():  # 2 rows a part
+            by_part.setdefault(r.part, [None, None])[r.last] = [tuple(map(int, x)) for x in r.runs]
+        wanted = carried(by_part, near)
+    also = spark.sparkContext.broadcast(wanted)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, sent = Parts(everywhere.value), set()
+        for batch in slices(batches, 5):
+            rows, owns, takes = [], [], []
+            for i, (page_id, host, path, mixed) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True)):
+                own = parts.of(host, path, page_id, mixed)
+                rows.append(own)
+                owns.append(True)
+                takes.append(i)
+                if also.value and (key := row_key(host, path, page_id, mixed)) in also.value and key not in sent:
+                    sent.add(key)
+                    for part in also.value[key]:
+                        rows.append(part)
+                        owns.append(False)
+                        takes.append(i)
+            taken = batch.take(pa.array(takes)) if len(takes) > batch.num_rows else batch
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(owns), *taken.columns], names=["part", "owned", *batch.schema.names])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[Page] = []  # pages with equal lines, whose next differing page is not here yet
-        before: Page | None = None  # the last differing page
-        pack = lambda done: pa.RecordBatch.from_arrays(
-            [pa.array([p.page_id for p in done], pa.int64()), pa.array([p.url for p in done], pa.string()), pa.array(texts := [p.text() for p in done], pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
-        )
-        for part in slices(batches, 2):
-            done: list[Page] = []
-            for page_id, url, source, host, block in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                page = Page.of(page_id, url, (host, block), source)
-                if waiting and waiting[-1].key == page.key and waiting[-1].lines != page.lines:
-                    for w in waiting:
-                        w.against(page)
-                if not waiting or waiting[-1].key != page.key:
-                    done, waiting, before = done + waiting, [], None
-                elif waiting[-1].lines != page.lines:
-                    before, done, waiting = waiting[-1], done + waiting, []
-                if before is not None:
-                    page.against(before)
-                waiting.append(page)
-            if done:
-                yield pack(done)
-        if waiting:
-            yield pack(waiting)
-
-    return ordered.mapInArrow(work, "page_id bigint, url string, text string, n_chars bigint")
+        part, pairing = None, Pairing(near)
+
+        def pack(done: list[tuple[Page, list[tuple]]]) -> Iterator[pa.RecordBatch]:
+            for page, owners in done:
+                text, gone = page.text(), int(page.deleted().sum())
+                step = max(1, (1 << 20) // (len(text) + 1))
+                for k in range(0, len(owners), step):
+                    ids, links = zip(*owners[k : k + step], strict=True)
+                    n = len(ids)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids, pa.int64()), pa.array(links, pa.string()), pa.array([text] * n, pa.string()), pa.array([len(text)] * n, pa.int64()), pa.array([len(page.lines)] * n, pa.int64()), pa.array([gone] * n, pa.int64())],
+                        names=["page_id", "url", "text", "n_chars", "n_lines", "n_deleted"],
+                    )
+
+        for batch in slices(batches, 7):
+            done: list = []
+            for number, owned, page_id, url, host, source in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 7)), strict=True):
+                if number != part:
+                    done += pairing.flush()
+                    part = number
+                done += pairing.add(host, Page.of(source), (page_id, url) if owned else None)
+            yield from pack(done)
+        yield from pack(pairing.flush())
+
+    dealt = found.mapInArrow(deal, "part int, owned boolean, page_id bigint, url string, host string, path string, mixed bigint, html string")
+    ordered = dealt.repartition("part").sortWithinPartitions(*order)
+    return ordered.mapInArrow(work, "page_id bigint, url string, text string, n_chars bigint, n_lines bigint, n_deleted bigint")

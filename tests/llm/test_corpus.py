@@ -450,64 +450,6 @@ def test_n_best_against_all_segmentations():
     assert np.allclose(scores, sums[:5])
 
 
-# html
-
-
-def test_html_blocks():
-    from millrace.llm import html_text as h
-
-    page = """<!DOCTYPE html><html><head><title>t</title><script>var t="</p>";</script></head><body class="single"><header>Top</header>
-    <nav><ul><li>One<li>Two</ul></nav><div id="cookie-notice">We use</div><article><header><h1>Ti&amp;tle</h1></header><p>First <b>bold
-    text</b>&nbsp;x<br>y<p>Second<div class="ad banner">Buy</div><form>f</form><section id="comments"><p>Nice</p></section></article><aside>a</aside><footer>&copy;</footer>"""
-    assert h.Page.of(1, "", (), page).text() == "Ti&tle First bold text x y Second"
-    assert h.Page.of(1, "", (), None).text() == "" and h.Page.of(1, "", (), "<p>a<!-- <p>no --> b").text() == "a b"
-    assert h.Page.of(1, "", (), '<p title="a>b">kept</p><style>p{}</style><div class="address">here</div>').text() == "kept here"
-
-
-def test_common_lines_against_recursion():
-    from functools import cache
-
-    from millrace.llm import html_text as h
-
-    rng = random.Random(6)
-    for _ in range(60):
-        a, b = (tuple(rng.choice("abcde") for _ in range(rng.randrange(9))) for _ in range(2))
-
-        @cache
-        def lcs(i, j, a=a, b=b):
-            if i == len(a) or j == len(b):
-                return 0
-            return lcs(i + 1, j + 1) + 1 if a[i] == b[j] else max(lcs(i + 1, j), lcs(i, j + 1))
-
-        shared = h.common(list(a), list(b))
-        kept = [x for x, s in zip(a, shared, strict=True) if s]
-        it = iter(b)
-        assert len(kept) == lcs(0, 0) and all(x in it for x in kept)
-
-
-def test_html_differencing(spark):
-    from millrace.llm import html_text as h
-
-    rows = [(i, f"https://h.test/a/{i:03d}", f"<div>Site name</div><p>Body of page {i}.</p><div>Shared tail</div>") for i in range(20)]
-    rows += [(100, "https://copy.test/1", "<p>Same</p>"), (101, "https://copy.test/2", "<p>Same</p>"), (102, None, None), (103, "https://x.test/", "<p>" + "long " * 100_000)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit("clash")).withColumn("path", F.lit(1))
-    got = {r.page_id: r for r in h.extract(df.repartition(3)).collect()}
-    assert len(got) == len(rows)
-    assert all(got[i].text == f"Body of page {i}." for i in range(20))
-    assert got[100].text == got[101].text == "Same" and got[102].text == "" and got[103].n_chars == len(got[103].text) == 499_999
-    assert {r.page_id: r for r in h.extract(df.repartition(3), limit=0).collect()} == got
-    assert h.extract(df.limit(0)).count() == 0
-
-
-def test_html_differencing_beside_articles(spark):
-    """A declared article protects its own lines; all others are aligned with the neighbours'."""
-    from millrace.llm import html_text as h
-
-    rows = [(i, f"https://h.test/a/{i:03d}", f"<div>Site name</div><p>Lead of page {i}.</p><article><h2>Quoted by all</h2><p>Teaser {i}.</p></article><p>Rest of page {i}.</p><div>Shared tail</div>") for i in range(6)]
-    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert got == {i: f"Lead of page {i}. Quoted by all Teaser {i}. Rest of page {i}." for i in range(6)}
-
-
 # pipeline
 
 
