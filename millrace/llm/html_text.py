@@ -7,7 +7,8 @@ and shared lines are marked. What a page declares of itself settles the rest:
 
 * lines in a declared article (``article``, ``main``) stay, as articles quote each other;
 * lines in declared boilerplate (menus, headers, footers, asides, forms,
-  notices, adverts, comments, by tag, class, id or role) go even if unshared;
+  notices, adverts, comments, by tag, class, id or role) go if one paired page
+  shares them, and even if none does;
 * of all others those go that at least two of the paired pages share, or the
   only paired page. A page all of whose lines would go so keeps them: it then is a copy.
 
@@ -217,7 +218,8 @@ class Page:
 
     def deleted(self) -> np.ndarray:
         """Lines that differencing deletes."""
-        return (self.shares >= min(2, max(self.met, 1))) & (np.array(self.zones, int) != ARTICLE)
+        zones = np.array(self.zones, int)
+        return (self.shares >= np.where(zones == BOILERPLATE, 1, min(2, max(self.met, 1)))) & (zones != ARTICLE)
 
     def text(self) -> str:
         kept = [(t, gone) for t, z, gone in zip(self.lines, self.zones, self.deleted(), strict=True) if z != BOILERPLATE]

@@ -85,7 +85,7 @@ def brute(rows, near):
             others = [runs[j][0] for j in range(max(0, k - near), min(len(runs), k + near + 1)) if j != k]
             votes = sum((h.common(lines, o).astype(int) for o in others), np.zeros(len(lines), int))
             for i, found in members:
-                gone = [v >= min(2, max(1, len(others))) and z != h.ARTICLE for v, (_, z) in zip(votes, found, strict=True)]
+                gone = [v >= (1 if z == h.BOILERPLATE else min(2, max(1, len(others)))) and z != h.ARTICLE for v, (_, z) in zip(votes, found, strict=True)]
                 kept = [(t, g) for g, (t, z) in zip(gone, found, strict=True) if z != h.BOILERPLATE]
                 out[i] = (" ".join([t for t, g in kept if not g] or [t for t, _ in kept]), sum(gone))
     return out
