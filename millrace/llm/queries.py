@@ -60,7 +60,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return decontam.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")).drop("seeds")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +110,14 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   CAST(sum(length({_ESCAPED}) + 4 + length(role) + 2 + 7 + 1) AS BIGINT) AS formatted_chars,
   CAST(sum(CASE WHEN (before IS NULL AND role IN ('system', 'user')) OR (before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user') THEN 0 ELSE 1 END) AS BIGINT) AS violations
 FROM f GROUP BY conv_id
+""",
+    "op8_decontaminate": """
+WITH d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents)),
+i AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)),
+m AS (SELECT doc_id, item_id, n, i.pos AS p, d.pos - i.pos AS shift FROM d JOIN i USING (word)),
+c AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS agree FROM m)
+SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS item_words, CAST(max(agree) AS INTEGER) AS matched FROM c
+WHERE agree >= CASE WHEN n < 8 THEN n ELSE ceil(0.8 * least(13, n)) END GROUP BY doc_id, item_id
 """,
     "op6_near_duplicates": """
 WITH RECURSIVE w AS (

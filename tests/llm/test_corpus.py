@@ -371,37 +371,6 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
-# decontamination
-
-
-def test_decontamination(spark):
-    from millrace.llm import decontam
-
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
-    items = [[word() for _ in range(n)] for n in (15, 30, 60, 9, 8, 5, 11)]
-    fill = lambda n: [word() for _ in range(n)]
-    texts, want = [], set()
-    for k, item in enumerate(items):
-        for changes in (0, 1, 2):
-            body = item[:]
-            for c in range(changes):
-                body[(len(body) // 2 + 6 * c) % len(body)] = word()
-            texts.append(" ".join(fill(rng.randrange(40)) + body + fill(rng.randrange(40))).upper())
-            if len(item) >= 8 and (changes == 0 or (changes == 1 and len(item) >= 15) or len(item) >= 30):
-                want.add((len(texts) - 1, k))
-    texts += [None, "", " ".join(fill(500)), " ".join(items[2][:6] + fill(50) + items[2][20:26]), " ".join(fill(30_000) + items[1] + fill(30_000))]
-    want.add((len(texts) - 1, 1))
-    test = spark.createDataFrame([(k, ", ".join(i)) for k, i in enumerate(items)] + [(90, None), (91, "")], "item_id bigint, text string").withColumn("pos", F.lit("clash"))
-    df = docs_of(spark, texts).withColumn("item_id", F.lit("clash")).withColumn("key", F.lit(0))
-    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, test).collect()}
-    assert want <= got
-    # What is found beyond that is a changed copy, never another text.
-    assert {d for d, _ in got} <= set(range(21)) | {len(texts) - 1}
-    assert got == {(r.doc_id, r.item_id) for r in decontam.contaminated(df, test, limit=0).collect()}
-    assert decontam.contaminated(df, test.limit(0)).count() == 0 and decontam.contaminated(df.limit(0), test).count() == 0
-
-
 # pieces
 
 
