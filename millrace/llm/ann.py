@@ -8,10 +8,15 @@ the child's vectors. A child is skipped for a query if the query's ball of
 radius ``factor`` times its 20th distance so far misses that range: factor one
 is exact search, a smaller one skips more.
 
-Shards are dealt by a hash of the id and their number follows the row count, so
-that a tree is bounded in size. Queries visit every shard in blocks of bounded
-size (a stated query set against all rows), each pair of shard and block is a
-task of its own that returns its nearest, and these are merged by query.
+Shards are dealt by a hash of the id and their number follows the row count
+alone, so that a tree is bounded in size. Queries visit every shard in blocks of
+bounded size (a stated query set against all rows): rows of a shard and block
+stream through a task, points first, from which the tree is built once, then
+queries, of which it holds ``block_rows``. The nearest are merged by query.
+
+Matrix products only say which pairs may be near: within the bound of their
+rounding every such pair is scored again in doubles, one product for each
+component in order, and ranks and ties go by these scores alone.
 
 Defined cases: vectors that are null, empty, zero, of another length than most
 or hold a null, NaN or infinity take no part; so do null ids. Equal scores are
@@ -26,11 +31,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 LEAF = 128
 
 
@@ -62,15 +66,18 @@ class VantageTree:
         self.nodes[me] = (start, end, int(vantage), left, (far[0], far[half - 1]), right, (far[half], far[-1]))
         return me
 
-    def search(self, queries: np.ndarray, visit, radius: np.ndarray, factor: float) -> None:
-        """Call ``visit(active queries, rows)`` for every leaf that may hold a near row; ``radius`` shrinks meanwhile."""
+    def search(self, queries: np.ndarray, visit, radius: np.ndarray, factor: float, slack: np.ndarray) -> None:
+        """Call ``visit(active queries, rows)`` for every leaf that may hold a near row; ``radius`` shrinks meanwhile.
+
+        ``slack`` is what rounding may add to a distance.
+        """
         if not self.nodes:
             return
         # Each query first goes straight to one leaf, which gives it a radius.
-        self._walk(0, np.arange(len(queries)), queries, visit, radius, factor, greedy=True)
-        self._walk(0, np.arange(len(queries)), queries, visit, radius, factor, greedy=False)
+        self._walk(0, np.arange(len(queries)), queries, visit, radius, factor, slack, greedy=True)
+        self._walk(0, np.arange(len(queries)), queries, visit, radius, factor, slack, greedy=False)
 
-    def _walk(self, node: int, active: np.ndarray, queries: np.ndarray, visit, radius: np.ndarray, factor: float, greedy: bool) -> None:
+    def _walk(self, node: int, active: np.ndarray, queries: np.ndarray, visit, radius: np.ndarray, factor: float, slack: np.ndarray, greedy: bool) -> None:
         start, end, vantage, left, near, right, far = self.nodes[node]
         if not len(active):
             return
@@ -80,52 +87,70 @@ class VantageTree:
         d = np.sqrt(np.maximum(((queries[active] - self.points[vantage]) ** 2).sum(1), 0))
         if greedy:
             inside = d <= (near[1] + far[0]) / 2
-            self._walk(left, active[inside], queries, visit, radius, factor, greedy)
-            self._walk(right, active[~inside], queries, visit, radius, factor, greedy)
+            self._walk(left, active[inside], queries, visit, radius, factor, slack, greedy)
+            self._walk(right, active[~inside], queries, visit, radius, factor, slack, greedy)
             return
         for child, (low, high) in ((left, near), (right, far)):
-            reach = factor * radius[active] + 1e-9
-            self._walk(child, active[(d - reach <= high) & (d + reach >= low)], queries, visit, radius, factor, greedy)
-
-
-def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the ``k`` best rows of this shard, as (query position, id, score)."""
-    lift = lambda m, c: np.hstack([m, c[:, None]])
-    tree = VantageTree(lift(vectors, np.sqrt(np.maximum(limit**2 - (vectors**2).sum(1), 0))))
-    lifted = lift(queries, np.zeros(len(queries)))
-    base = (queries**2).sum(1) + limit**2
-    best_score = np.full((len(queries), k), -np.inf)
-    best_row = np.full((len(queries), k), -1)
-    radius = np.full(len(queries), np.inf)
-    seen = np.full(len(queries), -1)
-
-    def visit(active: np.ndarray, rows: np.ndarray, node: int, greedy: bool) -> None:
-        if greedy:
-            seen[active] = node
-        else:
-            active = active[seen[active] != node]
-        if not len(active):
-            return
-        score = np.round(queries[active] @ vectors[rows].T, 12)
-        score[query_ids[active][:, None] == ids[rows][None, :]] = -np.inf
-        hit = (score >= best_score[active, -1:]).any(1)
-        active, score = active[hit], score[hit]
-        if not len(active):
-            return
-        all_score = np.hstack([best_score[active], score])
-        all_row = np.hstack([best_row[active], np.broadcast_to(rows, score.shape)])
-        all_row[np.isneginf(all_score)] = -1
-        tie = np.where(all_row >= 0, ids[all_row], np.iinfo(np.int64).max)
-        first = np.lexsort((tie, -all_score), axis=1)[:, :k]
-        best_score[active] = np.take_along_axis(all_score, first, 1)
-        best_row[active] = np.take_along_axis(all_row, first, 1)
-        last = best_score[active, -1]
-        radius[active] = np.where(np.isneginf(last), np.inf, np.sqrt(np.maximum(base[active] - 2 * last, 0)))
-
-    tree.search(lifted, visit, radius, factor)
-    q, at = np.nonzero(best_row >= 0)
-    row = best_row[q, at]
-    return q, ids[row], np.einsum("ij,ij->i", queries[q], vectors[row])
+            reach = factor * radius[active] + slack[active]
+            self._walk(child, active[(d - reach <= high) & (d + reach >= low)], queries, visit, radius, factor, slack, greedy)
+
+
+class Shard:
+    """A tree over the points of a shard, for any number of query blocks."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, limit: float):
+        self.ids, self.vectors, self.limit = ids, vectors, limit
+        self.tree = VantageTree(np.hstack([vectors, np.sqrt(np.maximum(limit**2 - (vectors**2).sum(1), 0))[:, None]]))
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the ``k`` best points, as (query position, id, score)."""
+        ids, vectors = self.ids, self.vectors
+        n, width = queries.shape
+        base = (queries**2).sum(1) + self.limit**2
+        # What rounding may change of a product, of a squared distance and of a distance.
+        unsure = 4 * width * np.finfo(float).eps
+        margin = unsure * np.sqrt((queries**2).sum(1)) * self.limit
+        best_score = np.full((n, k), -np.inf)
+        best_row = np.full((n, k), -1)
+        radius = np.full(n, np.inf)
+        seen = np.full(n, -1)
+
+        def visit(active: np.ndarray, rows: np.ndarray, node: int, greedy: bool) -> None:
+            if greedy:
+                seen[active] = node
+            else:
+                active = active[seen[active] != node]
+            if not len(active):
+                return
+            may = (queries[active] @ vectors[rows].T >= best_score[active, -1:] - margin[active, None]) & (query_ids[active][:, None] != ids[rows][None, :])
+            hit = may.any(1)
+            active, may = active[hit], may[hit]
+            if not len(active):
+                return
+            score = np.full(may.shape, -np.inf)
+            q, at = np.nonzero(may)
+            score[q, at] = products(queries[active[q]], vectors[rows[at]])
+            all_score = np.hstack([best_score[active], score])
+            all_row = np.hstack([best_row[active], np.broadcast_to(rows, score.shape)])
+            all_row[np.isneginf(all_score)] = -1
+            tie = np.where(all_row >= 0, ids[all_row], np.iinfo(np.int64).max)
+            first = np.lexsort((tie, -all_score), axis=1)[:, :k]
+            best_score[active] = np.take_along_axis(all_score, first, 1)
+            best_row[active] = np.take_along_axis(all_row, first, 1)
+            last = best_score[active, -1]
+            radius[active] = np.where(np.isneginf(last), np.inf, np.sqrt(np.maximum(base[active] - 2 * last, 0) + unsure * base[active]))
+
+        self.tree.search(np.hstack([queries, np.zeros((n, 1))]), visit, radius, factor, 1e-12 * np.sqrt(base))
+        q, at = np.nonzero(best_row >= 0)
+        return q, ids[best_row[q, at]], best_score[q, at]
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows; equal rows give equal results wherever they stand."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
 
 
 def valid_vectors(embeddings: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -136,7 +161,7 @@ def valid_vectors(embeddings: DataFrame, id_column: str = "vec_id", column: str
     return rows.filter(ok)
 
 
-def search(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, shard_rows: int = 65536, block_rows: int = 4096) -> DataFrame:
+def search(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, shard_rows: int = 131_072, least_shards: int = 64, block_queries: int = 262_144, block_rows: int = 2048) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of each query row.
 
     ``is_query`` is a condition on ``vec_id``.
@@ -144,31 +169,59 @@ def search(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, sh
     spark = embeddings.sparkSession
     rows = valid_vectors(embeddings)
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"), F.count_if(is_query).alias("asked")).orderBy(F.desc("n"), "d").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if not lengths:
-        return empty
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     width, total, limit = lengths[0]["d"], lengths[0]["n"], float(lengths[0]["norm"]) * (1 + 1e-12)
     rows = rows.filter(F.size("v") == width)
-    n_shards = max(math.ceil(total / shard_rows), min(math.ceil(total / 2048), spark.sparkContext.defaultParallelism))
-    n_blocks = max(1, math.ceil(lengths[0]["asked"] / shard_rows))
+    n_shards = max(math.ceil(total / shard_rows), min(math.ceil(total / 2048), least_shards))
+    n_blocks = max(1, math.ceil(lengths[0]["asked"] / block_queries))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")
+    # Rows that repeat an id go to shards of their own.
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(n_blocks)).cast("int")
-    points = rows.select("vec_id", "v", shard.alias("shard"), every(n_blocks).alias("block"), F.lit(False).alias("asked"))
-    asked = rows.filter(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v", every(n_shards).alias("shard"), block.alias("block"), F.lit(True).alias("asked"))
-
-    def one_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        points, queries = pdf[~pdf["asked"]], pdf[pdf["asked"]].sort_values("vec_id")
-        found = []
-        if len(points) and len(queries):
-            ids, vectors = points["vec_id"].to_numpy(np.int64), np.stack(points["v"].to_numpy()).astype(np.float64)
-            for at in range(0, len(queries), block_rows):
-                block = queries.iloc[at : at + block_rows]
-                names = block["vec_id"].to_numpy(np.int64)
-                q, near, score = nearest(ids, vectors, names, np.stack(block["v"].to_numpy()).astype(np.float64), k, factor, limit)
-                found.append(pd.DataFrame({"query_id": names[q], "vec_id": near, "score": score}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    found = points.unionAll(asked).groupBy("shard", "block").applyInPandas(one_shard, "query_id bigint, vec_id bigint, score double")
+    points = rows.select(shard.alias("shard"), every(n_blocks).alias("block"), F.lit(False).alias("asked"), "vec_id", "v")
+    # An id is asked once, by its least vector.
+    once = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = once.select(every(n_shards).alias("shard"), block.alias("block"), F.lit(True).alias("asked"), "vec_id", "v")
+    order = ["shard", "block", "asked", "vec_id"]
+    streamed = points.unionAll(asked).repartition("shard", "block").sortWithinPartitions(*order).select(*order, "v")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, tree = None, [], None
+        waiting: list = []
+
+        def answer() -> pa.RecordBatch:
+            names, vectors = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            q, near, score = tree.nearest(names, vectors, k, factor)
+            return pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], axis=1)
+            ids = batch.column(3).to_numpy(zero_copy_only=False)
+            vectors = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            cuts = np.flatnonzero((np.diff(marks, axis=0) != 0).any(1)) + 1
+            for a, b in zip(np.append(0, cuts), np.append(cuts, len(ids)), strict=True):
+                if a == b:
+                    continue
+                if (marks[a, 0], marks[a, 1]) != place:
+                    if waiting:
+                        yield answer()
+                    place, held, tree = (marks[a, 0], marks[a, 1]), [], None
+                if not marks[a, 2]:
+                    held.append((ids[a:b].copy(), vectors[a:b].copy()))
+                elif held or tree is not None:
+                    if tree is None:
+                        tree = Shard(*(np.concatenate(x) for x in zip(*held, strict=True)), limit)
+                        held = []
+                    for at in range(a, b, block_rows):
+                        end = min(at + block_rows, b)
+                        waiting.append((ids[at:end].copy(), vectors[at:end].copy()))
+                        if sum(len(w[0]) for w in waiting) >= block_rows:
+                            yield answer()
+        if waiting:
+            yield answer()
+
+    found = streamed.mapInArrow(work, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -49,8 +49,9 @@ class Template:
         return (self.mark.strip(), self.close)
 
     def escape(self, text: str) -> str:
-        """Put a backslash before every backslash and control string."""
-        return re.sub("|".join(map(re.escape, ("\\", *self.controls))), lambda m: "\\" + m.group(), text)
+        """Double every backslash, and put one behind the first character of every control string, so that none is left."""
+        inside = "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in self.controls)
+        return re.sub(rf"(\\)|{inside}", lambda m: "\\\\" if m[1] else m[0] + "\\", text)
 
     @staticmethod
     def unescape(text: str) -> str:

@@ -20,11 +20,16 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
 
 
 def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
-    """About ``rows`` of ``total`` rows, the same ones in any order or partitioning of ``df``."""
+    """About ``rows`` of ``total`` rows, the same ones in any order or partitioning of ``df``.
+
+    A hash of the key takes all rows of a key or none. If keys repeat so often
+    that this gives over twice or under half of ``rows``, rows are drawn one by one instead.
+    """
     if total <= rows:
         return df
     bound = int(rows / total * (1 << 30))
-    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < bound)
+    chosen = df.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < bound)
+    return chosen if rows / 2 <= chosen.select(key).count() <= 2 * rows else df.sample(rows / total, seed=7)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,9 @@ The classifier (vectors and network) is fitted on a bounded sample of about
 Defined cases: a null or empty text pools to zeros and gets the score that the
 network gives them; rows without a label teach nothing, a repeated label counts
 as often as it comes; with no labels, or labels of one kind, every score is that
-share; repeated rows score alike; other columns are ignored.
+share; repeated rows score alike, and a sample of few keys is drawn by row; if
+either side of the calibration split is empty, all rows serve for both; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -185,16 +187,20 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
             features = draft.pooled(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(features), pa.list_(pa.float32()))], names=["key", "label", "x"])
 
-    found = chosen.select("key", "text", "label").mapInArrow(pooled, "key string, label int, x array<float>").toPandas().sort_values("key", kind="stable")
+    found = chosen.select("key", "text", "label").mapInArrow(pooled, "key string, label int, x array<float>").toPandas()  # a bounded sample
+    found = found.iloc[np.lexsort((found["x"].map(lambda v: np.asarray(v, np.float32).tobytes()), found["label"], found["key"].fillna("").to_numpy(str)))] if len(found) else found
+    if not len(found):
+        return blank
     x = np.stack(found["x"].to_numpy()).astype(np.float64)
     y = found["label"].to_numpy(np.float64)
-    back = np.array([zlib.crc32(k.encode()) % 5 == 4 if k else False for k in found["key"].map(lambda k: f"back{k}")])
-    mean, scale = x[~back].mean(0), x[~back].std(0) + 1e-3
-    z = (x - mean) / scale
-    layers = learned(z[~back], y[~back])
+    back = np.array([zlib.crc32(f"back{k}".encode()) % 5 == 4 for k in found["key"]])
+    front = ~back
+    if back.all() or front.all():
+        back = front = np.ones(len(y), bool)
+    mean, scale = x[front].mean(0), x[front].std(0) + 1e-3
+    layers = learned((x[front] - mean) / scale, y[front])
     model = Classifier(vectors, layers, mean, scale, 1.0, share)
-    if back.any():
-        model.temperature = fitted_temperature(model.logits(x[back]), y[back])
+    model.temperature = fitted_temperature(model.logits(x[back]), y[back])
     return model
 
 

@@ -90,7 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": lambda spark, sf_dir: _pipeline(spark, sf_dir),
 }
 
-_ESCAPED = "regexp_replace(text, '(\\\\|###|</turn>)', '\\\\\\1', 'g')"
+#: Backslashes that escaping adds: one for each backslash, each close mark, and each place where three signs begin.
+_ADDED = "length(text) - length(replace(text, '\\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 + length(text) - length(regexp_replace(text, '##(#+)', '##', 'g'))"
 
 ORACLE = {
     "op2_ann_search": """
@@ -107,7 +108,7 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
-  CAST(sum(length({_ESCAPED}) + 4 + length(role) + 2 + 7 + 1) AS BIGINT) AS formatted_chars,
+  CAST(sum(length(text) + {_ADDED} + 4 + length(role) + 2 + 7 + 1) AS BIGINT) AS formatted_chars,
   CAST(sum(CASE WHEN (before IS NULL AND role IN ('system', 'user')) OR (before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user') THEN 0 ELSE 1 END) AS BIGINT) AS violations
 FROM f GROUP BY conv_id
 """,

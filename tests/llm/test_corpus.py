@@ -47,6 +47,15 @@ def test_chat_round_trip(spark):
     assert got[1].formatted_chars == len(whole)
 
 
+def test_no_control_string_is_left_in_a_text():
+    from millrace.llm import chat
+
+    t, rng = chat.Template(), random.Random(1)
+    for text in ["###", "####", "#######", "\\###", "\\####\\", "</turn>", "\\</turn></turn>", "##", "<</turn", *("".join(rng.choice("#\\</turn>") for _ in range(30)) for _ in range(500))]:
+        out = t.escape(text)
+        assert "###" not in out and "</turn>" not in out and t.unescape(out) == text
+
+
 def test_chat_empty(spark):
     from millrace.llm import chat
 
@@ -56,12 +65,19 @@ def test_chat_empty(spark):
 # nearest neighbours
 
 
+def product(a, b):
+    out = 0.0
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        out += x * y
+    return out
+
+
 def brute_neighbours(rows, k):
     ok = {i: np.array(v, float) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
     for q in ok:
         if q % 20 == 0:
-            out[q] = sorted(((round(float(ok[q] @ ok[c]), 9), -c) for c in ok if c != q), reverse=True)[:k]
+            out[q] = sorted(((product(ok[q], ok[c]), -c) for c in ok if c != q), reverse=True)[:k]
     return out
 
 
@@ -76,7 +92,7 @@ def test_nearest(spark, factor):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("v", F.lit(1)).withColumn("shard", F.lit(1))
     got = {}
     for r in ann.search(df, F.col("vec_id") % 20 == 0, k=10, factor=factor, shard_rows=700).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((round(r.score, 9), -r.vec_id))
+        got.setdefault(r.query_id, []).append((r.score, -r.vec_id))
     want = brute_neighbours([x for x in rows if x[0] != 9007], 10)
     if factor == 1.0:
         assert got == want
@@ -84,6 +100,28 @@ def test_nearest(spark, factor):
         assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("scale", [1e-12, 1e-7, 1.0, 1e6, 1e12])
+def test_nearest_at_any_scale(spark, scale):
+    """Ranks are those of the exact products, however small or large, in many blocks and shards."""
+    from millrace.llm import ann
+
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) * scale for x in rng.normal(size=6)]) for i in range(1200)] + [(2000 + i, [scale] * 6) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=12, shard_rows=300, block_queries=20, block_rows=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, -r.vec_id))
+    assert got == brute_neighbours(rows, 12)
+
+
+def test_nearest_of_repeated_ids(spark):
+    from millrace.llm import ann
+
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.2]), (1, [0.4, 9.0]), (1, [0.5, 0.2])]
+    got = [(r.rank, r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(1, 1, 9.0), (2, 1, 0.2), (3, 1, 0.2)]
+
+
 def test_nearest_few(spark):
     from millrace.llm import ann
 
@@ -299,6 +337,52 @@ def test_quality(spark):
     assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
 
 
+def slow_score(model, text):
+    """A text's score word by word."""
+    import zlib
+
+    from millrace.llm import quality as q
+
+    data = (text or "").encode()
+    words = [zlib.crc32(w) % (q.BUCKETS // 2) for w in data.split()]
+    shapes = [zlib.crc32(w) % (q.BUCKETS // 2) + q.BUCKETS // 2 for w in data.translate(q.SHAPE).split()]
+    x = np.zeros(q.FEATURES)
+    if words:
+        for k, units in enumerate((words, sorted(set(words)), shapes)):
+            x[k * q.WIDTH : (k + 1) * q.WIDTH] = sum(model.vectors[u].astype(float) for u in units) / len(units)
+        x[3 * q.WIDTH :] = np.log1p(len(words)), sum(a == b for a, b in zip(words, words[1:])) / len(words), len(set(words)) / len(words), np.log1p(len(set(shapes))) / np.log1p(len(words))
+    w1, b1, w2, b2 = model.layers
+    hidden = [np.tanh(sum((x[i] - model.mean[i]) / model.scale[i] * w1[i, j] for i in range(q.FEATURES)) + b1[j]) for j in range(len(b1))]
+    z = (sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2[0]) / model.temperature
+    return 1 / (1 + np.exp(-min(30, max(-30, z))))
+
+
+def test_scores_against_word_by_word(spark):
+    from millrace.llm import quality
+
+    rng = random.Random(5)
+    words = ["alpha", "Beta", "x1", "...", "été", "99"]
+    rows = [(i, " ".join(rng.choice(words[i % 2 :: 2] + words[:2]) for _ in range(rng.randrange(40))), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = quality.fit(df)
+    odd = [*(t for _, t, _ in rows[:20]), None, "", "a a a", "\u00a0x"]
+    got = [r.score for r in quality.score(docs_of(spark, odd), model).orderBy("doc_id").collect()]
+    assert np.allclose(got, [slow_score(model, t) for t in odd], atol=1e-5)
+
+
+@pytest.mark.parametrize("copies", [1, 3000])
+def test_quality_of_few_or_repeated_labels(spark, copies):
+    """Few labels, all on one side of the calibration split or of one id, give scores from 0 to 1."""
+    from millrace.llm import quality
+
+    odd = docs_of(spark, ["good text here", None, ""])
+    for ids in ((1, 2), (3, 4), (5, 5), (7, 11), (None, None)):
+        rows = [(ids[0], "good text here", 1, "c"), (ids[1], "bad bad", 0, "c")] * copies
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int, label string").withColumn("key", F.lit(1))
+        model = quality.fit(df, sample_docs=1000)
+        assert all(0 <= r.score <= 1 for r in quality.score(odd, model).collect())
+
+
 # near duplicates
 
 
