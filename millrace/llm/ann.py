@@ -161,7 +161,7 @@ def valid_vectors(embeddings: DataFrame, id_column: str = "vec_id", column: str
     return rows.filter(ok)
 
 
-def search(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, shard_rows: int = 131_072, least_shards: int = 64, block_queries: int = 262_144, block_rows: int = 2048) -> DataFrame:
+def search(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, shard_rows: int = 131_072, least_shards: int = 8, block_queries: int = 262_144, block_rows: int = 2048) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of each query row.
 
     ``is_query`` is a condition on ``vec_id``.
