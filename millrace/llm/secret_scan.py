@@ -1,19 +1,22 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field.
 
-The field tags tokens (runs of ``A-Za-z0-9+/_.-``) as begin, inside or outside
-of a secret. Its features are the token's shape, its neighbouring words and
-separators, and the file it stands in. It decides on tokens of ``MIN_CUED`` bytes
-where an assignment sign or a quote stands before them or a key word is one of
-the two tokens before, and elsewhere on tokens of ``MIN_LENGTH`` bytes that have a
-digit, a capital after a small letter or ``VARIETY`` different bytes. Others can
-only be outside; a path therefore passes through "outside" at each of them, and Viterbi decoding of every
-run of other tokens by itself, with outside on both sides, is exact for the text.
-
-It is trained by maximum likelihood on the tokens of a bounded sample of
-documents (``sample_docs``, at most ``runs_per_doc`` runs with a marked token and
-``plain_per_doc`` without one of each, ``plain_runs`` of the latter in all); a token is marked as secret there if a
-fixed pattern covers it, other than as the name that is assigned to. Scanning
-reads whole texts.
+The field tags every token of every text as begin, inside or outside of a
+secret. Tokens are runs of letters and digits (and bytes beyond ASCII) and runs
+of one punctuation sign, so that a secret with signs in it is a chain of tokens
+and what stands before it (``key``, ``=``, a quote) are tokens of the chain too.
+Features are the token's shape and spelling, the tokens around it, the stretch
+without spaces that it stands in, key words and assignment signs before it, and
+the file. A chain is a line, or about ``CHAIN`` tokens of a longer one, cut at a space; Viterbi
+decoding runs on every chain that the tokens' own weights do not already show to
+be outside throughout (:meth:`Field.undecided`, exact).
+
+It is trained by maximum likelihood on at most ``runs`` lines with a secret and
+``runs`` without one, from a sample of about ``sample_docs`` documents, both chosen by hash.
+A token counts as secret if a fixed pattern covers it, other than as the name
+that is assigned to. As these labels alone would teach the patterns again, each
+line, with a secret or without, is used again with a value of another make under
+another name and assigned in another way, and each line without one again with
+a key word before one of its words, as outside.
 
 Defined cases: a null or empty text has no spans; offsets are code points, ends
 exclusive; base spans of one kind never overlap, spans of different kinds may; a
@@ -24,18 +27,19 @@ columns pass through :func:`redact` unchanged.
 
 from __future__ import annotations
 
-import hashlib
+import random
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import padded_slice, sampled, slices
+from millrace.session import checkpointed
 
 # The base patterns, their kinds in order, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,20 +48,32 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
 WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
-#: Words that announce a secret.
+#: Words that announce a secret, anywhere in a token or as a token of their own.
 CUES = (*WORDS, b"passphrase", b"credential", b"pwd", b"private_key")
-MIN_LENGTH, MIN_CUED, VARIETY = 8, 4, 9
-#: Tokens from which on a run is cut for training, where it is outside.
-CUT = 8
+WHOLE_CUES = (b"key", b"pin", b"pass", b"auth", b"login", b"code")
+#: Names and signs that training puts in the patterns' place.
+NAMES = ("passphrase", "credential", "pwd", "pin", "auth", "login", "private key", "access code", "my key", "db_pass", "PASSPHRASE", "signing key")
+SIGNS = ("=", ": ", " = ", " is ", ":", ' = "', ": '", " was ", " ")
+LETTERS, NUMBERS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+CHAIN = 64
+#: Bytes of a line that training takes.
+LINE_BYTES = 1500
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
-BUCKETS = 1 << 13
+BUCKETS = 1 << 16
+N_FEATURES = 19
 _byte = np.arange(256)
 DIGIT = (_byte >= 48) & (_byte <= 57)
 UPPER = (_byte >= 65) & (_byte <= 90)
 SMALL = (_byte >= 97) & (_byte <= 122)
-TOKEN = DIGIT | UPPER | SMALL | np.isin(_byte, list(b"+/_.-"))
+FAR = _byte >= 128
 HEXES = DIGIT | ((_byte >= 97) & (_byte <= 102))
 LOWER = np.where(UPPER, _byte + 32, _byte).astype(np.uint8)
+#: 0 space, 1 part of a word, 2 a sign; and letters by kind.
+CLASS = np.where(_byte <= 32, 0, np.where(DIGIT | UPPER | SMALL | FAR, 1, 2)).astype(np.int8)
+SORT = (SMALL + 2 * UPPER + 3 * DIGIT + 4 * FAR).astype(np.int8)
+_PLACES = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = np.random.default_rng(6).integers(1, 1 << 63, N_FEATURES, dtype=np.uint64)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool = True) -> list[tuple[int, int, int]]:
@@ -72,313 +88,464 @@ def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 
-def shown(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
-
-
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).view(np.int8)))
-    return edge[::2], edge[1::2]
+def secret_part(text: str, span: tuple[int, int, int]) -> tuple[int, int]:
+    """Start and end of a base span without the name that is assigned to."""
+    kind, start, end = span
+    return (ASSIGN.match(text, start).start(2) if KINDS[kind] == "assign" else start), end
 
 
-def features(token: bytes, left: bytes, right: bytes, words: list[bytes], file: list[str]) -> list[int]:
-    """Hashed features of a token between ``left`` and ``right``; ``words`` are the two before and the one after."""
-    n = len(token)
-    kinds = bytes(97 if SMALL[c] else 65 if UPPER[c] else 48 if DIGIT[c] else c for c in token)
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    distinct = len(set(token))
-    digits = kinds.count(48)
-    names = [
-        f"len{min(n // 4, 16)}",
-        f"changes{min(changes * 8 // n, 8)}",
-        f"distinct{min(distinct * 4 // n, 4)}.{min(distinct // 4, 6)}",
-        f"digits{digits * 5 // n}",
-        f"set{int(65 in kinds)}{int(97 in kinds)}{int(b'/' in token or b'+' in token)}{int(b'_' in token)}{int(b'.' in token)}{int(b'-' in token)}",
-        f"hex{int(all(HEXES[c] for c in token))}",
-        f"start{kinds[:4].decode('latin1')}",
-        f"dots{min(token.count(b'.'), 4)}",
-        f"left{left[-1:].decode('latin1')}",
-        f"right{right[:1].decode('latin1')}",
-        f"sep{re.sub(r'[A-Za-z0-9]+', 'w', left[-3:].decode('latin1'))}",
-        *(f"word{i}{w.lower().decode('latin1')}" for i, w in enumerate(words)),
-        *file,
-        "bias",
-    ]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+def word_key(word: bytes) -> np.uint64:
+    """The spelling hash of a token."""
+    data = LOWER[np.frombuffer(word, np.uint8)].astype(np.uint64) + np.uint64(1)
+    return np.add.reduce(data * _PLACES[np.arange(len(data)) & 63])
 
 
-N_FEATURES = 18
+def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def secret_part(text: str, span: tuple[int, int, int]) -> tuple[int, int]:
-    """Start and end of a base span without the name that is assigned to."""
-    kind, start, end = span
-    return (ASSIGN.match(text, start).start(2) if KINDS[kind] == "assign" else start), end
+#: Inside follows begin or inside only.
+FORBIDDEN = np.zeros((3, 3))
+FORBIDDEN[OUTSIDE, INSIDE] = -1e9
 
 
 @dataclass
 class Field:
-    """Weights: ``emit[feature, tag]`` and ``move[tag, tag]``; None adds no spans."""
+    """Weights: ``emit[feature, tag]`` and ``move[tag, tag]``, and bits of letter pairs in prose."""
 
     emit: np.ndarray
     move: np.ndarray
+    pairs: np.ndarray
 
-    def all_outside(self, feats: np.ndarray) -> bool:
-        """Whether weights of the tokens alone show that the best path is outside throughout.
+    def scores(self, feats: np.ndarray) -> np.ndarray:
+        out = np.zeros((feats.shape[1], 3), np.float32)
+        for row in feats:
+            out += self.emit[row]
+        return out
 
-        A stretch of k other tags has k + 1 other moves, at most 2 k.
+    def undecided(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which chains (by first token) may have a best path that is not outside throughout.
+
+        A stretch of k other tags has k + 1 other moves, at most 2 k; if every
+        token's own weights prefer outside by more than two moves can gain, the
+        path with the stretch outside is better.
         """
-        score = self.emit[feats].sum(1)
         gain = max(0.0, 2 * float(self.move.max() - self.move[OUTSIDE, OUTSIDE]))
-        return bool((score[:, OUTSIDE] - score[:, :OUTSIDE].max(1) > gain).all())
-
-    def tag(self, feats: np.ndarray) -> np.ndarray:
-        """Viterbi tags of one run of tokens with outside on both sides."""
-        score = self.emit[feats].sum(1)
-        best = score[0] + self.move[OUTSIDE]
-        back = []
-        for row in score[1:]:
-            step = best[:, None] + self.move
-            back.append(step.argmax(0))
-            best = step.max(0) + row
-        tags = [int((best + self.move[:, OUTSIDE]).argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        return np.array(tags[::-1])
-
-
-#: Inside follows begin or inside only.
-FORBIDDEN = np.zeros((3, 3))
-FORBIDDEN[OUTSIDE, INSIDE] = -1e9
-
+        weak = score[:, OUTSIDE] - score[:, :OUTSIDE].max(1) <= gain
+        return np.flatnonzero(np.logical_or.reduceat(weak, first)) if len(first) else first
+
+    def tags(self, score: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """Viterbi tags of chains of ``size`` tokens from ``first``, with outside on both sides."""
+        out: list = [None] * len(first)
+        order = np.argsort(-size, kind="stable")
+        for at in range(0, len(order), 512):
+            mine = order[at : at + 512]
+            longest = int(size[mine[0]])
+            best = score[first[mine]] + self.move[OUTSIDE]
+            back = np.zeros((longest, len(mine), 3), np.int8)
+            for t in range(1, longest):
+                on = np.flatnonzero(size[mine] > t)
+                step = best[on, :, None] + self.move
+                back[t, on] = step.argmax(1)
+                best[on] = step.max(1) + score[first[mine[on]] + t]
+            last = (best + self.move[:, OUTSIDE]).argmax(1)
+            for row, chain in enumerate(mine):
+                tags = np.empty(size[chain], np.int8)
+                tags[-1] = last[row]
+                for t in range(size[chain] - 1, 0, -1):
+                    tags[t - 1] = back[t, row, tags[t]]
+                out[chain] = tags
+        return out
 
-def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
+def train(feats: np.ndarray, tags: np.ndarray, first: np.ndarray, pairs: np.ndarray, epochs: int = 6, rate: float = 0.15, decay: float = 2e-5, seed: int = 3) -> Field:
+    """Maximum likelihood over batches of chains of like length, with forward and backward passes.
 
-def train(feats: np.ndarray, tags: np.ndarray, starts: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Maximum likelihood with forward and backward passes over padded runs; ``starts`` has each run's first token."""
-    length = np.diff(np.append(starts, len(tags)))
-    n, longest = len(starts), int(length.max())
-    place = np.minimum(starts[:, None] + np.arange(longest), len(tags) - 1)
-    live = np.arange(longest) < length[:, None]
+    ``feats`` is (feature, token), ``first`` has each chain's first token.
+    """
+    rng = np.random.default_rng(seed)
+    size = np.diff(np.append(first, len(tags)))
+    by_size = np.argsort(size, kind="stable")
+    groups = [by_size[at : at + 64] for at in range(0, len(by_size), 64)]
     emit, move = np.zeros((BUCKETS, 3)), np.zeros((3, 3))
-    moments = [np.zeros_like(x) for x in (emit, emit, move, move)]
-    gold = np.zeros((n, longest, 3))
-    gold[np.arange(n)[:, None], np.arange(longest), tags[place]] = 1
-    gold *= live[..., None]
-    path = np.hstack([np.full((n, 1), OUTSIDE), np.where(live, tags[place], OUTSIDE), np.full((n, 1), OUTSIDE)])
-    seen_moves = np.zeros((3, 3))
-    for t in range(longest + 1):
-        on = t <= length
-        np.add.at(seen_moves, (path[on, t], path[on, t + 1]), 1)
-    for step in range(1, steps + 1):
-        score = emit[feats].sum(1)[place]
-        trans = move + FORBIDDEN
-        ahead = np.zeros((n, longest, 3))
-        ahead[:, 0] = score[:, 0] + trans[OUTSIDE]
-        for t in range(1, longest):
-            ahead[:, t] = score[:, t] + log_sum(ahead[:, t - 1, :, None] + trans, 1)
-        behind = np.zeros((n, longest, 3))
-        for t in range(longest - 1, -1, -1):
-            after = np.broadcast_to(trans[:, OUTSIDE], (n, 3))
-            if t + 1 < longest:
-                go = log_sum(trans[None] + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-                after = np.where((t + 1 < length)[:, None], go, after)
-            behind[:, t] = after
-        total = log_sum(ahead[:, 0] + behind[:, 0], 1)
-        chance = np.exp(ahead + behind - total[:, None, None]) * live[..., None]
-        lost = np.zeros((len(tags), 3))
-        lost[place[live]] = (gold - chance)[live]
-        grad_emit = np.zeros_like(emit)
-        for tag in range(3):
-            grad_emit[:, tag] = np.bincount(feats.ravel(), np.repeat(lost[:, tag], feats.shape[1]), BUCKETS)
-        expected = np.zeros((3, 3))
-        expected[OUTSIDE] += chance[:, 0].sum(0)
-        last = chance[np.arange(n), length - 1]
-        expected[:, OUTSIDE] += last.sum(0)
-        for t in range(1, longest):
-            on = t < length
-            pair = ahead[on, t - 1, :, None] + trans + (score[on, t] + behind[on, t])[:, None, :] - total[on, None, None]
-            expected += np.exp(pair).sum(0)
-        for k, (weight, grad) in enumerate(((emit, grad_emit / n - decay * emit), (move, (seen_moves - expected) / n - decay * move))):
-            m, v = moments[2 * k], moments[2 * k + 1]
-            m *= 0.9
-            m += 0.1 * grad
-            v *= 0.999
-            v += 0.001 * grad**2
-            weight += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Field(emit.astype(np.float32), (move + FORBIDDEN).astype(np.float32))
+    seen_emit, seen_move = np.full_like(emit, 1e-2), np.full_like(move, 1e-2)
+    for _ in range(epochs):
+        for g in rng.permutation(len(groups)):
+            chains = groups[g]
+            n, length = len(chains), size[chains]
+            longest = int(length.max())
+            place = np.minimum(first[chains][:, None] + np.arange(longest), len(tags) - 1)
+            live = np.arange(longest) < length[:, None]
+            mine = feats[:, place]
+            score, trans = emit[mine].sum(0), move + FORBIDDEN
+            ahead, behind = np.zeros((n, longest, 3)), np.zeros((n, longest, 3))
+            ahead[:, 0] = score[:, 0] + trans[OUTSIDE]
+            for t in range(1, longest):
+                ahead[:, t] = score[:, t] + log_sum(ahead[:, t - 1, :, None] + trans, 1)
+            for t in range(longest - 1, -1, -1):
+                after = np.broadcast_to(trans[:, OUTSIDE], (n, 3))
+                if t + 1 < longest:
+                    go = log_sum(trans[None] + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+                    after = np.where((t + 1 < length)[:, None], go, after)
+                behind[:, t] = after
+            total = log_sum(ahead[:, 0] + behind[:, 0], 1)
+            chance = np.exp(ahead + behind - total[:, None, None]) * live[..., None]
+            gold = (tags[place][..., None] == np.arange(3)) & live[..., None]
+            lost = gold - chance
+            path = np.hstack([np.full((n, 1), OUTSIDE), np.where(live, tags[place], OUTSIDE), np.full((n, 1), OUTSIDE)])
+            moved = np.zeros((3, 3))
+            expected = np.zeros((3, 3))
+            expected[OUTSIDE] += chance[:, 0].sum(0)
+            expected[:, OUTSIDE] += chance[np.arange(n), length - 1].sum(0)
+            for t in range(longest + 1):
+                on = t <= length
+                np.add.at(moved, (path[on, t], path[on, t + 1]), 1)
+            for t in range(1, longest):
+                on = t < length
+                pair = ahead[on, t - 1, :, None] + trans + (score[on, t] + behind[on, t])[:, None, :] - total[on, None, None]
+                expected += np.exp(pair).sum(0)
+            flat = mine[:, live].ravel()
+            part = lost[live]
+            grad = np.stack([np.bincount(flat, np.tile(part[:, tag], len(mine)), BUCKETS) for tag in range(3)], axis=1) / n - decay * emit
+            seen_emit += grad**2
+            emit += rate * grad / np.sqrt(seen_emit)
+            grad = (moved - expected) / n
+            seen_move += grad**2
+            move += rate * grad / np.sqrt(seen_move)
+    return Field(emit.astype(np.float32), (move + FORBIDDEN).astype(np.float32), pairs)
+
+
+def spread(values: np.ndarray, number: int) -> np.ndarray:
+    """Buckets of a feature's values."""
+    return (((values.astype(np.uint64) ^ _SALTS[number]) * _MULTIPLIER) >> np.uint64(48)).astype(np.int32)
 
 
 class Slice:
-    """What one slice of texts holds: candidates for the patterns and tokens for the field."""
+    """What one slice of texts holds: candidates for the patterns, and tokens in chains for the field."""
 
     def __init__(self, column: pa.Array):
         self.column = column
+        # A line end stands before every text.
         self.data, self.first = padded_slice(column, 10)
-        low = LOWER[self.data].tobytes()
-        raw = self.data.tobytes()
-        docs = len(column)
-        self.assign = self._holding(low, WORDS, docs)
-        self.access = self._holding(raw, (b"AKIA",), docs)
-        a, b = runs(HEXES[self.data])
-        self.hexes = np.zeros(docs, bool)
-        self.hexes[self._doc(a[b - a >= 24])] = True
-        a, b = runs(TOKEN[self.data])
-        # Every token has a byte before it: a text's pad at least.
-        before, second = self.data[a - 1], self.data[np.maximum(a - 2, 0)]
-        cued = np.isin(before, list(b"=:\"'`")) | ((before == 32) & np.isin(second, list(b"=:")))
-        cues = self._cues(a, b, low)
-        doc = self._doc(a)
-        for k in (1, 2):
-            after = cues[cues + k < len(a)]
-            after = after[doc[after] == doc[after + k]]
-            cued[after + k] = True
-        may = np.where(cued, b - a >= MIN_CUED, self._odd(a, b))
-        self.a, self.b, self.raw, self.at = a, b, raw, np.flatnonzero(may)
-        self.owner = self._doc(a[self.at])
+        self.low = LOWER[self.data].tobytes()
 
     def _doc(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, place, side="right") - 1
 
-    def _odd(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Tokens of ``MIN_LENGTH`` that differ from plain words."""
-        within = lambda mask: (c := np.concatenate(([0], np.cumsum(mask, dtype=np.int32))))[b] - c[a]
-        turns = np.concatenate((SMALL[self.data[:-1]] & UPPER[self.data[1:]], [False])) if len(self.data) else np.zeros(0, bool)
-        long = b - a >= MIN_LENGTH
-        odd = long & ((within(DIGIT[self.data]) > 0) | (within(turns) > 0))
-        at = np.flatnonzero(long & ~odd & (b - a >= VARIETY))
-        size = b[at] - a[at]
-        owner = np.repeat(np.arange(len(at)), size)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a[at], size)
-        held = np.zeros((len(at), 256), bool)
-        held[owner, self.data[place]] = True
-        odd[at[held.sum(1) >= VARIETY]] = True
-        return odd
-
-    def _cues(self, a: np.ndarray, b: np.ndarray, low: bytes) -> np.ndarray:
-        """The tokens that hold a key word."""
-        places = []
-        for w in CUES:
-            at = low.find(w)
-            while at >= 0:
-                places.append(at)
-                at = low.find(w, at + len(w))
-        short = a[b - a == 3]
-        pins = short[[low[i : i + 3] == b"pin" for i in short.tolist()]] if len(short) and b"pin" in low else short[:0]
-        return np.unique(np.searchsorted(a, np.concatenate((np.array(places, np.int64), pins)), side="right") - 1)
-
-    def _holding(self, text: bytes, words: tuple[bytes, ...], docs: int) -> np.ndarray:
+    def _holding(self, text: bytes, words: tuple[bytes, ...]) -> np.ndarray:
+        docs = len(self.column)
         found = np.zeros(docs, bool)
         for w in words:
             at = text.find(w)
             while at >= 0:
                 doc = int(np.searchsorted(self.first, at, side="right")) - 1
                 found[doc] = True
-                nxt = int(self.first[doc + 1]) if doc + 1 < len(self.first) else len(text)
+                nxt = int(self.first[doc + 1]) if doc + 1 < docs else len(text)
                 at = text.find(w, nxt)
         return found
 
-    def spans(self, doc: int) -> list[tuple[int, int, int]]:
-        if not (self.assign[doc] or self.access[doc] or self.hexes[doc]):
-            return []
-        return base_spans(self.column[doc].as_py(), self.assign[doc], self.access[doc], self.hexes[doc])
-
-    def token_runs(self, doc: int) -> list[tuple[list[list[int]], list[tuple[int, int]]]]:
-        """Runs of adjacent tokens that may be secret: features, and (start, end) as code points."""
-        mine = self.at[np.searchsorted(self.owner, doc) : np.searchsorted(self.owner, doc, side="right")]
-        if not len(mine):
-            return []
-        start, end = int(self.first[doc]), int(self.first[doc + 1]) if doc + 1 < len(self.first) else len(self.data)
-        body = self.data[start:end]
-        point = np.cumsum((body & 0xC0) != 0x80) - 1
-        n = max(len(body), 1)
-        file = [f"size{len(str(n))}", f"fileDigits{int(DIGIT[body].sum() * 50 // n)}", f"fileTokens{min(len(mine), 8)}"]
-        out: list = []
+    def base(self) -> dict[int, list[tuple[int, int, int]]]:
+        """Base spans of the texts that have any."""
+        assign, access = self._holding(self.low, WORDS), self._holding(self.data.tobytes(), (b"AKIA",))
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], HEXES[self.data], [False])).view(np.int8)))
+        hexes = np.zeros(len(self.column), bool)
+        hexes[self._doc(edge[::2][edge[1::2] - edge[::2] >= 24])] = True
+        some = np.flatnonzero(assign | access | hexes)
+        found = {int(i): base_spans(self.column[int(i)].as_py(), assign[i], access[i], hexes[i]) for i in some}
+        return {i: spans for i, spans in found.items() if spans}
+
+    def tokens(self) -> None:
+        """Sets tokens ``a`` to ``b``, their chains' first tokens and sizes."""
+        d = self.data
+        kind = CLASS[d]
+        new = np.zeros(len(d), bool)
+        new[1:] = (kind[1:] != 0) & ((kind[1:] != kind[:-1]) | ((kind[1:] == 2) & (d[1:] != d[:-1])))
+        ends = np.zeros(len(d), bool)
+        ends[:-1] = (kind[:-1] != 0) & ((kind[1:] != kind[:-1]) | ((kind[:-1] == 2) & (d[1:] != d[:-1])))
+        if len(d):
+            ends[-1] = kind[-1] != 0
+        self.a, self.b = np.flatnonzero(new), np.flatnonzero(ends) + 1
+        line = np.cumsum(d == 10)[self.a]
+        heads = np.flatnonzero(np.diff(line, prepend=-1))
+        within = np.arange(len(line)) - np.repeat(heads, np.diff(np.append(heads, len(line))))
+        self.line, self.within = line, within
+        self.glued = np.zeros(len(line), bool)
+        self.glued[1:] = self.a[1:] == self.b[:-1]
+        # A chain ends at a space, if one comes within four times its length.
+        stretch = np.flatnonzero(~self.glued)
+        start = within[stretch][np.cumsum(~self.glued) - 1] if len(line) else within
+        cut = (line * len(line) + start // CHAIN) * len(line) + (within - start) // (4 * CHAIN)
+        self.chain = np.flatnonzero(np.diff(cut, prepend=-1))
+        self.size = np.diff(np.append(self.chain, len(line)))
+
+    def features(self, pairs: np.ndarray, file: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Buckets (feature, token); ``file`` has size and share of digits by text if these are parts of other texts."""
+        d, a, b, line = self.data, self.a, self.b, self.line
+        n = len(a)
+        size = b - a
+        total = lambda mask: np.concatenate(([0], np.cumsum(mask, dtype=np.int32)))
+        sums = [total(m[d]) for m in (SMALL, UPPER, DIGIT, FAR, HEXES)]
+        turns = np.zeros(len(d), bool)
+        turns[1:] = (SORT[d[1:]] != SORT[d[:-1]]) & (CLASS[d[1:]] == 1) & (CLASS[d[:-1]] == 1)
+        turned = total(turns)
+        low = LOWER[d].astype(np.int64) - 97
+        letters = (low[1:] >= 0) & (low[1:] < 26) & (low[:-1] >= 0) & (low[:-1] < 26)
+        cost = np.zeros(len(d))
+        cost[1:][letters] = pairs[low[:-1][letters], low[1:][letters]]
+        costs, paired = np.concatenate(([0.0], np.cumsum(cost))), np.concatenate(([0, 0], np.cumsum(letters, dtype=np.int32)))
+        inner = np.minimum(a + 1, b)
+        odd = np.clip(((costs[b] - costs[inner]) / np.maximum(paired[b] - paired[inner], 1) * 2).astype(np.int64), 0, 19)
+        odd[paired[b] - paired[inner] == 0] = 20
+        small, upper, digit, far, hexes = (s[b] - s[a] for s in sums)
+        sign = CLASS[d[a]] == 2
+        shape = (small > 0) + 2 * (upper > 0) + 4 * (digit > 0) + 8 * (far > 0) + 16 * sign
+        full = np.flatnonzero(CLASS[d] != 0)
+        head = np.searchsorted(full, a)
+        spell = np.zeros(n, np.uint64)
+        if n:
+            offset = full - np.repeat(a, size)
+            spell = np.add.reduceat((LOWER[d[full]].astype(np.uint64) + np.uint64(1)) * _PLACES[offset & 63], head)
+        known = np.where(size <= 20, spell, np.uint64(0))
+
+        def moved(values: np.ndarray, by: int) -> np.ndarray:
+            """Values of the token ``by`` places before (or behind), 0 beyond the line."""
+            out = np.zeros_like(values)
+            if by > 0 and n > by:
+                out[by:] = np.where(line[by:] == line[:-by], values[:-by], 0)
+            elif by < 0 and n > -by:
+                out[:by] = np.where(line[:by] == line[-by:], values[-by:], 0)
+            return out
+
+        cue = np.isin(known, np.array([word_key(w) for w in WHOLE_CUES]))
+        for w in CUES:
+            at = self.low.find(w)
+            places = []
+            while at >= 0:
+                places.append(at)
+                at = self.low.find(w, at + len(w))
+            if places:
+                cue[np.searchsorted(a, places, side="right") - 1] = True
+        index = np.arange(n)
+
+        def since(mask: np.ndarray, most: int) -> np.ndarray:
+            """How many tokens ago in the line the last of ``mask`` stands: 1 to ``most``, else 0."""
+            last = np.maximum.accumulate(np.where(mask, index, -1)) if n else index
+            before = np.concatenate(([-1], last[:-1])) if n else last
+            ago = index - before
+            return np.where((before >= 0) & (ago <= most) & (ago <= self.within), ago, 0)
+
+        assigned = since(sign & np.isin(d[a], list(b"=:")), 3)
+        cued = np.where(cue, 7, since(cue, 6))
+        glued = self.glued
+        behind = np.zeros(n, bool)
+        if n:
+            behind[:-1] = glued[1:]
+        signs = np.where(sign, d[a], 1).astype(np.int64)
+        stretch = np.flatnonzero(~glued)
+        of = np.cumsum(~glued) - 1
+        low_end = a[stretch] if n else a
+        high_end = b[np.append(stretch[1:], n) - 1] if n else b
+        long = high_end - low_end
+        whole = ((sums[0][high_end] - sums[0][low_end]) > 0) + 2 * ((sums[1][high_end] - sums[1][low_end]) > 0) + 4 * ((sums[2][high_end] - sums[2][low_end]) > 0)
+        bends = np.minimum((turned[high_end] - turned[low_end]) * 8 // np.maximum(long, 1), 7)
+        doc = self._doc(a)
+        if file is None:
+            sizes = np.diff(np.append(self.first, len(d)))
+            digits = sums[2][np.append(self.first[1:], len(d))] - sums[2][self.first]
+            file = np.char.str_len(sizes.astype(str)) if len(sizes) else sizes, digits * 50 // np.maximum(sizes, 1)
+        columns = (
+            np.zeros(n, np.int64),
+            np.where(sign, 64 + signs, np.minimum(size, 32)),
+            (shape * 8 + np.minimum(turned[b] - turned[inner], 7)) * 16 + np.minimum(size // 3, 9),
+            digit * 5 // np.maximum(size, 1) * 16 + np.minimum(size // 2, 15),
+            (hexes == size) * 64 + np.minimum(size, 40),
+            known,
+            moved(known, 1),
+            moved(known, 2),
+            moved(known, -1),
+            ((glued * 256 + glued * moved(signs, 1)) * 2 + behind) * 256 + behind * moved(signs, -1),
+            cued * 4 + assigned,
+            cued * 32 + shape,
+            odd * 16 + np.minimum(size // 3, 9),
+            (np.minimum(long, 47) // 3 * 8 + whole)[of] * 8 + bends[of] if n else index,
+            (whole[of] * 8 + cued) * 4 + assigned if n else index,
+            file[0][doc],
+            file[1][doc],
+            (odd * 8 + cued) * 2 + (assigned > 0),
+            moved(known, 1) * np.uint64(3) + moved(known, 2),
+        )
+        return np.stack([spread(c, k) for k, c in enumerate(columns)])
+
+    def added(self, field: Field) -> dict[int, list[tuple[int, int]]]:
+        """Spans of the field by text, as code points."""
+        self.tokens()
+        if not len(self.a):
+            return {}
+        score = field.scores(self.features(field.pairs))
+        chains = field.undecided(score, self.chain)
+        out: dict[int, list] = {}
         last = None
-        for t in mine:
-            a, b = int(self.a[t]), int(self.b[t])
-            word = lambda i: self.raw[self.a[i] : self.b[i]][:24] if 0 <= i < len(self.a) and start <= self.a[i] < end else b""  # noqa: E731,B023
-            f = features(self.raw[a:b], self.raw[max(start, a - 3) : a], self.raw[b : b + 1], [word(t - 1), word(t - 2), word(t + 1)], file)
-            if last is None or t != last + 1:
-                out.append(([], []))
-            out[-1][0].append(f)
-            # The pad before the text is one code point.
-            out[-1][1].append((int(point[a - start]) - 1, int(point[b - 1 - start])))
-            last = t
-        return out
-
-
-def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 40000, runs_per_doc: int = 40, plain_per_doc: int = 2, plain_runs: int = 4000) -> Field | None:
-    """A field trained on the tokens of a bounded sample, or None if no token is marked."""
-    rows = documents.select(key, text).filter(F.col(text).isNotNull())
-    chosen = sampled(rows, key, sample_docs, rows.count()).select(text)
-
-    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chain, tags in zip(chains, field.tags(score, self.chain[chains], self.size[chains]), strict=True):
+            start = int(self.chain[chain])
+            for t in np.flatnonzero(tags != OUTSIDE):
+                token = start + int(t)
+                spans = out.setdefault(int(self._doc(self.a[token])), [])
+                # A secret that goes on over the end of a chain is one.
+                goes_on = tags[t] == INSIDE or (t == 0 and last == token - 1 and self.line[token] == self.line[last] and self.a[token] == self.b[last])
+                if goes_on and spans:
+                    spans[-1][1] = int(self.b[token])
+                else:
+                    spans.append([int(self.a[token]), int(self.b[token])])
+                last = token
+        return {doc: self.points(doc, spans) for doc, spans in out.items()}
+
+    def points(self, doc: int, spans: list) -> list[tuple[int, int]]:
+        """Byte places of the slice as code points of a text."""
+        start = int(self.first[doc]) + 1
+        body = self.data[start : max(e for _, e in spans)]
+        point = np.concatenate(([0], np.cumsum((body & 0xC0) != 0x80)))
+        return [(int(point[x - start]), int(point[y - start])) for x, y in spans]
+
+
+def all_spans(column: pa.Array, field: Field | None) -> dict[int, list[tuple[int, int, int]]]:
+    """By text: base spans, and those that the field adds."""
+    s = Slice(column)
+    base = s.base()
+    added = s.added(field) if field is not None else {}
+    out = {}
+    for doc in sorted(base.keys() | added.keys()):
+        mine = base.get(doc, [])
+        fresh = [(3, a, b) for a, b in added.get(doc, []) if not any(x < b and a < y for _, x, y in mine)]
+        if mine or fresh:
+            out[doc] = sorted(mine + fresh, key=lambda x: (x[1], x[0]))
+    return out
+
+
+def value_of(rng: random.Random) -> str:
+    """A secret of some make."""
+    of = lambda chars, low, high: "".join(rng.choice(chars) for _ in range(rng.randint(low, high)))
+    both = LETTERS + LETTERS.upper()
+    makes = (
+        lambda: of("0123456789abcdef", 12, 23),
+        lambda: of(both + NUMBERS, 8, 40),
+        lambda: of(both, 8, 24),
+        lambda: of(LETTERS, 8, 20),
+        lambda: of(NUMBERS, 4, 12),
+        lambda: of(LETTERS + NUMBERS, 6, 16),
+        lambda: rng.choice("-_.:").join(of(both + NUMBERS, 4, 8) for _ in range(rng.randint(2, 5))),
+        lambda: "".join(of(both + NUMBERS, 2, 6) + rng.choice("!@#$%^&*+/") for _ in range(rng.randint(2, 4))) + of(NUMBERS, 1, 3),
+        lambda: of(both + NUMBERS + "+/", 24, 48) + rng.choice(("", "=", "==")),
+    )
+    return rng.choice(makes)()
+
+
+def with_secret(line: str, spans: list[tuple[int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """The line with a secret of another make and name in place of one of its own, or before one of its words."""
+    if spans:
+        start, end = rng.choice(spans)
+        if m := re.search(r"""[A-Za-z_]+["']?\x20*[:=]\x20*["']?$""", line[:start]):
+            start = m.start()
+        rest = line[end:].lstrip("\"'")
+    else:
+        start = rng.choice([m.start() for m in re.finditer(r"(?<!\S)\S", line)])
+        rest = " " + line[start:]
+    intro, value = rng.choice(NAMES) + rng.choice(SIGNS), value_of(rng)
+    if rng.random() < 0.15:  # without a name; long ones only
+        intro, value = "", "".join(rng.choice(LETTERS + LETTERS.upper() + NUMBERS) for _ in range(rng.randint(20, 40)))
+    quote = intro[-1:] if intro[-1:] in "\"'" else ""
+    at = start + len(intro)
+    return line[:start] + intro + value + quote + rest, [(at, at + len(value))]
+
+
+def with_cue(line: str, rng: random.Random) -> str:
+    """A line without secrets with a key word before one of its words."""
+    at = rng.choice([m.start() for m in re.finditer(r"(?<!\S)\S", line)])
+    return line[:at] + rng.choice((*NAMES, "password", "secret", "token", "api key")) + rng.choice((" ", " is ", ", ", ". ", " was ")) + line[at:]
+
+
+def examples(column: pa.Array) -> Iterator[tuple[str, list[tuple[int, int]], int, int]]:
+    """Lines to learn from: (line, spans of secrets, the text's size in digits, its share of digits)."""
+    s = Slice(column)
+    base = s.base()
+    for doc in range(len(column)):
+        text = column[doc].as_py()
+        if not text:
+            continue
+        data = text.encode("utf-8", "surrogatepass")
+        digits = sum(map(data.count, map(bytes, [[c] for c in b"0123456789"])))
+        file = len(str(len(data) + 1)), digits * 50 // (len(data) + 1)
+        secrets = [secret_part(text, x) for x in base.get(doc, [])]
+        at, plain, odd = 0, None, None
+        for line in text.split("\n"):
+            # A part of about CHAIN tokens of a longer line.
+            mine = [(a - at, b - at) for a, b in secrets if at <= a and b <= at + len(line)]
+            for low in range(0, max(len(line), 1), 300) if len(line) > 300 else (0,):
+                cut = line if len(line) <= 300 else line[max(low - 30, 0) : low + 300]
+                shift = 0 if len(line) <= 300 else max(low - 30, 0)
+                inside = [(a - shift, b - shift) for a, b in mine if shift <= a and b <= shift + len(cut)]
+                if len(cut) > LINE_BYTES or not cut.strip() or any(a < shift + len(cut) and b > shift for a, b in mine) != bool(inside):
+                    continue
+                if inside:
+                    yield (cut, inside, *file)
+                else:
+                    rank = xxhash.xxh64_intdigest(cut.encode("utf-8", "surrogatepass"))
+                    plain = min(plain or (rank, cut), (rank, cut))
+                    if re.search(r"[0-9]|[a-z][A-Z]", cut):
+                        odd = min(odd or (rank, cut), (rank, cut))
+            at += len(line) + 1
+        for found in (plain, odd if odd != plain else None):
+            if found:
+                yield (found[1], [], *file)
+
+
+def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 40000, runs: int = 3000) -> Field | None:
+    """A field trained on lines of a bounded sample, or None if no token is marked."""
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    chosen = sampled(rows, "key", sample_docs, rows.count()).select("text")
+    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
-            s = Slice(part.column(0))
-            feats, tags = [], []
-            for doc in np.unique(s.owner):
-                base = s.spans(doc)
-                if base:
-                    body = s.column[int(doc)].as_py()
-                    base = [secret_part(body, x) for x in base]
-                pieces: list = [[], []]  # without and with a marked token
-                for f, where in s.token_runs(doc):
-                    tag, before = [], OUTSIDE
-                    for a, b in where:
-                        inside = any(x < b and a < y for x, y in base)
-                        before = (INSIDE if before != OUTSIDE else BEGIN) if inside else OUTSIDE
-                        tag.append(before)
-                    start = 0
-                    for k in range(1, len(tag) + 1):
-                        if k == len(tag) or (k - start >= CUT and tag[k] == OUTSIDE):
-                            pieces[any(x != OUTSIDE for x in tag[start:k])].append((f[start:k], tag[start:k]))
-                            start = k
-                plain, marked = pieces
-                # Plain ones from all over the text.
-                chosen = plain if len(plain) <= plain_per_doc else [plain[(2 * k + 1) * len(plain) // (2 * plain_per_doc)] for k in range(plain_per_doc)]
-                for f, tag in marked[:runs_per_doc] + chosen:
-                    feats.append([x for row in f for x in row])
-                    tags.append(tag)
-            yield pa.RecordBatch.from_arrays([pa.array(feats, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))], names=["feats", "tags"])
-
-    found = chosen.mapInArrow(examples, "feats array<int>, tags array<int>").toPandas()
-    if not len(found) or not any((np.asarray(t) != OUTSIDE).any() for t in found["tags"]):
+            found = [(line, [{"a": a, "b": b} for a, b in spans], size, digits) for line, spans, size, digits in examples(part.column(0))]
+            if found:
+                line, spans, size, digits = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(line, pa.string()), pa.array(spans, span), pa.array(size, pa.int32()), pa.array(digits, pa.int32())], names=["line", "spans", "size", "digits"])
+
+    each = chosen.mapInArrow(lines, "line string, spans array<struct<a:int,b:int>>, size int, digits int").withColumn("rank", F.xxhash64("line"))
+    once = checkpointed(each.groupBy("line").agg(F.min(F.struct("rank", "spans", "size", "digits")).alias("x")).select("line", "x.*"))
+    best = lambda some: once.filter(some).orderBy("rank", "line").limit(runs)
+    marked, plain = (best(some).collect() for some in ("size(spans) > 0", "size(spans) = 0"))  # ``runs`` short lines each
+    if not marked:
         return None
-    found = found.sort_values(["feats", "tags"], key=lambda c: c.map(lambda x: np.asarray(x, np.int32).tobytes()), kind="stable")
-    # Runs without a marked token are many and alike; some of them are enough.
-    marked = found["tags"].map(lambda t: bool((np.asarray(t) != OUTSIDE).any())).to_numpy()
-    plain = np.flatnonzero(~marked)
-    if len(plain) > plain_runs:
-        plain = plain[np.arange(plain_runs) * len(plain) // plain_runs]
-    found = found.iloc[np.sort(np.concatenate((np.flatnonzero(marked), plain)))]
-    lengths = found["tags"].map(len).to_numpy()
-    feats = np.concatenate(found["feats"].to_list()).reshape(-1, N_FEATURES)
-    return train(feats, np.concatenate(found["tags"].to_list()), np.concatenate(([0], np.cumsum(lengths)[:-1])))
-
-
-def all_spans(s: Slice, doc: int, field: Field | None) -> list[tuple[int, int, int]]:
-    """Base spans of a text, and those that the field adds."""
-    base = s.spans(doc)
-    if field is None:
-        return base
-    added = []
-    for feats, where in s.token_runs(doc):
-        feats = np.array(feats)
-        if field.all_outside(feats):
-            continue
-        tags = field.tag(feats)
-        for tag, (a, b) in zip(tags, where, strict=True):
-            if tag == BEGIN:
-                added.append([a, b])
-            elif tag == INSIDE:
-                added[-1][1] = b
-    fresh = [(3, a, b) for a, b in added if not any(x < b and a < y for _, x, y in base)]
-    return sorted(base + fresh, key=lambda x: (x[1], x[0]))
+    counts = np.ones((26, 26))
+    for r in plain:
+        low = LOWER[np.frombuffer(r.line.encode("utf-8", "surrogatepass"), np.uint8)].astype(int) - 97
+        ok = (low[1:] >= 0) & (low[1:] < 26) & (low[:-1] >= 0) & (low[:-1] < 26)
+        np.add.at(counts, (low[:-1][ok], low[1:][ok]), 1)
+    pairs = -np.log2(counts / counts.sum(1, keepdims=True))
+    texts, secrets, files = [], [], []
+    for r in marked + plain:
+        spans = [(x.a, x.b) for x in r.spans]
+        rng = random.Random(xxhash.xxh64_intdigest(r.line.encode("utf-8", "surrogatepass")))
+        for line, places in ((r.line, spans), with_secret(r.line, spans, rng), (r.line, spans) if spans else (with_cue(r.line, rng), [])):
+            texts.append(line.replace("\n", " "))
+            secrets.append(places)
+            files.append((r.size, r.digits))
+    s = Slice(pa.array(texts, pa.large_string()))
+    s.tokens()
+    feats = s.features(pairs, tuple(np.array(files).T))
+    tags = np.full(len(s.a), OUTSIDE)
+    doc = s._doc(s.a)
+    bound = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for i, places in enumerate(secrets):
+        for x, y in places:
+            low, high = (int(s.first[i]) + 1 + len(texts[i][:k].encode("utf-8", "surrogatepass")) for k in (x, y))
+            t = np.arange(bound[i], bound[i + 1])
+            t = t[(s.a[t] < high) & (s.b[t] > low)]
+            tags[t] = INSIDE
+            tags[t[:1]] = BEGIN
+    return train(feats, tags, s.chain, pairs)
 
 
 def scan(documents: DataFrame, field: Field | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -388,12 +555,9 @@ def scan(documents: DataFrame, field: Field | None, key: str = "doc_id", text: s
     struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = kept.value
         for part in slices(batches, 1):
-            s = Slice(part.column(1))
-            hit = s.assign | s.access | s.hexes
-            hit[s.owner] = True
-            spans = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in all_spans(s, i, field)] if h else [] for i, h in enumerate(hit)]
+            found = all_spans(part.column(1), kept.value)
+            spans = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in found.get(i, ())] for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(struct))], names=[key, "spans"])
 
     return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
@@ -431,14 +595,11 @@ def redact(documents: DataFrame, field: Field | None, text: str = "text", length
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = kept.value
         for part in slices(batches, at):
-            s = Slice(part.column(at))
-            hit = s.assign | s.access | s.hexes
-            hit[s.owner] = True
             columns = list(part.columns)
-            if hit.any():
+            if found := all_spans(part.column(at), field):
                 texts = part.column(at).to_pylist()
-                for i in np.flatnonzero(hit):
-                    texts[i] = redacted(texts[i], all_spans(s, i, field))
+                for i, spans in found.items():
+                    texts[i] = redacted(texts[i], spans)
                 columns[at] = pa.array(texts, part.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 

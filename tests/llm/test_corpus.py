@@ -235,89 +235,6 @@ def test_model_bits_against_steps(spark):
     assert abs(whole - steps) < 1e-3
 
 
-# secrets
-
-
-def test_secrets(spark):
-    from millrace.llm import secret_scan as z
-
-    rng = random.Random(4)
-    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
-    texts = [f"words here password={hexes(18)} and mail user{i}@mail7.example.com then" for i in range(60)] + [f"plain text number 2024-01-{i:02d} file part-{i:05d}-x1.parquet" for i in range(60)]
-    texts += [None, "", 'PassWord: "abc"', "paſſword=abcdef12", "é🦀 Token = 'abcdefg' AKIA" + "A1" * 10, "secret=" + "a" * 300_000, "password=ab password=abcdefgh", hexes(24) + " " + hexes(23)]
-    df = docs_of(spark, texts).withColumn("spans", F.lit("clash"))
-    field = z.fit(df)
-    assert field is not None
-    got = {r.doc_id: r for r in z.digest(z.scan(df, field)).collect()}
-    for i, t in enumerate(texts):
-        base = []
-        for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or ""):
-            if len(m[2]) >= 6:
-                base.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
-        base += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20]
-        base += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 24]
-        want = ",".join(s for _, _, s in sorted(base))
-        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
-        assert set(want.split(",")) - {""} <= set(got[i].spans.split(","))
-    # The field finds what the patterns miss, and leaves mail and file names alone.
-    fresh = docs_of(spark, [f"words here passphrase={hexes(18)} and", "mail user9@mail7.example.com part-00012-x1.parquet"])
-    spans = [r.spans for r in z.digest(z.scan(fresh, field)).orderBy("doc_id").collect()]
-    assert spans[0] == "crf:22:40" and spans[1] == ""
-    clean = z.redact(docs_of(spark, texts).withColumn("n_chars", F.length("text").cast("bigint")), field).orderBy("doc_id").collect()
-    assert clean[0].text.startswith("words here [assign] and mail") and clean[0].n_chars == len(clean[0].text)
-    assert clean[60].text == texts[60] and clean[120].text is None
-    assert z.fit(empty(spark, "doc_id bigint, text string")) is None
-
-
-def test_secrets_without_digits(spark):
-    """Keys of letters, with one digit, and pins are tagged; words are not."""
-    from millrace.llm import secret_scan as z
-
-    rng = random.Random(14)
-    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    kinds = [lambda: of(letters, 14), lambda: of(letters, 9) + "7", lambda: of(letters.lower(), 12), lambda: of("0123456789", 8)]
-    prose = ["remember everything", "yesterday afternoon", "wonderful, beautiful things", "information about mountains"]
-    texts = [f"{prose[i % 4]} then password={kinds[i % 4]()} and {prose[(i + 1) % 4]}" for i in range(120)] + [f"{prose[i % 4]} with {prose[(i + 2) % 4]}" for i in range(120)]
-    field = z.fit(docs_of(spark, texts))
-    secrets = [k() for k in kinds]
-    fresh = [f"something about passphrase={x} and everything" for x in secrets] + ["something about beautiful mountains yesterday"]
-    got = [r.spans for r in z.digest(z.scan(docs_of(spark, fresh), field)).orderBy("doc_id").collect()]
-    assert got == [f"crf:27:{27 + len(x)}" for x in secrets] + [""]
-
-
-def test_outside_shortcut_is_exact():
-    from millrace.llm import secret_scan as z
-
-    rng = np.random.default_rng(3)
-    skipped = 0
-    for _ in range(300):
-        field = z.Field(rng.normal(size=(z.BUCKETS, 3)) + [0, 0, 2], rng.normal(size=(3, 3)) / 2 + z.FORBIDDEN)
-        feats = rng.integers(0, z.BUCKETS, (3, 5))
-        if field.all_outside(feats):
-            skipped += 1
-            assert (field.tag(feats) == z.OUTSIDE).all()
-    assert skipped > 30
-
-
-def test_viterbi_against_all_paths():
-    import itertools
-
-    from millrace.llm import secret_scan as z
-
-    rng = np.random.default_rng(2)
-    field = z.Field(rng.normal(size=(z.BUCKETS, 3)), rng.normal(size=(3, 3)) + z.FORBIDDEN)
-    for n in (1, 2, 4):
-        feats = rng.integers(0, z.BUCKETS, (n, 5))
-        score = field.emit[feats].sum(1)
-
-        def total(path, score=score):
-            whole = (z.OUTSIDE, *path, z.OUTSIDE)
-            return sum(score[i, t] for i, t in enumerate(path)) + sum(field.move[a, b] for a, b in zip(whole, whole[1:], strict=False))
-
-        assert tuple(field.tag(feats)) == max(itertools.product(range(3), repeat=n), key=total)
-
-
 # quality
 
 
