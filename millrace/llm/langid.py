@@ -1,16 +1,21 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language, a tree of byte contexts up to ``order`` long holds how often
-each symbol followed. A text's cost in a language is its exact code length under
-those frozen counts: at each byte the longest known context codes the symbol, or
-an escape (method C: escapes weigh as many as the context's distinct symbols)
-and the next shorter context without the symbols already excluded. As counts are
-frozen, the code length of every (context, symbol) is computed once into a table
-of variable-order nodes; scoring is then a lookup per byte, done for whole Arrow
-slices at a time.
-
-Fitting takes a bounded sample of labelled rows, about ``sample_docs`` for each
-language, chosen by a hash of the key; prediction covers whole texts of all rows.
+For each language, a tree of byte contexts up to ``ORDER`` long holds how often
+each byte followed. A text's cost in a language is its exact code length under
+those frozen counts: at each byte the longest known context codes it, or an
+escape (method C: escapes weigh as many as the context's distinct bytes) and the
+next shorter context without the bytes already excluded, at last one of the
+bytes that the language has never had. Contexts of ``ORDER`` bytes are known from ``LEAST``
+uses on. All 256 bytes count as such, after capitals are folded.
+
+The model is sparse: sorted keys of (context, byte, language) with counts, and
+of (context, language) with what coding and escaping cost there. As counts are
+frozen, the code length of a gram (context and byte) is computed once a task and
+kept; scoring is then a lookup for each byte, done for whole Arrow slices at a time.
+
+Fitting takes a bounded sample of labelled rows of every language, chosen by a
+hash of the key: ``sample_docs`` of each, fewer (300 at least) if there are many
+languages; contexts are counted and thinned in Spark. Prediction covers whole texts of all rows.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with
 score 0; rows with a null language teach nothing; ties go to the language whose
@@ -21,7 +26,7 @@ repeated rows and other columns change nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, text_bytes
+from millrace.session import checkpointed
 
-ORDER, ALPHABET = 3, 64
+ORDER, LEAST = 3, 4
+#: Keys have a language's number in so many bits.
+LANG_BITS = 16
 #: Before a text stands this byte.
 PAD = 32
+#: Values of code lengths that a task keeps.
+KEPT = 8 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LETTER = np.zeros(256, bool)
@@ -49,138 +59,195 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def padded(data: np.ndarray, starts: np.ndarray, pad: int, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with ``order`` pads before each, and the places of their own bytes."""
+def grams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each byte of the texts the three before it and itself, in 32 bits."""
     n = len(starts) - 1
-    place = np.arange(len(data)) + order * (np.repeat(np.arange(n), np.diff(starts)) + 1)
-    out = np.full(len(data) + order * n, pad, data.dtype)
-    out[place] = data
-    return out, place
+    place = np.arange(len(data)) + ORDER * (np.repeat(np.arange(n), np.diff(starts)) + 1)
+    out = np.full(len(data) + ORDER * n, PAD, np.int64)
+    out[place] = folded(data)
+    return (out[place - 3] << 24) | (out[place - 2] << 16) | (out[place - 1] << 8) | out[place]
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where ``wanted`` stand in sorted ``keys``, or -1."""
+    if not len(keys):
+        return np.full(wanted.shape, -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+@dataclass
+class Level:
+    """Contexts of one length: counts by (context, byte, language), and by (context, language) what coding costs.
+
+    ``own`` has the sum that counts are divided by and the bits of an escape
+    where nothing is excluded; ``after`` the same of the next shorter context
+    when this one has escaped to it.
+    """
+
+    grams: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    own: np.ndarray
+    after: np.ndarray
 
 
 @dataclass
 class Model:
-    """Frozen code lengths: ``cost[node * ALPHABET + symbol]`` has bits for each language."""
+    """Frozen counts of all languages; ``levels[k]`` has contexts of k bytes, ``unseen`` bits of a byte new to a language."""
 
     langs: list[str]
-    symbol: np.ndarray
-    node: np.ndarray
-    cost: np.ndarray
+    levels: list[Level] = field(default_factory=list)
+    unseen: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def gram_bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code length of each gram's last byte in each language: (language, gram)."""
+        lang = np.arange(len(self.langs))[:, None]
+        shape = (len(self.langs), len(gram))
+        bits, done, escaped = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape)
+        longer = np.full(shape, -1)
+        for k in range(ORDER, -1, -1):
+            level = self.levels[k]
+            node = find(level.contexts, ((gram >> 8) & ((1 << 8 * k) - 1)) << LANG_BITS | lang)
+            at = find(level.grams, (gram & ((1 << 8 * (k + 1)) - 1)) << LANG_BITS | lang)
+            count = np.where(at >= 0, level.counts[at], 0) if len(level.counts) else np.zeros(shape)
+            costs = np.where((node >= 0)[..., None], level.own[node], 0) if len(level.own) else np.zeros((*shape, 2))
+            if k < ORDER and len(self.levels[k + 1].after):
+                costs = np.where((longer >= 0)[..., None], self.levels[k + 1].after[longer], costs)
+            live = ~done & ((node >= 0) | (longer >= 0))
+            hit = live & (count > 0)
+            bits[hit] = escaped[hit] + np.log2(costs[hit][:, 0] / count[hit])
+            done |= hit
+            escaped += np.where(live & ~hit, costs[..., 1], 0)
+            longer = node
+        return np.where(done, bits, escaped + self.unseen[:, None])
 
     def bits(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code length of each text in each language."""
         out = np.zeros((len(starts) - 1, len(self.langs)))
-        if len(data):
-            s, place = padded(self.symbol[folded(data)], starts, int(self.symbol[PAD]))
-            s = s.astype(np.int32)
-            context = (s[place - 3] * ALPHABET + s[place - 2]) * ALPHABET + s[place - 1]
-            each = self.cost[self.node[context] * ALPHABET + s[place]]
-            full = np.flatnonzero(np.diff(starts))
-            out[full] = np.add.reduceat(each, starts[full], axis=0, dtype=np.float64)
+        if not len(data):
+            return out
+        uniq, where = np.unique(grams(data, starts), return_inverse=True)
+        known, cost = self.__dict__.get("_kept", (np.zeros(0, np.int64), np.zeros((len(self.langs), 0))))
+        if len(known) * len(self.langs) > KEPT:
+            known, cost = known[:0], cost[:, :0]
+        new = uniq[find(known, uniq) < 0]
+        if len(new):
+            step = max(1, (1 << 20) // len(self.langs))
+            fresh = np.concatenate([self.gram_bits(new[at : at + step]) for at in range(0, len(new), step)], axis=1)
+            known = np.concatenate((known, new))
+            order = np.argsort(known, kind="stable")
+            known, cost = known[order], np.concatenate((cost, fresh), axis=1)[:, order]
+            self.__dict__["_kept"] = known, cost
+        where = np.searchsorted(known, uniq)[where]
+        full = np.flatnonzero(np.diff(starts))
+        for k in range(len(self.langs)):
+            out[full, k] = np.add.reduceat(cost[k][where], starts[full])
         return out
 
-
-def code_lengths(levels: list[np.ndarray]) -> np.ndarray:
-    """Bits of every symbol in each row's contexts; ``levels`` has counts (rows, symbols), longest context first."""
-    rows, width = levels[0].shape
-    bits = np.zeros((rows, width))
-    escaped = np.zeros((rows, 1))
-    excluded = np.zeros((rows, width), bool)
-    for counts in levels:
-        counts = np.where(excluded, 0, counts)
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        seen = counts > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            bits = np.where(seen, escaped + np.log2((total + kinds) / counts), bits)
-            escaped = escaped + np.where(total > 0, np.log2((total + kinds) / kinds), 0)
-        excluded |= seen
-    left = np.maximum((~excluded).sum(1, keepdims=True), 1)
-    return np.where(excluded, bits, escaped + np.log2(left))
-
-
-def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray, least: int = 4) -> Model:
-    """A model of counts of four-byte grams (three of context, then the symbol)."""
-    by_byte = np.bincount(gram & 255, weights=count, minlength=256)
-    by_byte[PAD] += 1
-    common = np.argsort(-by_byte, kind="stable")[: ALPHABET - 1]
-    symbol = np.full(256, ALPHABET - 1, np.uint8)
-    symbol[common[by_byte[common] > 0]] = np.arange((by_byte[common] > 0).sum())
-    s = [symbol[(gram >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-    three = (s[0] * ALPHABET + s[1]) * ALPHABET + s[2]
-    uses = np.bincount(three, weights=count, minlength=ALPHABET**3)
-    long_contexts = np.flatnonzero(uses >= least)
-    node = (np.arange(ALPHABET**3) % ALPHABET**2).astype(np.int32)
-    node[long_contexts] = ALPHABET**2 + np.arange(len(long_contexts), dtype=np.int32)
-    cost = np.zeros(((ALPHABET**2 + len(long_contexts)) * ALPHABET, len(langs)), np.float32)
-    two_of_long = long_contexts % ALPHABET**2
-    for k in range(len(langs)):
-        mine = lang == k
-        c, w = [x[mine] for x in s], count[mine]
-        tally = lambda key, size: np.bincount(key, weights=w, minlength=size * ALPHABET)[: size * ALPHABET].reshape(size, ALPHABET)  # noqa: E731,B023
-        two = tally((c[1] * ALPHABET + c[2]) * ALPHABET + c[3], ALPHABET**2)
-        one = tally(c[2] * ALPHABET + c[3], ALPHABET)
-        none = tally(c[3], 1)
-        row = np.full(ALPHABET**3, -1)
-        row[long_contexts] = np.arange(len(long_contexts))
-        at = row[(c[0] * ALPHABET + c[1]) * ALPHABET + c[2]]
-        third = np.zeros((len(long_contexts), ALPHABET))
-        np.add.at(third, (at[at >= 0], c[3][at >= 0]), w[at >= 0])
-        last = np.arange(ALPHABET**2) % ALPHABET
-        short = code_lengths([two, one[last], np.broadcast_to(none, two.shape)])
-        deep = code_lengths([third, two[two_of_long], one[two_of_long % ALPHABET], np.broadcast_to(none, third.shape)])
-        cost[:, k] = np.concatenate([short, deep]).ravel()
-    return Model(langs, symbol, node, cost)
-
-
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 2500, max_langs: int = 200) -> Model:
-    """A model of the ``max_langs`` most frequent languages, of about ``sample_docs`` whole texts each."""
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
+
+
+def build(langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """A model of ``tables[k]``: keys (gram of k + 1 bytes, language) and counts."""
+    levels: list[Level] = []
+    few = (1 << LANG_BITS) - 1
+    unseen = np.full(len(langs), 8.0)
+    for k, (keys, counts) in enumerate(tables):
+        order = np.argsort(keys)
+        keys, counts = keys[order].astype(np.int64), counts[order].astype(np.float64)
+        lang = keys & few
+        context = ((keys >> LANG_BITS) >> 8) << LANG_BITS | lang
+        contexts, place = np.unique(context, return_inverse=True)
+        total, kinds = np.bincount(place, counts, len(contexts)), np.bincount(place, minlength=len(contexts)).astype(float)
+        own = np.stack([total + kinds, np.log2((total + kinds) / np.maximum(kinds, 1))], axis=1)
+        if k == 0:
+            unseen[contexts & few] = np.log2(np.maximum(256 - kinds, 1))
+            after = np.zeros_like(own)
+        else:
+            # Every byte seen here is seen in the shorter context too; without them, what is left there.
+            below = levels[-1]
+            shorter = find(below.contexts, ((contexts >> LANG_BITS) & ((1 << 8 * (k - 1)) - 1)) << LANG_BITS | (contexts & few))
+            same = find(below.grams, ((keys >> LANG_BITS) & ((1 << 8 * k) - 1)) << LANG_BITS | lang)
+            taken = np.bincount(place, below.counts[same], len(contexts)) if len(keys) else np.zeros(0)
+            base = below.own[shorter] if len(shorter) else np.zeros((0, 2))
+            below_kinds = base[:, 0] / np.exp2(base[:, 1])
+            rest_kinds = np.maximum(np.round(below_kinds - kinds), 0)
+            rest = np.maximum(np.round(base[:, 0] - below_kinds) - taken, 0) + rest_kinds
+            after = np.stack([rest, np.where(rest_kinds > 0, np.log2(np.maximum(rest, 1) / np.maximum(rest_kinds, 1)), 0)], axis=1)
+        levels.append(Level(keys, counts.astype(np.float32), contexts, own, after))
+    return Model(langs, levels, unseen)
+
+
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 2500, all_docs: int = 100_000) -> Model:
+    """A model of every language that has a labelled text."""
+    spark = labelled.sparkSession
     rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    # One row a language.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
+    if len(langs) >= 1 << LANG_BITS:
+        raise ValueError(f"{len(langs)} languages")
     if not langs:
-        return Model([], np.zeros(256, np.uint8), np.zeros(ALPHABET**3, np.int32), np.zeros((ALPHABET, 0), np.float32))
-    bound = F.create_map(*[F.lit(x) for name in langs for x in (name, min(1 << 30, int(sample_docs / sizes[name] * (1 << 30))))])
-    number = F.create_map(*[F.lit(x) for i, name in enumerate(langs) for x in (name, i)])
-    chosen = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.element_at(bound, F.col("lang"))).select(F.element_at(number, F.col("lang")).cast("int").alias("lang"), "text")
+        return Model([])
+    each = min(sample_docs, max(300, all_docs // len(langs)))
+    numbered = spark.createDataFrame([(name, i, min(1 << 30, int(each / sizes[name] * (1 << 30)))) for i, name in enumerate(langs)], "lang string, number int, bound int")
+    mine = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("bound")
+    chosen = rows.join(F.broadcast(numbered), "lang").filter(mine).select("number", "text")
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             data, starts = text_bytes(part.column(1))
             if not len(data):
                 continue
             doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            b, place = padded(folded(data), starts, PAD)
-            b = b.astype(np.int64)
-            code = (b[place - 3] << 24) | (b[place - 2] << 16) | (b[place - 1] << 8) | b[place]
             owner = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-            codes, n = np.unique((owner << 32) | code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
-
-    counts = chosen.mapInArrow(grams, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    code = counts["code"].to_numpy(np.int64)
-    return build(langs, code >> 32, code & 0xFFFFFFFF, counts["n"].to_numpy(np.float64))
-
-
-def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, lang_pred, score, bits_per_byte``; the score is the posterior under equal priors."""
+            keys, n = np.unique(grams(data, starts) << LANG_BITS | owner, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    few = (1 << LANG_BITS) - 1
+    lang_of = F.col("key").bitwiseAND(few)
+    counts = checkpointed(chosen.mapInArrow(counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    tables = []
+    for k in range(ORDER + 1):
+        gram = F.shiftright("key", LANG_BITS).bitwiseAND((1 << 8 * (k + 1)) - 1)
+        level = counts if k == ORDER else counts.groupBy(F.shiftleft(gram, LANG_BITS).bitwiseOR(lang_of).alias("key")).agg(F.sum("n").alias("n"))
+        if k == ORDER:
+            context = F.shiftright("key", LANG_BITS + 8) * (1 << LANG_BITS) + lang_of
+            used = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("uses")).filter(F.col("uses") >= LEAST)
+            level = counts.withColumn("context", context).join(used, "context").select("key", "n")
+        # Bounded by the sample: at most as many as its bytes, a few tens of thousands a language.
+        found = level.toPandas()
+        tables.append((found["key"].to_numpy(np.int64), found["n"].to_numpy(np.float64)))
+    return build(langs, tables)
+
+
+def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key, lang_pred, score, bits_per_byte`` and, after the key, the columns in ``keep``.
+
+    The score is the posterior under equal priors.
+    """
     kept = documents.sparkSession.sparkContext.broadcast(model)
-    kind = documents.schema[key].dataType
+    names = [key, *keep]
+    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept.value
-        for part in slices(batches, 1):
-            data, starts = text_bytes(part.column(1))
-            texts = part.column(1)
-            bits = model.bits(data, starts)
+        for part in slices(batches, len(names)):
+            texts = part.column(len(names))
+            data, starts = text_bytes(texts)
             letters = np.add.reduceat(np.append(LETTER[data], False), starts[:-1]) * (np.diff(starts) > 0)
             named = np.array([n > 0 or any(c.isalpha() for c in texts[i].as_py() or "") for i, n in enumerate(letters)])
             lang, score, rate = ["und"] * len(named), np.zeros(len(named)), np.zeros(len(named))
             if model.langs:
+                bits = model.bits(data, starts)
                 best = bits.argmin(1)
                 sure = 1 / np.exp2(np.minimum(0, bits.min(1)[:, None] - bits)).sum(1)
                 rate = bits.min(1) / np.maximum(np.diff(starts), 1)
                 lang = [model.langs[b] if ok else "und" for b, ok in zip(best, named, strict=True)]
                 score = np.where(named, sure, 0.0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=[key, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=[*names, "lang_pred", "score", "bits_per_byte"])
 
-    return documents.select(key, text).mapInArrow(judge, f"`{key}` {kind.simpleString()}, lang_pred string, score double, bits_per_byte double")
+    columns = [F.col(c) for c in names] + [F.col(text).alias("_text")]
+    return documents.select(*columns).mapInArrow(judge, f"{kinds}, lang_pred string, score double, bits_per_byte double")

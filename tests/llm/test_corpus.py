@@ -182,59 +182,6 @@ def test_page_rank_against_iteration(spark):
     assert {k: round(v, 9) for k, v in got.items()} == {str(k): round(v, 9) for k, v in rank.items()}
 
 
-# language
-
-
-def test_language(spark):
-    from millrace.llm import langid
-
-    df = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(0))
-    model = langid.fit(df.filter("doc_id % 4 <> 2"))
-    got = langid.predict(df.filter("doc_id % 4 = 2"), model).join(df.drop("score"), "doc_id")
-    assert got.filter("lang_pred = lang").count() >= 0.97 * got.count()
-    odd = docs_of(spark, [None, "", "12 34 !?", "日本", "the " * 50_000])
-    assert [r.lang_pred for r in langid.predict(odd, model).orderBy("doc_id").collect()][:3] == ["und"] * 3
-    none = langid.fit(empty(spark, "doc_id bigint, text string, lang string"))
-    assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
-
-
-def test_code_lengths_against_recursion():
-    from millrace.llm import langid
-
-    rng = np.random.default_rng(1)
-    levels = [rng.poisson(m, (5, 6)).astype(float) for m in (0.3, 1, 2)]
-
-    def bits(row, symbol, level, excluded):
-        if level == len(levels):
-            return np.log2(max(1, 6 - len(excluded)))
-        counts = {s: levels[level][row, s] for s in range(6) if s not in excluded and levels[level][row, s] > 0}
-        total, kinds = sum(counts.values()), len(counts)
-        if symbol in counts:
-            return -np.log2(counts[symbol] / (total + kinds))
-        escape = -np.log2(kinds / (total + kinds)) if counts else 0
-        return escape + bits(row, symbol, level + 1, excluded | set(counts))
-
-    got = langid.code_lengths(levels)
-    for row in range(5):
-        for symbol in range(6):
-            if not all(levels[k][row, symbol] == 0 for k in range(3)) or True:
-                assert abs(got[row, symbol] - bits(row, symbol, 0, set())) < 1e-9
-
-
-def test_model_bits_against_steps(spark):
-    """The table's code length of a text is the sum over its bytes of the contexts' code lengths."""
-    from millrace.llm import langid
-
-    model = langid.fit(spark.createDataFrame([(i, t, "x") for i, t in enumerate(["abab abra cadabra"] * 3)], "doc_id bigint, text string, lang string"))
-    text = b"abra zab"
-    data = np.frombuffer(text, np.uint8)
-    whole = model.bits(data, np.array([0, len(data)]))[0, 0]
-    s = [int(model.symbol[c]) for c in b"   " + text]
-    A = langid.ALPHABET
-    steps = sum(model.cost[model.node[(s[i - 3] * A + s[i - 2]) * A + s[i - 1]] * A + s[i], 0] for i in range(3, len(s)))
-    assert abs(whole - steps) < 1e-3
-
-
 # quality
 
 
