@@ -6,11 +6,16 @@ without a piece of their own get edges for their bytes. As no piece reaches
 from other bytes into a space, the lattice falls apart at the beginnings of
 space runs; each chunk between them is solved once per task and kept.
 
-A forward Viterbi pass, done for all new chunks of a slice at once, gives every
-node the exact score of its best prefix. A backward A-star search uses these as
-its heuristic, so that it pops segmentations in order of total score. Of a text
-only the ``n - 1`` chunks whose second-best segmentations lose least can differ
-from the best in its ``n`` best, so the search runs for those chunks alone.
+A forward Viterbi pass, done for many new chunks at once, gives every node the
+exact score of its best prefix. A backward A-star search uses these as its
+heuristic, so that it pops segmentations in order of total score; as every open
+path's priority is the exact score of the best segmentation that it leads to, only as many paths
+as are still asked for stay open. Of a text only the ``n - 1`` chunks whose
+second-best segmentations lose least can differ from the best in its ``n`` best,
+so the search runs for those chunks alone, and the text's ``n`` best come from theirs.
+
+Chunks of over ``LONG`` bytes (texts without spaces) are walked one by one in a
+few bytes of memory for each byte, their edges made where they are needed.
 
 The vocabulary's ranks are turned into log probabilities by Zipf's law,
 ``-log(rank + 2)``; a byte costs ``BYTE``. Between equal scores the segmentation
@@ -24,8 +29,7 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
-import heapq
+import bisect
 import itertools
 import re
 from collections.abc import Iterator
@@ -41,8 +45,8 @@ from millrace.llm.common import slices
 BYTE = -14.0
 MARK = "▁"
 CHUNK = re.compile(rb" +[^ ]*")
-#: Chunks that a task keeps.
-KEPT = 120_000
+#: Chunks that a task keeps, bytes of chunks that are solved at once, and bytes from which on a chunk is walked.
+KEPT, GROUP, LONG = 120_000, 1 << 18, 1 << 12
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,8 +116,8 @@ class Vocabulary:
         return cls(pieces, -np.log(np.maximum(rank, 0) + 2.0), byte_ids)
 
     @cached_property
-    def trie(self) -> tuple[Table, np.ndarray]:
-        """Steps between nodes, and the piece that ends at each node (or -1)."""
+    def steps(self) -> tuple[dict[int, int], list[int]]:
+        """Steps between nodes, from node and byte, and the piece that ends at each node (or -1)."""
         steps: dict[int, int] = {}
         ends = [-1]
         for i, p in enumerate(self.pieces):
@@ -124,8 +128,20 @@ class Vocabulary:
                     ends.append(-1)
             if p:
                 ends[node] = i
+        return steps, ends
+
+    @cached_property
+    def trie(self) -> tuple[Table, np.ndarray]:
+        """The same for whole arrays."""
+        steps, ends = self.steps
         return Table(np.fromiter(steps, np.int64, len(steps)), np.fromiter(steps.values(), np.int32, len(steps))), np.array(ends, np.int32)
 
+    @cached_property
+    def by_spelling(self) -> tuple[dict[bytes, int], int]:
+        """Ids of pieces by their bytes, and the longest piece's length."""
+        ids = {p: i for i, p in enumerate(self.pieces) if p}
+        return ids, max(map(len, ids), default=1)
+
     @cached_property
     def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces' bytes in a row, with start and length by id."""
@@ -245,30 +261,102 @@ class Lattice:
         return order, np.searchsorted(self.chunk[order], np.arange(len(self.first) + 1))
 
     def n_best(self, chunk: int, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations, by backward A-star from the chunk's end."""
+        """The ``n`` best segmentations of a chunk: scores and ids."""
         order, bound = self.by_chunk
         mine = order[bound[chunk] : bound[chunk + 1]]
         mine = mine[np.isfinite(self.best[self.start[mine]])]
-        into: dict[int, list[int]] = {}
+        into: dict[int, list[tuple[int, float, int]]] = {}
         for e in mine.tolist():
-            into.setdefault(int(self.stop[e]), []).append(e)
-        first, order = int(self.first[chunk]), itertools.count()
-        # Totals that are equal but for rounding go by node, so that ties are followed to the start.
-        heap = [(round(-float(self.best[self.last[chunk]]), 6), int(self.last[chunk]), next(order), 0.0, None)]
-        found: list = []
-        while heap and len(found) < n:
-            _, node, _, behind, path = heapq.heappop(heap)
-            if node == first:
-                ids = []
-                while path:
-                    ids.append(path[0])
-                    path = path[1]
-                found.append((behind, tuple(ids)))
+            into.setdefault(int(self.stop[e]), []).append((int(self.start[e]), float(self.score[e]), int(self.id[e])))
+        return backward(int(self.first[chunk]), int(self.last[chunk]), self.best, lambda node: into.get(node, ()), n)
+
+
+def backward(first: int, last: int, best: np.ndarray, into, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The ``n`` best paths from ``first`` to ``last`` by A-star from the end; ``into(node)`` gives edges (start, score, id)."""
+    order = itertools.count()
+    # Totals that are equal but for rounding go by node, so that ties are followed to the start.
+    open_: list = [(round(-float(best[last]), 6), last, next(order), 0.0, None)]
+    found: list = []
+    while open_ and len(found) < n:
+        _, node, _, behind, path = open_.pop(0)
+        if node == first:
+            ids = []
+            while path:
+                ids.append(path[0])
+                path = path[1]
+            found.append((behind, tuple(ids)))
+            continue
+        for start, score, piece in into(node):
+            total = behind + score
+            bisect.insort(open_, (round(-(float(best[start]) + total), 6), start, next(order), total, (piece, path)))
+        del open_[n - len(found) :]
+    return sorted(found, key=lambda x: -x[0])
+
+
+class Walk:
+    """One long chunk: forward scores and last edges in flat arrays, edges made anew in the search."""
+
+    def __init__(self, vocabulary: Vocabulary, chunk: bytes):
+        self.vocabulary, self.data = vocabulary, chunk
+        steps, ends = vocabulary.steps
+        scores, n = vocabulary.scores.tolist(), len(chunk)
+        best = np.full(n + 1, -np.inf)
+        start, piece = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int32)
+        best[0] = 0
+        #: Bytes of characters that have no piece of their own.
+        self.bare = bytearray(n)
+        values = best.tolist()
+        at = 0
+        for i in range(n):
+            if i == at:  # a character begins
+                at = i + 1
+                while at < n and chunk[at] & 0xC0 == 0x80:
+                    at += 1
+                if chunk[i:at] not in vocabulary.by_spelling[0] or at - i > 4:
+                    self.bare[i:at] = b"\1" * (at - i)
+            here = values[i]
+            if here == -np.inf:
                 continue
-            for e in into.get(node, ()):
-                score = behind + float(self.score[e])
-                heapq.heappush(heap, (round(-(float(self.best[self.start[e]]) + score), 6), int(self.start[e]), next(order), score, (int(self.id[e]), path)))
-        return sorted(found, key=lambda x: -x[0])
+            edges = [(i + 1, BYTE, int(vocabulary.byte_ids[chunk[i]]))] if self.bare[i] else []
+            if chunk[i] & 0xC0 != 0x80:
+                node = 0
+                for j in range(i, n):
+                    node = steps.get(node << 8 | chunk[j], -1)
+                    if node < 0:
+                        break
+                    if ends[node] >= 0:
+                        edges.append((j + 1, scores[ends[node]], ends[node]))
+            for stop, score, name in edges:
+                if here + score > values[stop]:
+                    values[stop], start[stop], piece[stop] = here + score, i, name
+        self.best, self.start, self.piece = np.array(values), start, piece
+
+    def ids(self) -> np.ndarray:
+        out, node = [], len(self.data)
+        while node:
+            out.append(self.piece[node])
+            node = self.start[node]
+        return np.array(out[::-1], np.int32)
+
+    def into(self, node: int) -> Iterator[tuple[int, float, int]]:
+        known, longest = self.vocabulary.by_spelling
+        for start in range(max(0, node - longest), node):
+            name = known.get(self.data[start:node])
+            if name is not None and self.data[start] & 0xC0 != 0x80:
+                yield start, float(self.vocabulary.scores[name]), name
+        if self.bare[node - 1]:
+            yield node - 1, BYTE, int(self.vocabulary.byte_ids[self.data[node - 1]])
+
+    def n_best(self, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        return backward(0, len(self.data), self.best, lambda node: (e for e in self.into(node) if self.best[e[0]] > -np.inf), n)
+
+
+def grouped(chunks: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of chunks of about ``GROUP`` bytes together."""
+    at = np.cumsum([len(c) + 1 for c in chunks]) // GROUP if chunks else np.zeros(0, int)
+    for part in np.split(np.arange(len(chunks)), np.flatnonzero(np.diff(at)) + 1):
+        if len(part):
+            yield chunks[part[0] : part[-1] + 1]
 
 
 class Encoder:
@@ -292,13 +380,22 @@ class Encoder:
         return [c[1:] for c in CHUNK.findall(b" " + text)]
 
     def _learn(self, new: list[bytes]) -> None:
-        ids, count, score, gap = self.vocabulary.lattice([b" " + c for c in new]).solved()
-        self.place.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+        for group in grouped([c for c in new if len(c) < LONG]):
+            self._keep(group, *self.vocabulary.lattice([b" " + c for c in group]).solved())
+        for chunk in (c for c in new if len(c) >= LONG):
+            walk = Walk(self.vocabulary, b" " + chunk)
+            ids = walk.ids()
+            two = walk.n_best(2)
+            gap = two[0][0] - two[1][0] if len(two) > 1 else np.inf
+            self._keep([chunk], [ids.tobytes()], np.array([len(ids)]), walk.best[-1:], np.array([gap]))
+
+    def _keep(self, chunks: list[bytes], ids: list[bytes], count: np.ndarray, score: np.ndarray, gap: np.ndarray) -> None:
+        self.place.update(zip(chunks, range(len(self.ids), len(self.ids) + len(chunks)), strict=True))
         self.ids += ids
         self.count, self.score, self.gap = (np.concatenate(x) for x in ((self.count, count), (self.score, score), (self.gap, gap)))
 
-    def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[float]]]:
-        """For each text the ids of its best segmentation, and the scores of its ``n`` best."""
+    def encode(self, texts: list[bytes]) -> Iterator[list[tuple[float, bytes]]]:
+        """For each text its ``n`` best segmentations, as scores and ids (int32 bytes)."""
         split = [self.chunks(t) for t in texts]
         if len(self.ids) > KEPT:
             self._forget()
@@ -308,14 +405,24 @@ class Encoder:
             self._learn(sorted(new))
         get, ids = self.place.__getitem__, self.ids
         places = [np.array(list(map(get, cs))) for cs in split]
-        near = [[cs[k] for k in self._near(at)] for cs, at in zip(split, places, strict=True)]
-        self._search(sorted({c for cs in near for c in cs if c not in self.searched}))
-        for at, unsure in zip(places, near, strict=True):
-            sums = [0.0]
-            for chunk in unsure:
-                sums = sorted(a + b for a in sums for b in self.searched[chunk])[: self.n]
+        near = [self._near(at) for at in places]
+        self._search(sorted({c for cs, at in zip(split, near, strict=True) for c in (cs[k] for k in at) if c not in self.searched}))
+        for cs, at, unsure in zip(split, places, near, strict=True):
+            sums: list = [(0.0, ())]
+            for k in unsure.tolist():
+                sums = sorted((loss + more, (*picked, j)) for loss, picked in sums for j, (more, _) in enumerate(self.searched[cs[k]]))[: self.n]
             top = float(self.score[at].sum())
-            yield np.frombuffer(b"".join([ids[i] for i in at.tolist()]), np.int32), [top - x for x in sums]
+            whole = b"".join([ids[i] for i in at.tolist()])
+            end = np.cumsum(self.count[at]) * 4
+            out = []
+            for loss, picked in sums:
+                parts, done = [], 0
+                for k, j in sorted(zip(unsure.tolist(), picked, strict=True)):
+                    if j:
+                        parts += [whole[done : int(end[k]) - len(ids[at[k]])], self.searched[cs[k]][j][1]]
+                        done = int(end[k])
+                out.append((top - loss, b"".join([*parts, whole[done:]]) if parts else whole))
+            yield out
 
     def _near(self, at: np.ndarray) -> np.ndarray:
         """Which chunks of a text lose least in their second best."""
@@ -324,11 +431,22 @@ class Encoder:
         return k[np.isfinite(gap[k])]
 
     def _search(self, new: list[bytes]) -> None:
-        if new:
-            lattice = self.vocabulary.lattice([b" " + c for c in new])
-            for i, chunk in enumerate(new):
-                found = lattice.n_best(i, self.n)
-                self.searched[chunk] = [found[0][0] - s for s, _ in found]
+        for part in grouped([c for c in new if len(c) < LONG]):
+            lattice = self.vocabulary.lattice([b" " + c for c in part])
+            for i, chunk in enumerate(part):
+                self._remember(chunk, lattice.n_best(i, self.n))
+        for chunk in new:
+            if len(chunk) >= LONG:
+                self._remember(chunk, Walk(self.vocabulary, b" " + chunk).n_best(self.n))
+
+    def _remember(self, chunk: bytes, found: list[tuple[float, tuple[int, ...]]]) -> None:
+        """Losses and ids of a chunk's best segmentations, that of the forward pass first."""
+        best = self.ids[self.place[chunk]]
+        rest = [(found[0][0] - s, np.array(ids, np.int32).tobytes()) for s, ids in found]
+        rest = [(0.0, best)] + [x for x in rest if x[1] != best]
+        if any(self.vocabulary.decode(np.frombuffer(ids, np.int32)) != chunk for _, ids in rest):
+            raise ValueError("a segmentation spells another text")
+        self.searched[chunk] = rest[: self.n]
 
 
 def encoder_of(kept, n: int) -> Encoder:
@@ -338,34 +456,40 @@ def encoder_of(kept, n: int) -> Encoder:
     return known.setdefault(n, Encoder(vocabulary, n))
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary, n: int = 4, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """``key, n_pieces, scores, ids_sha256, round_trip`` and, unless left out, ``ids``.
+def encode(documents: DataFrame, vocabulary: Vocabulary, n: int = 4, key: str = "doc_id", text: str = "text", all_ids: bool = True) -> DataFrame:
+    """``key, n_pieces, scores, ids, segmentations, round_trip``.
 
     ``scores`` has the log probabilities of the ``n`` best segmentations (fewer
-    if there are fewer), ``ids`` the best one; ``round_trip`` says that its ids
-    decode to the whole text.
+    if there are fewer), ``ids`` the best one and ``segmentations``, unless left
+    out, the ids of all of them in order; ``round_trip`` says that each decodes to the whole text.
     """
-    vocabulary.trie, vocabulary.spelled  # noqa: B018  built once, here
+    vocabulary.trie, vocabulary.spelled, vocabulary.by_spelling  # noqa: B018  built once, here
     kept = documents.sparkSession.sparkContext.broadcast(vocabulary)
     kind = documents.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(kept, n)
+        decode = encoder.vocabulary.decode
         for part in slices(batches, 1):
             texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
             coded = encoder.encode([t for t in texts if t is not None])
-            rows = []
-            for t in texts:
-                ids, scores = next(coded) if t is not None else (np.zeros(0, np.int32), [])
-                rows.append((len(ids), scores, hashlib.sha256(ids.tobytes()).hexdigest(), encoder.vocabulary.decode(ids) == (t or b""), ids))
-            size, scores, sha, same, ids = zip(*rows, strict=True)
-            columns = [part.column(0), pa.array(size, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(sha), pa.array(same)]
-            if with_ids:
-                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_pieces", "scores", "ids_sha256", "round_trip", "ids"][: len(columns)])
-
-    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, n_pieces bigint, scores array<double>, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)
+            found = [next(coded) if t is not None else [] for t in texts]
+            ids = [[np.frombuffer(b, np.int32) for _, b in each] for each in found]
+            best = [each[0] if each else np.zeros(0, np.int32) for each in ids]
+            # Other segmentations have been compared chunk by chunk.
+            same = [decode(x) == (t or b"") for x, t in zip(best, texts, strict=True)]
+            columns = [part.column(0), pa.array([len(x) for x in best], pa.int64()), pa.array([[s for s, _ in each] for each in found], pa.list_(pa.float64())), lists(best), pa.array(same)]
+            if all_ids:
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), lists([x for each in ids for x in each])))
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_pieces", "scores", "ids", "round_trip", "segmentations"][: len(columns)])
+
+    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, n_pieces bigint, scores array<double>, ids array<int>, round_trip boolean" + ", segmentations array<array<int>>" * all_ids)
+
+
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:

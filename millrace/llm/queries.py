@@ -69,7 +69,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return pieces.encode(docs, pieces.Vocabulary.load(tokenizer_path()), n=4, with_ids=False)
+    return pieces.encode(docs, pieces.Vocabulary.load(tokenizer_path()), n=4).drop("ids")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
