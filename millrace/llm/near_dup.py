@@ -22,10 +22,14 @@ links are confirmed on full sets.
 Components come from joins and minima with pointer jumping, in Spark, each round
 written to the shared folder.
 
+Buckets, components and classes that hold many rows are split by salt where rows
+meet by them.
+
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; texts of under ``words`` words are one shingle; a null id is a document
 of its own that is linked with nothing (its component is null) and kept; rows
-that repeat an id are copies of that document; other columns are ignored.
+that repeat an id are documents of their own, copies or not, and each has the
+least id of its own component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,8 +53,10 @@ LEAST_AGREE = SIGNATURE // 2
 STAR_ROUNDS = 1
 #: Bins by which common shingles of two texts are bounded.
 BINS = 16
-#: Parts that the rows of one class or component are dealt to.
-SALTS = 32
+#: Parts that the rows of one class or component are dealt to, and the rows that meet one hub's label.
+SALTS, HUB_SALTS = 32, 8
+#: Rows of a bucket that meet its hub in one part, and that meet others in one part.
+HUB_ROWS, PAIR_ROWS = 5000, 200
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -98,12 +104,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``id, n_shingles, class_key, sig, bands`` of every row; empty sets have null beyond the count."""
+    """``id, h, n_shingles, class_key, sig, bands`` of every row; ``h`` is the text's hash, empty sets have null beyond the count."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
+        for part in slices(batches, 2):
             rows = []
-            for t in part.column(1).to_pylist():
+            for t in part.column(2).to_pylist():
                 s = shingles(t, words)
                 if len(s):
                     sig = signature(s)
@@ -111,35 +117,51 @@ def signed(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 else:
                     rows.append((0, None, None, None))
             n, cls, sig, bands = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(sig, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "class_key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(sig, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))], names=["id", "h", "n_shingles", "class_key", "sig", "bands"])
+
+    return keyed(documents, key, text).mapInArrow(work, "id bigint, h bigint, n_shingles bigint, class_key string, sig array<int>, bands array<bigint>")
 
-    return documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string")).mapInArrow(work, "id bigint, n_shingles bigint, class_key string, sig array<int>, bands array<bigint>")
 
+def keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, h, text``; id and hash name a text."""
+    return documents.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"), F.col(text).cast("string").alias("text"))
 
-def sets_of(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``id, shingles``: full sets."""
+
+def sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """``id, shingles``: full sets of texts (id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             sets = [shingles(t, words).view(np.int64) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string")).mapInArrow(work, "id bigint, shingles array<bigint>")
+    return texts.select("id", "text").mapInArrow(work, "id bigint, shingles array<bigint>")
+
+
+def salted(rows: DataFrame, by: str, parts: Column | int) -> DataFrame:
+    """Adds ``salt``, 0 to ``parts - 1``, by a hash of column ``by``."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(parts) if isinstance(parts, int) else parts).cast("int"))
+
+
+def for_all_salts(rows: DataFrame, parts: Column | int) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.lit(parts) if isinstance(parts, int) else parts).cast("int") - 1)))
 
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` of all ids in ``links`` (a, b): the least id that can be reached."""
-    both = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    both = salted(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "a", HUB_SALTS)
+    both = written(both, "both")
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("low", "id").alias("component"))
     labels = written(labels, "labels")
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("seen"))
+        # A hub's label meets its neighbours in several parts.
+        seen = for_all_salts(labels.select(F.col("id").alias("b"), "component"), HUB_SALTS)
+        near = both.join(seen, ["b", "salt"]).groupBy("a").agg(F.min("component").alias("seen"))
         step = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("before"), F.least("component", "seen").alias("component"))
         # Labels are looked up once each; a large component's members then find theirs by label and salt.
         up = step.select(F.col("id").alias("component"), F.col("component").alias("higher"))
-        roots = step.select("component").distinct().join(up, "component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = step.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        jumped = salted.join(roots, ["component", "salt"], "left").select("id", "before", F.least("component", "higher").alias("component"))
+        roots = for_all_salts(step.select("component").distinct().join(up, "component"), SALTS)
+        jumped = salted(step, "id", SALTS).join(roots, ["component", "salt"], "left").select("id", "before", F.least("component", "higher").alias("component"))
         jumped = written(jumped, "labels")
         labels = jumped.select("id", "component")
         if jumped.filter("component < before").isEmpty():
@@ -180,8 +202,8 @@ class Verifier:
         shortest = sized.groupBy("bucket").agg(F.min("n_shingles").alias("shortest"))
         other = F.greatest("core", "shortest")
         fit = sized.join(shortest, "bucket").filter(100 * F.col("core") >= self.share * (F.col("n_shingles") + other - F.col("core")))
-        open_buckets = fit.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        return written(fit.join(open_buckets, "bucket").select("bucket", "id", "component", "main", "n_shingles", "core", "bands", "bins"), "able")
+        open_buckets = fit.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / PAIR_ROWS).alias("parts")).filter("low < high").select("bucket", "parts")
+        return written(fit.join(open_buckets, "bucket").select("bucket", "parts", "id", "component", "main", "n_shingles", "core", "bands", "bins"), "able")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a < b) whose sets are similar enough, written to the shared folder."""
@@ -196,8 +218,12 @@ def ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def linked_components(documents: DataFrame, signs: DataFrame, key: str, text: str, words: int, share: int) -> DataFrame:
-    """``id, component`` of the ids in ``signs`` (one of each class) that have links."""
+def linked_components(texts: DataFrame, signs: DataFrame, words: int, share: int) -> DataFrame:
+    """``id, component`` of the ids in ``signs`` (one of each class) that have links.
+
+    ``signs`` names each class's text by ``low``, a struct of document id and
+    hash, under which it stands in ``texts`` (id, h, text).
+    """
     i = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     first = signs.select("id", "bands", i.alias("i")).select("id", "bands", "i", F.explode(F.sequence(F.lit(BANDS), F.lit(2 * BANDS - 1))).alias("j"))
     keyed = first.select("id", F.xxhash64(F.get("bands", F.col("i")), F.get("bands", F.col("j"))).alias("bucket"))
@@ -205,11 +231,12 @@ def linked_components(documents: DataFrame, signs: DataFrame, key: str, text: st
     shared = keyed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
     members = written(keyed.join(shared, "bucket"), "members")
     met = written(members.groupBy("id").agg(F.sum("size").alias("met")), "met")
-    texts = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(met.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    check = Verifier(signs.join(met.select("id"), "id", "left_semi").select("id", "sig", "n_shingles", "bands"), written(sets_of(texts, "id", "text", words), "sets"), share)
+    wanted = signs.join(met.select("id"), "id", "left_semi").select(F.col("id").alias("class_id"), F.col("low.id").alias("id"), F.col("low.h").alias("h"))
+    chosen = texts.join(wanted, ["id", "h"]).select(F.col("class_id").alias("id"), "text").dropDuplicates(["id"])
+    check = Verifier(signs.join(met.select("id"), "id", "left_semi").select("id", "sig", "n_shingles", "bands"), written(sets_of(chosen, words), "sets"), share)
 
     links = labels = tried = None
-    open_members = members.join(met, "id").select("bucket", "id", "met")
+    open_members = members.join(met, "id").select("bucket", "size", "id", "met")
     for number in range(STAR_ROUNDS + 1):
         if labels is None:
             placed = open_members.withColumn("component", F.col("id"))
@@ -218,24 +245,26 @@ def linked_components(documents: DataFrame, signs: DataFrame, key: str, text: st
             parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
             main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
             placed = written(placed.join(main, "bucket"), "placed")
-            open_members = placed.select("bucket", "id", "met")
+            open_members = placed.select("bucket", "size", "id", "met")
             if placed.isEmpty():
                 break
         if number < STAR_ROUNDS:
             # The first hub is the member that meets most; later ones are drawn from the largest component.
             rank = F.struct("met", (-F.col("id")).alias("low")) if labels is None else F.struct((F.col("component") == F.col("main")).alias("in_main"), F.xxhash64("id", F.lit(number)).alias("low"))
-            hubs = placed.groupBy("bucket").agg(F.max_by(F.struct("id", "component"), rank).alias("hub"))
-            pairs = placed.join(hubs, "bucket").filter(F.col("component") != F.col("hub.component")).select(*ordered(F.col("id"), F.col("hub.id")))
+            parts = F.floor(F.col("size") / HUB_ROWS) + 1
+            hubs = for_all_salts(placed.groupBy("bucket", "size").agg(F.max_by(F.struct("id", "component"), rank).alias("hub")), parts).drop("size")
+            pairs = salted(placed, "id", parts).join(hubs, ["bucket", "salt"]).filter(F.col("component") != F.col("hub.component")).select(*ordered(F.col("id"), F.col("hub.id")))
         else:
             rest = check.able(placed)
-            side = lambda c: rest.select("bucket", F.col("id").alias(f"id_{c}"), F.col("component").alias(f"of_{c}"), F.col("main").alias(f"main_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("core").alias(f"core_{c}"), *(F.get("bands", F.lit(k)).alias(f"band{k}_{c}") for k in range(2 * BANDS)), *(F.get("bins", F.lit(k)).alias(f"bin{k}_{c}") for k in range(BINS)))
+            side = lambda c: rest.select("bucket", F.col("parts").alias(f"parts_{c}"), F.col("id").alias(f"id_{c}"), F.col("component").alias(f"of_{c}"), F.col("main").alias(f"main_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("core").alias(f"core_{c}"), *(F.get("bands", F.lit(k)).alias(f"band{k}_{c}") for k in range(2 * BANDS)), *(F.get("bins", F.lit(k)).alias(f"bin{k}_{c}") for k in range(BINS)))
             # A pair comes from the first bucket that both are in, once.
             first = lambda low, high: F.coalesce(*(F.when(F.col(f"band{k}_x") == F.col(f"band{k}_y"), F.col(f"band{k}_x")) for k in range(low, high)))
             once = F.xxhash64(first(0, BANDS), first(BANDS, 2 * BANDS)) == F.col("bucket")
             reach = F.least("core_x", "core_y")
             shared_bins = reduce(operator.add, (F.least(f"bin{k}_x", f"bin{k}_y") for k in range(BINS)))
             possible = lambda common: (100 + share) * common >= share * (F.col("n_x") + F.col("n_y"))
-            pairs = side("x").filter("of_x <> main_x").join(side("y"), "bucket").filter((F.col("of_x") != F.col("of_y")) & possible(reach) & possible(shared_bins) & once).select(*ordered(F.col("id_x"), F.col("id_y")))
+            x = salted(side("x").filter("of_x <> main_x"), "id_x", F.col("parts_x"))
+            pairs = x.join(for_all_salts(side("y"), F.col("parts_y")), ["bucket", "salt"]).filter((F.col("of_x") != F.col("of_y")) & possible(reach) & possible(shared_bins) & once).select(*ordered(F.col("id_x"), F.col("id_y")))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -256,13 +285,16 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     of both; ``kept`` marks the least id of each component.
     """
     rows = written(signed(documents, key, text, words), "signed")
-    one = rows.filter("class_key is not null and id is not null").groupBy("class_key").agg(F.min("id").alias("class_id"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    one = written(one, "classes")
-    labels = linked_components(documents, one.select(F.col("class_id").alias("id"), "n_shingles", "sig", "bands"), key, text, words, share)
-    named = one.select("class_key", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("class_key", F.coalesce("component", "class_id").alias("component"))
+    one = rows.filter("class_key is not null and id is not null").groupBy("class_key").agg(F.min(F.struct("id", "h")).alias("low"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    # Classes are numbered in the table that is written, as two of them may have one least id.
+    one = written(one.withColumn("class_id", F.monotonically_increasing_id()), "classes")
+    labels = linked_components(keyed(documents, key, text), one.select(F.col("class_id").alias("id"), "low", "n_shingles", "sig", "bands"), words, share)
+    placed = one.select("class_key", "class_id", F.col("low.id").alias("low")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
+    least = for_all_salts(placed.filter("component is not null").groupBy("component").agg(F.min("low").alias("least")), SALTS)
+    linked = salted(placed.filter("component is not null"), "class_id", SALTS).join(least, ["component", "salt"]).select("class_key", F.col("least").alias("component"))
+    named = linked.unionAll(placed.filter("component is null").select("class_key", "low"))
     # Copies share a class key: salted, as one class may hold much of all rows.
-    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    light = rows.select("id", "n_shingles", "class_key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = light.filter("class_key is not null and id is not null").join(spread, ["class_key", "salt"]).select("id", "n_shingles", "component")
+    light = salted(rows.select("id", "h", "n_shingles", "class_key"), "id", SALTS)
+    out = light.filter("class_key is not null and id is not null").join(for_all_salts(named, SALTS), ["class_key", "salt"]).select("id", "n_shingles", "component")
     alone = light.filter("class_key is null or id is null").select("id", "n_shingles", F.col("id").alias("component"))
     return out.unionAll(alone).select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -301,6 +301,29 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    """Rows are documents of their own; each has the least id that its own text reaches."""
+    from millrace.llm import near_dup
+
+    rng = random.Random(3)
+    a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (2, b + " end"), (7, a + " end"), (5, c), (5, None), (9, b)] + [(11, c)] * 200
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    count = lambda *want: sum((r.doc_id, r.component_id, r.kept) == want for r in got)
+    # Of id 5: with a and with c it is the least, with b it is not, and without text it stands alone.
+    assert len(got) == len(rows) and count(5, 5, True) == 3 and count(5, 2, False) == 1
+    assert count(2, 2, True) == count(7, 5, False) == count(9, 2, False) == 1 and count(11, 5, False) == 200
+
+
+def test_near_duplicates_in_split_buckets(spark, monkeypatch):
+    """Buckets dealt to many parts give the same components."""
+    from millrace.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "HUB_ROWS", 3)
+    monkeypatch.setattr(near_dup, "PAIR_ROWS", 2)
+    test_near_duplicates(spark)
+
+
 def test_components(spark):
     from millrace.llm import near_dup
 
@@ -319,54 +342,6 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
-# pieces
-
-
-def test_pieces(spark):
-    from millrace.llm import pieces
-    from millrace.llm.queries import tokenizer_path
-
-    vocabulary = pieces.Vocabulary.load(tokenizer_path())
-    texts = ["hello world", "", " ", None, "a  b\n\tc é ▁ 日本語 🦀🦀", "  lead and trail  ", "x" * 3_000, "The cat " * 20_000, "\x00\x01"]
-    df = docs_of(spark, texts).withColumn("ids", F.lit("clash"))
-    coded = pieces.encode(df, vocabulary, n=4)
-    rows = coded.orderBy("doc_id").collect()
-    assert all(r.round_trip for r in rows) and rows[3].n_pieces == 0
-    back = {r.doc_id: r.text for r in pieces.decode(coded, vocabulary).collect()}
-    assert [back[i] for i in range(len(texts))] == [t or "" for t in texts]
-    assert pieces.encode(df.limit(0), vocabulary).count() == 0
-
-
-def all_scores(vocabulary, text):
-    lattice, out = vocabulary.lattice([b" " + text]), []
-
-    def go(node, score):
-        if node == lattice.last[0]:
-            out.append(score)
-        for e in np.flatnonzero(lattice.start == node):
-            go(lattice.stop[e], score + lattice.score[e])
-
-    go(lattice.first[0], 0.0)
-    return sorted(out, reverse=True)
-
-
-def test_n_best_against_all_segmentations():
-    from millrace.llm import pieces
-    from millrace.llm.queries import tokenizer_path
-
-    vocabulary = pieces.Vocabulary.load(tokenizer_path())
-    words = [b"hello", b"thering", "étion".encode(), b"a", b"zq"]
-    for w in words:
-        want = all_scores(vocabulary, w)[:6]
-        assert np.allclose([s for s, _ in vocabulary.lattice([b" " + w]).n_best(0, 6)], want)
-    # Of a whole text: the sums over chunks.
-    sums = [0.0]
-    for w in (b"hello", b"zing", b"a"):
-        sums = sorted((a + b for a in sums for b in all_scores(vocabulary, w)), reverse=True)[:50]
-    ((_, scores),) = pieces.Encoder(vocabulary, 5).encode([b"hello zing a"])
-    assert np.allclose(scores, sums[:5])
-
-
 # pipeline
 
 
