@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where a session names no shared folder, as in local tests.
+#: Used only by local sessions that name no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: By application the tables that :func:`written` has left, oldest first.
+_TABLES: dict[str, list[str]] = {}
 
 
 def build(master: str = "local[*]", partitions: int | None = None, **conf: str) -> SparkSession:
@@ -28,6 +30,16 @@ def build(master: str = "local[*]", partitions: int | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a local master may do without."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_CHECKPOINTS
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
 
@@ -38,27 +50,46 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
-    Tables of an application stand in one folder; :func:`drop_written` removes it.
+    Tables of an application stand in one folder; :func:`drop_tables` removes
+    some of them, :func:`drop_written` all.
     """
     spark = df.sparkSession
     path = f"{_written_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
 
+def tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that :func:`written` has left, oldest first."""
+    return list(_TABLES.get(spark.sparkContext.applicationId, []))
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written tables; what was read from them must be written itself by now."""
+    held = _TABLES.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+        held.remove(path)
+
+
 def drop_written(spark: SparkSession) -> None:
-    """Remove the tables that :func:`written` has left; results read from them are lost."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(_written_folder(spark))
+    """Remove all tables that :func:`written` has left; results read from them are lost."""
+    _delete(spark, _written_folder(spark))
+    _TABLES.pop(spark.sparkContext.applicationId, None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _written_folder(spark: SparkSession) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS).rstrip("/")
-    return f"{folder}/tables/{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
