@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import chunks, markdown
 from millrace.operators import code, graph, packing, sections
-from millrace.session import LOCAL_CHECKPOINTS
+from millrace.session import shared_folder
 from millrace.sources.tables import table
 from millrace.streaming import events as streams
 
@@ -88,7 +88,7 @@ def event_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark) + f"/stream-{uuid.uuid4().hex}"
     stream = streams.read_events(spark, source if _is_folder(spark, source) else f"{sf_dir}/events*.parquet", schema)
     latest = streams.latest_progress(stream, "user_id", "event_id", "event_type")
 

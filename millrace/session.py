@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only by local sessions that name no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-#: By application the tables that :func:`written` has left, oldest first.
-_TABLES: dict[str, list[str]] = {}
+#: Of each thread, so that none drops another's: the tables that :func:`written` has left, oldest first.
+_LEFT = threading.local()
 
 
 def build(master: str = "local[*]", partitions: int | None = None, **conf: str) -> SparkSession:
@@ -63,27 +64,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_written_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _left(spark).append(path)
     return spark.read.parquet(path)
 
 
 def tables(spark: SparkSession) -> list[str]:
-    """Paths of the tables that :func:`written` has left, oldest first."""
-    return list(_TABLES.get(spark.sparkContext.applicationId, []))
+    """Paths of the tables that :func:`written` has left in this thread, oldest first."""
+    return list(_left(spark))
+
+
+def _left(spark: SparkSession) -> list[str]:
+    return _LEFT.__dict__.setdefault(spark.sparkContext.applicationId, [])
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     """Remove written tables; what was read from them must be written itself by now."""
-    held = _TABLES.get(spark.sparkContext.applicationId, [])
     for path in paths:
         _delete(spark, path)
-        held.remove(path)
+        _left(spark).remove(path)
 
 
 def drop_written(spark: SparkSession) -> None:
     """Remove all tables that :func:`written` has left; results read from them are lost."""
     _delete(spark, _written_folder(spark))
-    _TABLES.pop(spark.sparkContext.applicationId, None)
+    _left(spark).clear()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
