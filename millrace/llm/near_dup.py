@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices
-from millrace.session import written
+from millrace.session import drop_tables, tables, written
 
 BANDS, ROWS = 8, 2
 SIGNATURE = 2 * BANDS * ROWS
@@ -150,6 +150,7 @@ def for_all_salts(rows: DataFrame, parts: Column | int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` of all ids in ``links`` (a, b): the least id that can be reached."""
     both = salted(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "a", HUB_SALTS)
+    spark, held = links.sparkSession, tables(links.sparkSession)
     both = written(both, "both")
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("low", "id").alias("component"))
     labels = written(labels, "labels")
@@ -165,6 +166,7 @@ def components(links: DataFrame) -> DataFrame:
         jumped = written(jumped, "labels")
         labels = jumped.select("id", "component")
         if jumped.filter("component < before").isEmpty():
+            drop_tables(spark, [path for path in tables(spark)[:-1] if path not in held])
             return labels
 
 
@@ -224,6 +226,7 @@ def linked_components(texts: DataFrame, signs: DataFrame, words: int, share: int
     ``signs`` names each class's text by ``low``, a struct of document id and
     hash, under which it stands in ``texts`` (id, h, text).
     """
+    spark, held = texts.sparkSession, tables(texts.sparkSession)
     i = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     first = signs.select("id", "bands", i.alias("i")).select("id", "bands", "i", F.explode(F.sequence(F.lit(BANDS), F.lit(2 * BANDS - 1))).alias("j"))
     keyed = first.select("id", F.xxhash64(F.get("bands", F.col("i")), F.get("bands", F.col("j"))).alias("bucket"))
@@ -275,6 +278,8 @@ def linked_components(texts: DataFrame, signs: DataFrame, words: int, share: int
         tried = pairs if tried is None else tried.unionAll(pairs)
         links = found if links is None else links.unionAll(found)
         labels = components(links)
+        last = tables(spark)[-1]
+    drop_tables(spark, [path for path in tables(spark) if path not in held and path != last])
     return labels
 
 

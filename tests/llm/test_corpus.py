@@ -340,46 +340,3 @@ def test_components(spark):
         a, b = sorted((find(a), find(b)))
         parent[b] = a
     assert got == {x: find(x) for x in parent}
-
-
-# pipeline
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    rng = random.Random(12)
-    english = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' and length(text) between 300 and 2000").orderBy("doc_id").limit(60).collect()]
-    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(25))
-    texts = [*english, english[0], english[1] + " tail", f"{english[2][:200]} {item} {english[3][:200]}", None, "123 456", english[5][:150] + " password=abc123def456abc789 " + english[6][:300]]
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    dropped = []
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before = {r.doc_id for r in docs.select("doc_id").collect()}
-        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out{k}")
-        docs = spark.read.parquet(f"{tmp_path}/out{k}")
-        dropped.append(before - {r.doc_id for r in docs.select("doc_id").collect()})
-        if k < 4:
-            assert docs.columns == corpus_pipeline.COLUMNS
-        if k == 3:
-            assert "[assign]" in docs.filter(F.col("doc_id") == len(texts) - 1).first().text
-    n = len(english)
-    assert dropped[0] == {n + 3, n + 4} and {n, n + 1} <= dropped[1] and dropped[2] == {n + 2} and not dropped[3] and not dropped[4]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
-
-
-def test_pipeline_drops_near_copies_from_80_percent(spark):
-    import corpus_pipeline
-
-    rng = random.Random(21)
-    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
-    texts = []
-    for common in (82, 81, 80, 79) * 5:  # of 90 shingles each: similarity 0.837, 0.818, 0.8 and 0.782
-        base = words(94)
-        texts += [" ".join(base), " ".join(base[: common + 4] + words(90 - common))]
-    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    kept = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "")
-    assert {r.doc_id for r in kept.collect()} == {i for i in range(len(texts)) if i % 2 == 0 or i % 8 == 7}
