@@ -1,86 +1,10 @@
-"""The corpus pipeline: five stages, each over all that the one before kept.
+"""The corpus pipeline: language ID, near-dedup, decontamination, secret scan, pieces.
 
-Language ID drops texts that no language fits, near-duplicate detection keeps one
-document of each group, decontamination drops documents that hold benchmark
-passages, the secret scan replaces secrets by their kind, and the last stage
-codes every text in pieces of a public vocabulary.
+The stages are defined in :mod:`millrace.llm.stages`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from millrace.llm.stages import COLUMNS, ORACLE_SQL, STAGES, run
 
-from millrace.llm import decontam, langid, near_dup, pieces, secret_scan
-from millrace.llm.common import held_out
-from millrace.llm.queries import tokenizer_path
-from millrace.session import checkpointed, written
-from millrace.sources.tables import table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bits a byte beyond which a text is no language that was learned; prose has 2 to 3, noise 7 to 8.
-MAX_BITS = 7.0
-#: Percent of all shingles that near duplicates have in common; op6's query is held to 85.
-NEAR_SHARE = 80
-#: Rows up to which ids go out by broadcast; about 12 MB.
-BROADCAST_IDS = 500_000
-
-
-def _few(ids: DataFrame) -> DataFrame:
-    """``ids`` in the shared folder, broadcast if a count shows that they are few."""
-    ids = checkpointed(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts that are null, without a letter, or as costly as noise in every language."""
-    docs = docs.select(*COLUMNS)
-    model = langid.fit(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
-    judged = langid.predict(docs, model)
-    reject = judged.filter((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > MAX_BITS)).select("doc_id").distinct()
-    return docs.join(_few(reject), "doc_id", "left_anti").filter("text is not null")
-
-
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of each group that has the least id."""
-    docs = docs.select(*COLUMNS)
-    out = near_dup.near_duplicates(docs, share=NEAR_SHARE).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(_few(out), "doc_id", "left_anti")
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of the benchmark."""
-    docs = docs.select(*COLUMNS)
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.join(_few(found.select("doc_id").distinct()), "doc_id", "left_anti")
-
-
-def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts."""
-    docs = docs.select(*COLUMNS)
-    return secret_scan.redact(docs, secret_scan.fit(docs))
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The best segmentation of every text, and the scores of the four best."""
-    return pieces.encode(docs, pieces.Vocabulary.load(tokenizer_path()), n=4)
-
-
-STAGES = [
-    ("language ID", language),
-    ("MinHash near-dedup", deduplicate),
-    ("benchmark decontamination", decontaminate),
-    ("secret scans", remove_secrets),
-    ("SentencePiece encoding", encode),
-]
-
-#: No stage but the last filters is expressible in SQL; tests compare with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents", *COLUMNS)
-    for number, (_, stage) in enumerate(STAGES[:-1]):
-        docs = written(stage(spark, docs, sf_dir), f"stage{number}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
