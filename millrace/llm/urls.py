@@ -7,8 +7,10 @@ hosts whose pages rules block (who links to blocked hosts is suspect). A host is
 blocked if distrust makes up at least ``threshold`` of both.
 
 Edges are counted by pair of hosts before any shuffle of pages, ranks are joined
-to edges by host, and each round is cut from its lineage in the shared
-checkpoint folder; neither hosts nor edges reach the driver.
+to edges by host and salt, so that a host with very many links is several keys,
+and rounds are cut from their lineage in the shared checkpoint folder; neither
+hosts nor edges reach the driver. Verdicts meet pages by broadcast where a count
+shows at most ``FEW_HOSTS``, else by host and salt.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and no rule; hosts without links or seeds are allowed; null html has no links;
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from millrace.session import checkpointed
 
 
+#: Hosts up to which verdicts go out by broadcast, about 5 MB, and parts that a host's links and pages are dealt to.
+FEW_HOSTS, SALTS = 100_000, 16
+
+
 @dataclass(frozen=True)
 class Rule:
     """Fits ``host`` and its subdomains where the path starts with ``path``."""
@@ -77,11 +83,14 @@ def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
     changes no order between hosts.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    step = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    # Each host's sum meets its links, and its rank does so in every round.
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
+    step = checkpointed(dealt.join(out.withColumn("salt", parts), ["src", "salt"]).select("src", "salt", "dst", (F.col("weight") / F.col("out")).alias("share")))
     start = seeds.select("host", F.col("weight").alias("restart"))
     ranks = start.select("host", F.col("restart").alias("score"))
     for i in range(rounds):
-        flow = step.join(ranks, step.src == ranks.host).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
+        flow = step.join(ranks.select(F.col("host").alias("src"), "score", parts.alias("salt")), ["src", "salt"]).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
         restart = start.select("host", ((1 - damping) * F.col("restart")).alias("score"))
         ranks = flow.unionAll(restart).groupBy("host").agg(F.sum("score").alias("score"))
         if (i + 1) % keep_every == 0 and i + 1 < rounds:
@@ -113,5 +122,11 @@ def judge(pages: DataFrame, rules: list[Rule], rounds: int = 10, threshold: floa
     verdicts = host_verdicts(ruled, rounds, threshold)
     light = ruled.drop("html", "url")
     by_rule = light.filter("rule is not null").select("page_id", "host", "path", "rule", F.col("rule_verdict").alias("verdict"), F.lit(None).cast("double").alias("trust"), F.lit(None).cast("double").alias("distrust"))
-    rest = light.filter("rule is null").join(verdicts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("host_verdict", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    unruled = light.filter("rule is null")
+    if verdicts.count() <= FEW_HOSTS:
+        met = unruled.join(F.broadcast(verdicts), "host", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+        met = unruled.withColumn("salt", salt).join(verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    rest = met.select("page_id", "host", "path", "rule", F.coalesce("host_verdict", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     return by_rule.unionAll(rest)

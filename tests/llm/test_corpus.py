@@ -164,6 +164,13 @@ def test_urls(spark):
     assert urls.judge(empty(spark, "page_id bigint, url string, html string"), RULES).count() == 0
 
 
+def test_verdicts_by_salt(spark, monkeypatch):
+    from millrace.llm import urls
+
+    monkeypatch.setattr(urls, "FEW_HOSTS", 0)
+    test_urls(spark)
+
+
 def test_page_rank_against_iteration(spark):
     from millrace.llm import urls
 
