@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a search ignores, and how many terms it takes.
-STOP_WORDS = ("the", "and", "for", "are", "how", "what", "why", "with", "this", "that", "from")
+STOP_WORDS = ("src", "js", "jsx", "ts", "tsx", "test", "tests", "backend", "frontend", "users", "workspace")
 MAX_TERMS = 60
 CITATION = r"\[E:([^\]]{1,400})\]"
 
@@ -19,6 +19,12 @@ def search_terms(query: Column) -> Column:
     return F.slice(F.array_distinct(words), 1, MAX_TERMS)
 
 
+def terms_of(query: str) -> tuple[str, ...]:
+    """The same of one query, on the driver."""
+    words = (w.lower() for w in re.split(r"[^\w]+", query))
+    return tuple(dict.fromkeys(w for w in words if len(w.encode()) > 1 and w not in STOP_WORDS))[:MAX_TERMS]
+
+
 def folded(text: Column) -> Column:
     """Lower case, letters and digits only, single spaces."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))

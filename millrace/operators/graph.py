@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import written
+
 
 def tail_name(target):
     """What stands behind the last ``:`` or ``.`` of a callee."""
@@ -49,20 +51,24 @@ def first_overlap(sites: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key, "site").agg(F.min("ordinal").alias("ordinal"))
 
 
-def tree_closure(edges: DataFrame, levels: int = 64) -> DataFrame:
+def tree_closure(edges: DataFrame) -> DataFrame:
     """``ancestor, node, depth`` of a forest of (parent, node), itself included.
 
-    Distances double each round, so a tree of depth d takes log2(d) joins.
+    Distances double each round, each of which is written to the shared folder,
+    until a round finds nothing: a tree of depth d takes log2(d) + 1 joins.
+    Only the farthest pairs of a round lead to new ones.
     """
-    nodes = edges.select(F.col("node")).unionAll(edges.select("parent")).distinct()
-    reach = nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth")).unionAll(edges.select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth")))
-    span = 1
-    while span < levels:
-        up = reach.filter("depth > 0").select(F.col("ancestor").alias("top"), F.col("node").alias("ancestor"), F.col("depth").alias("above"))
-        grown = reach.join(up, "ancestor").select(F.col("top").alias("ancestor"), "node", (F.col("depth") + F.col("above")).alias("depth"))
-        reach = reach.unionAll(grown).distinct()
-        span *= 2
-    return reach
+    edges = written(edges.select("parent", "node").distinct(), "edges")
+    nodes = edges.select("node").unionAll(edges.select("parent")).distinct()
+    reach = nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
+    # All pairs at distances from 1 to span.
+    far, span = edges.select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth")), 1
+    while True:
+        top = far.filter(F.col("depth") == span).select(F.col("ancestor").alias("top"), F.col("node").alias("ancestor"))
+        grown = written(far.join(top, "ancestor").select(F.col("top").alias("ancestor"), "node", (F.col("depth") + span).alias("depth")), "reach")
+        if grown.isEmpty():
+            return reach.unionAll(far)
+        far, span = far.unionAll(grown), 2 * span
 
 
 def prefix_resolve(prefixes: DataFrame, ids: DataFrame, stem: int) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import folded
+from millrace.session import written
+
+#: Blocks that offer one pair of words and meet in one part.
+PAIR_BLOCKS = 2000
 
 
 def exact_duplicates(blocks: DataFrame, key: list[str], text: str, least: int = 120) -> DataFrame:
@@ -14,7 +18,9 @@ def exact_duplicates(blocks: DataFrame, key: list[str], text: str, least: int =
     ``key`` orders blocks. The earliest of a group is found by an aggregate, so
     a passage on any number of pages meets in no single task.
     """
-    marked = blocks.select(*key, folded(F.col(text)).alias("folded")).filter(F.length("folded") >= least).withColumn("hash", F.sha2("folded", 256)).drop("folded")
+    # Used twice: texts are folded once, and short hashes go to the shared folder.
+    marked = blocks.select(*key, folded(F.col(text)).alias("folded")).filter(F.length("folded") >= least).select(*key, F.sha2("folded", 256).alias("hash"))
+    marked = written(marked, "folded")
     first = marked.groupBy("hash").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
     later = marked.join(first, "hash").filter(F.struct(*key) != F.col("first"))
     return later.select(*key, *(F.col(f"first.{k}").alias(f"first_{k}") for k in key))
@@ -36,13 +42,19 @@ def near_duplicates(blocks: DataFrame, key: str, text: str, share: int = 90, lea
     """
     sized = blocks.select(F.col(key).alias("id"), folded(F.col(text)).alias("folded")).filter(F.length("folded") >= least)
     one = sized.groupBy("folded").agg(F.min("id").alias("id")).withColumn("pairs", word_pairs(F.col("folded"))).drop("folded").filter(F.size("pairs") >= least_pairs)
+    one = written(one, "pairs")  # used five times
     each = one.select("id", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
     counts = each.groupBy("pair").agg(F.count("*").alias("uses"))
     ordered = each.join(counts, "pair").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("uses", "pair")))
-    offered = ordered.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1).filter("uses > 1").select("id", "n", "pair")
-    a, b = (offered.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), "pair") for s in "ab")
+    offered = ordered.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1).filter("uses > 1").select("id", "n", "pair", "uses")
+    # A frequent pair's blocks are dealt to parts, each of which meets all of the pair's blocks.
+    parts = (F.floor(F.col("uses") / PAIR_BLOCKS) + 1).cast("int")
+    offered = written(offered.withColumn("parts", parts), "offered")
+    a, b = (offered.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), "pair", "parts") for s in "ab")
+    a = a.withColumn("part", F.pmod(F.xxhash64("id_a"), F.col("parts")).cast("int")).drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     sized_alike = 100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")
-    candidates = a.join(b, "pair").filter((F.col("id_a") < F.col("id_b")) & sized_alike).select("id_a", "id_b").distinct()
+    candidates = a.join(b, ["pair", "part"]).filter((F.col("id_a") < F.col("id_b")) & sized_alike).select("id_a", "id_b").distinct()
     sets = one.select("id", "pairs")
     both = candidates.join(sets.select(F.col("id").alias("id_a"), F.col("pairs").alias("pairs_a")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("pairs").alias("pairs_b")), "id_b")
     common = F.size(F.array_intersect("pairs_a", "pairs_b"))

@@ -51,7 +51,7 @@ def graph_coverage(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> Da
 
 def covered_files(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     """By node of a tree (parent, node): files under it, and whether all its leaves (node, file, complete) are complete."""
-    under = tree_closure(edges, 8).select(F.col("ancestor"), "node")
+    under = tree_closure(edges).select(F.col("ancestor"), "node")
     return under.join(leaves, "node").groupBy(F.col("ancestor").alias("node")).agg(F.countDistinct("file").alias("files"), F.bool_and("complete").alias("complete"))
 
 

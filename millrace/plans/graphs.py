@@ -96,14 +96,14 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a four-ary tree over documents: descendants and depth of every node."""
-    reach = graph.tree_closure(_tree(spark, sf_dir), 16)
+    reach = graph.tree_closure(_tree(spark, sf_dir))
     return reach.groupBy("ancestor").agg(F.count("*").alias("nodes"), F.max("depth").alias("height"))
 
 
 def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many leaves stand under each node."""
     edges = _tree(spark, sf_dir)
-    reach = graph.tree_closure(edges, 16)
+    reach = graph.tree_closure(edges)
     leaves = edges.select("node").join(edges.select(F.col("parent").alias("node")), "node", "left_anti")
     return reach.join(leaves, "node").groupBy("ancestor").agg(F.count("*").alias("leaves"))
 

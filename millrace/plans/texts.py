@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import quality
-from millrace.plans.retrieval import LINES_SQL, QUERY_TERMS, lexical_score, lines
+from millrace.operators import packing, quality
+from millrace.functions.paths import is_implementation
+from millrace.plans.retrieval import LINES_SQL, SCORE_SQL, lines, scored
 from millrace.sources.tables import table
 
 
@@ -16,13 +17,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked lines in tiers: the first of each path of an even source, of other paths, the rest; named paths interleave."""
-    scored = _lines(spark, sf_dir).withColumn("score", lexical_score(F.col("content"), F.col("path"), QUERY_TERMS)).filter("score > 0")
+    """Ranked lines in tiers: the first of each path that is an implementation, of other paths, the rest; named files interleave."""
     by_path = Window.partitionBy("path").orderBy(F.desc("score"), "id")
-    capped = scored.withColumn("nth", F.row_number().over(by_path)).filter("nth <= 8")
-    implementation = F.regexp_extract("path", r"(\d+)$", 1).cast("int") % 2 == 0
-    tier = F.when((F.col("nth") == 1) & implementation, 0).when(F.col("nth") == 1, 1).otherwise(2)
-    named = F.col("path").isin("src2", "src4")
+    capped = scored(_lines(spark, sf_dir)).withColumn("nth", F.row_number().over(by_path)).filter("nth <= 8")
+    tier = F.when((F.col("nth") == 1) & is_implementation(F.col("path")), 0).when(F.col("nth") == 1, 1).otherwise(2)
+    named = F.lower("path").endswith("/doc3.rs")
     priority = F.when(named, F.col("nth") - 1).otherwise(100 + tier)
     return capped.select("id", "path", "score", tier.alias("tier"), priority.cast("int").alias("priority")).orderBy("priority", F.desc("score"), "id").limit(64)
 
@@ -37,8 +36,10 @@ def duplicate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _lines(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("start_line")).alias("block"), "content")
-    return quality.near_duplicates(blocks, "block", "content")
+    blocks = _lines(spark, sf_dir).select(F.struct("doc_id", "start_line").alias("block"), "content")
+    found = quality.near_duplicates(blocks, "block", "content")
+    name = lambda c: F.concat_ws(":", F.col(f"{c}.doc_id").cast("string"), F.col(f"{c}.start_line").cast("string")).alias(c)
+    return found.select(name("id_a"), name("id_b"), "common", "total")
 
 
 def conversation_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +125,7 @@ def document_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents: turns joined in order under their headings."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     part = F.concat(F.lit("## "), F.col("role"), F.lit("\n"), F.coalesce("text", F.lit("")))
-    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
-    whole = F.concat_ws("\n\n", F.transform("parts", lambda p: p["part"]))
-    return ordered.select("conv_id", F.sha2(whole, 256).alias("hash"), F.octet_length(whole).cast("bigint").alias("bytes"))
+    return packing.joined_texts(turns.select("conv_id", "turn", part.alias("part")), ["conv_id"], "turn", "part", "\n\n")
 
 
 def json_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,32 +141,30 @@ _FUNCTIONS = (
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
-_SCORE = " + ".join(f"(CASE WHEN contains(lower(path), '{t}') THEN 10 ELSE 0 END) + 6 * least(4, (length(lower(content)) - length(replace(lower(content), '{t}', ''))) // {len(t)})" for t in QUERY_TERMS)
 _FOLD = "trim(regexp_replace(lower(content), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 ORACLE = {
     "retrieval_tiered": f"""
-WITH s AS (SELECT id, path, CAST({_SCORE} AS BIGINT) AS score FROM ({LINES_SQL})),
+WITH s AS (SELECT id, path, names_path, CAST({SCORE_SQL} AS BIGINT) AS score FROM ({LINES_SQL})),
 c AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) AS nth FROM s WHERE score > 0),
-t AS (SELECT *, CASE WHEN nth = 1 AND CAST(regexp_extract(path, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN 0 WHEN nth = 1 THEN 1 ELSE 2 END AS tier FROM c WHERE nth <= 8)
-SELECT id, path, score, CAST(tier AS INTEGER) AS tier, CAST(CASE WHEN path IN ('src2', 'src4') THEN nth - 1 ELSE 100 + tier END AS INTEGER) AS priority FROM t ORDER BY priority, score DESC, id LIMIT 64""",
+t AS (SELECT *, CASE WHEN nth = 1 AND ends_with(path, '.rs') AND NOT contains(path, '/tests/') THEN 0 WHEN nth = 1 THEN 1 ELSE 2 END AS tier FROM c WHERE nth <= 8)
+SELECT id, path, score, CAST(tier AS INTEGER) AS tier, CAST(CASE WHEN ends_with(names_path, '/doc3.rs') THEN nth - 1 ELSE 100 + tier END AS INTEGER) AS priority FROM t ORDER BY priority, score DESC, id LIMIT 64""",
     "search_terms": f"""
 WITH w AS (SELECT conv_id, turn, list_transform(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x)) AS words FROM conversations),
-f AS (SELECT conv_id, turn, list_filter(words, lambda x, i: strlen(x) > 1 AND x NOT IN ({_STOP}) AND list_position(words, x) = i)[1:60] AS terms FROM w)
+f AS (SELECT conv_id, turn, list_filter(words, lambda x, i: strlen(x) > 1 AND x NOT IN ('src', 'js', 'jsx', 'ts', 'tsx', 'test', 'tests', 'backend', 'frontend', 'users', 'workspace') AND list_position(words, x) = i)[1:60] AS terms FROM w)
 SELECT conv_id, turn, array_to_string(terms, ' ') AS terms, CAST(len(terms) AS BIGINT) AS n FROM f""",
     "duplicate_exact": f"""
 WITH b AS (SELECT doc_id, start_line, {_FOLD} AS folded FROM ({LINES_SQL})), m AS (SELECT * FROM b WHERE length(folded) >= 120),
 f AS (SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(start_line) OVER w AS first_start_line FROM m WINDOW w AS (PARTITION BY folded ORDER BY doc_id, start_line))
 SELECT * EXCLUDE (folded) FROM f WHERE doc_id <> first_doc_id OR start_line <> first_start_line""",
     "duplicate_near": f"""
-WITH b AS (SELECT doc_id * 100000 + start_line AS id, {_FOLD} AS folded FROM ({LINES_SQL})),
+WITH b AS (SELECT {{'d': doc_id, 's': start_line}} AS id, {_FOLD} AS folded FROM ({LINES_SQL})),
 o AS (SELECT min(id) AS id, string_split(folded, ' ') AS w FROM b WHERE length(folded) >= 200 GROUP BY folded),
 p AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM o)),
 n AS (SELECT id, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 8),
 r AS (SELECT pair FROM p GROUP BY 1 HAVING count(*) >= 2),
 k AS (SELECT DISTINCT x.id AS id_a, y.id AS id_b FROM p x JOIN r USING (pair) JOIN p y USING (pair) WHERE x.id < y.id),
 c AS (SELECT id_a, id_b, count(*) AS common FROM k JOIN p x ON x.id = id_a JOIN p y ON y.id = id_b AND x.pair = y.pair GROUP BY 1, 2)
-SELECT id_a, id_b, CAST(common AS INTEGER) AS common, CAST(na.n + nb.n - common AS INTEGER) AS total FROM c JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE 100 * common >= 90 * (na.n + nb.n - common)""",
+SELECT id_a.d || ':' || id_a.s AS id_a, id_b.d || ':' || id_b.s AS id_b, CAST(common AS INTEGER) AS common, CAST(na.n + nb.n - common AS INTEGER) AS total FROM c JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE 100 * common >= 90 * (na.n + nb.n - common)""",
     "conversation_neighbors": "SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "conversation_windows": """
 WITH c AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY 1), s AS (SELECT conv_id, n, unnest(CASE WHEN n <= 3 THEN [0] ELSE range(0, n - 1, 2) END) AS start FROM c)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
+from millrace.operators.packing import joined_texts
 
 MAX_FILE_BYTES = 20 << 20
 
@@ -34,8 +35,9 @@ def counters(files: DataFrame) -> DataFrame:
 def fingerprint(files: DataFrame, version: str) -> DataFrame:
     """One hash of all indexed files: of (path, hash) lines in sorted order, folded by first byte of the path's hash.
 
+    Lines of a part stream through a task in order and are hashed one by one;
     256 partial hashes are joined, so no task holds all files.
     """
     lines = files.filter("status = 'indexed'").select(F.substring(F.sha2("path", 256), 1, 2).alias("part"), F.concat_ws(":", "path", "hash").alias("line"))
-    parts = lines.groupBy("part").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("line"))), 256).alias("hash"))
+    parts = joined_texts(lines, ["part"], "line", "line", "\n")
     return parts.agg(F.sha2(F.concat_ws(":", F.lit(version), F.array_sort(F.collect_list(F.concat("part", "hash")))), 256).alias("fingerprint"))
