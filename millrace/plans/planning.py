@@ -104,6 +104,15 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS id FROM lineitem l WHERE NOT
     "title_dependencies": """
 WITH s AS (SELECT l_orderkey AS outline, l_linenumber AS position, l_suppkey % 9 AS title FROM lineitem), n AS (SELECT outline, title, min(position) AS needs FROM s GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT DISTINCT s.outline, s.position, needs FROM s JOIN n ON n.outline = s.outline AND n.title = s.title - 1 WHERE needs < s.position""",
+    "leaf_ownership": """
+WITH RECURSIVE c AS (SELECT o_custkey, l_partkey % 10 AS leaf, l_suppkey % 5 AS section, count(*) AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+m AS (SELECT *, max(score) OVER (PARTITION BY o_custkey, leaf) AS top FROM c),
+g AS (SELECT o_custkey, leaf, count(*) AS claims, list(section ORDER BY section) FILTER (score = top) AS best FROM m GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY leaf) AS i FROM g),
+r AS (SELECT o_custkey, i, leaf, claims, best[1] AS section, CASE WHEN claims > 1 THEN [best[1]] ELSE CAST([] AS BIGINT[]) END AS won FROM o WHERE i = 1
+  UNION ALL SELECT o_custkey, i, leaf, claims, section, CASE WHEN claims > 1 THEN list_append(won, section) ELSE won END FROM
+    (SELECT o.o_custkey, o.i, o.leaf, o.claims, won, list_sort(list_transform(o.best, lambda s: len(list_filter(won, lambda w: w = s)) * 100 + s))[1] % 100 AS section FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i = r.i + 1))
+SELECT o_custkey, leaf, section FROM r""",
     "chapter_batches": "SELECT s_suppkey, s_nationkey, CAST((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 AS INTEGER) AS batch FROM supplier",
     "plan_groups": """
 WITH RECURSIVE t AS (SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),

@@ -107,6 +107,15 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 QUERIES = {f.__name__: f for f in (chunk_text, segments, leaf_batches, pack_round_robin, ration_records, section_checks, ingest_code, heading_counts, event_stream_latest)}
 
+#: Pieces of texts of at most ``most`` bytes, cut after line ends, else between characters.
+_CUTS = """
+WITH RECURSIVE c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS k FROM documents WHERE text <> ''),
+b AS (SELECT doc_id, ch = chr(10) AS line, CAST(sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS stop FROM c),
+l AS (SELECT doc_id, list(stop ORDER BY stop) AS stops, list(stop ORDER BY stop) FILTER (line) AS line_stops, max(stop) AS total FROM b GROUP BY 1),
+r AS (SELECT doc_id, 0 AS piece, CAST(0 AS BIGINT) AS start, CASE WHEN total <= {most} THEN total ELSE coalesce(list_max(list_filter(line_stops, lambda x: x <= {most})), list_max(list_filter(stops, lambda x: x <= {most}))) END AS stop FROM l
+  UNION ALL SELECT r.doc_id, piece + 1, stop, CASE WHEN total <= stop + {most} THEN total ELSE coalesce(list_max(list_filter(line_stops, lambda x: x <= stop + {most} AND x > stop)), list_max(list_filter(stops, lambda x: x <= stop + {most}))) END
+  FROM r JOIN l ON l.doc_id = r.doc_id WHERE stop < total)
+"""
 ORACLE = {
     "section_checks": """
 WITH s AS (SELECT conv_id * 100 + turn AS section, turn FROM conversations)
@@ -121,6 +130,30 @@ r AS (SELECT conv_id, turn, i, cost AS size, 1 AS n, 0 AS batch FROM t WHERE i =
   UNION ALL SELECT t.conv_id, t.turn, t.i, CASE WHEN size + cost > 1500 OR n >= 36 THEN cost ELSE size + cost END, CASE WHEN size + cost > 1500 OR n >= 36 THEN 1 ELSE n + 1 END, batch + CASE WHEN size + cost > 1500 OR n >= 36 THEN 1 ELSE 0 END
   FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
 SELECT conv_id, turn, batch FROM r""",
+    "pack_round_robin": """
+WITH RECURSIVE t AS (SELECT conv_id, role, turn, CAST(strlen(text) + 256 AS BIGINT) AS cost, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations),
+o AS (SELECT conv_id, CAST(turn AS VARCHAR) AS item, cost, row_number() OVER (PARTITION BY conv_id ORDER BY nth, role) AS i FROM t),
+r AS (SELECT conv_id, i, CASE WHEN cost <= 2500 THEN [item] ELSE CAST([] AS VARCHAR[]) END AS ids, CASE WHEN cost <= 2500 THEN cost ELSE 0 END AS size, CASE WHEN cost <= 2500 THEN 0 ELSE 1 END AS deferred FROM o WHERE i = 1
+  UNION ALL SELECT o.conv_id, o.i, CASE WHEN NOT list_contains(ids, item) AND size + cost <= 2500 THEN list_append(ids, item) ELSE ids END,
+    CASE WHEN NOT list_contains(ids, item) AND size + cost <= 2500 THEN size + cost ELSE size END, CASE WHEN list_contains(ids, item) OR size + cost <= 2500 THEN deferred ELSE deferred + 1 END
+  FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1)
+SELECT conv_id, array_to_string(arg_max(ids, i), ',') AS turns, CAST(arg_max(size, i) AS BIGINT) AS size, CAST(arg_max(deferred, i) AS INTEGER) AS deferred FROM r GROUP BY 1""",
+    "ration_records": """
+WITH RECURSIVE t AS (SELECT conv_id, role, CAST(strlen(text) + 256 AS BIGINT) AS cost, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations),
+o AS (SELECT conv_id, role, cost, row_number() OVER (PARTITION BY conv_id ORDER BY nth, role) AS i FROM t),
+r AS (SELECT conv_id, i, role, cost <= 2500 AS fits, CASE WHEN cost <= 2500 THEN cost ELSE 0 END AS size, CASE WHEN cost <= 2500 THEN CAST([] AS VARCHAR[]) ELSE [role] END AS stuck FROM o WHERE i = 1
+  UNION ALL SELECT o.conv_id, o.i, o.role, NOT list_contains(stuck, o.role) AND size + cost <= 2500, CASE WHEN NOT list_contains(stuck, o.role) AND size + cost <= 2500 THEN size + cost ELSE size END,
+    CASE WHEN NOT list_contains(stuck, o.role) AND size + cost > 2500 THEN list_append(stuck, o.role) ELSE stuck END
+  FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1)
+SELECT conv_id, role, count(*) FILTER (fits) AS shown, count(*) FILTER (NOT fits) AS omitted FROM r GROUP BY 1, 2""",
+    "segments": _CUTS.format(most=2000) + """
+SELECT r.doc_id, CAST(piece AS INTEGER) AS segment, CAST(1 + len(list_filter(coalesce(line_stops, []), lambda x: x <= start)) AS INTEGER) AS start_line,
+  CAST(1 + len(list_filter(coalesce(line_stops, []), lambda x: x < stop)) AS INTEGER) AS end_line, stop - start AS bytes FROM r JOIN l ON l.doc_id = r.doc_id""",
+    "chunk_text": _CUTS.format(most=12000) + """
+SELECT r.doc_id, CAST(piece AS INTEGER) AS chunk, CAST(1 + len(list_filter(coalesce(line_stops, []), lambda x: x <= start)) AS INTEGER) AS start_line,
+  CAST(1 + len(list_filter(coalesce(line_stops, []), lambda x: x < stop)) AS INTEGER) AS end_line, stop - start AS bytes,
+  sha256(substr(text, CAST(coalesce(list_position(stops, start), 0) + 1 AS BIGINT), CAST(list_position(stops, stop) - coalesce(list_position(stops, start), 0) AS BIGINT))) AS hash
+FROM r JOIN l ON l.doc_id = r.doc_id JOIN documents d ON d.doc_id = r.doc_id""",
     "ingest_code": """
 SELECT 'src/gen_' || i || '.rs' AS file, (bytes + 11999) // 12000 AS chunks, bytes, CAST(10000 AS BIGINT) AS calls, CAST(10000 AS BIGINT) AS resolved FROM
 (SELECT n // 10000 AS i, CAST(sum(length('fn step_' || n || '() { step_' || ((n + 10000) % 100000) || '(); }')) + 9999 AS BIGINT) AS bytes FROM range(100000) r(n) GROUP BY 1)""",
