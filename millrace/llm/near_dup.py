@@ -56,7 +56,7 @@ BINS = 16
 #: Parts that the rows of one class or component are dealt to, and the rows that meet one hub's label.
 SALTS, HUB_SALTS = 32, 8
 #: Rows of a bucket that meet its hub in one part, and that meet others in one part.
-HUB_ROWS, PAIR_ROWS = 5000, 200
+HUB_ROWS, PAIR_ROWS = 5000, 2000
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
