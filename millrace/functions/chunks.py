@@ -69,17 +69,3 @@ def chunk_text(text: Column, boundaries: Column | None = None, most: int = 12_00
 def segments(text: Column, most: int) -> Column:
     """Segments of at most ``most`` bytes (four at least), cut after line ends where possible."""
     return _chunks(text, F.array().cast("array<int>"), F.lit(max(most, 4)), F.lit(0))
-
-
-def excerpt(text: str, limit: int, gap: str = "\n[… excerpt …]\n") -> str:
-    """Head and tail of a text within ``limit`` bytes; empty if the gap alone does not fit."""
-    data, room = text.encode(), limit - len(gap.encode())
-    if len(data) <= limit:
-        return text
-    if room < 0:
-        return ""
-    head = char_start(data, room - room // 2)
-    tail = len(data) - room // 2
-    while tail < len(data) and data[tail] & 0xC0 == 0x80:
-        tail += 1
-    return data[:head].decode() + gap + data[tail:].decode()

@@ -66,6 +66,40 @@ def packing_limit(context: Column, output: Column, safety: int, overhead: Column
     return F.greatest(scaled - overhead, F.lit(0)).cast("bigint")
 
 
+def _valid(text: Column, start: Column, size: Column, step: int) -> Column:
+    """The bytes from ``start`` (0-based), ``size`` long, without up to three bytes of a cut character at the front (step 1) or the end (step -1)."""
+    data = text.cast("binary")
+    tries = [F.substring(data, start + 1 + (k if step > 0 else 0), F.greatest(size - k, F.lit(0))).cast("string") for k in range(4)]
+    return F.coalesce(*(F.when(F.is_valid_utf8(t), t) for t in tries))
+
+
+def tail(text: Column, most: int) -> Column:
+    """The last ``most`` bytes, from the beginning of a character."""
+    size = F.least(F.octet_length(text), F.lit(most))
+    return _valid(text, F.octet_length(text) - size, size, 1)
+
+
+def excerpt(text: Column, limit: int, gap: str = "\n[… excerpt …]\n") -> Column:
+    """Head and tail of a text within ``limit`` bytes; empty if the gap alone does not fit."""
+    room = limit - len(gap.encode())
+    if room < 0:
+        return F.when(F.octet_length(text) <= limit, text).otherwise("")
+    head, end = room // 2, room - room // 2
+    both = F.concat(_valid(text, F.lit(0), F.lit(head), -1), F.lit(gap), tail(text, end))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(both)
+
+
+def without_overlap(text: Column, more: Column, least: int = 32, most: int = 8000) -> Column:
+    """``more`` without the longest start, of ``least`` to ``most`` bytes, that ``text`` ends with; joined to ``text``."""
+    # Only places where the end of the text has the first bytes of what follows are tried.
+    end, key = F.right(text, F.lit(most)), F.left(more, F.lit(least // 4))
+    sizes = F.sequence(F.least(F.length(end), F.length(more), F.lit(most)), F.lit(0), F.lit(-1))
+    fits = F.filter(sizes, lambda n: (n > 0) & (F.substring(end, F.length(end) - n + 1, F.length(key)) == key) & (F.octet_length(F.left(more, n)) >= least) & (F.octet_length(F.left(more, n)) <= most) & end.endswith(F.left(more, n)))
+    shared = F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
+    rest = F.substring(more, shared + 1, F.length(more))
+    return F.when(shared > 0, F.concat(text, rest)).otherwise(F.concat(text, F.lit("\n\n"), more))
+
+
 def common_prefix(low: Column, high: Column) -> Column:
     """The longest common prefix of two strings; of a group's least and greatest, that of the group."""
     shared = F.aggregate(F.sequence(F.lit(0), F.least(F.length(low), F.length(high))), F.lit(0), lambda n, k: F.when(F.substring(low, F.lit(1), k) == F.substring(high, F.lit(1), k), k).otherwise(n))

@@ -30,8 +30,8 @@ def test_chunks_end_at_lines_and_boundaries(spark):
     data = ("x" * 99 + "\n") * 200
     pieces = chunks.cut(data.encode(), 12_000, [3_000, 9_000], 4_000)
     assert [len(p) for p in pieces[:2]] == [9_000, 11_000]
-    assert chunks.excerpt("short", 10) == "short" and chunks.excerpt("é" * 50, 5) == ""
-    assert len(chunks.excerpt("é" * 500, 101).encode()) <= 101
+    one = lambda t, n: spark.createDataFrame([(t,)], "t string").select(text.excerpt(F.col("t"), n).alias("x")).first().x
+    assert one("short", 10) == "short" and one("é" * 50, 5) == "" and len(one("é" * 500, 101).encode()) <= 101
 
 
 def test_paths(spark):
@@ -257,3 +257,68 @@ def test_settled_runs(spark):
     before = spark.createDataFrame([(1, "completed"), (2, "running"), (3, "queued")], "run int, status string")
     journal = spark.createDataFrame([(1, 1, "failed"), (2, 1, "failed"), (2, 2, "cancelled")], "run int, number int, status string")
     assert {r.run: r.status for r in runs.settle_status(before, journal).collect()} == {1: "completed", 2: "cancelled", 3: "queued"}
+
+
+def passages_of(spark, rows):
+    return spark.createDataFrame(rows, "scope string, id string, path string, start int, end int, content string")
+
+
+def test_fit_shrinks_every_passage_and_keeps_all(spark):
+    from millrace.operators import passages
+
+    rows = [("a", f"chunk{i}", f"/project/module{i}.js", 1, 400, f"const marker{i} = 1;\n" + "  filler();\n" * 900) for i in range(6)] + [("b", "small", "/project/tiny.js", 1, 1, "export const ok = true;")]
+    terms = F.array(F.lit("marker3"), F.lit("filler"))
+    got = {r.path: r for r in passages.fit_evidence(passages_of(spark, rows), "scope", 12_000, terms).collect()}
+    cut = [r for r in got.values() if r.scope == "a"]
+    assert len(cut) == 6 and sum(len(r.content) + len(r.path) + 128 for r in cut) <= 12_000
+    assert all(r.id != f"chunk{i}" and r.content in rows[i][5] and r.end - r.start + 1 == r.content.count("\n") for i, r in enumerate(sorted(cut, key=lambda r: r.path)))
+    assert got["/project/tiny.js"].id == "small" and got["/project/tiny.js"].content == "export const ok = true;"
+
+
+def test_excerpt_stands_where_the_code_matches():
+    from millrace.operators.passages import focused
+
+    content = "// note about read_result\n" * 120 + "if (action === 'read_result') {\n  updateView();\n}\n" + "other();\n" * 200
+    skipped, found = focused(content, 600, ["read_result", "updateview"])
+    assert "updateView" in found and len(found) <= 600 and content.split("\n")[skipped : skipped + found.count("\n")] == found.split("\n")[:-1]
+    assert focused("short", 10, ["x"]) == (0, "short")
+    body = "한글🦀" * 900
+    assert len(focused(body, 601, ["글"])[1].encode()) <= 601
+
+
+def test_retrieval_pack_respects_room_and_shares(spark):
+    from millrace.operators import passages
+
+    rows = [("s", f"i{k}", f"f{k}.rs", 1, 300, f"line {k};\n" * 300) for k in range(6)]
+    df = passages_of(spark, rows).withColumn("tier", (F.substring("id", 2, 1).cast("int") >= 2).cast("int") * 2)
+    got = passages.retrieval_pack(df, "scope", ["id"], "tier", 6_000, F.array(F.lit("line")), F.lit(4)).orderBy("path").collect()
+    assert sum(len(r.content) + len(r.path) + 128 for r in got) <= 6_000
+    assert all(len(r.content) <= 1_500 for r in got[:2]) and len(got[2].content) > 2_500 and [r.path for r in got] == [f"f{k}.rs" for k in range(len(got))]
+    assert all(r.id != f"i{k}" for k, r in enumerate(got) if len(r.content) < 2_700)
+
+
+def test_scope_records_counts_each_record(spark):
+    rows = [(1, "a", 0, "x", 50), (1, "a", 1, "x", 50), (1, "b", 0, "x", 90), (1, "b", 1, "y", 10)]
+    df = spark.createDataFrame(rows, "scope int, g string, i int, item string, cost int")
+    got = {(r.g, r.item, r.place) for r in packing.scope_records(df, ["scope"], "g", "i", "cost", 110, "item").collect()}
+    assert got == {("a", "x", 1), ("b", "x", None), ("a", "x", 2), ("b", "y", 3)}
+    by_path = packing.pack_by_path(df.withColumn("item", F.concat("g", "i")), ["scope"], "g", "i", "cost", 200, "item").first()
+    assert by_path.ids == ["a0", "b0", "a1", "b1"] and by_path.size == 200
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("a `b` c", ["`b`"]),
+        ("a `b c", []),
+        ("a `b\n\nc` d", []),
+        ("``a`b`` `c`", ["``a`b``", "`c`"]),
+        ("\\`a` b`", ["` b`"]),
+        ("~~~\n`x`\n```\n~~~\nend", ["~~~\n`x`\n```\n~~~\n"]),
+        ("text\n    not code\n\n    code\n", ["    code\n"]),
+        ("- item\n\n    still item\n", []),
+        ("```\nopen", ["```\nopen"]),
+    ],
+)
+def test_code_ranges(body, want):
+    assert [body[a:b] for a, b in markdown.code_ranges(body)] == want
