@@ -532,10 +532,17 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_do
             texts.append(line.replace("\n", " "))
             secrets.append(places)
             files.append((r.size, r.digits))
+    parts = [labelled(pairs, texts[at : at + 1000], secrets[at : at + 1000], files[at : at + 1000]) for at in range(0, len(texts), 1000)]
+    size = np.concatenate([size for *_, size in parts])
+    return train(np.concatenate([feats for feats, *_ in parts], axis=1), np.concatenate([tags for _, tags, _ in parts]), np.cumsum(size) - size, pairs)
+
+
+def labelled(pairs: np.ndarray, texts: list[str], secrets: list[list[tuple[int, int]]], files: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and tags of the tokens of lines, and the sizes of their chains."""
     s = Slice(pa.array(texts, pa.large_string()))
     s.tokens()
     feats = s.features(pairs, tuple(np.array(files).T))
-    tags = np.full(len(s.a), OUTSIDE)
+    tags = np.full(len(s.a), OUTSIDE, np.int8)
     doc = s._doc(s.a)
     bound = np.searchsorted(doc, np.arange(len(texts) + 1))
     for i, places in enumerate(secrets):
@@ -545,7 +552,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_do
             t = t[(s.a[t] < high) & (s.b[t] > low)]
             tags[t] = INSIDE
             tags[t[:1]] = BEGIN
-    return train(feats, tags, s.chain, pairs)
+    return feats, tags, s.size
 
 
 def scan(documents: DataFrame, field: Field | None, key: str = "doc_id", text: str = "text") -> DataFrame:
