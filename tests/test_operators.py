@@ -293,8 +293,8 @@ def test_retrieval_pack_respects_room_and_shares(spark):
     df = passages_of(spark, rows).withColumn("tier", (F.substring("id", 2, 1).cast("int") >= 2).cast("int") * 2)
     got = passages.retrieval_pack(df, "scope", ["id"], "tier", 6_000, F.array(F.lit("line")), F.lit(4)).orderBy("path").collect()
     assert sum(len(r.content) + len(r.path) + 128 for r in got) <= 6_000
-    assert all(len(r.content) <= 1_500 for r in got[:2]) and len(got[2].content) > 2_500 and [r.path for r in got] == [f"f{k}.rs" for k in range(len(got))]
-    assert all(r.id != f"i{k}" for k, r in enumerate(got) if len(r.content) < 2_700)
+    assert all(len(r.content) <= 1_500 for r in got[:2]) and len(got[2].content) > 2_300 and [r.path for r in got] == [f"f{k}.rs" for k in range(len(got))]
+    assert all(r.id != f"i{k}" for k, r in enumerate(got) if len(r.content) < 2_400)
 
 
 def test_scope_records_counts_each_record(spark):
