@@ -32,13 +32,14 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.llm.common import slices
 
@@ -394,8 +395,11 @@ class Encoder:
         self.ids += ids
         self.count, self.score, self.gap = (np.concatenate(x) for x in ((self.count, count), (self.score, score), (self.gap, gap)))
 
-    def encode(self, texts: list[bytes]) -> Iterator[list[tuple[float, bytes]]]:
-        """For each text its ``n`` best segmentations, as scores and ids (int32 bytes)."""
+    def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[float], list[list[tuple[int, int, bytes]]]]]:
+        """For each text the ids of its best segmentation, the scores of its ``n`` best, and how the others differ from the best.
+
+        Of each other one the stretches that it has instead: (place in the best, how many ids go, ids instead), the last first.
+        """
         split = [self.chunks(t) for t in texts]
         if len(self.ids) > KEPT:
             self._forget()
@@ -405,24 +409,19 @@ class Encoder:
             self._learn(sorted(new))
         get, ids = self.place.__getitem__, self.ids
         places = [np.array(list(map(get, cs))) for cs in split]
-        near = [self._near(at) for at in places]
+        near = [self._near(at).tolist() for at in places]
         self._search(sorted({c for cs, at in zip(split, near, strict=True) for c in (cs[k] for k in at) if c not in self.searched}))
         for cs, at, unsure in zip(split, places, near, strict=True):
             sums: list = [(0.0, ())]
-            for k in unsure.tolist():
+            for k in unsure:
                 sums = sorted((loss + more, (*picked, j)) for loss, picked in sums for j, (more, _) in enumerate(self.searched[cs[k]]))[: self.n]
             top = float(self.score[at].sum())
-            whole = b"".join([ids[i] for i in at.tolist()])
-            end = np.cumsum(self.count[at]) * 4
-            out = []
-            for loss, picked in sums:
-                parts, done = [], 0
-                for k, j in sorted(zip(unsure.tolist(), picked, strict=True)):
-                    if j:
-                        parts += [whole[done : int(end[k]) - len(ids[at[k]])], self.searched[cs[k]][j][1]]
-                        done = int(end[k])
-                out.append((top - loss, b"".join([*parts, whole[done:]]) if parts else whole))
-            yield out
+            end = np.cumsum(self.count[at])
+            others = []
+            for _, picked in sums[1:]:
+                edits = [(int(end[k] - self.count[at[k]]), int(self.count[at[k]]), self.searched[cs[k]][j][1]) for k, j in zip(unsure, picked, strict=True) if j]
+                others.append(sorted(edits, reverse=True))
+            yield np.frombuffer(b"".join([ids[i] for i in at.tolist()]), np.int32), [top - loss for loss, _ in sums], others
 
     def _near(self, at: np.ndarray) -> np.ndarray:
         """Which chunks of a text lose least in their second best."""
@@ -433,20 +432,22 @@ class Encoder:
     def _search(self, new: list[bytes]) -> None:
         for part in grouped([c for c in new if len(c) < LONG]):
             lattice = self.vocabulary.lattice([b" " + c for c in part])
-            for i, chunk in enumerate(part):
-                self._remember(chunk, lattice.n_best(i, self.n))
+            self._remember(part, [lattice.n_best(i, self.n) for i in range(len(part))])
         for chunk in new:
             if len(chunk) >= LONG:
-                self._remember(chunk, Walk(self.vocabulary, b" " + chunk).n_best(self.n))
-
-    def _remember(self, chunk: bytes, found: list[tuple[float, tuple[int, ...]]]) -> None:
-        """Losses and ids of a chunk's best segmentations, that of the forward pass first."""
-        best = self.ids[self.place[chunk]]
-        rest = [(found[0][0] - s, np.array(ids, np.int32).tobytes()) for s, ids in found]
-        rest = [(0.0, best)] + [x for x in rest if x[1] != best]
-        if any(self.vocabulary.decode(np.frombuffer(ids, np.int32)) != chunk for _, ids in rest):
+                self._remember([chunk], [Walk(self.vocabulary, b" " + chunk).n_best(self.n)])
+
+    def _remember(self, chunks: list[bytes], found: list[list[tuple[float, tuple[int, ...]]]]) -> None:
+        """Losses and ids of the chunks' best segmentations, that of the forward pass first."""
+        spelled, meant = [], []
+        for chunk, paths in zip(chunks, found, strict=True):
+            best = self.ids[self.place[chunk]]
+            rest = [(paths[0][0] - s, np.array(ids, np.int32).tobytes()) for s, ids in paths]
+            self.searched[chunk] = ([(0.0, best)] + [x for x in rest if x[1] != best])[: self.n]
+            spelled += [ids for _, ids in self.searched[chunk]]
+            meant.append((b" " + chunk) * len(self.searched[chunk]))
+        if self.vocabulary.decode(np.frombuffer(b"".join(spelled), np.int32)) != b"".join(meant)[1:]:
             raise ValueError("a segmentation spells another text")
-        self.searched[chunk] = rest[: self.n]
 
 
 def encoder_of(kept, n: int) -> Encoder:
@@ -456,38 +457,46 @@ def encoder_of(kept, n: int) -> Encoder:
     return known.setdefault(n, Encoder(vocabulary, n))
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary, n: int = 4, key: str = "doc_id", text: str = "text", all_ids: bool = True) -> DataFrame:
-    """``key, n_pieces, scores, ids, segmentations, round_trip``.
+EDITS = "array<array<struct<at:int,drop:int,ids:array<int>>>>"
+
+
+def encode(documents: DataFrame, vocabulary: Vocabulary, n: int = 4, key: str = "doc_id", text: str = "text", with_others: bool = True) -> DataFrame:
+    """``key, n_pieces, scores, ids, round_trip`` and, unless left out, ``others``.
 
     ``scores`` has the log probabilities of the ``n`` best segmentations (fewer
-    if there are fewer), ``ids`` the best one and ``segmentations``, unless left
-    out, the ids of all of them in order; ``round_trip`` says that each decodes to the whole text.
+    if there are fewer) and ``ids`` the best one, of which ``round_trip`` says
+    that it decodes to the whole text. ``others`` has the second to the last
+    as edits of the best, the last place first: at ``at``, ``drop`` ids make
+    way for ``ids``. :func:`segmentations` spells them out.
     """
     vocabulary.trie, vocabulary.spelled, vocabulary.by_spelling  # noqa: B018  built once, here
     kept = documents.sparkSession.sparkContext.broadcast(vocabulary)
     kind = documents.schema[key].dataType.simpleString()
+    edit = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(kept, n)
-        decode = encoder.vocabulary.decode
         for part in slices(batches, 1):
             texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
             coded = encoder.encode([t for t in texts if t is not None])
-            found = [next(coded) if t is not None else [] for t in texts]
-            ids = [[np.frombuffer(b, np.int32) for _, b in each] for each in found]
-            best = [each[0] if each else np.zeros(0, np.int32) for each in ids]
-            # Other segmentations have been compared chunk by chunk.
-            same = [decode(x) == (t or b"") for x, t in zip(best, texts, strict=True)]
-            columns = [part.column(0), pa.array([len(x) for x in best], pa.int64()), pa.array([[s for s, _ in each] for each in found], pa.list_(pa.float64())), lists(best), pa.array(same)]
-            if all_ids:
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), lists([x for each in ids for x in each])))
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_pieces", "scores", "ids", "round_trip", "segmentations"][: len(columns)])
+            best, scores, others = zip(*(next(coded) if t is not None else (np.zeros(0, np.int32), [], []) for t in texts), strict=True)
+            same = [encoder.vocabulary.decode(x) == (t or b"") for x, t in zip(best, texts, strict=True)]
+            columns = [part.column(0), pa.array(list(map(len, best)), pa.int64()), pa.array(scores, pa.list_(pa.float64())), lists(best), pa.array(same)]
+            if with_others:
+                columns.append(pa.array([[[(at, drop, np.frombuffer(ids, np.int32)) for at, drop, ids in edits] for edits in each] for each in others], edit))
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_pieces", "scores", "ids", "round_trip", "others"][: len(columns)])
+
+    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, n_pieces bigint, scores array<double>, ids array<int>, round_trip boolean" + f", others {EDITS}" * with_others)
+
 
-    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, n_pieces bigint, scores array<double>, ids array<int>, round_trip boolean" + ", segmentations array<array<int>>" * all_ids)
+def segmentations(encoded: DataFrame, name: str = "segmentations") -> DataFrame:
+    """Adds the ids of all segmentations of ``encoded`` (ids, others, scores) in order, none for rows without scores."""
+    cut = lambda ids, e: F.concat(F.slice(ids, 1, e["at"]), e["ids"], F.slice(ids, e["at"] + e["drop"] + 1, F.size(ids)))
+    rest = F.transform("others", lambda edits: F.aggregate(edits, F.col("ids"), cut))
+    return encoded.withColumn(name, F.when(F.size("scores") == 0, F.array().cast("array<array<int>>")).otherwise(F.concat(F.array("ids"), rest)))
 
 
-def lists(rows: list[np.ndarray]) -> pa.ListArray:
+def lists(rows: Sequence[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 

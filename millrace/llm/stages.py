@@ -75,7 +75,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The best segmentation of every text, and the scores of the four best."""
-    return pieces.encode(docs, pieces.Vocabulary.load(tokenizer_path()), n=4, all_ids=False)
+    return pieces.encode(docs, pieces.Vocabulary.load(tokenizer_path()), n=4, with_others=False)
 
 
 STAGES = [

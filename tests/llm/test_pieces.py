@@ -26,7 +26,7 @@ def test_round_trips(spark, vocabulary):
     texts = ["hello world", "", " ", None, "a  b\n\tc é ▁ 日本語 🦀🦀", "  lead and trail  ", "x" * 3_000, "The cat " * 20_000, "\x00\x01", "".join(rng.choice("abcDEF012日é") for _ in range(60_000)), "é▁" * 5_000]
     df = spark.createDataFrame(list(enumerate(texts)), TEXT).withColumn("ids", F.lit("clash"))
     coded = pieces.encode(df, vocabulary, n=4)
-    rows = coded.orderBy("doc_id").collect()
+    rows = pieces.segmentations(coded).orderBy("doc_id").collect()
     assert all(r.round_trip for r in rows) and rows[3].n_pieces == 0 and rows[3].segmentations == []
     back = {r.doc_id: r.text for r in pieces.decode(coded, vocabulary).collect()}
     assert [back[i] for i in range(len(texts))] == [t or "" for t in texts]
@@ -34,9 +34,22 @@ def test_round_trips(spark, vocabulary):
         if texts[r.doc_id] is not None:
             assert r.segmentations[0] == r.ids and len(r.segmentations) == len(r.scores) and r.scores == sorted(r.scores, reverse=True)
             assert len({tuple(x) for x in r.segmentations}) == len(r.segmentations)
+            assert all(vocabulary.decode(np.array(x)).decode() == texts[r.doc_id] for x in r.segmentations)
     assert pieces.encode(df.limit(0), vocabulary).count() == 0
 
 
+def spelled_out(encoder, text):
+    """Scores and ids (as bytes) of a text's best segmentations."""
+    ((best, scores, others),) = encoder.encode([text])
+    out = [best.tobytes()]
+    for edits in others:
+        ids = best.tobytes()
+        for at, drop, instead in edits:
+            ids = ids[: 4 * at] + instead + ids[4 * (at + drop) :]
+        out.append(ids)
+    return list(zip(scores, out, strict=True))
+
+
 def all_paths(vocabulary, chunk):
     """Every segmentation of a chunk: (score, ids), best first."""
     lattice, out = vocabulary.lattice([b" " + chunk]), []
@@ -64,7 +77,7 @@ def test_n_best_against_all_segmentations(vocabulary):
     sums = [(0.0, ())]
     for w in (b"hello", b"zing", b"a"):
         sums = sorted(((a + b, x + y) for a, x in sums for b, y in all_paths(vocabulary, w)), reverse=True)[:200]
-    (got,) = pieces.Encoder(vocabulary, 5).encode([b"hello zing a"])
+    got = spelled_out(pieces.Encoder(vocabulary, 5), b"hello zing a")
     scores = {ids: s for s, ids in sums}
     assert np.allclose([s for s, _ in got], [s for s, _ in sums[:5]])
     assert all(abs(scores[tuple(np.frombuffer(b, np.int32).tolist())] - s) < 1e-9 for s, b in got)
@@ -75,9 +88,11 @@ def test_walk_and_lattice_agree(vocabulary, monkeypatch):
 
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcthe é日▁🦀.,") for _ in range(200)).encode() for _ in range(30)]
-    want = [[(round(s, 6), b) for s, b in each] for each in pieces.Encoder(vocabulary, 4).encode(texts)]
+    encoder = pieces.Encoder(vocabulary, 4)
+    want = [[(round(s, 6), b) for s, b in spelled_out(encoder, t)] for t in texts]
     monkeypatch.setattr(pieces, "LONG", 3)
-    got = [[(round(s, 6), b) for s, b in each] for each in pieces.Encoder(vocabulary, 4).encode(texts)]
+    encoder = pieces.Encoder(vocabulary, 4)
+    got = [[(round(s, 6), b) for s, b in spelled_out(encoder, t)] for t in texts]
     assert [[s for s, _ in x] for x in got] == [[s for s, _ in x] for x in want] and [x[0][1] for x in got] == [x[0][1] for x in want]
 
 
@@ -90,7 +105,7 @@ def test_long_text_without_spaces_in_bounded_memory(vocabulary):
     text = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000)).encode()
     tracemalloc.start()
     began = time.time()
-    (got,) = pieces.Encoder(vocabulary, 4).encode([text])
+    got = spelled_out(pieces.Encoder(vocabulary, 4), text)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == 4 and all(vocabulary.decode(np.frombuffer(b, np.int32)) == text for _, b in got)

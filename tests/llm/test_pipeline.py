@@ -124,5 +124,5 @@ def test_secrets_and_pieces_keep_all_rows(spark):
     got = stages.remove_secrets(spark, table_of(spark, rows), "")
     assert kept(got) == pairs([(1, "[assign]"), (1, "[assign]"), (None, "[assign] end"), (2, None), (3, ""), (3, "clean text")])
     coded = stages.encode(spark, got, "").collect()
-    assert len(coded) == len(rows) and all(r.round_trip for r in coded) and "segmentations" not in coded[0]
+    assert len(coded) == len(rows) and all(r.round_trip for r in coded) and "others" not in coded[0]
     assert stages.encode(spark, stages.remove_secrets(spark, table_of(spark, []), ""), "").count() == 0
