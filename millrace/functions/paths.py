@@ -44,6 +44,12 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(file_name(path), r".\.([^.]*)$", 1)
 
 
+def relative(path: Column, roots: list[str]) -> Column:
+    """The shortest rest of a path below any root, else the path."""
+    rests = F.array(path, *(F.when(path.startswith(r.rstrip("/") + "/"), F.substring(path, len(r.rstrip("/")) + 2, 1 << 30)).otherwise(path) for r in roots))
+    return F.array_min(F.transform(rests, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+
+
 def reading_exclusion(path: Column, head: Column) -> Column:
     """lockfile, minified or generated, the first that holds, else null."""
     name, low = F.lower(file_name(path)), F.lower(head)

@@ -57,6 +57,42 @@ def estimate(request_bytes: Column, density: int = 100) -> Column:
     return F.ceil((request_bytes + 256) * 100 / max(density, 100)).cast("bigint")
 
 
+def _between(value: Column, low: int, high: int) -> Column:
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high)).cast("bigint")
+
+
+def summary_maximum(limit: Column) -> Column:
+    """Bytes of a summary for a request of ``limit`` bytes."""
+    return _between(F.floor(limit / 6), 4000, 48_000)
+
+
+def accepted_summary(asked: Column, limit: Column) -> Column:
+    """Bytes up to which a summary is taken: twice what was asked, within a third of the request."""
+    return F.greatest(asked, F.least(2 * asked, F.floor(limit / 3))).cast("bigint")
+
+
+def graph_budget(space: Column) -> Column:
+    return F.least(F.floor(space / 8), F.lit(12_000)).cast("bigint")
+
+
+def section_ceiling(leaves: Column) -> Column:
+    """Sections at most, 256 where the number of leaves is unknown."""
+    return F.coalesce(_between(3 * leaves, 32, 256), F.lit(256).cast("bigint"))
+
+
+def branch_target(leaves: Column) -> Column:
+    return _between(F.floor(leaves / 4), 8, 256)
+
+
+def content_dropped(size: Column, visible: Column) -> Column:
+    """Whether an answer of ``size`` bytes is too short for its visible tokens' bytes."""
+    return (visible >= 1000) & (size * 10 < visible * 12)
+
+
+def reasoning_dominated(reasoning: Column, output: Column) -> Column:
+    return reasoning * 100 >= output * 75
+
+
 def packing_limit(context: Column, output: Column, safety: int, overhead: Column, density: int = 100, ceiling: int = 200_000) -> Column:
     """Bytes of evidence that fit a context window beside margin, output and overhead."""
     room = F.least(context, F.lit(ceiling))

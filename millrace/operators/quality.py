@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import folded
 from millrace.session import written
@@ -62,6 +67,22 @@ def near_duplicates(blocks: DataFrame, key: str, text: str, share: int = 90, lea
     return found.filter(100 * F.col("common") >= share * F.col("total")).select("id_a", "id_b", "common", "total")
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("added", "removed", "equal")]))
+def _line_diff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for old, new in batches:
+        rows = []
+        for a, b in zip(old, new, strict=True):
+            a, b = (a or "").split("\n"), (b or "").split("\n")
+            same = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+            rows.append((len(b) - same, len(a) - same, same))
+        yield pd.DataFrame(rows, columns=["added", "removed", "equal"])
+
+
+def line_diff(old: Column, new: Column) -> Column:
+    """``added``, ``removed`` and ``equal`` lines between two versions of a text."""
+    return _line_diff(old, new)
+
+
 def windows(counts: DataFrame, count: str, width: int) -> DataFrame:
     """Overlapping runs of sections: ``start, stop`` (end exclusive), one shared between neighbours."""
     width = max(width, 2)
