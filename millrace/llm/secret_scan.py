@@ -7,7 +7,7 @@ and what stands before it (``key``, ``=``, a quote) are tokens of the chain too.
 Features are the token's shape and spelling, the tokens around it, the stretch
 without spaces that it stands in, key words and assignment signs before it, and
 the file. A chain is a line, or about ``CHAIN`` tokens of a longer one, cut at a space; Viterbi
-decoding runs on every chain that the tokens' own weights do not already show to
+decoding, over ``WINDOW`` characters at once, runs on every chain that the tokens' own weights do not already show to
 be outside throughout (:meth:`Field.undecided`, exact).
 
 It is trained by maximum likelihood on at most ``runs`` lines with a secret and
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,6 +56,8 @@ NAMES = ("passphrase", "credential", "pwd", "pin", "auth", "login", "private key
 SIGNS = ("=", ": ", " = ", " is ", ":", ' = "', ": '", " was ", " ")
 LETTERS, NUMBERS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 CHAIN = 64
+#: Characters of texts whose tokens a task holds at once.
+WINDOW = 1 << 18
 #: Bytes of a line that training takes.
 LINE_BYTES = 1500
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -118,10 +120,11 @@ class Field:
     move: np.ndarray
     pairs: np.ndarray
 
-    def scores(self, feats: np.ndarray) -> np.ndarray:
-        out = np.zeros((feats.shape[1], 3), np.float32)
+    def scores(self, feats: Iterable[np.ndarray]) -> np.ndarray:
+        """Of each token and tag, from one feature's buckets after another."""
+        out = None
         for row in feats:
-            out += self.emit[row]
+            out = self.emit[row] if out is None else out + self.emit[row]
         return out
 
     def undecided(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -221,6 +224,21 @@ def spread(values: np.ndarray, number: int) -> np.ndarray:
     return (((values.astype(np.uint64) ^ _SALTS[number]) * _MULTIPLIER) >> np.uint64(48)).astype(np.int32)
 
 
+def file_features(sizes: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.char.str_len(sizes.astype(str)) if len(sizes) else sizes, digits * 50 // np.maximum(sizes, 1)
+
+
+def windows(text: str) -> Iterator[str]:
+    """A long text in parts of about ``WINDOW`` characters, cut behind a line end, in longer lines behind a space."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > WINDOW:
+            end = text.rfind("\n", at + 1, at + WINDOW) + 1 or text.rfind(" ", at + 1, at + WINDOW) + 1 or at + WINDOW
+        yield text[at:end]
+        at = end
+
+
 class Slice:
     """What one slice of texts holds: candidates for the patterns, and tokens in chains for the field."""
 
@@ -279,8 +297,8 @@ class Slice:
         self.chain = np.flatnonzero(np.diff(cut, prepend=-1))
         self.size = np.diff(np.append(self.chain, len(line)))
 
-    def features(self, pairs: np.ndarray, file: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Buckets (feature, token); ``file`` has size and share of digits by text if these are parts of other texts."""
+    def features(self, pairs: np.ndarray, file: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[np.ndarray]:
+        """Buckets of all tokens, one feature after another; ``file`` has size and share of digits by text if these are parts of other texts."""
         d, a, b, line = self.data, self.a, self.b, self.line
         n = len(a)
         size = b - a
@@ -353,36 +371,37 @@ class Slice:
         if file is None:
             sizes = np.diff(np.append(self.first, len(d)))
             digits = sums[2][np.append(self.first[1:], len(d))] - sums[2][self.first]
-            file = np.char.str_len(sizes.astype(str)) if len(sizes) else sizes, digits * 50 // np.maximum(sizes, 1)
+            file = file_features(sizes, digits)
         columns = (
-            np.zeros(n, np.int64),
-            np.where(sign, 64 + signs, np.minimum(size, 32)),
-            (shape * 8 + np.minimum(turned[b] - turned[inner], 7)) * 16 + np.minimum(size // 3, 9),
-            digit * 5 // np.maximum(size, 1) * 16 + np.minimum(size // 2, 15),
-            (hexes == size) * 64 + np.minimum(size, 40),
-            known,
-            moved(known, 1),
-            moved(known, 2),
-            moved(known, -1),
-            ((glued * 256 + glued * moved(signs, 1)) * 2 + behind) * 256 + behind * moved(signs, -1),
-            cued * 4 + assigned,
-            cued * 32 + shape,
-            odd * 16 + np.minimum(size // 3, 9),
-            (np.minimum(long, 47) // 3 * 8 + whole)[of] * 8 + bends[of] if n else index,
-            (whole[of] * 8 + cued) * 4 + assigned if n else index,
-            file[0][doc],
-            file[1][doc],
-            (odd * 8 + cued) * 2 + (assigned > 0),
-            moved(known, 1) * np.uint64(3) + moved(known, 2),
+            lambda: np.zeros(n, np.int64),
+            lambda: np.where(sign, 64 + signs, np.minimum(size, 32)),
+            lambda: (shape * 8 + np.minimum(turned[b] - turned[inner], 7)) * 16 + np.minimum(size // 3, 9),
+            lambda: digit * 5 // np.maximum(size, 1) * 16 + np.minimum(size // 2, 15),
+            lambda: (hexes == size) * 64 + np.minimum(size, 40),
+            lambda: known,
+            lambda: moved(known, 1),
+            lambda: moved(known, 2),
+            lambda: moved(known, -1),
+            lambda: ((glued * 256 + glued * moved(signs, 1)) * 2 + behind) * 256 + behind * moved(signs, -1),
+            lambda: cued * 4 + assigned,
+            lambda: cued * 32 + shape,
+            lambda: odd * 16 + np.minimum(size // 3, 9),
+            lambda: (np.minimum(long, 47) // 3 * 8 + whole)[of] * 8 + bends[of] if n else index,
+            lambda: (whole[of] * 8 + cued) * 4 + assigned if n else index,
+            lambda: file[0][doc],
+            lambda: file[1][doc],
+            lambda: (odd * 8 + cued) * 2 + (assigned > 0),
+            lambda: moved(known, 1) * np.uint64(3) + moved(known, 2),
         )
-        return np.stack([spread(c, k) for k, c in enumerate(columns)])
+        for k, column in enumerate(columns):
+            yield spread(column(), k)
 
-    def added(self, field: Field) -> dict[int, list[tuple[int, int]]]:
+    def added(self, field: Field, file: tuple[np.ndarray, np.ndarray] | None = None) -> dict[int, list[tuple[int, int]]]:
         """Spans of the field by text, as code points."""
         self.tokens()
         if not len(self.a):
             return {}
-        score = field.scores(self.features(field.pairs))
+        score = field.scores(self.features(field.pairs, file))
         chains = field.undecided(score, self.chain)
         out: dict[int, list] = {}
         last = None
@@ -410,9 +429,20 @@ class Slice:
 
 def all_spans(column: pa.Array, field: Field | None) -> dict[int, list[tuple[int, int, int]]]:
     """By text: base spans, and those that the field adds."""
-    s = Slice(column)
-    base = s.base()
-    added = s.added(field) if field is not None else {}
+    base = Slice(column).base()
+    added: dict[int, list[tuple[int, int]]] = {}
+    at = 0
+    for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), 0, WINDOW) if field is not None else ():
+        if part.num_rows == 1 and len(text := part.column(0)[0].as_py() or "") > WINDOW:
+            data, start = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), 0
+            file = file_features(np.array([len(data) + 1]), np.array([int(DIGIT[data].sum())]))
+            for window in windows(text):
+                found = Slice(pa.array([window], pa.large_string())).added(field, file)
+                added.setdefault(at, []).extend((a + start, b + start) for a, b in found.get(0, ()))
+                start += len(window)
+        else:
+            added |= {at + doc: spans for doc, spans in Slice(part.column(0)).added(field).items()}
+        at += part.num_rows
     out = {}
     for doc in sorted(base.keys() | added.keys()):
         mine = base.get(doc, [])
@@ -541,7 +571,7 @@ def labelled(pairs: np.ndarray, texts: list[str], secrets: list[list[tuple[int,
     """Features and tags of the tokens of lines, and the sizes of their chains."""
     s = Slice(pa.array(texts, pa.large_string()))
     s.tokens()
-    feats = s.features(pairs, tuple(np.array(files).T))
+    feats = np.stack(list(s.features(pairs, tuple(np.array(files).T))))
     tags = np.full(len(s.a), OUTSIDE, np.int8)
     doc = s._doc(s.a)
     bound = np.searchsorted(doc, np.arange(len(texts) + 1))

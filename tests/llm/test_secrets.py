@@ -164,6 +164,20 @@ def test_training_raises_the_likelihood_of_its_labels():
     assert (got == tags).mean() > 0.98
 
 
+def test_windows_change_nothing(spark, field, monkeypatch):
+    """Long texts in parts give the spans of whole ones, but for the tokens beside a cut within a line."""
+    from millrace.llm import secret_scan as z
+
+    rng = random.Random(6)
+    lines = [f"some words {k} passphrase={'Zk3vQ9aQp' + str(rng.randrange(1000))} é end of line" if k % 7 == 0 else "plain words 2024-01-05 " * rng.randrange(1, 6) for k in range(400)]
+    texts = ["\n".join(lines), lines[0], "", None, "x" * 5000]
+    want = z.all_spans(pa.array(texts), field)
+    assert len(want[0]) == 58
+    monkeypatch.setattr(z, "WINDOW", 700)
+    assert z.all_spans(pa.array(texts), field) == want
+    assert "".join(z.windows(texts[0])) == texts[0] and all(len(w) <= 700 for t in texts if t for w in z.windows(t))
+
+
 def test_long_lines_and_chain_borders(spark, field):
     """A secret far on in a line of many tokens, and one over a chain's end, are found whole."""
     from millrace.llm import secret_scan as z
