@@ -29,13 +29,13 @@ def replay(journal: DataFrame, log: str, checkpoint: str, identity: list[str]) -
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        held = spark.read.schema(batch.schema).parquet(log) if _exists(spark, log) else batch.limit(0)
+        held = spark.read.schema(batch.schema).parquet(log) if exists(spark, log) else batch.limit(0)
         append_if_absent(held, batch, identity).write.mode("append").parquet(log)
 
     return journal.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 

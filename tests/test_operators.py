@@ -322,3 +322,18 @@ def test_scope_records_counts_each_record(spark):
 )
 def test_code_ranges(body, want):
     assert [body[a:b] for a, b in markdown.code_ranges(body)] == want
+
+
+def test_cached_ingest_parses_only_what_is_new(spark, tmp_path):
+    from millrace.plans.sources import generated_code, ingest_cached, ingest_generated
+
+    files = generated_code(spark, 400, 100)
+    fresh = lambda df: sorted((r.file, r.chunks, r.bytes, r.calls, r.resolved) for r in df.collect())
+    folder = f"{tmp_path}/cache"
+    once = fresh(ingest_cached(spark, files, folder))
+    assert len(once) == 4 and once == fresh(ingest_cached(spark, files, folder))
+    assert spark.read.parquet(f"{folder}/pieces").count() == 4
+    changed = files.withColumn("content", F.when(F.col("path") == "src/gen_0.rs", F.concat("content", F.lit("\n"))).otherwise(F.col("content")))
+    again = fresh(ingest_cached(spark, changed, folder))
+    assert spark.read.parquet(f"{folder}/pieces").count() == 5 and [r[2] for r in again][0] == once[0][2] + 1 and [r[3:] for r in again] == [r[3:] for r in once]
+    assert len(fresh(ingest_generated(spark, 10_000))) == 1
