@@ -76,3 +76,31 @@ def decode(text: str | None) -> tuple[str | None, str | None]:
 def decode_json(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([decode(t) for t in texts], columns=["value", "fault"])
+
+
+def complete_elements(text: str | None, field: str) -> list[str]:
+    """The complete elements, as JSON, of the array that ``field`` names in a text that may be cut off."""
+    at = (text or "").find(f'"{field}"')
+    at = text.find("[", at) + 1 if at >= 0 else 0
+    out, reader = [], json.JSONDecoder()
+    while at > 0:
+        at += len(text[at:]) - len(text[at:].lstrip(" \t\r\n,"))
+        try:
+            value, end = reader.raw_decode(text, at)
+        except ValueError:
+            break
+        # A number or word at the very end may be cut itself.
+        if end == len(text) and not isinstance(value, dict | list | str):
+            break
+        out.append(json.dumps(value, separators=(",", ":"), ensure_ascii=False))
+        at = end
+    return out
+
+
+def array_prefix(text: Column, field: str) -> Column:
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([complete_elements(t, field) for t in texts])
+
+    return found(text)

@@ -136,6 +136,17 @@ def without_overlap(text: Column, more: Column, least: int = 32, most: int = 800
     return F.when(shared > 0, F.concat(text, rest)).otherwise(F.concat(text, F.lit("\n\n"), more))
 
 
+def planning_limit(room: Column, reductions: Column) -> Column:
+    """Bytes of planning evidence: 48,000 at most, halved by every reduction."""
+    return F.floor(F.least(room, F.lit(48_000)) / F.pow(F.lit(2), reductions)).cast("bigint")
+
+
+def evidence_share(room: Column, failures: Column, mandatory: Column, branches: Column) -> Column:
+    """What retrieved and branch passages of a section request each get: 80,000 bytes at most, halved by every failure, in equal shares."""
+    base = F.floor(F.least(room, F.lit(80_000)) / F.pow(F.lit(2), failures))
+    return F.floor(base / (1 + mandatory.cast("int") + branches.cast("int"))).cast("bigint")
+
+
 def common_prefix(low: Column, high: Column) -> Column:
     """The longest common prefix of two strings; of a group's least and greatest, that of the group."""
     shared = F.aggregate(F.sequence(F.lit(0), F.least(F.length(low), F.length(high))), F.lit(0), lambda n, k: F.when(F.substring(low, F.lit(1), k) == F.substring(high, F.lit(1), k), k).otherwise(n))

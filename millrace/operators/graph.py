@@ -45,9 +45,13 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, parents: DataFrame | None
     return rows.filter("id is not null").groupBy("id").agg(F.max("score").alias("score"))
 
 
-def first_overlap(sites: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """For each site (key, site, at) the first range (key, ordinal, start, end) that holds it."""
-    hits = sites.join(ranges, key).filter((F.col("start") <= F.col("at")) & (F.col("end") >= F.col("at")))
+def first_overlap(sites: DataFrame, ranges: DataFrame, key: str, block: int = 64) -> DataFrame:
+    """For each site (key, site, at) the first range (key, ordinal, start, end) that holds it.
+
+    Rows meet by key and block of positions, so a key with many ranges is no nested loop over all of them.
+    """
+    spread = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))))
+    hits = sites.withColumn("_block", F.floor(F.col("at") / block)).join(spread, [key, "_block"]).filter((F.col("start") <= F.col("at")) & (F.col("end") >= F.col("at")))
     return hits.groupBy(key, "site").agg(F.min("ordinal").alias("ordinal"))
 
 
@@ -72,11 +76,18 @@ def tree_closure(edges: DataFrame) -> DataFrame:
 
 
 def prefix_resolve(prefixes: DataFrame, ids: DataFrame, stem: int) -> DataFrame:
-    """``prefix, matches, id``: the only id that begins with a prefix of at least ``stem`` characters, else null."""
-    left = prefixes.filter(F.length("prefix") >= stem).withColumn("_stem", F.left("prefix", F.lit(stem)))
-    hits = left.join(ids.select("id", F.left("id", F.lit(stem)).alias("_stem")), "_stem", "left").withColumn("_hit", F.col("id").startswith(F.col("prefix")))
-    only = hits.groupBy("prefix").agg(F.count_if("_hit").alias("matches"), F.min(F.when(F.col("_hit"), F.col("id"))).alias("id"))
-    return only.select("prefix", "matches", F.when(F.col("matches") == 1, F.col("id")).alias("id"))
+    """``prefix, matches, id``: the only id that begins with a prefix of at least ``stem`` characters, else null.
+
+    Ids meet prefixes by their own beginnings, one for each length that a prefix
+    has, so that work grows with ids times lengths and not with their pairs.
+    """
+    left = prefixes.filter(F.length("prefix") >= stem).select("prefix").distinct()
+    # As many as an id has characters, at most.
+    lengths = [r.n for r in left.select(F.length("prefix").alias("n")).distinct().collect()]
+    starts = ids.select("id", F.explode(F.array(*map(F.lit, lengths))).alias("n")).filter(F.length("id") >= F.col("n")) if lengths else ids.select("id", F.lit(0).alias("n")).limit(0)
+    counted = starts.groupBy(F.left("id", F.col("n")).alias("prefix"), "n").agg(F.count("*").alias("matches"), F.min("id").alias("id")).drop("n")
+    found = left.join(counted, "prefix", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    return found.select("prefix", F.col("matches").cast("bigint").alias("matches"), F.when(F.col("matches") == 1, F.col("id")).alias("id"))
 
 
 def shortest_unique_prefix(ids: DataFrame, least: int = 8, stem: int = 4) -> DataFrame:

@@ -149,6 +149,23 @@ def coverage_note(indexed: Column, cited: Column, excluded: Column, skipped: Col
     return F.format_string("%d files indexed, %d cited, %d excluded, %d skipped", indexed, cited, excluded, skipped)
 
 
+def brief_faults(findings: DataFrame, evidence: DataFrame, scope: str, most: int = 24, longest: int = 2000) -> DataFrame:
+    """``scope, finding, code``: faults of findings (scope, finding, topic, observation, runtime, evidence_ids).
+
+    More than ``most`` of a scope, a text that is blank or too long, ids that
+    ``evidence`` (id, runtime_allowed) lacks, and claims of what runs without an
+    implementation among what they cite. A scope's findings are counted, not gathered.
+    """
+    place = F.row_number().over(Window.partitionBy(scope).orderBy("finding"))
+    texts = findings.select(scope, "finding", F.when((F.trim("topic") == "") | (F.trim("observation") == "") | (F.octet_length("observation") > longest), "text").alias("code")).unionAll(
+        findings.select(scope, "finding", F.when(place > most, "too many"))
+    )
+    cited = findings.select(scope, "finding", "runtime", F.explode_outer("evidence_ids").alias("id")).join(evidence.select("id", "runtime_allowed"), "id", "left")
+    judged = cited.groupBy(scope, "finding", "runtime").agg(F.count_if(F.col("runtime_allowed").isNull()).alias("unknown"), F.count_if("runtime_allowed").alias("proofs"))
+    by_ids = judged.select(scope, "finding", F.when(F.col("unknown") > 0, "unknown id").alias("code")).unionAll(judged.select(scope, "finding", F.when(F.col("runtime") & (F.col("proofs") == 0), "no implementation")))
+    return texts.unionAll(by_ids).filter("code is not null")
+
+
 def names_any(message: Column, labels: list[str]) -> Column:
     """Whether a message names one of a few labels."""
     return F.array_max(F.array(F.lit(False), *(names_label(message, label) for label in labels)))

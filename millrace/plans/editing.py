@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import markdown, text
-from millrace.operators import passages
+from millrace.functions.jsonfix import array_prefix
+from millrace.operators import passages, rules
 from millrace.plans.retrieval import QUERY, file_path
 from millrace.sources.tables import table
 
@@ -80,6 +81,46 @@ def prose_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(F.sha2("block", 256).alias("hash")).agg(F.countDistinct("doc_id").alias("documents"), F.min(F.length("block")).cast("bigint").alias("chars"))
 
 
+def section_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn")
+    body = F.concat(F.lit("# One [E:a]\n## Two\n"), F.repeat(F.lit("x"), 100), F.lit("[E:b]"), F.col("turn").cast("string"))
+    found = turns.select("conv_id", "turn", markdown.digest(body, 60, 1).alias("d"))
+    return found.select("conv_id", "turn", F.array_join("d.headings", "|").alias("headings"), "d.short", "d.citations")
+
+
+def cut_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete elements of an array cut at a place that moves with the event."""
+    events = table(spark, sf_dir, "events", "event_id")
+    whole = '{"note": "x", "items": [{"a": 1}, "b c", 42, [1, 2]]}'
+    found = events.select("event_id", array_prefix(F.left(F.lit(whole), (F.col("event_id") % 56).cast("int")), "items").alias("x"))
+    return found.select("event_id", F.array_join("x", ";").alias("elements"))
+
+
+def warning_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of warnings as footnotes, file names or nothing."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn")
+    body = F.concat(F.lit("see [E:one], [E:two], [E:none] and `[E:one]` "), F.col("turn").cast("string"))
+    numbers = F.create_map(F.lit("one"), F.lit(3))
+    names = F.create_map(F.lit("one"), F.lit("a.rs"), F.lit("two"), F.lit("b.rs"))
+    return turns.select("conv_id", "turn", markdown.warned_citations(markdown.pieces(body), numbers, names).alias("text"))
+
+
+def brief_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as findings of orders, checked against suppliers as evidence."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_tax").dropDuplicates(["l_orderkey", "l_linenumber"])
+    topic = F.when(F.col("l_linenumber") == 7, " ").otherwise("t")
+    findings = lines.select(F.col("l_orderkey").alias("scope"), F.col("l_linenumber").alias("finding"), topic.alias("topic"), F.lit("o").alias("observation"), (F.col("l_linenumber") % 2 == 0).alias("runtime"), F.array(F.col("l_orderkey") % 8, F.col("l_linenumber").cast("bigint")).alias("evidence_ids"))
+    evidence = spark.range(7).select("id", (F.col("id") == 3).alias("runtime_allowed"))
+    return rules.brief_faults(findings, evidence, "scope", most=5)
+
+
+def request_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of planning evidence and of a section's passages, by order."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    k = F.col("o_custkey")
+    return orders.select("o_orderkey", text.planning_limit(k * 100, k % 4).alias("planning"), text.evidence_share(k * 100, k % 3, k % 2 == 0, k % 5 == 0).alias("share"))
+
+
 def focused_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 400 bytes of every document for its own first words."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
@@ -112,7 +153,7 @@ def retrieval_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("source", "doc_id", "id", "start", "end", F.octet_length("content").cast("bigint").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (excerpts, overlap_join, guarded_texts, citation_edits, section_parts, diagram_limits, spliced_parts, prose_duplicates, focused_excerpts, fit_evidence, retrieval_pack)}
+QUERIES = {f.__name__: f for f in (excerpts, overlap_join, guarded_texts, citation_edits, section_parts, diagram_limits, spliced_parts, section_digests, cut_arrays, warning_notes, brief_checks, request_shares, prose_duplicates, focused_excerpts, fit_evidence, retrieval_pack)}
 
 _HEAD = "list_max(list_filter(range(0, {n} + 1), lambda k: strlen(left(text, k)) <= {n}))"
 _TAIL = "list_max(list_filter(range(0, {n} + 1), lambda k: strlen(right(text, k)) <= {n}))"
@@ -134,6 +175,19 @@ SELECT conv_id, turn, 'intro|#### A' || turn || chr(10) || 'one' || chr(10) || '
     "diagram_limits": """
 SELECT conv_id, turn, CAST(CASE WHEN turn % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS diagrams,
   'a' || chr(10) || '```mermaid' || chr(10) || 'graph 1' || chr(10) || '```' || chr(10) || 'b' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || CASE WHEN turn % 2 = 0 THEN '' ELSE 'c' END AS kept FROM conversations""",
+    "section_digests": """
+WITH t AS (SELECT conv_id, turn, '# One [E:a]' || chr(10) || '## Two' || chr(10) || repeat('x', 100) || '[E:b]' || turn AS text FROM conversations)
+SELECT conv_id, turn, '# One [E:a]' AS headings, left(text, 20) || chr(10) || '[… excerpt …]' || chr(10) || right(text, 21) AS short, CAST(2 AS BIGINT) AS citations FROM t""",
+    "cut_arrays": """
+SELECT event_id, CASE WHEN event_id % 56 < 32 THEN '' WHEN event_id % 56 < 39 THEN '{"a":1}' WHEN event_id % 56 < 44 THEN '{"a":1};"b c"' WHEN event_id % 56 < 51 THEN '{"a":1};"b c";42' ELSE '{"a":1};"b c";42;[1,2]' END AS elements FROM events""",
+    "warning_notes": "SELECT conv_id, turn, 'see [^s3], b.rs,  and `[E:one]` ' || turn AS text FROM conversations",
+    "brief_checks": """
+WITH f AS (SELECT DISTINCT l_orderkey AS scope, l_linenumber AS finding FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY finding) AS place FROM f)
+SELECT scope, finding, 'text' AS code FROM n WHERE finding = 7 UNION ALL SELECT scope, finding, 'too many' FROM n WHERE place > 5
+UNION ALL SELECT scope, finding, 'unknown id' FROM n WHERE scope % 8 > 6 OR finding > 6 UNION ALL SELECT scope, finding, 'no implementation' FROM n WHERE finding % 2 = 0 AND scope % 8 <> 3 AND finding <> 3""",
+    "request_shares": """
+SELECT o_orderkey, CAST(floor(least(o_custkey * 100, 48000) / pow(2, o_custkey % 4)) AS BIGINT) AS planning,
+  CAST(floor(floor(least(o_custkey * 100, 80000) / pow(2, o_custkey % 3)) / (1 + CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END)) AS BIGINT) AS share FROM orders""",
     "spliced_parts": """
 SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'part zero' || chr(10) || chr(10) || 'new one' || chr(10) || chr(10) || 'part two' END AS value,
   CASE turn % 5 WHEN 1 THEN 'part given twice' WHEN 2 THEN 'unknown part' WHEN 3 THEN 'no markers' WHEN 4 THEN 'text before the first marker' END AS fault FROM conversations""",

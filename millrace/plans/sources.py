@@ -38,6 +38,19 @@ def pack_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("conv_id", F.concat_ws(",", "ids").alias("turns"), "size", "deferred")
 
 
+def scope_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation by role, each counted, those that do not fit deferred."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("cost", (F.octet_length("text") + packing.ENVELOPE).cast("bigint"))
+    return packing.scope_records(turns.withColumn("item", F.col("turn")), ["conv_id"], "role", "turn", "cost", 2500, "item")
+
+
+def pack_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns packed role by role, roles in the order in which they come."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("cost", (F.octet_length("text") + packing.ENVELOPE).cast("bigint"))
+    packed = packing.pack_by_path(turns.withColumn("item", F.col("turn").cast("string")), ["conv_id"], "role", "turn", "cost", 2500, "item")
+    return packed.select("conv_id", F.concat_ws(",", "ids").alias("turns"), "size", "deferred")
+
+
 def ration_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("cost", (F.octet_length("text") + packing.ENVELOPE).cast("bigint"))
     return packing.ration(turns, ["conv_id"], "role", "turn", "cost", 2500)
@@ -123,7 +136,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-QUERIES = {f.__name__: f for f in (chunk_text, segments, leaf_batches, pack_round_robin, ration_records, section_checks, ingest_code, heading_counts, event_stream_latest)}
+QUERIES = {f.__name__: f for f in (chunk_text, segments, leaf_batches, pack_round_robin, scope_records, pack_by_path, ration_records, section_checks, ingest_code, heading_counts, event_stream_latest)}
 
 #: Pieces of texts of at most ``most`` bytes, cut after line ends, else between characters.
 _CUTS = """
@@ -155,6 +168,19 @@ r AS (SELECT conv_id, i, CASE WHEN cost <= 2500 THEN [item] ELSE CAST([] AS VARC
   UNION ALL SELECT o.conv_id, o.i, CASE WHEN NOT list_contains(ids, item) AND size + cost <= 2500 THEN list_append(ids, item) ELSE ids END,
     CASE WHEN NOT list_contains(ids, item) AND size + cost <= 2500 THEN size + cost ELSE size END, CASE WHEN list_contains(ids, item) OR size + cost <= 2500 THEN deferred ELSE deferred + 1 END
   FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1)
+SELECT conv_id, array_to_string(arg_max(ids, i), ',') AS turns, CAST(arg_max(size, i) AS BIGINT) AS size, CAST(arg_max(deferred, i) AS INTEGER) AS deferred FROM r GROUP BY 1""",
+    "scope_records": """
+WITH RECURSIVE t AS (SELECT conv_id, role, turn, CAST(strlen(text) + 256 AS BIGINT) AS cost, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations),
+o AS (SELECT conv_id, role, turn, cost, row_number() OVER (PARTITION BY conv_id ORDER BY nth, role) AS i FROM t),
+r AS (SELECT conv_id, i, role, turn, cost <= 2500 AS fits, CASE WHEN cost <= 2500 THEN cost ELSE 0 END AS size FROM o WHERE i = 1
+  UNION ALL SELECT o.conv_id, o.i, o.role, o.turn, size + cost <= 2500, CASE WHEN size + cost <= 2500 THEN size + cost ELSE size END FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1)
+SELECT conv_id, role, turn AS item, CASE WHEN fits THEN CAST(count(*) FILTER (fits) OVER (PARTITION BY conv_id ORDER BY i) AS INTEGER) END AS place FROM r""",
+    "pack_by_path": """
+WITH RECURSIVE t AS (SELECT conv_id, role, turn, CAST(strlen(text) + 256 AS BIGINT) AS cost, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth, min(turn) OVER (PARTITION BY conv_id, role) AS seen FROM conversations),
+o AS (SELECT conv_id, CAST(turn AS VARCHAR) AS item, cost, row_number() OVER (PARTITION BY conv_id ORDER BY nth, seen) AS i FROM t),
+r AS (SELECT conv_id, i, CASE WHEN cost <= 2500 THEN [item] ELSE CAST([] AS VARCHAR[]) END AS ids, CASE WHEN cost <= 2500 THEN cost ELSE 0 END AS size, CASE WHEN cost <= 2500 THEN 0 ELSE 1 END AS deferred FROM o WHERE i = 1
+  UNION ALL SELECT o.conv_id, o.i, CASE WHEN size + cost <= 2500 THEN list_append(ids, item) ELSE ids END, CASE WHEN size + cost <= 2500 THEN size + cost ELSE size END, CASE WHEN size + cost <= 2500 THEN deferred ELSE deferred + 1 END
+  FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1)
 SELECT conv_id, array_to_string(arg_max(ids, i), ',') AS turns, CAST(arg_max(size, i) AS BIGINT) AS size, CAST(arg_max(deferred, i) AS INTEGER) AS deferred FROM r GROUP BY 1""",
     "ration_records": """
 WITH RECURSIVE t AS (SELECT conv_id, role, CAST(strlen(text) + 256 AS BIGINT) AS cost, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations),
