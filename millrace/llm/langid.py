@@ -34,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, text_bytes
-from millrace.session import checkpointed
+from millrace.session import written
 
 ORDER, LEAST = 3, 4
 #: Keys have a language's number in so many bits.
 LANG_BITS = 16
 #: Before a text stands this byte.
 PAD = 32
+#: Bytes of texts that a task works on at once.
+SLICE = 1 << 18
 #: Values of code lengths that a task keeps.
-KEPT = 8 << 20
+KEPT = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LETTER = np.zeros(256, bool)
@@ -197,7 +199,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     chosen = rows.join(F.broadcast(numbered), "lang").filter(mine).select("number", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SLICE):
             data, starts = text_bytes(part.column(1))
             if not len(data):
                 continue
@@ -208,7 +210,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     few = (1 << LANG_BITS) - 1
     lang_of = F.col("key").bitwiseAND(few)
-    counts = checkpointed(chosen.mapInArrow(counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    counts = written(chosen.mapInArrow(counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     tables = []
     for k in range(ORDER + 1):
         gram = F.shiftright("key", LANG_BITS).bitwiseAND((1 << 8 * (k + 1)) - 1)
@@ -234,7 +236,7 @@ def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept.value
-        for part in slices(batches, len(names)):
+        for part in slices(batches, len(names), SLICE):
             texts = part.column(len(names))
             data, starts = text_bytes(texts)
             letters = np.add.reduceat(np.append(LETTER[data], False), starts[:-1]) * (np.diff(starts) > 0)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import sampled, slices
-from millrace.session import checkpointed
+from millrace.session import written
 
 BUCKETS, WIDTH, ONES, WINDOW = 1 << 14, 48, 4, 2
 EXTRA = 4
@@ -158,7 +158,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     rows = labelled.select(key, text, F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
     size = rows.agg(F.count("*").alias("n"), F.avg("label").alias("share")).collect()[0]
     # Bounded, as the sample is; read twice below.
-    chosen = checkpointed(sampled(rows, key, sample_docs, size["n"]).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), "label").repartition(8, "key"))
+    chosen = written(sampled(rows, key, sample_docs, size["n"]).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), "label").repartition(8, "key"), "sample")
     share = 0.5 if size["share"] is None else float(size["share"])
     index = index_vectors()
     blank = Classifier(index, [], np.zeros(FEATURES), np.ones(FEATURES), 1.0, share)

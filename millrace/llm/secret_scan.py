@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import padded_slice, sampled, slices
-from millrace.session import checkpointed
+from millrace.session import written
 
 # The base patterns, their kinds in order, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -543,7 +543,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_do
                 yield pa.RecordBatch.from_arrays([pa.array(line, pa.string()), pa.array(spans, span), pa.array(size, pa.int32()), pa.array(digits, pa.int32())], names=["line", "spans", "size", "digits"])
 
     each = chosen.mapInArrow(lines, "line string, spans array<struct<a:int,b:int>>, size int, digits int").withColumn("rank", F.xxhash64("line"))
-    once = checkpointed(each.groupBy("line").agg(F.min(F.struct("rank", "spans", "size", "digits")).alias("x")).select("line", "x.*"))
+    once = written(each.groupBy("line").agg(F.min(F.struct("rank", "spans", "size", "digits")).alias("x")).select("line", "x.*"), "lines")
     best = lambda some: once.filter(some).orderBy("rank", "line").limit(runs)
     marked, plain = (best(some).collect() for some in ("size(spans) > 0", "size(spans) = 0"))  # ``runs`` short lines each
     if not marked:

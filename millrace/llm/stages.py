@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontam, langid, near_dup, pieces, secret_scan
 from millrace.llm.common import held_out, tokenizer_path
-from millrace.session import checkpointed, drop_tables, tables, written
+from millrace.session import drop_tables, tables, written
 from millrace.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,18 +32,23 @@ LEAST_ITEM_WORDS = 5
 BROADCAST_KEYS = 250_000
 
 
+#: Equal texts are judged alike, so what is decided of a text goes by its hash.
+TEXT_KEY = "sha2(text, 256) AS _key"
+
+
 def _few(keys: DataFrame) -> DataFrame:
     """``keys`` in the shared folder, broadcast if a count shows that they are few."""
-    keys = checkpointed(keys)
+    keys = written(keys, "keys")
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that are null, without a letter, or as costly as noise in every language."""
-    docs = docs.select(*COLUMNS)
+    docs = docs.selectExpr(*COLUMNS, TEXT_KEY)
     model = langid.fit(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
-    judged = langid.predict(docs, model, keep=tuple(COLUMNS[1:]))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MAX_BITS)).select(*COLUMNS)
+    judged = langid.predict(docs, model, key="_key")
+    out = judged.filter((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > MAX_BITS)).select("_key").distinct()
+    return docs.filter("text is not null").join(_few(out), "_key", "left_anti").select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of the benchmark."""
-    docs = docs.select(*COLUMNS, F.sha2("text", 256).alias("_key"))
+    docs = docs.selectExpr(*COLUMNS, TEXT_KEY)
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), key="_key")
     out = found.filter(F.col("item_words") >= LEAST_ITEM_WORDS).select("_key").distinct()
     return docs.join(_few(out), "_key", "left_anti").select(*COLUMNS)

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import checkpointed
+from millrace.session import written
 
 
 #: Hosts up to which verdicts go out by broadcast, about 5 MB, and parts that a host's links and pages are dealt to.
@@ -86,7 +86,7 @@ def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
     # Each host's sum meets its links, and its rank does so in every round.
     parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     dealt = edges.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
-    step = checkpointed(dealt.join(out.withColumn("salt", parts), ["src", "salt"]).select("src", "salt", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    step = written(dealt.join(out.withColumn("salt", parts), ["src", "salt"]).select("src", "salt", "dst", (F.col("weight") / F.col("out")).alias("share")), "steps")
     start = seeds.select("host", F.col("weight").alias("restart"))
     ranks = start.select("host", F.col("restart").alias("score"))
     for i in range(rounds):
@@ -94,7 +94,7 @@ def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
         restart = start.select("host", ((1 - damping) * F.col("restart")).alias("score"))
         ranks = flow.unionAll(restart).groupBy("host").agg(F.sum("score").alias("score"))
         if (i + 1) % keep_every == 0 and i + 1 < rounds:
-            ranks = checkpointed(ranks)
+            ranks = written(ranks, "ranks")
     return ranks
 
 
@@ -102,8 +102,8 @@ def host_verdicts(pages: DataFrame, rounds: int = 10, threshold: float = 0.5) ->
     """``host, trust, distrust, host_verdict`` for pages with host and rule_verdict."""
     hosts = pages.filter(F.col("host") != "").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
     ruled = F.col("allowed") + F.col("blocked")
-    hosts = checkpointed(hosts.filter(ruled > 0).select("host", (F.col("allowed") / ruled).alias("good"), (F.col("blocked") / ruled).alias("bad")))
-    edges = checkpointed(host_edges(pages))
+    hosts = written(hosts.filter(ruled > 0).select("host", (F.col("allowed") / ruled).alias("good"), (F.col("blocked") / ruled).alias("bad")), "hosts")
+    edges = written(host_edges(pages), "edges")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     good = hosts.filter("good > 0").select("host", F.col("good").alias("weight"))
     bad = hosts.filter("bad > 0").select("host", F.col("bad").alias("weight"))
@@ -113,7 +113,7 @@ def host_verdicts(pages: DataFrame, rounds: int = 10, threshold: float = 0.5) ->
     distrust = page_rank(back, bad, rounds).select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust"))
     both = trust.unionAll(distrust).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     block = (F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
-    return checkpointed(both.withColumn("host_verdict", F.when(block, "block").otherwise("allow")))
+    return written(both.withColumn("host_verdict", F.when(block, "block").otherwise("allow")), "verdicts")
 
 
 def judge(pages: DataFrame, rules: list[Rule], rounds: int = 10, threshold: float = 0.5) -> DataFrame:
