@@ -117,7 +117,7 @@ class Vocabulary:
         return cls(pieces, -np.log(np.maximum(rank, 0) + 2.0), byte_ids)
 
     @cached_property
-    def steps(self) -> tuple[dict[int, int], list[int]]:
+    def trie(self) -> tuple[Table, np.ndarray]:
         """Steps between nodes, from node and byte, and the piece that ends at each node (or -1)."""
         steps: dict[int, int] = {}
         ends = [-1]
@@ -129,19 +129,16 @@ class Vocabulary:
                     ends.append(-1)
             if p:
                 ends[node] = i
-        return steps, ends
-
-    @cached_property
-    def trie(self) -> tuple[Table, np.ndarray]:
-        """The same for whole arrays."""
-        steps, ends = self.steps
         return Table(np.fromiter(steps, np.int64, len(steps)), np.fromiter(steps.values(), np.int32, len(steps))), np.array(ends, np.int32)
 
     @cached_property
-    def by_spelling(self) -> tuple[dict[bytes, int], int]:
-        """Ids of pieces by their bytes, and the longest piece's length."""
+    def by_spelling(self) -> tuple[dict[bytes, int], list[int], list[int]]:
+        """Ids of pieces by their bytes, and the length of the longest by first and by last byte."""
         ids = {p: i for i, p in enumerate(self.pieces) if p}
-        return ids, max(map(len, ids), default=1)
+        first, last = [0] * 256, [0] * 256
+        for p in ids:
+            first[p[0]], last[p[-1]] = max(first[p[0]], len(p)), max(last[p[-1]], len(p))
+        return ids, first, last
 
     @cached_property
     def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,7 +296,7 @@ class Walk:
 
     def __init__(self, vocabulary: Vocabulary, chunk: bytes):
         self.vocabulary, self.data = vocabulary, chunk
-        steps, ends = vocabulary.steps
+        known, longest, _ = vocabulary.by_spelling
         scores, n = vocabulary.scores.tolist(), len(chunk)
         best = np.full(n + 1, -np.inf)
         start, piece = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int32)
@@ -313,20 +310,16 @@ class Walk:
                 at = i + 1
                 while at < n and chunk[at] & 0xC0 == 0x80:
                     at += 1
-                if chunk[i:at] not in vocabulary.by_spelling[0] or at - i > 4:
+                if chunk[i:at] not in known or at - i > 4:
                     self.bare[i:at] = b"\1" * (at - i)
             here = values[i]
             if here == -np.inf:
                 continue
             edges = [(i + 1, BYTE, int(vocabulary.byte_ids[chunk[i]]))] if self.bare[i] else []
             if chunk[i] & 0xC0 != 0x80:
-                node = 0
-                for j in range(i, n):
-                    node = steps.get(node << 8 | chunk[j], -1)
-                    if node < 0:
-                        break
-                    if ends[node] >= 0:
-                        edges.append((j + 1, scores[ends[node]], ends[node]))
+                for stop in range(i + 1, min(i + longest[chunk[i]], n) + 1):
+                    if (name := known.get(chunk[i:stop])) is not None:
+                        edges.append((stop, scores[name], name))
             for stop, score, name in edges:
                 if here + score > values[stop]:
                     values[stop], start[stop], piece[stop] = here + score, i, name
@@ -340,8 +333,8 @@ class Walk:
         return np.array(out[::-1], np.int32)
 
     def into(self, node: int) -> Iterator[tuple[int, float, int]]:
-        known, longest = self.vocabulary.by_spelling
-        for start in range(max(0, node - longest), node):
+        known, _, longest = self.vocabulary.by_spelling
+        for start in range(max(0, node - longest[self.data[node - 1]]), node):
             name = known.get(self.data[start:node])
             if name is not None and self.data[start] & 0xC0 != 0x80:
                 yield start, float(self.vocabulary.scores[name]), name
@@ -469,7 +462,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, n: int = 4, key: str =
     as edits of the best, the last place first: at ``at``, ``drop`` ids make
     way for ``ids``. :func:`segmentations` spells them out.
     """
-    vocabulary.trie, vocabulary.spelled, vocabulary.by_spelling  # noqa: B018  built once, here
+    vocabulary.trie, vocabulary.spelled  # noqa: B018  built once, here
     kept = documents.sparkSession.sparkContext.broadcast(vocabulary)
     kind = documents.schema[key].dataType.simpleString()
     edit = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
