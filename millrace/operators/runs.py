@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.graph import tree_closure
 
+# States of a run that has ended well.
 COMPLETED = ("completed", "completed_with_warnings")
 
 

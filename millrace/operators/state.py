@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# States of a run.
 TERMINAL = ("completed", "completed_with_warnings", "failed", "cancelled", "awaiting_source", "awaiting_outline")
 ACTIVE = ("queued", "running", "cancelling", "interrupted")
 

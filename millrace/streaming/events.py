@@ -40,6 +40,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+# States of a run.
 #: Which state may follow which; terminal states absorb but for a resumed run.
 ALLOWED = {
     "queued": ("running", "cancelling", "cancelled"),
