@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, text_bytes
+from millrace.llm.common import slices, text_bytes, tidy
 from millrace.session import written
 
 ORDER, LEAST = 3, 4
@@ -210,7 +210,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     few = (1 << LANG_BITS) - 1
     lang_of = F.col("key").bitwiseAND(few)
-    counts = written(chosen.mapInArrow(counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    counts = written(chosen.mapInArrow(tidy(counted), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     tables = []
     for k in range(ORDER + 1):
         gram = F.shiftright("key", LANG_BITS).bitwiseAND((1 << 8 * (k + 1)) - 1)
@@ -252,4 +252,4 @@ def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=[*names, "lang_pred", "score", "bits_per_byte"])
 
     columns = [F.col(c) for c in names] + [F.col(text).alias("_text")]
-    return documents.select(*columns).mapInArrow(judge, f"{kinds}, lang_pred string, score double, bits_per_byte double")
+    return documents.select(*columns).mapInArrow(tidy(judge), f"{kinds}, lang_pred string, score double, bits_per_byte double")

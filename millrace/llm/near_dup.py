@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices
+from millrace.llm.common import slices, tidy
 from millrace.session import drop_tables, tables, written
 
 BANDS, ROWS = 8, 2
@@ -119,7 +119,7 @@ def signed(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
             n, cls, sig, bands = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(sig, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))], names=["id", "h", "n_shingles", "class_key", "sig", "bands"])
 
-    return keyed(documents, key, text).mapInArrow(work, "id bigint, h bigint, n_shingles bigint, class_key string, sig array<int>, bands array<bigint>")
+    return keyed(documents, key, text).mapInArrow(tidy(work), "id bigint, h bigint, n_shingles bigint, class_key string, sig array<int>, bands array<bigint>")
 
 
 def keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,7 +135,7 @@ def sets_of(texts: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t, words).view(np.int64) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return texts.select("id", "text").mapInArrow(work, "id bigint, shingles array<bigint>")
+    return texts.select("id", "text").mapInArrow(tidy(work), "id bigint, shingles array<bigint>")
 
 
 def salted(rows: DataFrame, by: str, parts: Column | int) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices
+from millrace.llm.common import slices, tidy
 
 BYTE = -14.0
 MARK = "▁"
@@ -394,7 +394,7 @@ class Encoder:
         Of each other one the stretches that it has instead: (place in the best, how many ids go, ids instead), the last first.
         """
         split = [self.chunks(t) for t in texts]
-        if len(self.ids) > KEPT:
+        if len(self.ids) > KEPT or len(self.searched) > KEPT // 4:
             self._forget()
         place = self.place
         new = {c for cs in split for c in cs if c not in place}
@@ -469,7 +469,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, n: int = 4, key: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(kept, n)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, 1 << 19):
             texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
             coded = encoder.encode([t for t in texts if t is not None])
             best, scores, others = zip(*(next(coded) if t is not None else (np.zeros(0, np.int32), [], []) for t in texts), strict=True)
@@ -479,7 +479,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, n: int = 4, key: str =
                 columns.append(pa.array([[[(at, drop, np.frombuffer(ids, np.int32)) for at, drop, ids in edits] for edits in each] for each in others], edit))
             yield pa.RecordBatch.from_arrays(columns, names=[key, "n_pieces", "scores", "ids", "round_trip", "others"][: len(columns)])
 
-    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, n_pieces bigint, scores array<double>, ids array<int>, round_trip boolean" + f", others {EDITS}" * with_others)
+    return documents.select(key, text).mapInArrow(tidy(work), f"`{key}` {kind}, n_pieces bigint, scores array<double>, ids array<int>, round_trip boolean" + f", others {EDITS}" * with_others)
 
 
 def segmentations(encoded: DataFrame, name: str = "segmentations") -> DataFrame:
@@ -504,4 +504,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids:
             texts = [kept.value.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
-    return encoded.select(key, ids).mapInArrow(work, f"`{key}` {kind}, text string")
+    return encoded.select(key, ids).mapInArrow(tidy(work), f"`{key}` {kind}, text string")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import sampled, slices
+from millrace.llm.common import sampled, slices, tidy
 from millrace.session import written
 
 BUCKETS, WIDTH, ONES, WINDOW = 1 << 14, 48, 4, 2
@@ -174,7 +174,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     total = np.zeros((BUCKETS, WIDTH))
-    for row in chosen.select("text").mapInArrow(contexts, "total binary").toLocalIterator():
+    for row in chosen.select("text").mapInArrow(tidy(contexts), "total binary").toLocalIterator():
         total += np.frombuffer(row["total"], np.float32).reshape(BUCKETS, WIDTH)
     total = np.sign(total) * np.log1p(np.abs(total))
     # Unseen units keep their index vectors.
@@ -187,7 +187,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
             features = draft.pooled(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(features), pa.list_(pa.float32()))], names=["key", "label", "x"])
 
-    found = chosen.select("key", "text", "label").mapInArrow(pooled, "key string, label int, x array<float>").toPandas()  # a bounded sample
+    found = chosen.select("key", "text", "label").mapInArrow(tidy(pooled), "key string, label int, x array<float>").toPandas()  # a bounded sample
     found = found.iloc[np.lexsort((found["x"].map(lambda v: np.asarray(v, np.float32).tobytes()), found["label"], found["key"].fillna("").to_numpy(str)))] if len(found) else found
     if not len(found):
         return blank
@@ -213,4 +213,4 @@ def score(documents: DataFrame, model: Classifier, key: str = "doc_id", text: st
         for part in slices(batches, 1, 1 << 20):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept.value.scores(part.column(1).to_pylist()))], names=[key, "score"])
 
-    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, score double")
+    return documents.select(key, text).mapInArrow(tidy(work), f"`{key}` {kind}, score double")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import padded_slice, sampled, slices
+from millrace.llm.common import padded_slice, sampled, slices, tidy
 from millrace.session import written
 
 # The base patterns, their kinds in order, and their least lengths.
@@ -542,7 +542,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_do
                 line, spans, size, digits = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(line, pa.string()), pa.array(spans, span), pa.array(size, pa.int32()), pa.array(digits, pa.int32())], names=["line", "spans", "size", "digits"])
 
-    each = chosen.mapInArrow(lines, "line string, spans array<struct<a:int,b:int>>, size int, digits int").withColumn("rank", F.xxhash64("line"))
+    each = chosen.mapInArrow(tidy(lines), "line string, spans array<struct<a:int,b:int>>, size int, digits int").withColumn("rank", F.xxhash64("line"))
     once = written(each.groupBy("line").agg(F.min(F.struct("rank", "spans", "size", "digits")).alias("x")).select("line", "x.*"), "lines")
     best = lambda some: once.filter(some).orderBy("rank", "line").limit(runs)
     marked, plain = (best(some).collect() for some in ("size(spans) > 0", "size(spans) = 0"))  # ``runs`` short lines each
@@ -597,7 +597,7 @@ def scan(documents: DataFrame, field: Field | None, key: str = "doc_id", text: s
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in found.get(i, ())] for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(struct))], names=[key, "spans"])
 
-    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return documents.select(key, text).mapInArrow(tidy(work), f"`{key}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -640,5 +640,5 @@ def redact(documents: DataFrame, field: Field | None, text: str = "text", length
                 columns[at] = pa.array(texts, part.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    out = documents.mapInArrow(work, documents.schema)
+    out = documents.mapInArrow(tidy(work), documents.schema)
     return out.withColumn(length, F.length(text).cast(documents.schema[length].dataType)) if length in names else out
