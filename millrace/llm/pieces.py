@@ -394,8 +394,10 @@ class Encoder:
         Of each other one the stretches that it has instead: (place in the best, how many ids go, ids instead), the last first.
         """
         split = [self.chunks(t) for t in texts]
-        if len(self.ids) > KEPT or len(self.searched) > KEPT // 4:
+        if len(self.ids) > KEPT:
             self._forget()
+        if len(self.searched) > KEPT // 4:
+            self.searched = {}
         place = self.place
         new = {c for cs in split for c in cs if c not in place}
         if new:
