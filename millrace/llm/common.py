@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 1 << 20
-#: Bytes of an array from which on it stands outside the heap.
-MAPPED_BYTES = 1 << 18
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -59,10 +57,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
 
 @functools.cache
 def _libc() -> ctypes.CDLL | None:
-    """The C library, told once to give large blocks back as soon as they are free; None where it is another one."""
+    """The C library, if it can give freed memory back; else None."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD; without it the bound grows to 32 MB
         return libc if hasattr(libc, "malloc_trim") else None
     except OSError:
         return None
@@ -72,10 +69,9 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     """``work`` whose freed memory goes back to the system: Python workers live on, and one stage's arrays are no use to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        libc = _libc()
         yield from work(batches)
         pa.default_memory_pool().release_unused()
-        if libc is not None:
+        if (libc := _libc()) is not None:
             libc.malloc_trim(0)
 
     return run
