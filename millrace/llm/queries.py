@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, chat, decontam, html_text, langid, near_dup, pieces, quality, secret_scan, stages, urls
+from millrace.llm import ann, centroids, chat, decontam, filter_audit, html_text, langid, near_dup, pieces, quality, secret_scan, stages, urls
 from millrace.llm.common import held_out, tokenizer_path
 from millrace.sources.tables import table
 
@@ -69,6 +69,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), RULES)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=8, rounds=10, seed=3).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_ann_search": op2_ann_search,
@@ -80,13 +88,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pieces": op9_pieces,
     "op10_html_text": op10_html_text,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_centroids": op13_centroids,
     "pipeline": stages.run,
 }
 
 #: Backslashes that escaping adds: one for each backslash, each close mark, and each place where three signs begin.
 _ADDED = "length(text) - length(replace(text, '\\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 + length(text) - length(regexp_replace(text, '##(#+)', '##', 'g'))"
 
+#: op13's centroids (c, v) move round by round: from those of the round before to the exact floors of means.
+_ROUND = """
+c{next} AS MATERIALIZED (SELECT c, coalesce(m.v, p.v) AS v FROM c{now} p LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+    SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM ({near})) GROUP BY c, i) GROUP BY c) m USING (c))
+"""
+_NEAR = """SELECT k.vec_id, k.v, unnest(list_sort(list({{'d': list_inner_product(k.w, k.w) - 2 * list_inner_product(k.w, p.w) + list_inner_product(p.w, p.w), 'c': p.c}}))[1:1], recursive := true)
+    FROM k, (SELECT c, v, CAST(v AS DOUBLE[]) AS w FROM c{now}) p GROUP BY k.row, k.vec_id, k.v"""
+
 ORACLE = {
+    "op12_filter_audit": """
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+f AS (SELECT w.doc_id, part, {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)} AS fails,
+    coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic FROM w LEFT JOIN labels l ON l.doc_id = w.doc_id),
+g AS (SELECT part, fails.A AS a, fails.B AS b, fails.C AS c, fails.D AS d, fails.E AS e, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT part, filter_order, step, filter_order[step] AS filter, n, good, toxic,
+    (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS failed
+  FROM g, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+t AS (SELECT *, contains(failed, filter) AS hit, length(translate(failed, filter_order[1:step - 1], '')) < length(failed) AS gone FROM s),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (failed = filter), 0) AS unique_fails, coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost FROM t GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
+""",
+    "op13_centroids": """
+WITH f AS (SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+k AS MATERIALIZED (SELECT row, vec_id, list_transform(x, lambda y: CAST(floor(1024 * y) AS BIGINT)) AS v, list_transform(x, lambda y: floor(1024 * y)) AS w FROM f),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM k ORDER BY c LIMIT 8),
+"""
+    + ",".join(_ROUND.format(now=i, next=i + 1, near=_NEAR.format(now=i)) for i in range(10))
+    + f""", a AS (SELECT vec_id, c, CAST(d AS BIGINT) AS d FROM ({_NEAR.format(now=10)}))
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM a JOIN c10 USING (c)
+""",
     "op2_ann_search": """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
