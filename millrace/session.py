@@ -41,20 +41,6 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is
-    set only where the session has none. A lost executor loses nothing, as the
-    files are on storage that all executors read.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
@@ -68,6 +54,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder for files of another format beside the tables of :func:`written`, dropped with them."""
+    path = f"{_written_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _left(spark).append(path)
+    return path
+
+
 def tables(spark: SparkSession) -> list[str]:
     """Paths of the tables that :func:`written` has left in this thread, oldest first."""
     return list(_left(spark))
