@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, centroids, chat, decontam, filter_audit, html_text, langid, near_dup, pieces, quality, secret_scan, stages, urls
+from millrace.llm import ann, centroids, chat, decontam, filter_audit, html_text, langid, near_dup, pieces, quality, secret_scan, stages, urls, warc
 from millrace.llm.common import held_out, tokenizer_path
+from millrace.session import new_folder
 from millrace.sources.tables import table
 
 RULES = [urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
@@ -69,6 +70,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), RULES)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pieces": op9_pieces,
     "op10_html_text": op10_html_text,
+    "op11_warc": op11_warc,
     "op12_filter_audit": op12_filter_audit,
     "op13_centroids": op13_centroids,
     "pipeline": stages.run,
@@ -106,6 +114,11 @@ _NEAR = """SELECT k.vec_id, k.v, unnest(list_sort(list({{'d': list_inner_product
     FROM k, (SELECT c, v, CAST(v AS DOUBLE[]) AS w FROM c{now}) p GROUP BY k.row, k.vec_id, k.v"""
 
 ORACLE = {
+    "op11_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN n < 1000 OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM p
+""",
     "op12_filter_audit": """
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 f AS (SELECT w.doc_id, part, {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
