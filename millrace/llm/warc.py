@@ -255,7 +255,9 @@ def _commit(spark: SparkSession, finished: DataFrame, folder: str) -> DataFrame:
     spark.read.parquet(f"{pending}/finished").mapInArrow(work, MANIFEST).drop("temporary").write.parquet(f"{pending}/manifest")
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.rename(path(f"{pending}/manifest"), path(f"{folder}/_manifest")):
+    final = path(f"{folder}/_manifest")
+    # A rename to a folder that is there would move into it.
+    if store.exists(final) or not store.rename(path(f"{pending}/manifest"), final):
         raise OSError(f"cannot commit {folder}: it has a manifest")
     store.delete(path(pending), True)
     store.delete(path(f"{folder}/_temporary"), True)
