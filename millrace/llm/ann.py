@@ -16,7 +16,10 @@ queries, of which it holds ``block_rows``. The nearest are merged by query.
 
 Matrix products only say which pairs may be near: within the bound of their
 rounding every such pair is scored again in doubles, one product for each
-component in order, and ranks and ties go by these scores alone.
+component in order, and ranks and ties go by these scores alone. All this is done
+on vectors times a power of two that brings the longest to a length of 1 to 2, which changes no
+digit of a score; the scores returned are those of the vectors as they came, so
+they may be infinite or zero where the order between them is still known.
 
 Defined cases: vectors that are null, empty, zero, of another length than most
 or hold a null, NaN or infinity take no part; so do null ids. Equal scores are
@@ -96,15 +99,19 @@ class VantageTree:
 
 
 class Shard:
-    """A tree over the points of a shard, for any number of query blocks."""
+    """A tree over the points of a shard, for any number of query blocks.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, limit: float):
-        self.ids, self.vectors, self.limit = ids, vectors, limit
-        self.tree = VantageTree(np.hstack([vectors, np.sqrt(np.maximum(limit**2 - (vectors**2).sum(1), 0))[:, None]]))
+    The tree sees vectors times 2 ** -``exponent``, none longer than ``limit``.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, limit: float, exponent: int = 0):
+        self.ids, self.vectors, self.limit, self.exponent = ids, vectors, limit, exponent
+        scaled = np.ldexp(vectors, -exponent)
+        self.tree = VantageTree(np.hstack([scaled, np.sqrt(np.maximum(limit**2 - (scaled**2).sum(1), 0))[:, None]]))
 
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each query the ``k`` best points, as (query position, id, score)."""
-        ids, vectors = self.ids, self.vectors
+    def nearest(self, query_ids: np.ndarray, asked: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, ...]:
+        """For each query the ``k`` best points, as (query position, id, score, scaled score)."""
+        ids, vectors, queries = self.ids, self.tree.points[:, :-1], np.ldexp(asked, -self.exponent)
         n, width = queries.shape
         base = (queries**2).sum(1) + self.limit**2
         # What rounding may change of a product, of a squared distance and of a distance.
@@ -142,7 +149,8 @@ class Shard:
 
         self.tree.search(np.hstack([queries, np.zeros((n, 1))]), visit, radius, factor, 1e-12 * np.sqrt(base))
         q, at = np.nonzero(best_row >= 0)
-        return q, ids[best_row[q, at]], best_score[q, at]
+        with np.errstate(over="ignore", invalid="ignore"):
+            return q, ids[best_row[q, at]], products(asked[q], self.vectors[best_row[q, at]]), best_score[q, at]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,10 +176,13 @@ def search(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, sh
     """
     spark = embeddings.sparkSession
     rows = valid_vectors(embeddings)
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"), F.count_if(is_query).alias("asked")).orderBy(F.desc("n"), "d").limit(1).collect()
+    size = F.array_max(F.transform("v", F.abs))
+    squares = F.aggregate(F.transform("v", lambda x: x / size), F.lit(0.0), lambda a, x: a + x * x)
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.log2(size) + F.log2(squares) / 2).alias("norm"), F.count_if(is_query).alias("asked")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    width, total, limit = lengths[0]["d"], lengths[0]["n"], float(lengths[0]["norm"]) * (1 + 1e-12)
+    width, total, exponent = lengths[0]["d"], lengths[0]["n"], math.floor(lengths[0]["norm"])
+    limit = 2.0 ** (lengths[0]["norm"] - exponent) * (1 + 1e-9)
     rows = rows.filter(F.size("v") == width)
     n_shards = max(math.ceil(total / shard_rows), min(math.ceil(total / 2048), least_shards))
     n_blocks = max(1, math.ceil(lengths[0]["asked"] / block_queries))
@@ -193,8 +204,8 @@ def search(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, sh
         def answer() -> pa.RecordBatch:
             names, vectors = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
-            q, near, score = tree.nearest(names, vectors, k, factor)
-            return pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
+            q, near, score, order = tree.nearest(names, vectors, k, factor)
+            return pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(near), pa.array(score), pa.array(order)], names=["query_id", "vec_id", "score", "scaled"])
 
         for batch in batches:
             marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], axis=1)
@@ -212,7 +223,7 @@ def search(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, sh
                     held.append((ids[a:b].copy(), vectors[a:b].copy()))
                 elif held or tree is not None:
                     if tree is None:
-                        tree = Shard(*(np.concatenate(x) for x in zip(*held, strict=True)), limit)
+                        tree = Shard(*(np.concatenate(x) for x in zip(*held, strict=True)), limit, exponent)
                         held = []
                     for at in range(a, b, block_rows):
                         end = min(at + block_rows, b)
@@ -222,6 +233,6 @@ def search(embeddings: DataFrame, is_query, k: int = 20, factor: float = 1.0, sh
         if waiting:
             yield answer()
 
-    found = streamed.mapInArrow(work, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = streamed.mapInArrow(work, "query_id bigint, vec_id bigint, score double, scaled double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("scaled"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,8 +13,8 @@ of (context, language) with what coding and escaping cost there. As counts are
 frozen, the code length of a gram (context and byte) is computed once a task and
 kept; scoring is then a lookup for each byte, done for whole Arrow slices at a time.
 
-Fitting takes a bounded sample of labelled rows of every language, chosen by a
-hash of the key: ``sample_docs`` of each, fewer (300 at least) if there are many
+Fitting takes a bounded sample of the distinct labelled texts of every language, chosen
+by a hash of the text: about ``sample_docs`` of each, fewer (300 at least) if there are many
 languages; contexts are counted and thinned in Spark. Prediction covers whole texts of all rows.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with
@@ -182,12 +182,12 @@ def build(langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> Mode
     return Model(langs, levels, unseen)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 2500, all_docs: int = 100_000) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 2500, all_docs: int = 100_000) -> Model:
     """A model of every language that has a labelled text."""
     spark = labelled.sparkSession
-    rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    # One row a language.
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.select(F.xxhash64(text).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
+    # One row a language; a text counts once, however many rows repeat it.
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if len(langs) >= 1 << LANG_BITS:
         raise ValueError(f"{len(langs)} languages")
@@ -195,8 +195,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         return Model([])
     each = min(sample_docs, max(300, all_docs // len(langs)))
     numbered = spark.createDataFrame([(name, i, min(1 << 30, int(each / sizes[name] * (1 << 30)))) for i, name in enumerate(langs)], "lang string, number int, bound int")
-    mine = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("bound")
-    chosen = rows.join(F.broadcast(numbered), "lang").filter(mine).select("number", "text")
+    mine = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.col("bound")
+    chosen = rows.join(F.broadcast(numbered), "lang").filter(mine).dropDuplicates(["number", "h"]).select("number", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, SLICE):

@@ -107,8 +107,8 @@ def host_verdicts(pages: DataFrame, rounds: int = 10, threshold: float = 0.5) ->
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     good = hosts.filter("good > 0").select("host", F.col("good").alias("weight"))
     bad = hosts.filter("bad > 0").select("host", F.col("bad").alias("weight"))
-    if edges.isEmpty():  # no flow: the ranks are the seeds
-        rounds = 0
+    if edges.isEmpty():  # no flow: one round gives what any number of them does
+        rounds = min(rounds, 1)
     trust = page_rank(edges, good, rounds).select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust"))
     distrust = page_rank(back, bad, rounds).select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust"))
     both = trust.unionAll(distrust).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))

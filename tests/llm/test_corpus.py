@@ -114,6 +114,22 @@ def test_nearest_at_any_scale(spark, scale):
     assert got == brute_neighbours(rows, 12)
 
 
+@pytest.mark.parametrize("scale", [2.0**530, 2.0**-530])
+def test_nearest_where_products_leave_the_doubles(spark, scale):
+    """Order and number of neighbours are those of the same vectors at another scale; scores are the doubles' products."""
+    from millrace.llm import ann
+
+    rng = np.random.default_rng(12)
+    plain = rng.normal(size=(2000, 4))
+    rows = [(i, [float(x) * scale for x in v]) for i, v in enumerate(plain)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert r.score in (0.0, float("inf"), float("-inf")) or abs(r.score) < 1e-300 or np.isnan(r.score)
+    want = {q: [-i for _, i in best] for q, best in brute_neighbours([(i, v.tolist()) for i, v in enumerate(plain)], 5).items()}
+    assert got == want
+
+
 def test_nearest_of_repeated_ids(spark):
     from millrace.llm import ann
 
@@ -171,6 +187,16 @@ def test_verdicts_by_salt(spark, monkeypatch):
     test_urls(spark)
 
 
+def test_trust_of_hosts_without_links_stays_as_other_hosts_link(spark):
+    from millrace.llm import urls
+
+    rules = [urls.Rule("allow", "good.org"), urls.Rule("block", "bad.org")]
+    pages = [(1, "http://good.org/", ""), (2, "http://bad.org/", None)]
+    linked = pages + [(3, "http://c.org/", '<a href="http://d.org/">x</a>')]
+    alone, other = ({r.host: (r.trust, r.distrust) for r in urls.host_verdicts(urls.with_rule(urls.split_url(spark.createDataFrame(rows, "page_id bigint, url string, html string")), rules)).collect()} for rows in (pages, linked))
+    assert alone == other and alone["good.org"] == pytest.approx((0.15, 0))
+
+
 def test_page_rank_against_iteration(spark):
     from millrace.llm import urls
 

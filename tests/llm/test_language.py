@@ -113,3 +113,16 @@ def test_kept_code_lengths_change_nothing(spark, keep, monkeypatch):
     fresh = pickle.loads(pickle.dumps(model))
     one = np.concatenate([fresh.bits(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts])
     assert np.allclose(whole, one)
+
+
+def test_languages_whose_rows_share_an_id_are_learned(spark):
+    from millrace.llm import langid
+
+    df = lambda n, text, name: spark.range(n).select(F.lit(1 if name == "de" else None).cast("bigint").alias("doc_id"), text.alias("text"), F.lit(name).alias("lang"))
+    many = df(6000, F.concat(F.lit("der hund und die katze "), F.col("id")), "de").unionAll(df(6000, F.lit("le chien et le chat"), "fr")).unionAll(df(200, F.concat(F.lit("the dog and the cat "), F.col("id")), "en"))
+    model = langid.fit(many)
+    asked = spark.createDataFrame([(1, "der hund und die katze"), (2, "le chien et le chat"), (3, "the dog and the cat")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in langid.predict(asked, model).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3)] == ["de", "fr", "en"] and all(r.bits_per_byte < 4 for r in got.values())
+    once = langid.fit(many.distinct())
+    assert all((a.contexts == b.contexts).all() and (a.counts == b.counts).all() for a, b in zip(model.levels, once.levels, strict=True))
