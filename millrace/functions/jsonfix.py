@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BEHIND_STRING = re.compile(r"""\s*+(?:\Z|:\s*+["{\[\-tfn0-9]|,\s*+["{\[]|[}\]][}\]\s]*+(?:,|\Z))""")
+#: What counts when a balanced object is sought: whole strings, the quote of one that is cut off, braces.
+OBJECT_MARK = re.compile(r'"(?:[^"\\]|\\.)*+"|["{}]', re.S)
 DECODED = T.StructType([T.StructField("value", T.StringType()), T.StructField("fault", T.StringType())])
 
 
@@ -34,7 +39,9 @@ def first_object(text: str) -> str | None:
 def repaired(text: str) -> str:
     """Strings with bare quotes, control characters and invalid escapes made valid.
 
-    A quote ends a string only if a delimiter, or the end, follows it.
+    A quote ends a string only if what follows it may stand behind a string: the
+    end, a colon before a value, a comma before a string, object or array, or
+    closing brackets before a comma or the end.
     """
     out, quoted, i = [], False, 0
     while i < len(text):
@@ -48,8 +55,7 @@ def repaired(text: str) -> str:
             out.append(c + follow if valid and follow else "\\\\")
             i += bool(valid and follow)
         elif c == '"':
-            after = text[i + 1 :].lstrip()[:1]
-            quoted = after not in ("", ",", ":", "}", "]")
+            quoted = not BEHIND_STRING.match(text, i + 1)
             out.append('\\"' if quoted else c)
         else:
             out.append(json.dumps(c)[1:-1] if c < " " else c)
@@ -78,29 +84,38 @@ def decode_json(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([decode(t) for t in texts], columns=["value", "fault"])
 
 
-def complete_elements(text: str | None, field: str) -> list[str]:
-    """The complete elements, as JSON, of the array that ``field`` names in a text that may be cut off."""
-    at = (text or "").find(f'"{field}"')
-    at = text.find("[", at) + 1 if at >= 0 else 0
-    out, reader = [], json.JSONDecoder()
-    while at > 0:
-        at += len(text[at:]) - len(text[at:].lstrip(" \t\r\n,"))
+def complete_objects(text: str | None, field: str) -> list[str]:
+    """The complete objects, as JSON, of the array that ``field`` names in a text that may be cut off.
+
+    Other elements and objects that are no JSON are passed over; the first ``]`` outside objects ends the array.
+    """
+    start = (text or "").find(f'"{field}"')
+    at = text.find("[", start) + 1 if start >= 0 else 0
+    out = []
+    while at > 0 and (m := re.compile(r"[{\]]").search(text, at)) and m[0] == "{":
+        depth, at = 0, 0
+        for mark in OBJECT_MARK.finditer(text, m.start()):
+            if mark[0] == '"':
+                break
+            depth += {"{": 1, "}": -1}.get(mark[0], 0)
+            if not depth:
+                at = mark.end()
+                break
         try:
-            value, end = reader.raw_decode(text, at)
+            out.append(json.dumps(json.loads(text[m.start() : at], parse_constant=_no_value), separators=(",", ":"), ensure_ascii=False))
         except ValueError:
-            break
-        # A number or word at the very end may be cut itself.
-        if end == len(text) and not isinstance(value, dict | list | str):
-            break
-        out.append(json.dumps(value, separators=(",", ":"), ensure_ascii=False))
-        at = end
+            continue
     return out
 
 
+def _no_value(name: str):
+    raise ValueError(name)
+
+
 def array_prefix(text: Column, field: str) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([complete_elements(t, field) for t in texts])
+            yield pd.Series([complete_objects(t, field) for t in texts])
 
     return found(text)

@@ -50,7 +50,7 @@ def section_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts at the shallowest headings, headings shifted, and the last mark gone."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn")
     name = F.col("turn").cast("string")
-    body = F.concat(F.lit("intro\n#### A"), name, F.lit("\none\n```\n#### no\n```\n##### deep\n#### B\ntwo\n<!-- DOCCRAFT_MORE -->\n"))
+    body = F.concat(F.lit("intro\n#### A"), name, F.lit("\none\n```\n#### no\n```\n##### deep\n#### B\ntwo\n<!-- MORE -->\n"))
     lines = turns.select("conv_id", "turn", markdown.lines_of(markdown.pieces(markdown.without_more(body))).alias("x"))
     return lines.select("conv_id", "turn", F.array_join(markdown.subsections(F.col("x")), "|").alias("parts"), markdown.shifted_headings(F.col("x"), F.lit("2. b")).alias("shifted"))
 
@@ -66,7 +66,7 @@ def diagram_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spliced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four kinds of answers to three parts, by turn."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn")
-    mark = lambda n, t: f"<!-- DOCCRAFT_SUBSECTION {n} -->\n{t}\n"
+    mark = lambda n, t: f"<!-- PART {n} -->\n{t}\n"
     k = F.col("turn") % 5
     answer = F.when(k == 0, mark(1, "new one")).when(k == 1, mark(0, "x") + mark(0, "y")).when(k == 2, mark(7, "x")).when(k == 3, "short").otherwise("lead\n" + mark(2, "z"))
     parts = F.array(F.lit("part zero"), F.lit("part one"), F.lit("part two"))
@@ -89,11 +89,13 @@ def section_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete elements of an array cut at a place that moves with the event."""
-    events = table(spark, sf_dir, "events", "event_id")
-    whole = '{"note": "x", "items": [{"a": 1}, "b c", 42, [1, 2]]}'
-    found = events.select("event_id", array_prefix(F.left(F.lit(whole), (F.col("event_id") % 56).cast("int")), "items").alias("x"))
-    return found.select("event_id", F.array_join("x", ";").alias("elements"))
+    """Complete objects of an array of a turn's words, cut at a place that moves with the turn."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    word = F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(30))
+    whole = F.concat(F.lit('{"items": [1, {"t": "'), word, F.lit('"}, nope, {"q": {"b": "}]"}}, {bad}, "s", {"n": '), F.col("turn").cast("string"), F.lit("}, [2]]}"))
+    at = (F.col("conv_id") * 7 + F.col("turn") * 13) % (F.length(whole) + 1)
+    found = turns.select("conv_id", "turn", array_prefix(F.left(whole, at.cast("int")), "items").alias("x"))
+    return found.select("conv_id", "turn", F.array_join("x", ";").alias("elements"))
 
 
 def warning_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +181,10 @@ SELECT conv_id, turn, CAST(CASE WHEN turn % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) A
 WITH t AS (SELECT conv_id, turn, '# One [E:a]' || chr(10) || '## Two' || chr(10) || repeat('x', 100) || '[E:b]' || turn AS text FROM conversations)
 SELECT conv_id, turn, '# One [E:a]' AS headings, left(text, 20) || chr(10) || '[… excerpt …]' || chr(10) || right(text, 21) AS short, CAST(2 AS BIGINT) AS citations FROM t""",
     "cut_arrays": """
-SELECT event_id, CASE WHEN event_id % 56 < 32 THEN '' WHEN event_id % 56 < 39 THEN '{"a":1}' WHEN event_id % 56 < 44 THEN '{"a":1};"b c"' WHEN event_id % 56 < 51 THEN '{"a":1};"b c";42' ELSE '{"a":1};"b c";42;[1,2]' END AS elements FROM events""",
+WITH t AS (SELECT conv_id, turn, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 30) AS w FROM conversations),
+o AS (SELECT conv_id, turn, 14 + length('{"t": "' || w || '"}') AS e1, '{"t":"' || w || '"}' AS v1, 22 AS more, turn || '' AS n FROM t),
+c AS (SELECT *, e1 + 8 + 18 AS e2, e1 + 8 + 18 + 14 + length('{"n": ' || n || '}') AS e3, (conv_id * 7 + turn * 13) % (e1 + 8 + 18 + 14 + length('{"n": ' || n || '}') + 7 + 1) AS place FROM o)
+SELECT conv_id, turn, concat_ws(';', CASE WHEN place >= e1 THEN v1 END, CASE WHEN place >= e2 THEN '{"q":{"b":"}]"}}' END, CASE WHEN place >= e3 THEN '{"n":' || n || '}' END) AS elements FROM c""",
     "warning_notes": "SELECT conv_id, turn, 'see [^s3], b.rs,  and `[E:one]` ' || turn AS text FROM conversations",
     "brief_checks": """
 WITH f AS (SELECT DISTINCT l_orderkey AS scope, l_linenumber AS finding FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY finding) AS place FROM f)

@@ -78,10 +78,12 @@ def heading_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event properties, each fourth broken in one of three ways."""
-    events = table(spark, sf_dir, "events", "event_id", "props")
-    k = F.col("event_id") % 4
-    body = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here it is: "), "props", F.lit(" done"))).when(k == 2, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
+    """Event properties, broken in one of five ways or whole."""
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "props")
+    k = F.col("event_id") % 6
+    said = F.concat(F.lit('{"k": "he said "'), "event_type", F.lit('", then left '), F.col("event_id").cast("string"), F.lit('", "z": [{"a": "a "b" c"}]}'))
+    raw = F.concat(F.lit('{"k": "one\ntwo \\d '), "event_type", F.lit('"}'))
+    body = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here it is: "), "props", F.lit(" done"))).when(k == 2, F.regexp_replace("props", r"\}$", "")).when(k == 3, said).when(k == 4, raw).otherwise(F.col("props"))
     return events.select("event_id", decode_json(body).alias("d")).select("event_id", "d.value", "d.fault")
 
 
@@ -125,5 +127,6 @@ WITH e AS (SELECT l_suppkey AS x, l_partkey % 100 AS y, 5 AS w FROM lineitem UNI
 SELECT least(x, y) AS a, greatest(x, y) AS b, CAST(sum(w) AS BIGINT) AS weight FROM e WHERE x <> y GROUP BY 1, 2""",
     "heading_keys": "SELECT p_partkey, lower(regexp_replace(p_name, '[^\\p{L}\\p{N}]+', '', 'g')) AS key, p_partkey % 20 = 1 AS names_b1 FROM part",
     "json_decode": """
-SELECT event_id, CASE WHEN event_id % 4 = 2 THEN NULL ELSE replace(props, ' ', '') END AS value, CASE WHEN event_id % 4 = 2 THEN 'truncated' END AS fault FROM events""",
+SELECT event_id, CASE event_id % 6 WHEN 2 THEN NULL WHEN 3 THEN '{"k":"he said \\"' || event_type || '\\", then left ' || event_id || '","z":[{"a":"a \\"b\\" c"}]}'
+  WHEN 4 THEN '{"k":"one\\ntwo \\\\d ' || event_type || '"}' ELSE replace(props, ' ', '') END AS value, CASE WHEN event_id % 6 = 2 THEN 'truncated' END AS fault FROM events""",
 }
