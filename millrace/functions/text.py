@@ -109,20 +109,19 @@ def _valid(text: Column, start: Column, size: Column, step: int) -> Column:
     return F.coalesce(*(F.when(F.is_valid_utf8(t), t) for t in tries))
 
 
-def tail(text: Column, most: int) -> Column:
+def tail(text: Column, most: Column | int) -> Column:
     """The last ``most`` bytes, from the beginning of a character."""
-    size = F.least(F.octet_length(text), F.lit(most))
+    size = F.least(F.octet_length(text), F.lit(most) if isinstance(most, int) else most)
     return _valid(text, F.octet_length(text) - size, size, 1)
 
 
-def excerpt(text: Column, limit: int, gap: str = "\n[… excerpt …]\n") -> Column:
+def excerpt(text: Column, limit: Column | int, gap: str = "\n[… excerpt …]\n") -> Column:
     """Head and tail of a text within ``limit`` bytes; empty if the gap alone does not fit."""
-    room = limit - len(gap.encode())
-    if room < 0:
-        return F.when(F.octet_length(text) <= limit, text).otherwise("")
-    head, end = room // 2, room - room // 2
-    both = F.concat(_valid(text, F.lit(0), F.lit(head), -1), F.lit(gap), tail(text, end))
-    return F.when(F.octet_length(text) <= limit, text).otherwise(both)
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    room = (limit - len(gap.encode())).cast("int")
+    head = F.floor(F.greatest(room, F.lit(0)) / 2).cast("int")
+    both = F.concat(_valid(text, F.lit(0), head, -1), F.lit(gap), tail(text, F.greatest(room, F.lit(0)) - head))
+    return F.when(F.octet_length(text) <= limit, text).when(room < 0, "").otherwise(both)
 
 
 def without_overlap(text: Column, more: Column, least: int = 32, most: int = 8000) -> Column:

@@ -17,11 +17,12 @@ SALTS = 16
 PARTS = 4096
 
 
-def _dealt(rows: DataFrame, by: str) -> DataFrame:
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Adds ``salt``, so that rows of one key go to several parts; :func:`everywhere` is the other side of such a join."""
     return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
 
 
-def _everywhere(rows: DataFrame) -> DataFrame:
+def everywhere(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
@@ -34,13 +35,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark, held = links.sparkSession, tables(links.sparkSession)
     turned = links.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))
-    both = written(_dealt(links.select("scope", "a", "b").unionAll(turned).distinct(), "a"), "links")
+    both = written(dealt(links.select("scope", "a", "b").unionAll(turned).distinct(), "a"), "links")
     labels = written(both.groupBy("scope", F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
     while True:
-        near = both.join(_everywhere(labels.select("scope", F.col("id").alias("b"), "component")), ["scope", "b", "salt"]).groupBy("scope", F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        near = both.join(everywhere(labels.select("scope", F.col("id").alias("b"), "component")), ["scope", "b", "salt"]).groupBy("scope", F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, ["scope", "id"]).select("scope", "id", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        ups = _everywhere(step.select("scope", F.col("id").alias("component"), F.col("component").alias("up")).filter("up < component"))
-        step = written(_dealt(step, "id").join(ups, ["scope", "component", "salt"], "left").select("scope", "id", "before", F.coalesce("up", "component").alias("component")), "labels")
+        ups = everywhere(step.select("scope", F.col("id").alias("component"), F.col("component").alias("up")).filter("up < component"))
+        step = written(dealt(step, "id").join(ups, ["scope", "component", "salt"], "left").select("scope", "id", "before", F.coalesce("up", "component").alias("component")), "labels")
         labels = step.select("scope", "id", "component")
         if step.filter("component < before").isEmpty():
             drop_tables(spark, [path for path in tables(spark)[:-1] if path not in held])
@@ -77,8 +78,8 @@ def graph_order(nodes: DataFrame, weights: DataFrame) -> DataFrame:
     one = weights.filter("a <> b").groupBy("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
     one = written(one, "weights")
     of = components(one)
-    linked = _dealt(one.unionAll(one.select("scope", F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "b")
-    lists = linked.join(_everywhere(of.select("scope", F.col("id").alias("a"), "component")), ["scope", "a", "salt"])
+    linked = dealt(one.unionAll(one.select("scope", F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "b")
+    lists = linked.join(everywhere(of.select("scope", F.col("id").alias("a"), "component")), ["scope", "a", "salt"])
     ordered = lists.select("scope", "component", F.col("a").alias("node"), F.col("b").alias("next"), "weight").repartition("scope", "component").sortWithinPartitions("scope", "component", "node", F.desc("weight"), "next").drop("weight")
     kind = nodes.schema["scope"].dataType.simpleString()
 
@@ -137,4 +138,4 @@ def placed(rows: DataFrame, order: list[Column | str], group: list[str] | None =
     if not group:
         return whole.withColumnRenamed("_at", name)
     first = whole.groupBy(*group).agg(F.min("_at").alias("_first"))
-    return _dealt(whole, "_at").join(_everywhere(first), [*group, "salt"]).withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first", "salt")
+    return dealt(whole, "_at").join(everywhere(first), [*group, "salt"]).withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first", "salt")
