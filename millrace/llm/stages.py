@@ -36,6 +36,17 @@ BROADCAST_KEYS = 250_000
 TEXT_KEY = "sha2(text, 256) AS _key"
 
 
+def _settled(spark: SparkSession) -> None:
+    """Executors collect their garbage before a stage, so that what the last one took of their heaps is the system's again.
+
+    A heap that shuffles have filled stays as large as it was until then, beside
+    the Python workers of the next stage. Tasks reach every executor only by
+    chance, so there are several for each core; one that is missed costs memory alone.
+    """
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def _few(keys: DataFrame) -> DataFrame:
     """``keys`` in the shared folder, broadcast if a count shows that they are few."""
     keys = written(keys, "keys")
@@ -44,6 +55,7 @@ def _few(keys: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that are null, without a letter, or as costly as noise in every language."""
+    _settled(spark)
     docs = docs.selectExpr(*COLUMNS, TEXT_KEY)
     model = langid.fit(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
     judged = langid.predict(docs, model, key="_key")
@@ -53,6 +65,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group the document that has the least id."""
+    _settled(spark)
     # Rows are numbered in the table that is written, so that numbers stay.
     docs = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     groups = near_dup.near_duplicates(docs, key="_row", share=NEAR_SHARE).select("_row", F.col("component_id").alias("group"))
@@ -66,6 +79,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of the benchmark."""
+    _settled(spark)
     docs = docs.selectExpr(*COLUMNS, TEXT_KEY)
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), key="_key")
     out = found.filter(F.col("item_words") >= LEAST_ITEM_WORDS).select("_key").distinct()
@@ -74,12 +88,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts."""
+    _settled(spark)
     docs = docs.select(*COLUMNS)
     return secret_scan.redact(docs, secret_scan.fit(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The best segmentation of every text, and the scores of the four best."""
+    _settled(spark)
     return pieces.encode(docs, pieces.Vocabulary.load(tokenizer_path()), n=4, with_others=False)
 
 
