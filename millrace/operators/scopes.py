@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import is_implementation
+from millrace.operators.ordering import dealt, everywhere
 from millrace.operators.planning import merge_first
 
 
@@ -119,3 +120,11 @@ def branch_labels(level: DataFrame, children: DataFrame) -> DataFrame:
 def worst(rows: DataFrame, path: str, count: str, most: int = 5) -> DataFrame:
     """The ``most`` paths with the largest counts, ties by path."""
     return rows.filter(F.col(count) > 0).orderBy(F.desc(count), path).limit(most)
+
+
+def with_fallback(rows: DataFrame, scope: str, order: str, excluded: Column) -> DataFrame:
+    """Rows that are not ``excluded``, and all rows of a scope that would have none left."""
+    marked = rows.withColumn("_out", F.coalesce(excluded, F.lit(False)))
+    bare = marked.groupBy(scope).agg(F.min("_out").alias("_bare")).filter("_bare").select(scope, F.lit(True).alias("_all"))
+    met = dealt(marked, order).join(everywhere(bare), [scope, "salt"], "left")
+    return met.filter(~F.col("_out") | F.col("_all")).select(*rows.columns)
