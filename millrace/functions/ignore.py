@@ -1,9 +1,8 @@
 """Ignore rules of a source tree: ordered patterns with negation that hold from their folder down."""
 
-from __future__ import annotations
-
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +57,11 @@ def pattern_of(line: str) -> tuple[str, bool, bool] | None:
 def rules_of(files: DataFrame, names: tuple[str, ...] = (".gitignore", ".ignore")) -> DataFrame:
     """``folder, depth, number, expression, again, folders`` of the ignore files (path, content) of a tree."""
 
-    @F.udf("array<struct<number:int,expression:string,again:boolean,folders:boolean>>")
-    def parsed(content: str | None):
-        found = ((k, pattern_of(line)) for k, line in enumerate((content or "").split("\n")))
-        return [(k, *p) for k, p in found if p is not None]
+    @F.pandas_udf("array<struct<number:int,expression:string,again:boolean,folders:boolean>>")
+    def parsed(contents: pd.Series) -> pd.Series:
+        keys = ("number", "expression", "again", "folders")
+        lines = lambda text: ((k, pattern_of(line)) for k, line in enumerate((text or "").split("\n")))
+        return pd.Series([[dict(zip(keys, (k, *p), strict=True)) for k, p in lines(text) if p is not None] for text in contents])
 
     name = F.element_at(F.split("path", "/"), -1)
     # Of one folder, rules of the later name come after those of the earlier.

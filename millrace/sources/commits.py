@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import written
+
 MANIFEST = "number bigint, id string, name string, part string, path string"
 #: Numbers that are tried when others commit at the same time.
 TRIES = 20
@@ -49,7 +51,7 @@ def commit(spark: SparkSession, folder: str, tables: dict[str, DataFrame], id: s
         path = f"{folder}/data/{name}/{uuid.uuid4().hex}"
         if parts and name in parts:
             column, values = parts[name]
-            df.withColumn("_part", F.col(column).cast("string")).write.partitionBy("_part").parquet(path)
+            df.withColumn("_part", F.col(column).cast("string")).repartition("_part").write.partitionBy("_part").parquet(path)
             rows += [(name, value, f"{path}/_part={value}") for value in values]
         else:
             df.write.parquet(path)
@@ -94,7 +96,7 @@ EDGES = "path string, owner string, kind string, target string, line int, bucket
 SCHEMAS = {"files": FILES, "symbols": SYMBOLS, "edges": EDGES}
 
 
-def rebuild(spark: SparkSession, files: DataFrame, folder: str, version: str, id: str, symbols: Callable[[DataFrame], DataFrame], edges: Callable[[DataFrame], DataFrame], buckets: int = 64) -> int:
+def rebuild(spark: SparkSession, files: DataFrame, folder: str, version: str, id: str, symbols: Callable[[DataFrame], DataFrame], edges: Callable[[DataFrame], DataFrame], buckets: int = 16) -> int:
     """Bring stored graphs up to ``files`` (path, content, hash, language); how many files were parsed.
 
     Only files that are stored nowhere, or of another hash or parser version, are
@@ -110,13 +112,14 @@ def rebuild(spark: SparkSession, files: DataFrame, folder: str, version: str, id
     now = files.withColumn("bucket", bucket)
     held = read(spark, folder, "files", FILES)
     same = ["path", "hash", "version"]
-    stale = now.withColumn("version", F.lit(version)).join(held.select(*same), same, "left_anti")
+    stale = written(now.withColumn("version", F.lit(version)).join(held.select(*same), same, "left_anti"), "stale")
     gone = held.join(now.select("path"), "path", "left_anti")
     # Of the buckets, a bounded number.
     touched = sorted(r.bucket for r in stale.select("bucket").union(gone.select("bucket")).distinct().collect())
     if not touched:
         return 0
     parsed = stale.select("path", "content")
+    # More files want more buckets, so that one fits a task.
     new = {"symbols": symbols(parsed).withColumn("bucket", bucket), "edges": edges(parsed).withColumn("bucket", bucket)}
     sizes = [new[k].groupBy("path").agg(F.count("*").alias(k)) for k in ("symbols", "edges")]
     counted = stale.select("path", "hash", "version", "language", "bucket").join(sizes[0], "path", "left").join(sizes[1], "path", "left")
