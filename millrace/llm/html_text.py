@@ -5,7 +5,8 @@ sorted by url path; each is paired with the ``near`` nearest differing pages on
 either side, its lines are aligned with theirs by longest common subsequence,
 and shared lines are marked. What a page declares of itself settles the rest:
 
-* lines in a declared article (``article``, ``main``) stay, as articles quote each other;
+* lines in a declared article (``article``, ``main``) stay, as articles quote each other, but for elements in it that are
+  no content by tag (``form``, ``aside``) or by a whole class or id (``ad``, ``comments``); parts of class names decide nothing there;
 * lines in declared boilerplate (menus, headers, footers, asides, forms,
   notices, adverts, comments, by tag, class, id or role) go if one paired page
   shares them, and even if none does;
@@ -21,7 +22,7 @@ and hold a few at a time; equal rows are dealt to several parts.
 
 Defined cases: null or empty html gives an empty text; a null url is an empty
 host and path; equal paths are ordered by page id, then by hash; unclosed
-elements end with the element around them; repeated rows and pages with equal
+elements end with the element around them, tags that never close are text; repeated rows and pages with equal
 lines are extracted alike and never difference each other; other columns are
 ignored.
 """
@@ -31,7 +32,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,7 +65,12 @@ MARKED = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget header masthead footer foot toolbar skip "
     "comment comments commentlist disqus replies reply discussion respond related recommended share sharing social tags".split()
 )
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+# Whole classes or ids that mark boilerplate even inside a declared article, on elements that are no inline ones.
+MARKED_WHOLE = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments commentlist comment-list disqus_thread replies newsletter cookie-notice sidebar".split())
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+""")
+#: Tags whose quotes do not close, after which a page's quotes are no longer looked at.
+BAD_QUOTES = 100
 MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 SPLIT = re.compile(r"[^A-Za-z0-9]+")
@@ -81,12 +87,54 @@ def is_marked(attributes: str) -> bool:
     return bool(HIDDEN.search(attributes))
 
 
+def is_marked_inside(attributes: str) -> bool:
+    """Whether a whole class or id names what is no part of an article that it stands in."""
+    if "=" not in attributes:
+        return bool(attributes) and bool(HIDDEN.search(attributes))
+    return any(w.lower() in MARKED_WHOLE for m in MARK.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").split()) or bool(HIDDEN.search(attributes))
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Begin, end, whether it closes, name (empty: a comment) and attributes of all markup; a caller may send where to go on.
+
+    Every character is looked at a bounded number of times: a tag whose quotes do
+    not close ends at the next ``>``, and after many of these quotes count no more.
+    """
+    at, bad = 0, 0
+    while (start := page.find("<", at)) >= 0:
+        name = NAME.match(page, start)
+        if name is None:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                end = len(page) if end < 0 else end + 3
+            elif page[start + 1 : start + 2] in ("!", "?"):
+                end = page.find(">", start) + 1
+                if not end:
+                    return
+            else:
+                at = start + 1
+                continue
+            moved = yield start, end, False, "", ""
+        else:
+            stop = ATTRIBUTES.match(page, name.end()).end() if bad < BAD_QUOTES else len(page)
+            if stop == len(page):
+                bad += 1
+            if not page.startswith(">", stop):
+                stop = page.find(">", name.end())
+                if stop < 0:
+                    return
+            end = stop + 1
+            moved = yield start, end, bool(name[1]), name[2].lower(), page[name.end() : stop]
+        at = end if moved is None else moved
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
     """(text, zone) of a page's blocks in order."""
     out: list[tuple[str, int]] = []
     seen: list[str] = []  # of the open block
     hidden: list[str] = []  # of the open block, in declared boilerplate
     stack: list[tuple[str, bool, bool]] = []  # name, is boilerplate, is an article
+    opened: Counter[str] = Counter()  # names on the stack
     dropped = mains = 0
 
     def close() -> None:
@@ -97,43 +145,54 @@ def blocks(page: str) -> list[tuple[str, int]]:
                     out.append((text, zone))
                 parts.clear()
 
-    at = 0
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            (hidden if dropped else seen).append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if name not in INLINE:
+    def pop() -> str:
+        nonlocal dropped, mains
+        name, drops, is_main = stack.pop()
+        opened[name] -= 1
+        dropped -= drops
+        mains -= is_main
+        return name
+
+    at, found = 0, tags(page)
+    tag = next(found, None)
+    while tag is not None:
+        start, end, closes, name, attributes = tag
+        if start > at:
+            (hidden if dropped else seen).append(page[at:start])
+        at, moved = end, None
+        if name and name not in INLINE:
             if name == "br":
                 (hidden if dropped else seen).append("\n")
             else:
                 close()
-        if m[1]:
-            if any(name == s[0] for s in stack):
-                while stack:
-                    top = stack.pop()
-                    dropped -= top[1]
-                    mains -= top[2]
-                    if top[0] == name:
-                        break
-            continue
-        if name in VOID or m[3].endswith("/"):
-            continue
-        if name in RAW:
-            end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        is_main = name in MAIN and not dropped
-        drops = name in DROPPED or (name == "header" and not mains) or (name not in ("html", "body") and is_marked(m[3]))
-        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-            top = stack.pop()
-            dropped -= top[1]
-            mains -= top[2]
-        stack.append((name, drops, is_main and not drops))
-        dropped += drops
-        mains += is_main and not drops
+        if not name:
+            pass
+        elif closes:
+            if opened[name]:
+                while pop() != name:
+                    pass
+        elif name in VOID or attributes.endswith("/"):
+            pass
+        elif name in RAW:
+            last = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
+            at = moved = last.end() if last else len(page)
+        else:
+            is_main = name in MAIN and not dropped
+            if mains:
+                marked = name not in INLINE and is_marked_inside(attributes)
+            else:
+                marked = name not in ("html", "body") and is_marked(attributes)
+            drops = name in DROPPED or (name == "header" and not mains) or marked
+            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
+                pop()
+            stack.append((name, drops, is_main and not drops))
+            opened[name] += 1
+            dropped += drops
+            mains += is_main and not drops
+        try:
+            tag = found.send(moved)
+        except StopIteration:
+            tag = None
     if at < len(page):
         (hidden if dropped else seen).append(page[at:])
     close()

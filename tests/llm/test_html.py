@@ -145,3 +145,23 @@ def test_quoted_once_stays(spark):
     rows = [(i, f"https://q.test/{i}", f"<div>Menu</div><p>Text {i}.</p>" + ("<p>A quoted line.</p>" if i in (2, 3) else "")) for i in range(6)]
     got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {i: f"Text {i}." + (" A quoted line." if i in (2, 3) else "") for i in range(6)}
+
+
+def test_class_words_decide_nothing_inside_a_declared_article():
+    from millrace.llm import html_text
+
+    page = '<div class="share">out</div><article><div class="article-header"><h1>The title</h1></div><p><span class="tags">one</span></p><section id="related-work">two</section><div class="share-price">three</div><div class="big ad">buy</div><section id="comments">so true</section></article>'
+    assert html_text.Page.of(page).text() == "The title one two three"
+
+
+def test_broken_markup_is_read_in_one_pass():
+    import time
+
+    from millrace.llm import html_text
+
+    began = time.time()
+    for page in ("<a " * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<div>" * 50_000 + "x" + "</div>" * 50_000, "<a '" * 50_000 + ">", "<!--" * 100_000, "<![" * 100_000, "<svg>" * 100_000):
+        html_text.blocks(page)
+    assert time.time() - began < 20
+    assert html_text.blocks('a<p title="z>w</p>v') == [("a", 0), ("w", 0), ("v", 0)]  # a quote that does not close
+    assert html_text.blocks("a < b<p>x<a href='q>r'>y</a></p>z <b") == [("a < b", 0), ("xy", 0), ("z <b", 0)]
