@@ -59,3 +59,18 @@ def without_section(sections: DataFrame, position: int) -> DataFrame:
     kept = sections.filter(F.col("position") != position)
     moved = lambda p: F.when(p > position, p - 1).otherwise(p)
     return kept.withColumn("depends_on", F.transform(F.filter("depends_on", lambda d: d != position), moved)).withColumn("position", moved(F.col("position")))
+
+
+def diagram_issues(sections: DataFrame, most: DataFrame) -> DataFrame:
+    """``outline, position, expected, actual``: sections whose text has other than the planned diagrams, and outlines that plan too many.
+
+    ``sections``: outline, position, diagrams (planned, or null where nothing is
+    planned) and markdown; ``most`` (outline, maximum) bounds whole outlines, whose
+    rows have no position, and no say where the maximum is null.
+    """
+    planned = F.when(F.col("diagrams").isNotNull(), F.size("diagrams")).cast("bigint")
+    drawn = sections.select("outline", "position", planned.alias("expected"), markdown.diagrams(markdown.pieces(F.col("markdown"))).alias("actual"))
+    wrong = drawn.filter(F.col("expected").isNotNull() & (F.col("actual") != F.col("expected")))
+    sums = drawn.groupBy("outline").agg(F.sum(F.coalesce("expected", F.lit(0))).alias("actual"))
+    over = sums.join(most, "outline").filter(F.col("actual") > F.col("maximum"))
+    return wrong.unionByName(over.select("outline", F.lit(None).cast(sections.schema["position"].dataType).alias("position"), F.col("maximum").cast("bigint").alias("expected"), "actual"))

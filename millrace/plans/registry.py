@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold ``QUERIES`` and ``ORACLE``.
-MODULES = ("retrieval", "records", "graphs", "texts", "sources", "planning", "runs", "editing", "scopes", "reading", "changes")
+MODULES = ("retrieval", "records", "graphs", "texts", "sources", "planning", "runs", "editing", "scopes", "reading", "changes", "estimates")
 
 
 def _merged(attribute: str) -> dict:
