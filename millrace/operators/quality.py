@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.lines import common
 from millrace.functions.text import folded
 from millrace.session import written
 
@@ -73,13 +73,13 @@ def _line_diff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Da
         rows = []
         for a, b in zip(old, new, strict=True):
             a, b = (a or "").split("\n"), (b or "").split("\n")
-            same = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+            same = int(common(a, b).sum())
             rows.append((len(b) - same, len(a) - same, same))
         yield pd.DataFrame(rows, columns=["added", "removed", "equal"])
 
 
 def line_diff(old: Column, new: Column) -> Column:
-    """``added``, ``removed`` and ``equal`` lines between two versions of a text."""
+    """``added``, ``removed`` and ``equal`` lines between two versions of a text, the fewest changes that lead from one to the other."""
     return _line_diff(old, new)
 
 

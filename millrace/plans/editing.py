@@ -33,45 +33,56 @@ def guarded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", text.safe_error(error).alias("error"), text.is_bounded(F.col("text"), 200).alias("bounded"), F.sha2(markdown.unwrap_fence(wrapped), 256).alias("unwrapped"))
 
 
-def _cited(turn: Column) -> Column:
-    """A section: prose, a span, a fence and an indented block, each with citations."""
-    return F.concat(F.lit("# Top\nsee [E:aaaaaaaa01] and `[E:aaaaaaaa01]`\n"), F.when(turn % 3 == 0, "```\n[E:aaaaaaaa01]\n```\n").otherwise("\n    [E:aaaaaaaa01]\n"), F.lit("## Part "), turn.cast("string"), F.lit("\n[E:bbbbbbbb, E:cccccccc02] [E:bbbbbbbb(`f`)] [E:zzzzzzzz]"))
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as their lines of letters, dots and single spaces, empty ones left out."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z .\n]", ""), " +", " ")
+    return turns.select("conv_id", "turn", F.filter(F.transform(F.split(clean, "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
 
 
 def citation_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations replaced and completed outside code."""
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn")
-    found = turns.withColumn("p", markdown.pieces(_cited(F.col("turn"))))
-    ids = F.array(*map(F.lit, ("aaaaaaaa01", "bbbbbbbb09", "cccccccc02", "cccccccc03")))
-    return found.select("conv_id", "turn", markdown.replace_citation(F.col("p"), "aaaaaaaa01", "(1)").alias("replaced"), markdown.normalize_citations(F.col("p"), ids).alias("completed"), F.size(F.filter("p", lambda x: x["code"])).cast("bigint").alias("codes"))
+    """Citations of a turn's lines, behind them, in spans and in fences, replaced and completed outside code."""
+    found = _lines(spark, sf_dir)
+    name = lambda x, n: F.concat(F.lit("[E:"), F.left(F.sha2(x, 256), F.lit(n)))
+
+    def cited(x: Column, i: Column) -> Column:
+        return F.concat(x, F.when(i % 4 == 0, F.concat(F.lit(" "), name(x, 10), F.lit("]"))).when(i % 4 == 1, F.concat(F.lit(" `"), name(x, 10), F.lit("]`"))).when(i % 4 == 2, F.concat(F.lit("\n```\n"), name(x, 10), F.lit("]\n```"))).otherwise(F.concat(F.lit(" "), name(x, 8), F.lit(", E:zzzzzzzz]"))))
+
+    rows = found.select("conv_id", "turn", "lines", markdown.pieces(F.array_join(F.transform("lines", cited), "\n")).alias("p"))
+    ids, first = F.transform("lines", lambda x: F.sha2(x, 256)), F.left(F.sha2(F.coalesce(F.get("lines", F.lit(0)), F.lit("")), 256), F.lit(10))
+    return rows.select("conv_id", "turn", F.sha2(markdown.replace_citation(F.col("p"), first, "(1)"), 256).alias("replaced"), F.sha2(markdown.normalize_citations(F.col("p"), ids), 256).alias("completed"), F.size(F.filter("p", lambda x: x["code"])).cast("bigint").alias("codes"))
 
 
 def section_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts at the shallowest headings, headings shifted, and the last mark gone."""
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn")
-    name = F.col("turn").cast("string")
-    body = F.concat(F.lit("intro\n#### A"), name, F.lit("\none\n```\n#### no\n```\n##### deep\n#### B\ntwo\n<!-- MORE -->\n"))
-    lines = turns.select("conv_id", "turn", markdown.lines_of(markdown.pieces(markdown.without_more(body))).alias("x"))
-    return lines.select("conv_id", "turn", F.array_join(markdown.subsections(F.col("x")), "|").alias("parts"), markdown.shifted_headings(F.col("x"), F.lit("2. b")).alias("shifted"))
+    """Lines as headings of two levels, text and fences: parts at the shallowest headings, headings shifted, and the last mark gone."""
+    found = _lines(spark, sf_dir)
+    head = lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("#### "), x)).when(i % 5 == 2, F.concat(F.lit("##### "), x)).otherwise(x)
+    shown = F.transform("lines", lambda x, i: F.concat(head(x, i), F.when(i % 4 == 3, "\n```\n#### no\n```").otherwise("")))
+    body = F.concat(F.array_join(shown, "\n"), F.lit("\n<!-- MORE -->\n"))
+    title = F.concat(F.lit("2. "), F.upper(F.coalesce(F.get("lines", F.lit(1)), F.lit("none"))))
+    lines = found.select("conv_id", "turn", title.alias("title"), markdown.lines_of(markdown.pieces(markdown.without_more(body))).alias("x"))
+    return lines.select("conv_id", "turn", F.size(markdown.subsections(F.col("x"))).cast("bigint").alias("n_parts"), F.sha2(F.array_join(markdown.subsections(F.col("x")), "|"), 256).alias("parts"), F.sha2(markdown.shifted_headings(F.col("x"), F.col("title")), 256).alias("shifted"))
 
 
 def diagram_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn")
-    fence = lambda n: f"```mermaid\ngraph {n}\n```\n"
-    body = F.concat(F.lit("a\n" + fence(1) + "b\n```\ncode\n```\n" + fence(2)), F.when(F.col("turn") % 2 == 0, fence(3)).otherwise("c"))
-    found = turns.select("conv_id", "turn", markdown.pieces(body).alias("p"))
-    return found.select("conv_id", "turn", markdown.diagrams(F.col("p")).alias("diagrams"), markdown.first_diagrams(F.col("p"), 1).alias("kept"))
+    """Every second line is followed by a diagram, every fifth by other code; as many diagrams stay as the turn allows."""
+    fenced = lambda kind, x: F.concat(F.lit(f"\n```{kind}\n"), x, F.lit("\n```"))
+    shown = F.transform("lines", lambda x, i: F.concat(x, F.when(i % 2 == 1, fenced("mermaid", x)).when(i % 5 == 4, fenced("", x)).otherwise("")))
+    found = _lines(spark, sf_dir).select("conv_id", "turn", markdown.pieces(F.array_join(shown, "\n")).alias("p"))
+    return found.select("conv_id", "turn", markdown.diagrams(F.col("p")).alias("diagrams"), F.sha2(markdown.first_diagrams(F.col("p"), F.col("turn") % 3), 256).alias("kept"))
 
 
 def spliced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four kinds of answers to three parts, by turn."""
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn")
-    mark = lambda n, t: f"<!-- PART {n} -->\n{t}\n"
-    k = F.col("turn") % 5
-    answer = F.when(k == 0, mark(1, "new one")).when(k == 1, mark(0, "x") + mark(0, "y")).when(k == 2, mark(7, "x")).when(k == 3, "short").otherwise("lead\n" + mark(2, "z"))
-    parts = F.array(F.lit("part zero"), F.lit("part one"), F.lit("part two"))
-    found = turns.select("conv_id", "turn", markdown.spliced(parts, answer).alias("r"))
-    return found.select("conv_id", "turn", "r.value", "r.fault")
+    """A turn's lines as parts, and five kinds of answers that rewrite some of them."""
+    found = _lines(spark, sf_dir).filter(F.size("lines") > 0)
+    n, k = F.size("lines"), (F.col("turn") + F.col("conv_id")) % 5
+    mark = lambda i, t: F.concat(F.lit("<!-- PART "), i.cast("string"), F.lit(" -->\n"), t, F.lit("\n"))
+    line = lambda i: F.get("lines", i.cast("int"))
+    at = F.col("conv_id") % n
+    twice = F.concat(mark(at, F.lit("x")), mark(at, F.lit("y")))
+    answer = F.when(k == 0, mark(at, F.upper(line(at)))).when(k == 1, twice).when(k == 2, mark(n + F.col("turn"), F.lit("x"))).when(k == 3, F.left(line(n * 0), F.lit(3))).otherwise(F.concat(F.lit("lead\n"), mark(at, F.lit("z"))))
+    rows = found.select("conv_id", "turn", markdown.spliced(F.col("lines"), answer).alias("r"))
+    return rows.select("conv_id", "turn", F.sha2("r.value", 256).alias("value"), "r.fault")
 
 
 def prose_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +93,9 @@ def prose_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn")
-    body = F.concat(F.lit("# One [E:a]\n## Two\n"), F.repeat(F.lit("x"), 100), F.lit("[E:b]"), F.col("turn").cast("string"))
-    found = turns.select("conv_id", "turn", markdown.digest(body, 60, 1).alias("d"))
+    """Turns as sections whose lines are headings and citing text, in short."""
+    shown = F.transform("lines", lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("## "), x)).when(i % 3 == 1, F.concat(x, F.lit(" [E:"), i.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("`[E:no]` "), x)))
+    found = _lines(spark, sf_dir).select("conv_id", "turn", markdown.digest(F.array_join(shown, "\n"), 120, 3).alias("d"))
     return found.select("conv_id", "turn", F.array_join("d.headings", "|").alias("headings"), "d.short", "d.citations")
 
 
@@ -99,12 +110,15 @@ def cut_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warning_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of warnings as footnotes, file names or nothing."""
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn")
-    body = F.concat(F.lit("see [E:one], [E:two], [E:none] and `[E:one]` "), F.col("turn").cast("string"))
-    numbers = F.create_map(F.lit("one"), F.lit(3))
-    names = F.create_map(F.lit("one"), F.lit("a.rs"), F.lit("two"), F.lit("b.rs"))
-    return turns.select("conv_id", "turn", markdown.warned_citations(markdown.pieces(body), numbers, names).alias("text"))
+    """Lines that cite words: as footnotes where the word has a number, as names where it has one, else as nothing."""
+    words = F.transform("lines", lambda x: F.split(x, " ")[0])
+    shown = F.transform("lines", lambda x, i: F.concat(x, F.lit(" [E:"), F.split(x, " ")[0], F.lit("]"), F.when(i % 3 == 2, F.concat(F.lit(" `[E:"), F.split(x, " ")[0], F.lit("]`"))).otherwise("")))
+    distinct = F.array_distinct(words)
+    numbers = F.map_from_arrays(F.slice(distinct, 1, 2), F.slice(F.array(F.lit(1), F.lit(2)), 1, F.least(F.size(distinct), F.lit(2))))
+    named = F.slice(distinct, 3, 2)
+    names = F.map_from_arrays(named, F.transform(named, lambda w: F.concat(w, F.lit(".rs"))))
+    found = _lines(spark, sf_dir).select("conv_id", "turn", markdown.pieces(F.array_join(shown, "\n")).alias("p"), numbers.alias("numbers"), names.alias("names"))
+    return found.select("conv_id", "turn", F.sha2(markdown.warned_citations(F.col("p"), F.col("numbers"), F.col("names")), 256).alias("text"))
 
 
 def brief_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +173,9 @@ QUERIES = {f.__name__: f for f in (excerpts, overlap_join, guarded_texts, citati
 
 _HEAD = "list_max(list_filter(range(0, {n} + 1), lambda k: strlen(left(text, k)) <= {n}))"
 _TAIL = "list_max(list_filter(range(0, {n} + 1), lambda k: strlen(right(text, k)) <= {n}))"
+_LINES = """
+WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z .\\n]', '', 'g'), ' +', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM conversations),
+e AS (SELECT conv_id, turn, lines, unnest(lines) AS x, generate_subscripts(lines, 1) - 1 AS i FROM l)"""
 ORACLE = {
     "excerpts": f"""
 SELECT doc_id, CASE WHEN strlen(text) <= 300 THEN text ELSE left(text, {_HEAD.format(n=140)}) || chr(10) || '[… excerpt …]' || chr(10) || right(text, {_TAIL.format(n=141)}) END AS short,
@@ -167,25 +184,37 @@ SELECT doc_id, CASE WHEN strlen(text) <= 300 THEN text ELSE left(text, {_HEAD.fo
 SELECT conv_id, turn, sha256(CASE WHEN turn % 2 = 0 THEN text || ' and more' ELSE text || chr(10) || chr(10) || 'fresh text that goes on from here' END) AS hash FROM conversations WHERE length(text) >= 60""",
     "guarded_texts": """
 SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR contains(text, '://') THEN 'request failed; details withheld' ELSE left(text, 1000) END AS error, trim(text) <> '' AND strlen(text) <= 200 AS bounded, sha256(text) AS unwrapped FROM conversations""",
-    "citation_edits": """
-WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '```' || chr(10) || '[E:aaaaaaaa01]' || chr(10) || '```' || chr(10) ELSE chr(10) || '    [E:aaaaaaaa01]' || chr(10) END || '## Part ' || turn || chr(10) AS mid FROM conversations)
-SELECT conv_id, turn, '# Top' || chr(10) || 'see (1) and `[E:aaaaaaaa01]`' || chr(10) || mid || '[E:bbbbbbbb, E:cccccccc02] [E:bbbbbbbb(`f`)] [E:zzzzzzzz]' AS replaced,
-  '# Top' || chr(10) || 'see [E:aaaaaaaa01] and `[E:aaaaaaaa01]`' || chr(10) || mid || '[E:bbbbbbbb09][E:cccccccc02] [E:bbbbbbbb(`f`)] [E:zzzzzzzz]' AS completed, CAST(3 AS BIGINT) AS codes FROM c""",
-    "section_parts": """
-SELECT conv_id, turn, 'intro|#### A' || turn || chr(10) || 'one' || chr(10) || '```' || chr(10) || '#### no' || chr(10) || '```' || chr(10) || '##### deep|#### B' || chr(10) || 'two' AS parts,
-  'intro' || chr(10) || '### A' || turn || chr(10) || 'one' || chr(10) || '```' || chr(10) || '#### no' || chr(10) || '```' || chr(10) || '#### deep' || chr(10) || 'two' AS shifted FROM conversations""",
-    "diagram_limits": """
-SELECT conv_id, turn, CAST(CASE WHEN turn % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS diagrams,
-  'a' || chr(10) || '```mermaid' || chr(10) || 'graph 1' || chr(10) || '```' || chr(10) || 'b' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || CASE WHEN turn % 2 = 0 THEN '' ELSE 'c' END AS kept FROM conversations""",
-    "section_digests": """
-WITH t AS (SELECT conv_id, turn, '# One [E:a]' || chr(10) || '## Two' || chr(10) || repeat('x', 100) || '[E:b]' || turn AS text FROM conversations)
-SELECT conv_id, turn, '# One [E:a]' AS headings, left(text, 20) || chr(10) || '[… excerpt …]' || chr(10) || right(text, 21) AS short, CAST(2 AS BIGINT) AS citations FROM t""",
+    "citation_edits": _LINES + """
+, c AS (SELECT conv_id, turn, string_agg(x || CASE i % 4 WHEN 0 THEN CASE WHEN left(sha256(x), 10) = left(sha256(lines[1]), 10) THEN ' (1)' ELSE ' [E:' || left(sha256(x), 10) || ']' END WHEN 1 THEN ' `[E:' || left(sha256(x), 10) || ']`' WHEN 2 THEN chr(10) || '```' || chr(10) || '[E:' || left(sha256(x), 10) || ']' || chr(10) || '```' ELSE ' [E:' || left(sha256(x), 8) || ', E:zzzzzzzz]' END, chr(10) ORDER BY i) AS a,
+  string_agg(x || CASE i % 4 WHEN 0 THEN ' [E:' || sha256(x) || ']' WHEN 1 THEN ' `[E:' || left(sha256(x), 10) || ']`' WHEN 2 THEN chr(10) || '```' || chr(10) || '[E:' || left(sha256(x), 10) || ']' || chr(10) || '```' ELSE ' [E:' || left(sha256(x), 8) || ', E:zzzzzzzz]' END, chr(10) ORDER BY i) AS b, count(*) FILTER (i % 4 IN (1, 2)) AS n FROM e GROUP BY 1, 2)
+SELECT l.conv_id, l.turn, sha256(coalesce(a, '')) AS replaced, sha256(coalesce(b, '')) AS completed, coalesce(n, 0) AS codes FROM l LEFT JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn""",
+    "section_parts": _LINES + """
+, h AS (SELECT conv_id, turn, i, x, CASE WHEN i % 3 = 1 THEN 4 WHEN i % 5 = 2 THEN 5 ELSE 0 END AS level, CASE WHEN i % 4 = 3 THEN chr(10) || '```' || chr(10) || '#### no' || chr(10) || '```' ELSE '' END AS code,
+  regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g') = regexp_replace(lower(coalesce(lines[2], 'none')), '[^a-z0-9]+', ' ', 'g') AS own FROM e),
+t AS (SELECT conv_id, turn, min(level) FILTER (level > 0) AS top, greatest(coalesce(min(level) FILTER (level > 0 AND NOT own), 3) - 3, 0) AS shift FROM h GROUP BY 1, 2),
+p AS (SELECT h.*, top, shift, count(*) FILTER (level = top) OVER (PARTITION BY h.conv_id, h.turn ORDER BY i) AS part FROM h JOIN t USING (conv_id, turn)),
+q AS (SELECT conv_id, turn, part, string_agg(repeat('#', level) || CASE WHEN level > 0 THEN ' ' ELSE '' END || x || code, chr(10) ORDER BY i) AS body FROM p GROUP BY 1, 2, 3),
+r AS (SELECT conv_id, turn, count(*) AS n, string_agg(body, '|' ORDER BY part) AS parts FROM q GROUP BY 1, 2),
+s AS (SELECT conv_id, turn, string_agg(CASE WHEN level > 0 AND own THEN substr(code, 2) WHEN level > 0 THEN repeat('#', greatest(level - shift, 3)) || ' ' || x || code ELSE x || code END, chr(10) ORDER BY i) FILTER (NOT (level > 0 AND own AND code = '')) AS shifted FROM p GROUP BY 1, 2)
+SELECT l.conv_id, l.turn, coalesce(n, 0) AS n_parts, sha256(coalesce(parts, '')) AS parts, sha256(coalesce(shifted, '')) AS shifted FROM l LEFT JOIN r ON r.conv_id = l.conv_id AND r.turn = l.turn LEFT JOIN s ON s.conv_id = l.conv_id AND s.turn = l.turn""",
+    "diagram_limits": _LINES + """
+, k AS (SELECT conv_id, turn, i, x, i % 2 = 1 AS drawn, count(*) FILTER (i % 2 = 1) OVER (PARTITION BY conv_id, turn ORDER BY i) AS nth, i = len(lines) - 1 AS last FROM e),
+c AS (SELECT conv_id, turn, count(*) FILTER (drawn) AS n, string_agg(x || CASE WHEN drawn AND nth <= turn % 3 THEN chr(10) || '```mermaid' || chr(10) || x || chr(10) || '```' || CASE WHEN last THEN '' ELSE chr(10) END WHEN drawn THEN chr(10)
+  WHEN i % 5 = 4 THEN chr(10) || '```' || chr(10) || x || chr(10) || '```' || CASE WHEN last THEN '' ELSE chr(10) END ELSE CASE WHEN last THEN '' ELSE chr(10) END END, '' ORDER BY i) AS kept FROM k GROUP BY 1, 2)
+SELECT l.conv_id, l.turn, coalesce(n, 0) AS diagrams, sha256(coalesce(kept, '')) AS kept FROM l LEFT JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn""",
+    "section_digests": _LINES + """
+, c AS (SELECT conv_id, turn, string_agg(CASE i % 3 WHEN 0 THEN '## ' || x WHEN 1 THEN x || ' [E:' || i || ']' ELSE '`[E:no]` ' || x END, chr(10) ORDER BY i) AS text, string_agg('## ' || x, '|' ORDER BY i) FILTER (i % 3 = 0 AND i < 9) AS headings, count(*) FILTER (i % 3 = 1) AS n FROM e GROUP BY 1, 2)
+SELECT l.conv_id, l.turn, coalesce(headings, '') AS headings, CASE WHEN length(coalesce(text, '')) <= 120 THEN coalesce(text, '') ELSE left(text, 50) || chr(10) || '[… excerpt …]' || chr(10) || right(text, 51) END AS short, coalesce(n, 0) AS citations
+FROM l LEFT JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn""",
     "cut_arrays": """
 WITH t AS (SELECT conv_id, turn, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 30) AS w FROM conversations),
 o AS (SELECT conv_id, turn, 14 + length('{"t": "' || w || '"}') AS e1, '{"t":"' || w || '"}' AS v1, 22 AS more, turn || '' AS n FROM t),
 c AS (SELECT *, e1 + 8 + 18 AS e2, e1 + 8 + 18 + 14 + length('{"n": ' || n || '}') AS e3, (conv_id * 7 + turn * 13) % (e1 + 8 + 18 + 14 + length('{"n": ' || n || '}') + 7 + 1) AS place FROM o)
 SELECT conv_id, turn, concat_ws(';', CASE WHEN place >= e1 THEN v1 END, CASE WHEN place >= e2 THEN '{"q":{"b":"}]"}}' END, CASE WHEN place >= e3 THEN '{"n":' || n || '}' END) AS elements FROM c""",
-    "warning_notes": "SELECT conv_id, turn, 'see [^s3], b.rs,  and `[E:one]` ' || turn AS text FROM conversations",
+    "warning_notes": _LINES + """
+, w AS (SELECT *, string_split(x, ' ')[1] AS w, dense_rank() OVER (PARTITION BY conv_id, turn ORDER BY first) AS place FROM (SELECT *, min(i) OVER (PARTITION BY conv_id, turn, string_split(x, ' ')[1]) AS first FROM e)),
+c AS (SELECT conv_id, turn, string_agg(x || ' ' || CASE WHEN place <= 2 THEN '[^s' || place || ']' WHEN place <= 4 THEN w || '.rs' ELSE '' END || CASE WHEN i % 3 = 2 THEN ' `[E:' || w || ']`' ELSE '' END, chr(10) ORDER BY i) AS text FROM w GROUP BY 1, 2)
+SELECT l.conv_id, l.turn, sha256(coalesce(text, '')) AS text FROM l LEFT JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn""",
     "brief_checks": """
 WITH f AS (SELECT DISTINCT l_orderkey AS scope, l_linenumber AS finding FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY finding) AS place FROM f)
 SELECT scope, finding, 'text' AS code FROM n WHERE finding = 7 UNION ALL SELECT scope, finding, 'too many' FROM n WHERE place > 5
@@ -193,7 +222,7 @@ UNION ALL SELECT scope, finding, 'unknown id' FROM n WHERE scope % 8 > 6 OR find
     "request_shares": """
 SELECT o_orderkey, CAST(floor(least(o_custkey * 100, 48000) / pow(2, o_custkey % 4)) AS BIGINT) AS planning,
   CAST(floor(floor(least(o_custkey * 100, 80000) / pow(2, o_custkey % 3)) / (1 + CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END)) AS BIGINT) AS share FROM orders""",
-    "spliced_parts": """
-SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'part zero' || chr(10) || chr(10) || 'new one' || chr(10) || chr(10) || 'part two' END AS value,
-  CASE turn % 5 WHEN 1 THEN 'part given twice' WHEN 2 THEN 'unknown part' WHEN 3 THEN 'no markers' WHEN 4 THEN 'text before the first marker' END AS fault FROM conversations""",
+    "spliced_parts": _LINES + """
+SELECT conv_id, turn, CASE WHEN (turn + conv_id) % 5 = 0 THEN sha256(array_to_string(list_transform(lines, lambda x, i: CASE WHEN i - 1 = conv_id % len(lines) THEN upper(x) ELSE x END), chr(10) || chr(10))) END AS value,
+  CASE (turn + conv_id) % 5 WHEN 1 THEN 'part given twice' WHEN 2 THEN 'unknown part' WHEN 3 THEN CASE WHEN least(length(lines[1]), 3) * 2 < list_sum(list_transform(lines, lambda x: length(x))) THEN 'no markers' END WHEN 4 THEN 'text before the first marker' END AS fault FROM l WHERE len(lines) > 0""",
 }

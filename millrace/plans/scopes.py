@@ -137,11 +137,12 @@ def most_deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that conversations' turns gain and lose against the same turn with its first line changed."""
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").filter("text is not null")
-    old = F.concat(F.lit("old line\n"), "text")
-    new = F.concat("text", F.lit("\nnew line"))
-    return turns.select("conv_id", "turn", quality.line_diff(old, new).alias("d")).select("conv_id", "turn", "d.added", "d.removed", "d.equal")
+    """Lines that documents gain and lose when some of their lines go, new ones come and others stay where they were."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
+    lines, k = F.split("text", "\n"), F.col("doc_id") % 5
+    goes = lambda i: (i + k) % 4 == 0
+    new = F.flatten(F.transform(lines, lambda x, i: F.concat(F.when(goes(i), F.array().cast("array<string>")).otherwise(F.array(x)), F.when((i + k) % 3 == 0, F.array(F.concat(F.lit("new "), i.cast("string"), F.lit("|")))).otherwise(F.array().cast("array<string>")))))
+    return docs.select("doc_id", quality.line_diff(F.col("text"), F.array_join(new, "\n")).alias("d")).select("doc_id", "d.added", "d.removed", "d.equal")
 
 
 def reading_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,7 +355,10 @@ SELECT node, 'B' || k AS label FROM g UNION ALL SELECT node, 'B' || k || '.' ||
     "filtered_page": "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error' AND event_id > 300 ORDER BY event_id LIMIT 20",
     "array_page": "SELECT doc_id, array_to_string(string_split(text, ' ')[51:100], ' ') AS words FROM documents",
     "most_deferred": "SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS links FROM lineitem GROUP BY 1 HAVING links > 0 ORDER BY links DESC, l_suppkey LIMIT 5",
-    "version_diff": "SELECT conv_id, turn, 1 AS added, 1 AS removed, CAST(len(string_split(text, chr(10))) AS INTEGER) AS equal FROM conversations WHERE text IS NOT NULL",
+    "version_diff": """
+WITH l AS (SELECT doc_id, doc_id % 5 AS k, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, n, count(*) FILTER ((i + k) % 4 = 0) AS gone, count(*) FILTER ((i + k) % 3 = 0) AS fresh FROM l GROUP BY 1, 2)
+SELECT doc_id, CAST(CASE WHEN n - gone + fresh = 0 THEN CASE WHEN gone > 0 THEN 1 ELSE 0 END ELSE fresh END AS INTEGER) AS added, CAST(gone AS INTEGER) AS removed, CAST(n - gone AS INTEGER) AS equal FROM c""",
     "reading_estimate": """
 WITH d AS (SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS b, count(*) AS n FROM documents GROUP BY 1)
 SELECT source, least(greatest(b // 6, 4000), 48000) AS summary, greatest(n * 100, least(n * 200, b // 3)) AS accepted, least(b // 8, 12000) AS graph, least(greatest(3 * n, 32), 256) AS sections, least(greatest(n // 4, 8), 256) AS branches,
