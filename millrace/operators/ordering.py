@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import drop_tables, tables, written
@@ -116,6 +116,12 @@ def graph_order(nodes: DataFrame, weights: DataFrame) -> DataFrame:
     return found.select("scope", "node", F.coalesce("component", "node").alias("component"), F.coalesce("step", F.lit(0)).alias("step"))
 
 
+def first_of(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """``key, first``: the ``most`` least values of every key in order; tasks rank theirs before any shuffle."""
+    ranked = rows.select(key, value).withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(value))).filter(F.col("_rank") <= most)
+    return ranked.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("first"))
+
+
 def placed(rows: DataFrame, order: list[Column | str], group: list[str] | None = None, name: str = "place") -> DataFrame:
     """Adds ``name``: the place, from 0, of each row in the order of all rows, or of its group.
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.lines import common
+from millrace.functions.markdown import paragraphs, pieces
 from millrace.functions.text import folded
+from millrace.operators.ordering import dealt, everywhere
 from millrace.session import written
 
 #: Blocks that offer one pair of words and meet in one part.
@@ -67,6 +69,34 @@ def near_duplicates(blocks: DataFrame, key: str, text: str, share: int = 90, lea
     return found.filter(100 * F.col("common") >= share * F.col("total")).select("id_a", "id_b", "common", "total")
 
 
+def repeated_paragraphs(sections: DataFrame, outline: str, most: int = 16) -> DataFrame:
+    """``outline, section, block, first_section, first_block, exact``: paragraphs that an earlier one of their document equals or nearly does.
+
+    ``sections``: outline, section, markdown. Neighbours in one section are no
+    repeats; a paragraph is reported once, with the first it repeats, and of a
+    document the first ``most``. Only the first paragraph of every text can be
+    what a later one repeats first, so texts meet, not paragraphs: equal ones by
+    hash, near ones (nine tenths of their word pairs, from 200 characters on) by their rare word pairs.
+    """
+    each = sections.select(outline, "section", F.explode(paragraphs(pieces(F.col("markdown")))).alias("p")).select(outline, "section", "p.block", "p.text")
+    at = F.struct("section", "block")
+    blocks = written(each.select(outline, at.alias("at"), "text", F.sha2("text", 256).alias("hash")), "paragraphs")
+    firsts = written(blocks.groupBy(outline, "hash").agg(F.min("at").alias("first"), F.any_value("text").alias("text")).withColumn("id", F.sha2(F.concat_ws(":", outline, "hash"), 256)), "firsts")
+    # Words carry their document's name, so that texts of two documents have no pair in common.
+    mark = F.concat(F.lit("q"), F.hex(F.col(outline).cast("string")), F.lit("q"))
+    named = firsts.filter(F.length("text") >= 200).select("id", F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(w, mark)), " ").alias("text"))
+    near = near_duplicates(named, "id", "text", share=90, least=0)
+    both = near.select("id_a", "id_b").unionAll(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    other = both.join(firsts.select(F.col("id").alias("id_b"), "first"), "id_b").join(firsts.select(F.col("id").alias("id_a"), outline, "hash"), "id_a").select(outline, "hash", "first", F.lit(False).alias("exact"))
+    candidates = other.unionByName(firsts.select(outline, "hash", "first", F.lit(True).alias("exact")))
+    # A text's paragraphs are dealt to parts, each of which meets all that it may repeat.
+    met = dealt(blocks.select(outline, "at", "hash"), "at").join(everywhere(candidates), [outline, "hash", "salt"])
+    beside = (F.col("first.section") == F.col("at.section")) & (F.col("at.block") - F.col("first.block") <= 1)
+    found = met.filter((F.col("first") < F.col("at")) & ~beside).groupBy(outline, "at").agg(F.min(F.struct("first", "exact")).alias("m"))
+    rank = F.row_number().over(Window.partitionBy(outline).orderBy("m.first", "at"))
+    return found.withColumn("_rank", rank).filter(F.col("_rank") <= most).select(outline, "at.section", "at.block", F.col("m.first.section").alias("first_section"), F.col("m.first.block").alias("first_block"), "m.exact")
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("added", "removed", "equal")]))
 def _line_diff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for old, new in batches:

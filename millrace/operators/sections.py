@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import markdown
 from millrace.operators.graph import tree_closure
+from millrace.operators.ordering import first_of
 
 
 def section_issues(sections: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -16,7 +17,8 @@ def section_issues(sections: DataFrame, evidence: DataFrame) -> DataFrame:
     anti-joined, so neither side is collected.
     """
     cited = sections.select("section", F.explode(markdown.citations(F.col("markdown"))).alias("id"))
-    unknown = cited.join(evidence.select("id").distinct(), "id", "left_anti").groupBy("section").agg(F.lit("unknown_citation").alias("code"), F.concat_ws(",", F.slice(F.array_sort(F.collect_set("id")), 1, 20)).alias("detail"))
+    strange = cited.join(evidence.select("id").distinct(), "id", "left_anti").distinct()
+    unknown = first_of(strange, "section", "id", 20).select("section", F.lit("unknown_citation").alias("code"), F.concat_ws(",", "first").alias("detail"))
     bare = sections.filter(F.size(markdown.citations(F.col("markdown"))) == 0).select("section", F.lit("no_citation").alias("code"), F.lit("").alias("detail"))
     opened = sections.filter(markdown.has_unclosed_fence(F.col("markdown"))).select("section", F.lit("unclosed_fence").alias("code"), F.lit("").alias("detail"))
     return unknown.unionAll(bare).unionAll(opened)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import estimates, sections
+from millrace.operators import estimates, quality, sections
 from millrace.sources.tables import table
 
 
@@ -37,9 +37,29 @@ def diagram_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.diagram_issues(rows, most)
 
 
-QUERIES = {f.__name__: f for f in (reading_cost, context_view, diagram_issues)}
+def repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in sections of five lines, each a paragraph; every seventh says again, with a word more, what stood six before."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
+    lines = F.split(F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z \n]", ""), " +", " "), "\n")
+    again = F.transform(lines, lambda x, i: F.when((i % 7 == 6) & (F.length(x) > 0), F.concat(F.trim(F.get(lines, i - 6)), F.lit(" again"))).otherwise(F.trim(x)))
+    parts = docs.select("doc_id", again.alias("lines")).select("doc_id", "lines", F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 5).cast("int"))).alias("section"))
+    sections_ = parts.select("doc_id", "section", F.array_join(F.slice("lines", F.col("section") * 5 + 1, F.lit(5)), "\n\n").alias("markdown"))
+    return quality.repeated_paragraphs(sections_, "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (reading_cost, context_view, diagram_issues, repeated_paragraphs)}
 
 ORACLE = {
+    "repeated_paragraphs": """
+WITH d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '[^A-Za-z \\n]', '', 'g'), ' +', ' ', 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, l, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d),
+t AS (SELECT doc_id, i, i // 5 AS section, CAST(i % 5 AS INTEGER) AS block, lower(CASE WHEN i % 7 = 6 AND x <> '' THEN trim(trim(l[i - 5]) || ' again') ELSE trim(x) END) AS t FROM s),
+p AS (SELECT *, string_split(t, ' ') AS w FROM t WHERE length(t) >= 120),
+b AS (SELECT doc_id, i, section, block, t, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM p),
+m AS (SELECT y.doc_id, y.i, y.section, y.block, x.i AS first, x.section AS first_section, x.block AS first_block, x.t = y.t AS exact FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.i < y.i AND NOT (x.section = y.section AND y.block - x.block <= 1)
+  WHERE x.t = y.t OR (length(x.t) >= 200 AND length(y.t) >= 200 AND len(x.g) >= 8 AND len(y.g) >= 8 AND 100 * len(list_intersect(x.g, y.g)) >= 90 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))))
+  QUALIFY row_number() OVER (PARTITION BY y.doc_id, y.i ORDER BY x.i) = 1)
+SELECT doc_id, CAST(section AS INTEGER) AS section, block, CAST(first_section AS INTEGER) AS first_section, first_block, exact FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY first, i) <= 16""",
     "diagram_issues": """
 WITH t AS (SELECT conv_id AS outline, turn AS position, len(list_filter(string_split(regexp_replace(text, '[^A-Za-z .\\n]', '', 'g'), chr(10)), lambda x: x LIKE '%.')) AS w FROM conversations WHERE text IS NOT NULL),
 s AS (SELECT outline, position, CASE WHEN position % 5 <> 4 THEN least(w, w // 2 + 1, 6) END AS expected, least(w, 6) AS actual FROM t)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import paths
 from millrace.operators import state
+from millrace.operators.ordering import first_of
 from millrace.sources.tables import table
 
 
@@ -47,9 +48,11 @@ def reading_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exclusion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many paths each reason excludes, and the first 20 of them."""
     found = reading_exclusion(spark, sf_dir).filter("reason is not null")
-    # Paths are counted before they are listed, so a list is as long as there are paths.
+    # Paths are counted before they are listed, and ranked before they are collected.
     by_path = found.groupBy("reason", "path").agg(F.count("*").alias("files"))
-    return by_path.groupBy("reason").agg(F.sum("files").alias("files"), F.concat_ws(",", F.slice(F.array_sort(F.collect_list("path")), 1, 20)).alias("paths"))
+    counted = by_path.groupBy("reason").agg(F.sum("files").alias("files"))
+    listed = first_of(by_path, "reason", "path", 20)
+    return counted.join(listed, "reason").select("reason", "files", F.concat_ws(",", "first").alias("paths"))
 
 
 def file_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
