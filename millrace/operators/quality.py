@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.lines import common
-from millrace.functions.markdown import paragraphs, pieces
-from millrace.functions.text import folded
+from millrace.functions.markdown import footnoted, paragraphs, pieces
+from millrace.functions.text import CITATION, folded
 from millrace.operators.ordering import dealt, everywhere
 from millrace.session import written
 
@@ -135,6 +135,29 @@ def footnotes(uses: DataFrame, key: str, order: str, cited: str) -> DataFrame:
     return first.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy("first_use", cited)))
 
 
+def rendered(sections: DataFrame, evidence: DataFrame, document: str) -> DataFrame:
+    """``document, kind, place, text``: a document's sections (kind 0) with footnotes, and the references (kind 1) behind them.
+
+    ``sections``: document, section, title, markdown; ``evidence``: document,
+    section, pos, id, path, start, end. Evidence counts as cited where the text
+    of its own section cites it outside code; it is numbered by its first such
+    section and place, and its citations in all sections become that footnote.
+    """
+    cut = written(sections.select(document, "section", "title", pieces(F.col("markdown")).alias("p")), "pieces")
+    outside = F.flatten(F.transform(F.filter("p", lambda p: ~p["code"]), lambda p: F.regexp_extract_all(p["text"], F.lit(CITATION), F.lit(1))))
+    uses = cut.select(document, "section", F.explode(F.array_distinct(outside)).alias("id"))
+    own = evidence.join(uses, [document, "section", "id"], "left_semi")
+    first = own.groupBy(document, "id").agg(F.min(F.struct("section", "pos", "path", "start", "end")).alias("f"))
+    numbered = written(first.withColumn("number", F.row_number().over(Window.partitionBy(document).orderBy("f.section", "f.pos"))), "numbered")
+    # As long as a section's own citations.
+    maps = uses.join(numbered.select(document, "id", "number"), [document, "id"]).groupBy(document, "section").agg(F.map_from_entries(F.collect_list(F.struct("id", "number"))).alias("numbers"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    body = F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), footnoted(F.col("p"), F.coalesce("numbers", none)), F.lit("\n\n"))
+    bodies = cut.join(maps, [document, "section"], "left").select(document, F.lit(0).alias("kind"), F.col("section").cast("bigint").alias("place"), body.alias("text"))
+    line = F.format_string("[^s%d]: `%s` L%d–L%d · Evidence `%s`\n\n", "number", F.replace("f.path", F.lit("`"), F.lit("")), "f.start", "f.end", "id")
+    return bodies.unionAll(numbered.select(document, F.lit(1).alias("kind"), F.col("number").cast("bigint"), line.alias("text")))
+
+
 def shares(rows: DataFrame, key: str, order: str, weight: str, total: int) -> DataFrame:
     """``total`` dealt in proportion to weight within each key: floors, then remainders by weight and order."""
     whole = rows.groupBy(key).agg(F.sum(weight).alias("_sum"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import markdown, text
 from millrace.functions.jsonfix import array_prefix
-from millrace.operators import passages, rules
+from millrace.operators import passages, quality, rules
 from millrace.plans.retrieval import QUERY, file_path
 from millrace.sources.tables import table
 
@@ -53,6 +53,17 @@ def citation_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.sha2(markdown.replace_citation(F.col("p"), first, "(1)"), 256).alias("replaced"), F.sha2(markdown.normalize_citations(F.col("p"), ids), 256).alias("completed"), F.size(F.filter("p", lambda x: x["code"])).cast("bigint").alias("codes"))
 
 
+def rendered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as sections whose lines cite what their first words name, some in code alone: footnotes and references."""
+    found = _lines(spark, sf_dir)
+    id_of = lambda x: F.sha2(F.lower(F.split(x, " ")[0]), 256)
+    cite = lambda x, i: F.concat(x, F.when(i % 4 == 0, F.concat(F.lit(" [E:"), id_of(x), F.lit("]"))).when(i % 4 == 1, F.concat(F.lit(" `[E:"), id_of(x), F.lit("]`"))).when(i % 4 == 2, F.concat(F.lit(" [E:"), F.left(id_of(x), F.lit(9)), F.lit("]"))).otherwise(""))
+    rows = found.select("conv_id", F.col("turn").alias("section"), F.concat(F.lit("T"), F.col("turn").cast("string")).alias("title"), F.array_join(F.transform("lines", cite), "\n").alias("markdown"))
+    evidence = found.select("conv_id", F.col("turn").alias("section"), F.posexplode("lines").alias("pos", "x")).select("conv_id", "section", "pos", id_of(F.col("x")).alias("id"), F.concat(F.lit("src/`"), F.split("x", " ")[0]).alias("path"), F.col("pos").alias("start"), (F.col("pos") + 2).alias("end"))
+    text = quality.rendered(rows, evidence, "conv_id")
+    return text.select("conv_id", "kind", "place", F.sha2("text", 256).alias("hash"))
+
+
 def section_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as headings of two levels, text and fences: parts at the shallowest headings, headings shifted, and the last mark gone."""
     found = _lines(spark, sf_dir)
@@ -169,7 +180,7 @@ def retrieval_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("source", "doc_id", "id", "start", "end", F.octet_length("content").cast("bigint").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (excerpts, overlap_join, guarded_texts, citation_edits, section_parts, diagram_limits, spliced_parts, section_digests, cut_arrays, warning_notes, brief_checks, request_shares, prose_duplicates, focused_excerpts, fit_evidence, retrieval_pack)}
+QUERIES = {f.__name__: f for f in (excerpts, overlap_join, guarded_texts, citation_edits, rendered_sections, section_parts, diagram_limits, spliced_parts, section_digests, cut_arrays, warning_notes, brief_checks, request_shares, prose_duplicates, focused_excerpts, fit_evidence, retrieval_pack)}
 
 _HEAD = "list_max(list_filter(range(0, {n} + 1), lambda k: strlen(left(text, k)) <= {n}))"
 _TAIL = "list_max(list_filter(range(0, {n} + 1), lambda k: strlen(right(text, k)) <= {n}))"
@@ -188,6 +199,14 @@ SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR contains(text, '://') THEN 'requ
 , c AS (SELECT conv_id, turn, string_agg(x || CASE i % 4 WHEN 0 THEN CASE WHEN left(sha256(x), 10) = left(sha256(lines[1]), 10) THEN ' (1)' ELSE ' [E:' || left(sha256(x), 10) || ']' END WHEN 1 THEN ' `[E:' || left(sha256(x), 10) || ']`' WHEN 2 THEN chr(10) || '```' || chr(10) || '[E:' || left(sha256(x), 10) || ']' || chr(10) || '```' ELSE ' [E:' || left(sha256(x), 8) || ', E:zzzzzzzz]' END, chr(10) ORDER BY i) AS a,
   string_agg(x || CASE i % 4 WHEN 0 THEN ' [E:' || sha256(x) || ']' WHEN 1 THEN ' `[E:' || left(sha256(x), 10) || ']`' WHEN 2 THEN chr(10) || '```' || chr(10) || '[E:' || left(sha256(x), 10) || ']' || chr(10) || '```' ELSE ' [E:' || left(sha256(x), 8) || ', E:zzzzzzzz]' END, chr(10) ORDER BY i) AS b, count(*) FILTER (i % 4 IN (1, 2)) AS n FROM e GROUP BY 1, 2)
 SELECT l.conv_id, l.turn, sha256(coalesce(a, '')) AS replaced, sha256(coalesce(b, '')) AS completed, coalesce(n, 0) AS codes FROM l LEFT JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn""",
+    "rendered_sections": _LINES + """
+, c AS (SELECT conv_id, turn, i, x, string_split(x, ' ')[1] AS w, sha256(lower(string_split(x, ' ')[1])) AS id FROM e),
+u AS (SELECT DISTINCT conv_id, turn, id FROM c WHERE i % 4 = 0),
+f AS (SELECT c.conv_id, c.id, c.turn, c.i, c.w, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn, c.i) AS number FROM c JOIN u ON u.conv_id = c.conv_id AND u.turn = c.turn AND u.id = c.id QUALIFY row_number() OVER (PARTITION BY c.conv_id, c.id ORDER BY c.turn, c.i) = 1),
+n AS (SELECT conv_id, id, turn, i, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS number FROM f),
+b AS (SELECT c.conv_id, c.turn, string_agg(x || CASE c.i % 4 WHEN 0 THEN coalesce(' [^s' || number || ']', ' [E:' || c.id || ']') WHEN 1 THEN ' `[E:' || c.id || ']`' WHEN 2 THEN ' [E:' || left(c.id, 9) || ']' ELSE '' END, chr(10) ORDER BY c.i) AS body FROM c LEFT JOIN n ON n.conv_id = c.conv_id AND n.id = c.id GROUP BY 1, 2)
+SELECT l.conv_id, 0 AS kind, CAST(l.turn AS BIGINT) AS place, sha256('## T' || l.turn || chr(10) || chr(10) || coalesce(body, '') || chr(10) || chr(10)) AS hash FROM l LEFT JOIN b ON b.conv_id = l.conv_id AND b.turn = l.turn
+UNION ALL SELECT conv_id, 1, CAST(number AS BIGINT), sha256('[^s' || number || ']: `src/' || w || '` L' || i || '–L' || (i + 2) || ' · Evidence `' || id || '`' || chr(10) || chr(10)) FROM n""",
     "section_parts": _LINES + """
 , h AS (SELECT conv_id, turn, i, x, CASE WHEN i % 3 = 1 THEN 4 WHEN i % 5 = 2 THEN 5 ELSE 0 END AS level, CASE WHEN i % 4 = 3 THEN chr(10) || '```' || chr(10) || '#### no' || chr(10) || '```' ELSE '' END AS code,
   regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g') = regexp_replace(lower(coalesce(lines[2], 'none')), '[^a-z0-9]+', ' ', 'g') AS own FROM e),
