@@ -227,6 +227,8 @@ def test_ownership_of_shared_leaves(spark):
         ('note {"a": "}{"} more', ('{"a":"}{"}', None)),
         ('{"a": "say "hi" now"}', ('{"a":"say \\"hi\\" now"}', None)),
         ('{"a": "one\ntwo \\d"}', ('{"a":"one\\ntwo \\\\d"}', None)),
+        ('{"a": "he said "yes", then left"}', ('{"a":"he said \\"yes\\", then left"}', None)),
+        ('{"a": "use {type: "math"} and go", "b": ["x"]}', ('{"a":"use {type: \\"math\\"} and go","b":["x"]}', None)),
         ('{"a": "cut', (None, "truncated")),
         ("no object", (None, "invalid")),
         (None, (None, "empty")),
@@ -238,6 +240,62 @@ def test_json_repair(given_text, want):
     assert jsonfix.decode(given_text) == want
 
 
+@pytest.mark.parametrize(
+    "given_text,want",
+    [
+        ('{"f": [1, {"a": 1}, nope, {"b": 2}', ['{"a":1}', '{"b":2}']),
+        ('{"f": [{"a": "}"}, {bad}, {"c": {"d": "]"}}, {"e": "cut', ['{"a":"}"}', '{"c":{"d":"]"}}']),
+        ('{"g": [{"x": 1}], "f": [{"a": 1}], "h": [{"b": 2}]}', ['{"a":1}']),
+        ('{"f": [{"a": NaN}, {"a": 2}]}', ['{"a":2}']),
+        ('{"f": [[1], {"a": 1}]}', []),  # the first bracket that closes outside an object ends the array
+        ('{"f": "none"}', []),
+        (None, []),
+    ],
+)
+def test_complete_objects(given_text, want):
+    from millrace.functions import jsonfix
+
+    assert jsonfix.complete_objects(given_text, "f") == want
+
+
+def test_json_repair_is_linear():
+    from time import time
+
+    from millrace.functions import jsonfix
+
+    began = time()
+    for text in ('{"a": "' + '" ' * 50_000 + '"}', '{"a": "' + '"' + " " * 100_000 + '"}', '{"a": "' + '"]' * 50_000 + 'x"}'):
+        jsonfix.repaired(text)
+    assert time() - began < 10
+
+
+def test_context_view(spark):
+    import json
+
+    from millrace.operators import estimates
+
+    rows = [(1, i, f"t{i}", "é" * n) for i, n in enumerate([10, 9000, 40_000])] + [(2, 0, "t", "x" * 30_000)]
+    df = spark.createDataFrame(rows, "s int, i int, topic string, observation string")
+    got = {(r.s, r.i): r for r in estimates.context_view(df, "s", "i", ["topic", "observation"]).collect()}
+    sizes = {s: sum(len(r.view.encode()) for k, r in got.items() if k[0] == s) for s in (1, 2)}
+    assert all(n <= 20_000 for n in sizes.values()) and [got[1, i].excerpted for i in range(3)] == [False, True, True] and got[2, 0].excerpted
+    assert json.loads(got[1, 0].view) == {"topic": "t0", "observation": "é" * 10, "excerpted": False}
+
+
+def test_reduction_work(spark):
+    from millrace.operators import estimates
+
+    def brute(n):
+        work = 0
+        while n > 1:
+            work += n // 4 + (n % 4 > 1)
+            n = -(-n // 4)
+        return work
+
+    got = spark.range(0, 3000).select("id", estimates.reduction_work(F.col("id")).alias("w")).collect()
+    assert all(r.w == brute(r.id) for r in got)
+
+
 def test_branch_level(spark):
     levels = spark.createDataFrame([("t", i, w) for i, w in enumerate([1, 5, 21, 82])] + [("one", 0, 1)], "tree string, level int, width int")
     at = lambda target: {r.tree: r.width for r in runs.branch_level(levels, "tree", F.lit(target)).collect()}
