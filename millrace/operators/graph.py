@@ -90,6 +90,19 @@ def prefix_resolve(prefixes: DataFrame, ids: DataFrame, stem: int) -> DataFrame:
     return found.select("prefix", F.col("matches").cast("bigint").alias("matches"), F.when(F.col("matches") == 1, F.col("id")).alias("id"))
 
 
+def resolve_all(requests: DataFrame, ids: DataFrame, scope: str, request: str) -> DataFrame:
+    """``scope, request, ids``: the ids of a request's prefixes in order, or null if any begins none or several of its scope's ids.
+
+    ``requests``: scope, request, pos, prefix; ``ids``: scope, id. Blanks around a prefix do not count, and an empty one names nothing.
+    """
+    key = lambda c: F.concat_ws(":", F.col(scope).cast("string"), c)
+    asked = requests.select(scope, request, "pos", key(F.trim("prefix")).alias("prefix"), (F.trim("prefix") != "").alias("_some"))
+    found = prefix_resolve(asked.filter("_some").select("prefix"), ids.select(key(F.col("id")).alias("id")).distinct(), 0)
+    met = asked.join(found, "prefix", "left").withColumn("id", F.when(F.col("_some"), F.substring_index("id", ":", -1)))
+    one = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])  # as long as the request
+    return met.groupBy(scope, request).agg(F.when(F.count_if(F.col("id").isNull()) == 0, one).alias("ids"))
+
+
 def shortest_unique_prefix(ids: DataFrame, least: int = 8, stem: int = 4) -> DataFrame:
     """``id, short``: the shortest prefix that no other id has, ``least`` characters at least.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,28 @@ def reservations(requests: DataFrame, run: str, order: str, amount: str, limit:
     return streamed(requests, [run], [order], [order, amount], fold, f"{kind(run)}, {kind(order)}, {kind(amount)}, accepted boolean, reserved bigint")
 
 
+def budget_reservations(requests: DataFrame, run: str, order: str, tokens: str, cost: str, max_tokens: int, max_cost: float) -> DataFrame:
+    """``run, order, outcome, tokens_taken, cost_taken``: requests that pass neither limit are taken, in order; costs in millionths, rounded up.
+
+    The limit on tokens is asked first; a limit on costs of 0 is none. What is refused takes nothing.
+    """
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        taken, spent = 0, 0
+        for place, size, price in rows:
+            micro = math.ceil(price * 1_000_000)
+            if taken + size > max_tokens:
+                outcome = "token budget"
+            elif max_cost > 0 and (spent + micro) / 1_000_000 > max_cost:
+                outcome = "cost budget"
+            else:
+                outcome, taken, spent = "accepted", taken + size, spent + micro
+            yield place, outcome, taken, spent
+
+    kind = lambda c: f"`{c}` {requests.schema[c].dataType.simpleString()}"
+    return streamed(requests, [run], [order], [order, tokens, cost], fold, f"{kind(run)}, {kind(order)}, outcome string, tokens_taken bigint, cost_taken bigint")
+
+
 def revisions(requests: DataFrame, run: str, order: str, request: str, base: str) -> DataFrame:
     """``run, order, outcome, revision``: a request seen before is repeated, one on another base is stale, any other makes the next revision."""
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import estimates, quality, sections
+from millrace.operators import estimates, graph, quality, rules, sections
 from millrace.sources.tables import table
 
 
@@ -47,9 +47,39 @@ def repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repeated_paragraphs(sections_, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (reading_cost, context_view, diagram_issues, repeated_paragraphs)}
+def budget_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of users: tokens and cost by value, 1,000 tokens and 0.8 in costs a user at most."""
+    value = F.coalesce("value", F.lit(0.0))
+    requests = table(spark, sf_dir, "events", "event_id", "user_id", "value").select("user_id", "event_id", F.floor(value * 10).cast("bigint").alias("tokens"), F.when(F.col("event_id") % 3 == 0, value / 50).otherwise(value / 500).alias("cost"))
+    return rules.budget_reservations(requests, "user_id", "event_id", "tokens", "cost", 1000, 0.8)
+
+
+def resolved_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as sections of an outline; each asks for itself and the order before by short prefixes of hashes."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    name = F.sha2(F.col("o_orderkey").cast("string"), 256)
+    ids = orders.select("o_custkey", "o_orderkey", name.alias("id"))
+    before = F.lag("id").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    asked = ids.withColumn("before", before).select("o_custkey", "o_orderkey", F.array(F.concat(F.lit(" "), F.left("id", (F.col("o_orderkey") % 4 + 1).cast("int"))), F.left("before", (F.col("o_orderkey") % 3 + 2).cast("int")), F.when(F.col("o_orderkey") % 9 == 0, " ")).alias("asked"))
+    rows = asked.select("o_custkey", "o_orderkey", F.posexplode(F.filter("asked", lambda x: x.isNotNull())).alias("pos", "prefix"))
+    return graph.resolve_all(rows, ids, "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", F.array_join("ids", ",").alias("ids"))
+
+
+QUERIES = {f.__name__: f for f in (reading_cost, context_view, diagram_issues, repeated_paragraphs, budget_reservations, resolved_sections)}
 
 ORACLE = {
+    "budget_reservations": """
+WITH RECURSIVE q AS (SELECT user_id, event_id, CAST(floor(coalesce(value, 0) * 10) AS BIGINT) AS t, CAST(ceil(CASE WHEN event_id % 3 = 0 THEN coalesce(value, 0) / 50 ELSE coalesce(value, 0) / 500 END * 1000000) AS BIGINT) AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, '' AS outcome, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS spent FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT q.user_id, q.event_id, q.i, CASE WHEN taken + t > 1000 THEN 'token budget' WHEN (spent + m) / 1000000 > CAST(0.8 AS DOUBLE) THEN 'cost budget' ELSE 'accepted' END,
+    CASE WHEN taken + t > 1000 OR (spent + m) / 1000000 > CAST(0.8 AS DOUBLE) THEN taken ELSE taken + t END, CASE WHEN taken + t > 1000 OR (spent + m) / 1000000 > CAST(0.8 AS DOUBLE) THEN spent ELSE spent + m END
+  FROM r JOIN q ON q.user_id = r.user_id AND q.i = r.i + 1)
+SELECT user_id, event_id, outcome, taken AS tokens_taken, spent AS cost_taken FROM r WHERE i > 0""",
+    "resolved_sections": """
+WITH o AS (SELECT o_custkey, o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) AS id, lag(sha256(CAST(o_orderkey AS VARCHAR))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders),
+a AS (SELECT o_custkey, o_orderkey, 0 AS pos, left(id, o_orderkey % 4 + 1) AS prefix FROM o UNION ALL SELECT o_custkey, o_orderkey, 1, left(before, o_orderkey % 3 + 2) FROM o WHERE before IS NOT NULL UNION ALL SELECT o_custkey, o_orderkey, 2, NULL FROM o WHERE o_orderkey % 9 = 0),
+m AS (SELECT a.o_custkey, a.o_orderkey, a.pos, count(o.id) AS n, min(o.id) AS id FROM a LEFT JOIN o ON o.o_custkey = a.o_custkey AND starts_with(o.id, a.prefix) GROUP BY 1, 2, 3)
+SELECT o_custkey, o_orderkey, CASE WHEN min(n) = 1 AND max(n) = 1 THEN string_agg(id, ',' ORDER BY pos) END AS ids FROM m GROUP BY 1, 2""",
     "repeated_paragraphs": """
 WITH d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '[^A-Za-z \\n]', '', 'g'), ' +', ' ', 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, l, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d),
