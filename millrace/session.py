@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import threading
 import uuid
 
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Of each thread, so that none drops another's: the tables that :func:`written` has left, oldest first.
 _LEFT = threading.local()
+#: Folders that are removed as this process ends.
+_SWEPT: set[str] = set()
 
 
 def build(master: str = "local[*]", partitions: int | None = None, **conf: str) -> SparkSession:
@@ -89,4 +93,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def _written_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+    folder = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _SWEPT:
+        _SWEPT.add(folder)
+        atexit.register(_sweep, spark, folder)
+    return folder
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    """Remove an application's tables as its driver ends; a session that was stopped before cannot."""
+    with contextlib.suppress(Exception):
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, folder)
