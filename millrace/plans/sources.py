@@ -88,7 +88,8 @@ def ingest_cached(spark: SparkSession, files: DataFrame, folder: str) -> DataFra
     """The same with parse results read through ``folder`` by path and content hash: only files that it lacks are parsed."""
     hashed = files.withColumn("hash", F.sha2("content", 256))
     known = spark.read.parquet(f"{folder}/pieces").select("path", "hash") if streams.exists(spark, f"{folder}/pieces") else None
-    missing = hashed if known is None else hashed.join(known, ["path", "hash"], "left_anti")
+    # Read by three writers, each of which also looks up the hashes.
+    missing = (hashed if known is None else hashed.join(known, ["path", "hash"], "left_anti")).persist()
     if known is None or not missing.isEmpty():
         names = missing.select("path", "hash")
         keyed = lambda rows: rows.join(names, "path")
@@ -96,6 +97,7 @@ def ingest_cached(spark: SparkSession, files: DataFrame, folder: str) -> DataFra
         keyed(code.edges(missing).filter("kind = 'calls'").select("path", "owner", graph.tail_name(F.col("target")).alias("name"))).write.mode("append").parquet(f"{folder}/calls")
         sized = missing.select("path", "hash", F.explode(chunks.chunk_text(F.col("content"))).alias("c"))
         sized.groupBy("path", "hash").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("c.content")).cast("bigint").alias("bytes")).write.mode("append").parquet(f"{folder}/pieces")
+    missing.unpersist()
     now = hashed.select("path", "hash")
     held = lambda name: spark.read.parquet(f"{folder}/{name}").join(now, ["path", "hash"], "left_semi").drop("hash").withColumnRenamed("path", "file")
     links = graph.resolve_links(held("calls"), held("symbols")).groupBy("file").agg(F.sum("calls").alias("calls"), F.count_if(F.col("kind") == "resolved").alias("resolved"))
