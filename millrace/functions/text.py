@@ -45,6 +45,7 @@ def heading_key(heading: Column) -> Column:
 
 
 def is_bounded(text: Column, most: int) -> Column:
+    """Whether a text is neither blank nor of over ``most`` bytes."""
     return (F.trim(text) != "") & (F.octet_length(text) <= most)
 
 

@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import names_label
+from millrace.functions.text import is_bounded, names_label
+from millrace.operators.graph import resolve_all
 from millrace.operators.packing import streamed
 from millrace.operators.state import TERMINAL
 
@@ -163,6 +164,23 @@ def capped_issues(issues: DataFrame, scope: str, order: str, most: int) -> DataF
     return issues.filter(F.col("severity").isin("major", "minor")).withColumn("place", place).filter(F.col("place") <= most)
 
 
+def outline_reviews(issues: DataFrame, named: DataFrame, ids: DataFrame, scope: str, issue: str, most: int = 8) -> DataFrame:
+    """``scope, issues, resolved, valid, accepted``: whether a review is taken as a whole.
+
+    ``issues``: scope, issue, severity, message, code, query; ``named``: scope,
+    issue, pos, prefix, the sections that an issue names; ``ids``: scope, id. A
+    review of over ``most`` issues is refused, as is one with a severity that there
+    is not, a message or code that is blank or too long, a query that is too
+    long, or a prefix that does not name one section alone.
+    """
+    found = resolve_all(named, ids, scope, issue).select(scope, issue, F.col("ids").isNotNull().alias("_resolved"))
+    text = lambda c, n: is_bounded(F.coalesce(c, F.lit("")), n)
+    fine = F.col("severity").isin("major", "minor") & text("message", 4000) & text("code", 100) & (F.coalesce(F.octet_length("query"), F.lit(0)) <= 2000)
+    met = issues.join(found, [scope, issue], "left").withColumn("_resolved", F.coalesce("_resolved", F.lit(True)))
+    sums = met.groupBy(scope).agg(F.count("*").alias("issues"), F.min("_resolved").alias("resolved"), F.min(F.coalesce(fine, F.lit(False))).alias("valid"))
+    return sums.withColumn("accepted", F.col("resolved") & F.col("valid") & (F.col("issues") <= most))
+
+
 def partly_published(planned: DataFrame, written: DataFrame, run: str) -> DataFrame:
     """Planned titles (run, title) without a written section of that title."""
     return planned.join(written.select(run, "title").distinct(), [run, "title"], "left_anti")

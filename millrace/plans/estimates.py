@@ -54,7 +54,7 @@ def budget_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.budget_reservations(requests, "user_id", "event_id", "tokens", "cost", 1000, 0.8)
 
 
-def resolved_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders of a customer as sections of an outline; each asks for itself and the order before by short prefixes of hashes."""
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     name = F.sha2(F.col("o_orderkey").cast("string"), 256)
@@ -62,10 +62,28 @@ def resolved_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("id").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     asked = ids.withColumn("before", before).select("o_custkey", "o_orderkey", F.array(F.concat(F.lit(" "), F.left("id", (F.col("o_orderkey") % 4 + 1).cast("int"))), F.left("before", (F.col("o_orderkey") % 3 + 2).cast("int")), F.when(F.col("o_orderkey") % 9 == 0, " ")).alias("asked"))
     rows = asked.select("o_custkey", "o_orderkey", F.posexplode(F.filter("asked", lambda x: x.isNotNull())).alias("pos", "prefix"))
-    return graph.resolve_all(rows, ids, "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", F.array_join("ids", ",").alias("ids"))
+    return rows, ids.select("o_custkey", "id")
+
+
+def resolved_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections that all prefixes of an order name."""
+    return graph.resolve_all(*_asked(spark, sf_dir), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", F.array_join("ids", ",").alias("ids"))
+
+
+def outline_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as issues of a customer's review that name sections by longer prefixes; texts and severities follow from their keys."""
+    named, ids = _asked(spark, sf_dir)
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    severity = F.when(k % 97 == 0, "trivial").when(k % 3 == 0, "major").otherwise("minor")
+    message = F.repeat(F.lit("é"), F.when(k % 31 == 0, 2001).when(k % 37 == 0, 0).otherwise(k % 2001).cast("int"))
+    issues = orders.select("o_custkey", "o_orderkey", severity.alias("severity"), F.concat(F.lit("m"), message).alias("message"), F.when(k % 89 == 0, " ").otherwise(F.col("o_orderpriority")).alias("code"), F.repeat(F.lit("q"), (k % 2010).cast("int")).alias("query"))
+    long = named.filter("trim(prefix) <> ''").join(ids, "o_custkey").filter(F.col("id").startswith(F.trim("prefix"))).groupBy("o_custkey", "o_orderkey", "pos").agg(F.left(F.min("id"), F.lit(9)).alias("prefix"))
+    wanted = long.unionByName(named.filter((F.trim("prefix") == "") & (k % 18 == 0)))
+    return rules.outline_reviews(issues, wanted, ids, "o_custkey", "o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (reading_cost, context_view, diagram_issues, repeated_paragraphs, budget_reservations, resolved_sections)}
+QUERIES = {f.__name__: f for f in (reading_cost, context_view, diagram_issues, repeated_paragraphs, budget_reservations, resolved_sections, outline_reviews)}
 
 ORACLE = {
     "budget_reservations": """
@@ -75,6 +93,9 @@ r AS (SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i,
     CASE WHEN taken + t > 1000 OR (spent + m) / 1000000 > CAST(0.8 AS DOUBLE) THEN taken ELSE taken + t END, CASE WHEN taken + t > 1000 OR (spent + m) / 1000000 > CAST(0.8 AS DOUBLE) THEN spent ELSE spent + m END
   FROM r JOIN q ON q.user_id = r.user_id AND q.i = r.i + 1)
 SELECT user_id, event_id, outcome, taken AS tokens_taken, spent AS cost_taken FROM r WHERE i > 0""",
+    "outline_reviews": """
+WITH o AS (SELECT o_custkey, o_orderkey AS k, o_orderkey % 97 <> 0 AND CASE WHEN o_orderkey % 31 = 0 THEN 2001 WHEN o_orderkey % 37 = 0 THEN 0 ELSE o_orderkey % 2001 END * 2 + 1 <= 4000 AND o_orderkey % 89 <> 0 AND o_orderkey % 2010 <= 2000 AS fine, o_orderkey % 9 <> 0 OR o_orderkey % 18 <> 0 AS found FROM orders)
+SELECT o_custkey, count(*) AS issues, bool_and(found) AS resolved, bool_and(fine) AS valid, bool_and(found) AND bool_and(fine) AND count(*) <= 8 AS accepted FROM o GROUP BY 1""",
     "resolved_sections": """
 WITH o AS (SELECT o_custkey, o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) AS id, lag(sha256(CAST(o_orderkey AS VARCHAR))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders),
 a AS (SELECT o_custkey, o_orderkey, 0 AS pos, left(id, o_orderkey % 4 + 1) AS prefix FROM o UNION ALL SELECT o_custkey, o_orderkey, 1, left(before, o_orderkey % 3 + 2) FROM o WHERE before IS NOT NULL UNION ALL SELECT o_custkey, o_orderkey, 2, NULL FROM o WHERE o_orderkey % 9 = 0),
