@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import chunks, markdown, paths, text
-from millrace.operators import code, graph, packing, runs, sections, state
+from millrace.operators import code, graph, packing, rules, runs, sections, state
 from millrace.sources import files
 from millrace.streaming import events
 
@@ -395,3 +395,21 @@ def test_cached_ingest_parses_only_what_is_new(spark, tmp_path):
     again = fresh(ingest_cached(spark, changed, folder))
     assert spark.read.parquet(f"{folder}/pieces").count() == 5 and [r[2] for r in again][0] == once[0][2] + 1 and [r[3:] for r in again] == [r[3:] for r in once]
     assert len(fresh(ingest_generated(spark, 10_000))) == 1
+
+
+def test_prefixes_resolve_all_or_none(spark):
+    from millrace.operators import graph
+
+    ids = spark.createDataFrame([(1, "abc1"), (1, "abc2"), (1, "b"), (2, "abc9"), (1, "b")], "s int, id string")
+    asked = [(1, 1, 0, "abc1"), (1, 1, 1, " b "), (1, 2, 0, "abc"), (1, 3, 0, "abc2"), (1, 3, 1, ""), (2, 1, 0, "a"), (2, 2, 0, "b"), (3, 1, 0, "a")]
+    got = graph.resolve_all(spark.createDataFrame(asked, "s int, r int, pos int, prefix string"), ids, "s", "r")
+    assert {(r.s, r.r): r.ids for r in got.collect()} == {(1, 1): ["abc1", "b"], (1, 2): None, (1, 3): None, (2, 1): ["abc9"], (2, 2): None, (3, 1): None}
+
+
+def test_reservations_against_two_limits(spark):
+    rows = [(1, 1, 60, 0.5), (1, 2, 50, 0.0), (1, 3, 40, 0.6), (1, 4, 40, 0.5), (1, 5, 0, 0.0000001), (2, 1, 100, 9.0)]
+    df = spark.createDataFrame(rows, "run int, i int, tokens int, cost double")
+    take = lambda most: {(r.run, r.i): (r.outcome, r.tokens_taken, r.cost_taken) for r in rules.budget_reservations(df, "run", "i", "tokens", "cost", 100, most).collect()}
+    got = take(1.0)
+    assert [got[1, i][0] for i in range(1, 6)] == ["accepted", "token budget", "cost budget", "accepted", "cost budget"]
+    assert got[1, 4] == ("accepted", 100, 1_000_000) and got[2, 1] == ("cost budget", 0, 0) and take(0)[2, 1] == ("accepted", 100, 9_000_000)
