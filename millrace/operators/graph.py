@@ -86,19 +86,38 @@ def prefix_resolve(prefixes: DataFrame, ids: DataFrame, stem: int) -> DataFrame:
     lengths = [r.n for r in left.select(F.length("prefix").alias("n")).distinct().collect()]
     starts = ids.select("id", F.explode(F.array(*map(F.lit, lengths))).alias("n")).filter(F.length("id") >= F.col("n")) if lengths else ids.select("id", F.lit(0).alias("n")).limit(0)
     counted = starts.groupBy(F.left("id", F.col("n")).alias("prefix"), "n").agg(F.count("*").alias("matches"), F.min("id").alias("id")).drop("n")
-    found = left.join(counted, "prefix", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    # Beginnings are many more than the ids they are made from, by whose size Spark would broadcast them.
+    found = left.join(counted.hint("merge"), "prefix", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     return found.select("prefix", F.col("matches").cast("bigint").alias("matches"), F.when(F.col("matches") == 1, F.col("id")).alias("id"))
 
 
+def begun(requests: DataFrame, ids: DataFrame, scope: str, prefix: str = "prefix") -> DataFrame:
+    """``requests`` with ``first`` and ``second``: the least two ids of their scope that ``prefix`` begins, null where there is none.
+
+    Requests and ids of one scope and first character are sorted together, where
+    what a prefix begins stands right behind it. Each is shuffled once, and
+    nothing is broadcast: hashes are many more bytes than the tables they are made
+    from, by which Spark would choose.
+    """
+    place = [scope, "_stem"]
+    stem = F.left("_text", F.lit(1)).alias("_stem")
+    own = ids.select(scope, F.col("id").alias("_text")).select(scope, stem, "_text").repartition(*place).distinct()
+    after = F.lead("_text").over(Window.partitionBy(*place).orderBy("_text"))
+    own = own.withColumn("_pair", F.struct(F.col("_text").alias("first"), after.alias("second")))
+    asked = requests.select("*", F.col(prefix).alias("_text")).select("*", stem).repartition(*place)
+    behind = F.last("_pair", ignorenulls=True).over(Window.partitionBy(*place).orderBy(F.desc("_text"), F.col("_pair").isNull()))
+    met = asked.unionByName(own, allowMissingColumns=True).withColumn("_near", behind).filter(F.col("_pair").isNull() & F.col("_text").isNotNull())
+    begins = lambda c: F.when((F.col("_text") != "") & F.col(c).startswith(F.col("_text")), F.col(c))
+    return met.select(*requests.columns, begins("_near.first").alias("first"), begins("_near.second").alias("second"))
+
+
 def resolve_all(requests: DataFrame, ids: DataFrame, scope: str, request: str) -> DataFrame:
     """``scope, request, ids``: the ids of a request's prefixes in order, or null if any begins none or several of its scope's ids.
 
     ``requests``: scope, request, pos, prefix; ``ids``: scope, id. Blanks around a prefix do not count, and an empty one names nothing.
     """
-    key = lambda c: F.concat_ws(":", F.col(scope).cast("string"), c)
-    asked = requests.select(scope, request, "pos", key(F.trim("prefix")).alias("prefix"), (F.trim("prefix") != "").alias("_some"))
-    found = prefix_resolve(asked.filter("_some").select("prefix"), ids.select(key(F.col("id")).alias("id")).distinct(), 0)
-    met = asked.join(found, "prefix", "left").withColumn("id", F.when(F.col("_some"), F.substring_index("id", ":", -1)))
+    asked = requests.select(scope, request, "pos", F.coalesce(F.trim("prefix"), F.lit("")).alias("prefix"))
+    met = begun(asked, ids, scope).withColumn("id", F.when(F.col("second").isNull(), F.col("first")))
     one = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])  # as long as the request
     return met.groupBy(scope, request).agg(F.when(F.count_if(F.col("id").isNull()) == 0, one).alias("ids"))
 
