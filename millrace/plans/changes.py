@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import ignore, paths
 from millrace.operators import code, repair, scopes
-from millrace.session import new_folder
+from millrace.session import new_folder, written
 from millrace.sources import commits
 from millrace.sources.tables import table
 from millrace.streaming import tails
@@ -81,7 +81,8 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored graphs of documents as code: two thirds first, then all, again, with changes and losses, and under a new parser."""
-    files, folder, out = _code(spark, sf_dir).dropDuplicates(["path"]), new_folder(spark, "graphs"), []
+    # Every step reads all files several times.
+    files, folder, out = written(_code(spark, sf_dir).dropDuplicates(["path"]), "files"), new_folder(spark, "graphs"), []
     edited = F.when(F.col("doc_id") % 10 == 0, F.concat("content", F.lit("\nfn last() {\n}"))).otherwise(F.col("content"))
     changed = files.filter("doc_id % 10 <> 1").withColumn("content", edited).withColumn("hash", F.sha2("content", 256))
     steps = [("first", files.filter("doc_id % 3 <> 0"), "1"), ("all", files, "1"), ("again", files, "1"), ("changed", changed, "1"), ("parser", changed, "2")]

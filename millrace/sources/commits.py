@@ -120,7 +120,8 @@ def rebuild(spark: SparkSession, files: DataFrame, folder: str, version: str, id
         return 0
     parsed = stale.select("path", "content")
     # More files want more buckets, so that one fits a task.
-    new = {"symbols": symbols(parsed).withColumn("bucket", bucket), "edges": edges(parsed).withColumn("bucket", bucket)}
+    # Used twice, so parsed once.
+    new = {"symbols": written(symbols(parsed).withColumn("bucket", bucket), "symbols"), "edges": written(edges(parsed).withColumn("bucket", bucket), "edges")}
     sizes = [new[k].groupBy("path").agg(F.count("*").alias(k)) for k in ("symbols", "edges")]
     counted = stale.select("path", "hash", "version", "language", "bucket").join(sizes[0], "path", "left").join(sizes[1], "path", "left")
     new["files"] = counted.select("path", "hash", "version", "language", F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("edges", F.lit(0)).alias("edges"), "bucket")

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +42,69 @@ def test_texts_of_a_document_view_are_shuffled_by_outline(spark):
     from millrace.plans import registry
 
     assert not re.search(r"hashpartitioning\(doc_id#\d+L?, focus#\d+L?(, rung#\d+)?, \d+", plan(registry.queries()["document_view"](spark, SF)))
+
+
+def test_tails_send_events_of_any_time(spark, tmp_path):
+    """Events behind the watermark are sent; a run closes by its latest time, which an earlier batch brought, and again behind its end."""
+    from millrace.streaming import tails
+    from millrace.plans.changes import _state_store
+
+    batches = [
+        [(1, 1, 100, "progress", "x"), (1, 2, 50, "status", "completed"), (2, 3, 400, "progress", "x")],
+        [(1, 4, 10, "progress", "late"), (3, 5, 20, "status", "completed"), (4, 6, 395, "progress", "x")],
+        [(4, 7, 30, "status", "completed"), (2, 8, 0, "progress", "x")],
+    ]
+    out = []
+    with _state_store(spark):
+        for batch in batches:
+            df = spark.createDataFrame(batch, "run bigint, id bigint, at bigint, kind string, data string").withColumn("at", F.timestamp_seconds("at"))
+            df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = tails.draining_tail(spark.readStream.schema(tails.EVENT).parquet(f"{tmp_path}/in"), idle_ms=10_000)
+            stream.writeStream.foreachBatch(lambda b, n: out.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    sent = lambda run: [(i, kind) for r, i, kind, _ in out if r == run]
+    end = "stream-end"
+    assert sent(1) == [(1, "progress"), (2, "status"), (2, end), (4, "progress"), (4, end)]
+    assert sent(2) == [(3, "progress"), (8, "progress")]
+    assert sent(3) == [(5, "status"), (5, end)]
+    assert sent(4) == [(6, "progress"), (7, "status")]
+
+
+def test_labels_are_found_as_they_are_written(spark):
+    from millrace.operators import rules
+
+    labels = ["B1", "B12", "B1.2", "B(1", "C+", "B3"]
+    said = ["see B12, please", "AB1 and B1.2", "has B(1 here", "a C+", "B3"]
+    found = rules.unassigned(spark.createDataFrame([(k, x) for k in (1, 2) for x in labels], "outline int, label string"), spark.createDataFrame([(1, x) for x in said], "outline int, message string"))
+    assert {(r.outline, r.label) for r in found.collect()} == {(1, "B1"), *((2, x) for x in labels)}
+
+
+@pytest.mark.parametrize("name", ["brief_checks", "evidence_scores"])
+def test_parts_are_not_joined_for_each_core(spark, name):
+    from millrace.plans import registry
+
+    assert "REPARTITION_BY_NUM" in plan(registry.queries()[name](spark, SF))
+
+
+def test_drafts_are_made_once(spark):
+    from millrace.plans import registry
+
+    assert "regexp_replace(text" not in plan(registry.queries()["repair_targets"](spark, SF))
+
+
+def test_a_rebuild_parses_a_file_once(spark, tmp_path):
+    from millrace.operators import code
+    from millrace.sources import commits
+
+    parsed = spark.sparkContext.accumulator(0)
+
+    def symbols(files):
+        def count(batches):
+            for batch in batches:
+                parsed.add(len(batch))
+                yield batch
+
+        return code.symbols(files.mapInPandas(count, files.schema))
+
+    files = spark.createDataFrame([(f"a{k}.rs", f"fn a{k}() {{\n b();\n}}", "rust") for k in range(5)], "path string, content string, language string").withColumn("hash", F.sha2("content", 256))
+    assert commits.rebuild(spark, files, str(tmp_path), "1", "one", symbols, code.edges, buckets=2) == 5
+    assert parsed.value == 5 and commits.read(spark, str(tmp_path), "symbols", commits.SYMBOLS).count() == 5
