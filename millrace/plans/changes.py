@@ -19,7 +19,8 @@ from millrace.streaming.events import read_events
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
-    return docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"[^A-Za-z .\n]", ""), "\n")).alias("part", "line"))
+    split = docs.select("doc_id", F.split(F.regexp_replace("text", r"[^A-Za-z .\n]", ""), "\n").alias("lines"))
+    return split.select("doc_id", F.size("lines").alias("n"), F.posexplode("lines").alias("part", "line"))
 
 
 def repair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +30,10 @@ def repair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     cite = F.concat(F.lit(" [E:"), F.left(F.sha2(line, 256), F.lit(12)), F.lit("]"))
     fence = F.lit("\n```mermaid\ngraph\n```\n")
     text = F.concat(line, F.when(i % 4 == 1, cite).otherwise(""), F.when(i % 6 == 2, fence).otherwise(""))
-    parts = lines.select("doc_id", "part", text.alias("text"))
+    # Each is read several times.
+    parts = written(lines.select("doc_id", "part", text.alias("text")), "parts")
     d = F.col("doc_id")
-    chosen = lines.join(lines.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id").filter(i == d % F.col("n"))
+    chosen = lines.filter(i == d % F.col("n"))
     phrase = F.substring(line, 5, 30)
     messages = F.array(
         F.when((d % 2 == 0) & (F.length(phrase) >= 8), F.concat(F.lit('The phrase "'), phrase, F.lit('" repeats.'))),
@@ -40,7 +42,7 @@ def repair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 7 == 0, F.concat(F.lit('MERMAID_INVALID: {"diagram": '), (d % 3 + 1).cast("string"), F.lit("}"))),
         F.when(d % 11 == 0, F.lit("Too long.")),
     )
-    issues = chosen.select("doc_id", F.posexplode(messages).alias("issue", "message")).filter("message is not null")
+    issues = written(chosen.select("doc_id", F.posexplode(messages).alias("issue", "message")).filter("message is not null"), "issues")
     return repair.repair_targets(parts, issues, "doc_id")
 
 
