@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions import ignore, paths
 from millrace.operators import code, repair, scopes
@@ -118,6 +120,8 @@ def artifact_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A tail waits so long behind the end of its run.
 IDLE_MS = 3_600_000
+#: Files of a batch at most, more than a step has.
+FILES = 1_000_000
 
 
 @contextmanager
@@ -131,8 +135,11 @@ def _state_store(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def _event_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """The events table as a stream by user, appended in eight steps of rising ids; purchases end a run, errors are its other states."""
+def _streamed(spark: SparkSession, sf_dir: str, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """The events table as a stream by user, in eight steps of rising ids, each of which is a batch; purchases end a run, errors are its other states.
+
+    Files of one step are in no order, so that a batch of only some of them could bring ids behind those of the next.
+    """
     events = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").filter("user_id is not null")
     kind = F.when(F.col("event_type").isin("purchase", "error"), "status").otherwise("progress")
     data = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "running").otherwise(F.col("event_type"))
@@ -141,15 +148,14 @@ def _event_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     for k in range(8):
         place = F.floor((F.col("id") - low) * 8 / (high - low + 1)) if low is not None else F.lit(0)
         rows.filter(place == k).write.mode("append").parquet(f"{folder}/source")
-    return read_events(spark, f"{folder}/source", tails.EVENT, files_per_trigger=3)
+        start(read_events(spark, f"{folder}/source", tails.EVENT, files_per_trigger=FILES)).awaitTermination()
 
 
 def run_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What tails of all users' events have sent, and which of them have closed."""
     folder = new_folder(spark, "tails")
     with _state_store(spark):
-        sent = tails.draining_tail(_event_stream(spark, sf_dir, folder), idle_ms=IDLE_MS)
-        sent.writeStream.format("parquet").option("path", f"{folder}/sent").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        _streamed(spark, sf_dir, folder, lambda events: tails.draining_tail(events, idle_ms=IDLE_MS).writeStream.format("parquet").option("path", f"{folder}/sent").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     rows, is_end = spark.read.schema(tails.SENT).parquet(f"{folder}/sent"), F.col("kind") == "stream-end"
     sent = F.when(~is_end, F.col("id"))
     return rows.groupBy("run").agg(F.count(sent).alias("events"), F.countDistinct(sent).alias("ids"), F.max(sent).alias("last"), (F.coalesce(F.max(F.when(is_end, F.col("id"))), F.lit(-1)) == F.max(sent)).alias("closed"))
@@ -163,8 +169,7 @@ def event_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batches/{number}")
 
     with _state_store(spark):
-        stream = tails.newest_events(_event_stream(spark, sf_dir, folder), size=20)
-        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        _streamed(spark, sf_dir, folder, lambda events: tails.newest_events(events, size=20).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     rows = spark.read.schema(tails.BUFFER + ", batch int").parquet(f"{folder}/batches/*")
     last = rows.groupBy("run").agg(F.max("batch").alias("batch"))
     return rows.join(last, ["run", "batch"]).select(F.col("run").alias("user_id"), F.col("id").alias("event_id"), "kind", "data", "missing")

@@ -23,11 +23,11 @@ class DrainingTail(StatefulProcessor):
     """Sends a run's events in order, each once, and closes when the run is over and the stream has come ``idle_ms`` past its last event.
 
     State of a run is its cursor, the last id sent - an event at or below it was
-    sent or came too late - and whether its last status is a final one. A run
+    sent or came too late, so ids must rise from batch to batch - whether its last status is a final one, and
+    its latest time. A run
     that is over waits for events that were committed after its end: a timer on
-    the stream's watermark, which each of them puts off, sends ``stream-end`` and closes it. Only the
-    cursor of a closed run is kept, so that repeats stay out and a resumed run
-    goes on behind it.
+    the stream's watermark, which each of them puts off, sends ``stream-end`` and closes it. State stays
+    with a closed run, so that repeats stay out; what comes behind its cursor is sent, and closes it again unless it is resumed.
     """
 
     def __init__(self, idle_ms: int, status: str = "status"):
@@ -37,6 +37,7 @@ class DrainingTail(StatefulProcessor):
         self.handle = handle
         self.cursor = handle.getValueState("cursor", "id bigint")
         self.over = handle.getValueState("over", "over boolean")
+        self.latest = handle.getValueState("latest", "at_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         after = self.cursor.get()[0] if self.cursor.exists() else -1
@@ -52,15 +53,18 @@ class DrainingTail(StatefulProcessor):
                     self.over.update((True,))
                 else:
                     self.over.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        if self.over.exists():
-            self.handle.registerTimer(int(events["at_ms"].max()) + self.idle_ms)
+        # Times need not rise with ids, within a batch or between batches.
+        latest = max(int(events["at_ms"].max()), self.latest.get()[0] if self.latest.exists() else 0)
+        self.latest.update((latest,))
+        waits = [timer[0] if isinstance(timer, tuple) else timer for timer in self.handle.listTimers()]
+        for at in waits:
+            self.handle.deleteTimer(at)
+        if self.over.exists() and (waits or len(fresh)):
+            self.handle.registerTimer(latest + self.idle_ms)
         yield pd.DataFrame({"run": key[0], "id": fresh["id"], "kind": fresh["kind"], "data": fresh["data"]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.cursor.get()[0] if self.cursor.exists() else None
-        self.over.clear()
         yield pd.DataFrame({"run": [key[0]], "id": [last], "kind": ["stream-end"], "data": ["terminal"]})
 
     def close(self) -> None:
@@ -70,9 +74,10 @@ class DrainingTail(StatefulProcessor):
 def draining_tail(events: DataFrame, idle_ms: int = 500, late: str = "0 seconds") -> DataFrame:
     """``run, id, kind, data`` to send, from a stream of :data:`EVENT` rows; needs :data:`STORE`.
 
-    Events that are ``late`` behind the newest are waited for.
+    Ends wait until the stream has come ``late`` farther. An event is never left
+    out for its time: the column of the watermark goes, by which Spark would drop rows behind it.
     """
-    timed = events.withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
+    timed = events.withWatermark("at", late).select("run", "id", F.unix_millis("at").alias("at_ms"), "kind", "data")
     return timed.groupBy("run").transformWithStateInPandas(DrainingTail(idle_ms), SENT, "append", "EventTime")
 
 
