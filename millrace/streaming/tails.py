@@ -93,12 +93,13 @@ class NewestEvents(StatefulProcessor):
         self.size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "id bigint", "kind string, data string")
+        # Read and written as a whole: a call to the store each, not one for each event.
+        self.held = handle.getListState("held", "id bigint, kind string, data string")
         self.gone = handle.getValueState("gone", "count bigint, below bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         count, below = self.gone.get() if self.gone.exists() else (0, -1)
-        held = {k[0]: tuple(v) for k, v in self.held.iterator()}
+        held = {i: (kind, data) for i, kind, data in self.held.get()}
         # Of a batch all ids are looked at, and the events of the largest are kept.
         seen, new = [np.array(list(held), np.int64)], {}
         for part in rows:
@@ -110,13 +111,10 @@ class NewestEvents(StatefulProcessor):
         kept, out = ids[-self.size :].tolist(), ids[: -self.size]
         if len(out):
             count, below = count + len(out), int(out[-1])
-        for i in held.keys() - set(kept):
-            self.held.removeKey((i,))
-        for i in new.keys() & set(kept):
-            self.held.updateValue((i,), new[i])
         held = {i: new.get(i) or held[i] for i in kept}
         self.gone.update((count, below))
         ids = sorted(held)
+        self.held.put([(i, *held[i]) for i in ids])
         yield pd.DataFrame({"run": key[0], "id": ids, "kind": [held[i][0] for i in ids], "data": [held[i][1] for i in ids], "missing": count})
 
     def close(self) -> None:

@@ -108,3 +108,35 @@ def test_a_rebuild_parses_a_file_once(spark, tmp_path):
     files = spark.createDataFrame([(f"a{k}.rs", f"fn a{k}() {{\n b();\n}}", "rust") for k in range(5)], "path string, content string, language string").withColumn("hash", F.sha2("content", 256))
     assert commits.rebuild(spark, files, str(tmp_path), "1", "one", symbols, code.edges, buckets=2) == 5
     assert parsed.value == 5 and commits.read(spark, str(tmp_path), "symbols", commits.SYMBOLS).count() == 5
+
+
+def test_a_buffer_is_read_and_written_as_a_whole():
+    import pandas as pd
+
+    from millrace.streaming import tails
+
+    class State:
+        calls, value = 0, None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value or []
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        put = update
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a: State()
+
+    buffer = tails.NewestEvents(20)
+    buffer.init(Handle())
+    for low in (0, 15):
+        rows = pd.DataFrame({"id": range(low, low + 15), "kind": "p", "data": "x"})
+        (out,) = buffer.handleInputRows((1,), iter([rows]), None)
+    assert out["id"].tolist() == list(range(10, 30)) and set(out["missing"]) == {10} and buffer.held.calls == 4
