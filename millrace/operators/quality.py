@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ from millrace.session import written
 
 #: Blocks that offer one pair of words and meet in one part.
 PAIR_BLOCKS = 2000
+#: Bins in which word pairs are counted; a power of two.
+BINS = 1 << 20
 
 
 def exact_duplicates(blocks: DataFrame, key: list[str], text: str, least: int = 120) -> DataFrame:
@@ -40,33 +44,76 @@ def word_pairs(text: Column) -> Column:
     return F.array_distinct(F.filter(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda p: p.isNotNull()))
 
 
-def near_duplicates(blocks: DataFrame, key: str, text: str, share: int = 90, least: int = 200, least_pairs: int = 8) -> DataFrame:
-    """Pairs of blocks whose word pairs overlap in ``share`` percent, by prefix filtering.
+def _weights(tokens: DataFrame) -> np.ndarray:
+    """How many tokens (arrays ``tokens``) fall into each of ``BINS`` bins: a table of fixed size, whatever the input."""
+    counts = tokens.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(BINS - 1).alias("bin")).agg(F.count("*").alias("n")).toArrow()
+    weights = np.zeros(BINS, np.int64)
+    weights[counts["bin"].to_numpy()] = counts["n"].to_numpy()
+    return weights
+
+
+def offers(tokens: Column, weights: Broadcast, share: int) -> Column:
+    """``rare``, ``even`` and ``odd``: a block's rarest tokens, and in which of 64 places an odd number of its tokens falls, by two hashes.
+
+    Tokens are ranked by the weight of their bin, then by themselves: any order
+    that all blocks share loses no pair, frequent ones last spare work.
+    """
+
+    @F.pandas_udf("rare array<bigint>, even bigint, odd bigint")
+    def ranked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rare, even, odd = [], [], []
+            for t in batch:
+                most = len(t) - -(-len(t) * share // 100) + 1
+                rare.append(np.unique(t[np.lexsort((t, weights.value[t & (BINS - 1)]))[:most]]))
+                even.append(np.bitwise_xor.reduce(np.left_shift(1, t >> 58 & 63)))
+                odd.append(np.bitwise_xor.reduce(np.left_shift(1, t >> 52 & 63)))
+            yield pd.DataFrame({"rare": rare, "even": even, "odd": odd})
 
-    A block offers only its rarest pairs, as many as a partner must share one
-    of, so frequent word pairs never meet; overlaps are then counted on full
-    sets. Equal blocks count once, through their first.
+    return ranked(tokens)
+
+
+def alike(one: DataFrame, scope: list[str], share: int, least_pairs: int) -> DataFrame:
+    """``num_a, num_b, common, total``: pairs of a scope whose word pairs overlap in ``share`` percent, by prefix filtering.
+
+    ``one`` is a written table of ``num``, scope and ``text``, each text once in
+    its scope. A block offers only its rarest word pairs, as hashes, as many as
+    a partner must share one of. Where two meet, their sizes and the parities of
+    their hashes bound how far their sets differ, so that few others than true
+    pairs are compared on the words themselves.
     """
-    sized = blocks.select(F.col(key).alias("id"), folded(F.col(text)).alias("folded")).filter(F.length("folded") >= least)
-    one = sized.groupBy("folded").agg(F.min("id").alias("id")).withColumn("pairs", word_pairs(F.col("folded"))).drop("folded").filter(F.size("pairs") >= least_pairs)
-    one = written(one, "pairs")  # used five times
-    each = one.select("id", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
-    counts = each.groupBy("pair").agg(F.count("*").alias("uses"))
-    ordered = each.join(counts, "pair").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("uses", "pair")))
-    offered = ordered.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1).filter("uses > 1").select("id", "n", "pair", "uses")
+    tokens = one.select("num", *scope, F.transform(word_pairs(F.col("text")), lambda p: F.xxhash64(p)).alias("tokens")).filter(F.size("tokens") >= least_pairs)
+    weights = one.sparkSession.sparkContext.broadcast(_weights(tokens))
+    ranked = tokens.select("num", *scope, F.size("tokens").alias("n"), offers(F.col("tokens"), weights, share).alias("o"))
+    offered = ranked.select("num", *scope, "n", "o.even", "o.odd", F.explode("o.rare").alias("pair"))
     # A frequent pair's blocks are dealt to parts, each of which meets all of the pair's blocks.
-    parts = (F.floor(F.col("uses") / PAIR_BLOCKS) + 1).cast("int")
-    offered = written(offered.withColumn("parts", parts), "offered")
-    a, b = (offered.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), "pair", "parts") for s in "ab")
-    a = a.withColumn("part", F.pmod(F.xxhash64("id_a"), F.col("parts")).cast("int")).drop("parts")
+    offered = written(offered, "offered")
+    met = offered.groupBy(*scope, "pair").agg(F.count("*").alias("uses")).filter("uses > 1").select(*scope, "pair", (F.floor(F.col("uses") / PAIR_BLOCKS) + 1).cast("int").alias("parts"))
+    offered = written(offered.join(met, [*scope, "pair"]), "met")
+    a, b = (offered.select(*scope, "pair", "parts", *(F.col(c).alias(f"{c}_{s}") for c in ("num", "n", "even", "odd"))) for s in "ab")
+    a = a.withColumn("part", F.pmod(F.xxhash64("num_a"), F.col("parts")).cast("int")).drop("parts")
     b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     sized_alike = 100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")
-    candidates = a.join(b, ["pair", "part"]).filter((F.col("id_a") < F.col("id_b")) & sized_alike).select("id_a", "id_b").distinct()
-    sets = one.select("id", "pairs")
-    both = candidates.join(sets.select(F.col("id").alias("id_a"), F.col("pairs").alias("pairs_a")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("pairs").alias("pairs_b")), "id_b")
-    common = F.size(F.array_intersect("pairs_a", "pairs_b"))
-    found = both.withColumn("common", common).withColumn("total", F.size("pairs_a") + F.size("pairs_b") - F.col("common"))
-    return found.filter(100 * F.col("common") >= share * F.col("total")).select("id_a", "id_b", "common", "total")
+    # Of sets of n_a and n_b that share so much, at most this many members are in one alone; each odd place shows one at least.
+    apart = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) * (100 + share) <= (100 - share) * (F.col("n_a") + F.col("n_b"))
+    candidates = written(a.join(b, [*scope, "pair", "part"]).filter((F.col("num_a") < F.col("num_b")) & sized_alike & apart("even") & apart("odd")).select("num_a", "num_b").distinct(), "candidates")
+    ends = candidates.select(F.explode(F.array("num_a", "num_b")).alias("num")).distinct()
+    sets = written(one.join(ends, "num", "left_semi").select("num", "text"), "sets")
+    both = candidates.join(sets.select(F.col("num").alias("num_a"), F.col("text").alias("text_a")), "num_a").join(sets.select(F.col("num").alias("num_b"), F.col("text").alias("text_b")), "num_b")
+    paired = both.select("num_a", "num_b", word_pairs(F.col("text_a")).alias("pairs_a"), word_pairs(F.col("text_b")).alias("pairs_b"))
+    found = paired.withColumn("common", F.size(F.array_intersect("pairs_a", "pairs_b"))).withColumn("total", F.size("pairs_a") + F.size("pairs_b") - F.col("common"))
+    return found.filter(100 * F.col("common") >= share * F.col("total")).select("num_a", "num_b", "common", "total")
+
+
+def near_duplicates(blocks: DataFrame, key: str, text: str, share: int = 90, least: int = 200, least_pairs: int = 8) -> DataFrame:
+    """Pairs of blocks whose word pairs overlap in ``share`` percent (see :func:`alike`). Equal blocks count once, through their first."""
+    sized = blocks.select(F.col(key).alias("id"), folded(F.col(text)).alias("text")).filter(F.length("text") >= least)
+    one = sized.groupBy(F.unhex(F.sha2("text", 256)).alias("hash")).agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
+    one = written(one.select(F.monotonically_increasing_id().alias("num"), "id", "text"), "texts")
+    ids = one.select("num", "id")
+    near = written(alike(one.select("num", "text"), [], share, least_pairs), "near")
+    found = near.join(ids.select(F.col("num").alias("num_a"), F.col("id").alias("a")), "num_a").join(ids.select(F.col("num").alias("num_b"), F.col("id").alias("b")), "num_b")
+    return found.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "common", "total")
 
 
 def repeated_paragraphs(sections: DataFrame, outline: str, most: int = 16) -> DataFrame:
@@ -80,15 +127,14 @@ def repeated_paragraphs(sections: DataFrame, outline: str, most: int = 16) -> Da
     """
     each = sections.select(outline, "section", F.explode(paragraphs(pieces(F.col("markdown")))).alias("p")).select(outline, "section", "p.block", "p.text")
     at = F.struct("section", "block")
-    blocks = written(each.select(outline, at.alias("at"), "text", F.sha2("text", 256).alias("hash")), "paragraphs")
-    firsts = written(blocks.groupBy(outline, "hash").agg(F.min("at").alias("first"), F.any_value("text").alias("text")).withColumn("id", F.sha2(F.concat_ws(":", outline, "hash"), 256)), "firsts")
-    # Words carry their document's name, so that texts of two documents have no pair in common.
-    mark = F.concat(F.lit("q"), F.hex(F.col(outline).cast("string")), F.lit("q"))
-    named = firsts.filter(F.length("text") >= 200).select("id", F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(w, mark)), " ").alias("text"))
-    near = near_duplicates(named, "id", "text", share=90, least=0)
-    both = near.select("id_a", "id_b").unionAll(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
-    other = both.join(firsts.select(F.col("id").alias("id_b"), "first"), "id_b").join(firsts.select(F.col("id").alias("id_a"), outline, "hash"), "id_a").select(outline, "hash", "first", F.lit(False).alias("exact"))
-    candidates = other.unionByName(firsts.select(outline, "hash", "first", F.lit(True).alias("exact")))
+    blocks = written(each.select(outline, at.alias("at"), "text", F.unhex(F.sha2("text", 256)).alias("hash")), "paragraphs")
+    firsts = blocks.groupBy(outline, "hash").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.any_value("text").alias("text"))
+    firsts = written(firsts.withColumn("num", F.monotonically_increasing_id()), "firsts")
+    near = written(alike(firsts.filter(F.length("text") >= 200).select("num", outline, "text"), [outline], share=90, least_pairs=8), "near")
+    both = near.select("num_a", "num_b").unionAll(near.select(F.col("num_b").alias("num_a"), F.col("num_a").alias("num_b")))
+    other = both.join(firsts.select(F.col("num").alias("num_b"), "first"), "num_b").join(firsts.select(F.col("num").alias("num_a"), outline, "hash"), "num_a").select(outline, "hash", "first", F.lit(False).alias("exact"))
+    # What stands once and is near nothing has no say.
+    candidates = written(other.unionByName(firsts.filter("n > 1").select(outline, "hash", "first", F.lit(True).alias("exact"))), "candidates")
     # A text's paragraphs are dealt to parts, each of which meets all that it may repeat.
     met = dealt(blocks.select(outline, "at", "hash"), "at").join(everywhere(candidates), [outline, "hash", "salt"])
     beside = (F.col("first.section") == F.col("at.section")) & (F.col("at.block") - F.col("first.block") <= 1)

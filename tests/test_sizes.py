@@ -140,3 +140,40 @@ def test_a_buffer_is_read_and_written_as_a_whole():
         rows = pd.DataFrame({"id": range(low, low + 15), "kind": "p", "data": "x"})
         (out,) = buffer.handleInputRows((1,), iter([rows]), None)
     assert out["id"].tolist() == list(range(10, 30)) and set(out["missing"]) == {10} and buffer.held.calls == 4
+
+
+def _said(rng, n, words=12):
+    """Texts of few words, so that all share frequent word pairs; every fifth is an earlier one with a word changed."""
+    texts = []
+    for k in range(n):
+        text = [f"word{rng.randrange(words)}" for _ in range(60)]
+        if k % 5 == 4:
+            text = texts[rng.randrange(k)].split(" ")
+            text[rng.randrange(60)] = "other"
+        texts.append(" ".join(text))
+    return texts
+
+
+def _alike(a, b):
+    a, b = (set(zip(t.split(" "), t.split(" ")[1:])) for t in (a, b))
+    return 100 * len(a & b) >= 90 * len(a | b)
+
+
+def test_words_of_paragraphs_do_not_carry_their_outline(spark):
+    """All tables of a run together are smaller than one with the outline's name at every word."""
+    from millrace.operators import quality
+    from millrace.session import tables
+
+    rng, held = random.Random(9), tables(spark)
+    texts = {f"{k}" * 300: _said(rng, 60) for k in (1, 2)}
+    rows = [(o, s, "\n\n".join(t[s * 6 : s * 6 + 6])) for o, t in texts.items() for s in range(10)]
+    found = quality.repeated_paragraphs(spark.createDataFrame(rows, "outline string, section int, markdown string"), "outline", most=99).collect()
+    want = set()
+    for o, t in texts.items():
+        for y in range(60):
+            firsts = [x for x in range(y) if _alike(t[x], t[y]) and not (x // 6 == y // 6 and y - x <= 1)]
+            if firsts:
+                want.add((o, y // 6, y % 6, firsts[0] // 6, firsts[0] % 6, t[firsts[0]] == t[y]))
+    assert want and {tuple(r) for r in found} == want
+    size = sum(spark.read.parquet(p).agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()[0] for p in tables(spark) if p not in held)
+    assert size < sum(len(w) + len(o) for o, t in texts.items() for x in t for w in x.split(" "))
