@@ -177,3 +177,19 @@ def test_words_of_paragraphs_do_not_carry_their_outline(spark):
     assert want and {tuple(r) for r in found} == want
     size = sum(spark.read.parquet(p).agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()[0] for p in tables(spark) if p not in held)
     assert size < sum(len(w) + len(o) for o, t in texts.items() for x in t for w in x.split(" "))
+
+
+@pytest.mark.parametrize("bins", [1, 1 << 20])
+def test_frequent_pairs_leave_few_candidates(spark, monkeypatch, bins):
+    """Only blocks that are nearly alike are compared on their words; which bins pairs fall into loses none."""
+    from millrace.operators import quality
+    from millrace.session import tables
+
+    monkeypatch.setattr(quality, "BINS", bins)
+    monkeypatch.setattr(quality, "PAIR_BLOCKS", 7)
+    held, texts = tables(spark), _said(random.Random(4), 150)
+    found = quality.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text").collect()
+    want = {(a, b) for b in range(150) for a in range(b) if texts[a] != texts[b] and _alike(texts[a], texts[b])}
+    assert want and {(r.id_a, r.id_b) for r in found} == want
+    (candidates,) = (p for p in tables(spark) if p not in held and "/candidates-" in p)
+    assert len(want) <= spark.read.parquet(candidates).count() <= 2 * len(want)
