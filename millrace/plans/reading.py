@@ -11,9 +11,10 @@ from millrace.sources.tables import table
 
 def _linked_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders of a customer as nodes; weights between orders that follow each other at a supplier (5) or in a priority (3)."""
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
-    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey").distinct()
-    at = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("scope"), F.col("l_suppkey").cast("string").alias("by"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority").filter("o_custkey is not null")
+    # Lines of an order at one supplier follow each other, which makes links to itself; these do not count.
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey")
+    at = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("scope"), F.col("l_suppkey").alias("by"), "o_orderkey")
     following = lambda rows: rows.withColumn("next", F.lead("o_orderkey").over(Window.partitionBy("scope", "by").orderBy("o_orderkey"))).filter("next is not null")
     calls = following(at).select("scope", F.col("o_orderkey").alias("a"), F.col("next").alias("b"), F.lit(5).alias("weight"))
     tagged = orders.filter("o_orderpriority in ('1-URGENT', '2-HIGH')").select(F.col("o_custkey").alias("scope"), F.col("o_orderpriority").alias("by"), "o_orderkey")
@@ -24,7 +25,7 @@ def _linked_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 def graph_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each order stands when a customer's orders are read depth first along their links."""
     found = ordering.graph_order(*_linked_orders(spark, sf_dir))
-    return ordering.placed(found, ["component", "step"], group=["scope"]).select(F.col("scope").alias("o_custkey"), F.col("node").alias("o_orderkey"), "component", "place")
+    return found.select(F.col("scope").alias("o_custkey"), F.col("node").alias("o_orderkey"), "component", "place")
 
 
 def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:

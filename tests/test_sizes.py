@@ -193,3 +193,25 @@ def test_frequent_pairs_leave_few_candidates(spark, monkeypatch, bins):
     assert want and {(r.id_a, r.id_b) for r in found} == want
     (candidates,) = (p for p in tables(spark) if p not in held and "/candidates-" in p)
     assert len(want) <= spark.read.parquet(candidates).count() <= 2 * len(want)
+
+
+@pytest.mark.parametrize("links", [1 << 18, 60, 0])
+def test_small_scopes_are_walked_without_rounds(spark, monkeypatch, links):
+    """Components of scopes of few links are found in the walk, of larger ones by joins; places are the same."""
+    from millrace.operators import ordering
+    from tests.test_reading import brute_order
+
+    rounds, found_by_joins = [], ordering.components
+    monkeypatch.setattr(ordering, "components", lambda df: rounds.append(df) or found_by_joins(df))
+    monkeypatch.setattr(ordering, "LINKS", links)
+    rng = random.Random(8)
+    nodes = {s: list(range(n)) for s, n in (("a", 30), ("b", 12), ("c", 1), ("d", 200))}
+    ties = {s: [(rng.choice(ns), rng.choice(ns), rng.choice([3, 5])) for _ in range(len(ns) * 3 // 4)] for s, ns in nodes.items()}
+    named = spark.createDataFrame([(s, n) for s, ns in nodes.items() for n in [*ns, ns[0]]], "scope string, node int")
+    found = ordering.graph_order(named, spark.createDataFrame([(s, *t) for s, ts in ties.items() for t in ts], "scope string, a int, b int, weight int")).collect()
+    for s, ns in nodes.items():
+        mine = sorted((r for r in found if r.scope == s), key=lambda r: r.place)
+        assert [r.place for r in mine] == ns and [r.node for r in mine] == brute_order(ns, ties[s])
+        assert [(r.component, r.step) for r in mine] == sorted((r.component, r.step) for r in mine)
+        assert all(r.component == min(x.node for x in mine if x.component == r.component) for r in mine)
+    assert len(rounds) == (links < 1 << 18)
