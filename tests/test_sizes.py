@@ -215,3 +215,21 @@ def test_small_scopes_are_walked_without_rounds(spark, monkeypatch, links):
         assert [(r.component, r.step) for r in mine] == sorted((r.component, r.step) for r in mine)
         assert all(r.component == min(x.node for x in mine if x.component == r.component) for r in mine)
     assert len(rounds) == (links < 1 << 18)
+
+
+def test_texts_are_cut_in_slices(monkeypatch):
+    import pandas as pd
+
+    from millrace.functions import markdown
+
+    monkeypatch.setattr(markdown, "CUT_AT_ONCE", 20, raising=False)
+    texts = ["a `b` c", None, "", "x" * 50, "```\nq\n```\n", "end"]
+    out = list(markdown._pieces.func(iter([pd.Series(texts), pd.Series(texts[:1])])))
+    assert ["".join(p["text"] for p in row) for part in out for row in part] == [t or "" for t in [*texts, texts[0]]]
+    assert [len(part) for part in out] == [4, 2, 1]
+
+
+def test_diagrams_are_counted_once(spark):
+    from millrace.plans import registry
+
+    assert "EvalPython" not in plan(registry.queries()["diagram_issues"](spark, SF))
