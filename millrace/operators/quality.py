@@ -21,6 +21,8 @@ from millrace.session import written
 PAIR_BLOCKS = 2000
 #: Bins in which word pairs are counted; a power of two.
 BINS = 1 << 20
+#: Places in which numbers of blocks leave a mark; a power of two.
+MARKS = 1 << 23
 
 
 def exact_duplicates(blocks: DataFrame, key: list[str], text: str, least: int = 120) -> DataFrame:
@@ -44,61 +46,84 @@ def word_pairs(text: Column) -> Column:
     return F.array_distinct(F.filter(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda p: p.isNotNull()))
 
 
-def _weights(tokens: DataFrame) -> np.ndarray:
-    """How many tokens (arrays ``tokens``) fall into each of ``BINS`` bins: a table of fixed size, whatever the input."""
-    counts = tokens.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(BINS - 1).alias("bin")).agg(F.count("*").alias("n")).toArrow()
+def _weights(tokens: Column, rows: DataFrame) -> np.ndarray:
+    """How many tokens (arrays) fall into each of ``BINS`` bins: a table of fixed size, whatever the input."""
+    counts = rows.select(F.explode(tokens).alias("t")).groupBy(F.col("t").bitwiseAND(BINS - 1).alias("bin")).agg(F.count("*").alias("n")).toArrow()
     weights = np.zeros(BINS, np.int64)
     weights[counts["bin"].to_numpy()] = counts["n"].to_numpy()
     return weights
 
 
 def offers(tokens: Column, weights: Broadcast, share: int) -> Column:
-    """``rare``, ``even`` and ``odd``: a block's rarest tokens, and in which of 64 places an odd number of its tokens falls, by two hashes.
+    """``n, rare, even, odd``: how many tokens a block has, its rarest, and in which of 64 places an odd number of its tokens falls, by two hashes.
 
     Tokens are ranked by the weight of their bin, then by themselves: any order
     that all blocks share loses no pair, frequent ones last spare work.
     """
 
-    @F.pandas_udf("rare array<bigint>, even bigint, odd bigint")
+    @F.pandas_udf("n int, rare array<bigint>, even bigint, odd bigint")
     def ranked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rare, even, odd = [], [], []
+            n, rare, even, odd = [], [], [], []
             for t in batch:
                 most = len(t) - -(-len(t) * share // 100) + 1
+                n.append(len(t))
                 rare.append(np.unique(t[np.lexsort((t, weights.value[t & (BINS - 1)]))[:most]]))
                 even.append(np.bitwise_xor.reduce(np.left_shift(1, t >> 58 & 63)))
                 odd.append(np.bitwise_xor.reduce(np.left_shift(1, t >> 52 & 63)))
-            yield pd.DataFrame({"rare": rare, "even": even, "odd": odd})
+            yield pd.DataFrame({"n": n, "rare": rare, "even": even, "odd": odd})
 
     return ranked(tokens)
 
 
-def alike(one: DataFrame, scope: list[str], share: int, least_pairs: int) -> DataFrame:
+def offering(texts: DataFrame, share: int, least_pairs: int) -> DataFrame:
+    """``texts`` (a written table) with what each block offers as ``o`` (see :func:`offers`) for its ``text``, from ``least_pairs`` on."""
+    tokens = F.transform(word_pairs(F.col("text")), lambda p: F.xxhash64(p))
+    weights = texts.sparkSession.sparkContext.broadcast(_weights(tokens, texts))
+    return texts.select(*(c for c in texts.columns if c != "text"), offers(tokens, weights, share).alias("o")).filter(F.col("o.n") >= least_pairs)
+
+
+def _marked(rows: DataFrame, num: str, among: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose number is not in ``among``: by a table of fixed size, so that few others are shuffled."""
+    place = F.xxhash64(num).bitwiseAND(MARKS - 1).cast("int")
+    marks = np.zeros(MARKS, bool)
+    marks[among.select(place.alias("place")).distinct().toArrow()["place"].to_numpy()] = True
+    marks = rows.sparkSession.sparkContext.broadcast(marks)
+
+    @F.pandas_udf("boolean")
+    def has(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(marks.value[batch.to_numpy()])
+
+    return rows.filter(has(place))
+
+
+def alike(offered: DataFrame, texts: DataFrame, scope: list[str], share: int) -> DataFrame:
     """``num_a, num_b, common, total``: pairs of a scope whose word pairs overlap in ``share`` percent, by prefix filtering.
 
-    ``one`` is a written table of ``num``, scope and ``text``, each text once in
-    its scope. A block offers only its rarest word pairs, as hashes, as many as
+    ``offered`` is a written table of ``num``, scope and ``o`` (see
+    :func:`offering`), each text once in its scope; ``texts`` has ``num`` and
+    ``text`` of these and perhaps others. A block offers only its rarest word pairs, as hashes, as many as
     a partner must share one of. Where two meet, their sizes and the parities of
     their hashes bound how far their sets differ, so that few others than true
-    pairs are compared on the words themselves.
+    pairs are compared on the words themselves. What is offered is shuffled once
+    and read for both sides; texts are shuffled only of blocks left to compare.
     """
-    tokens = one.select("num", *scope, F.transform(word_pairs(F.col("text")), lambda p: F.xxhash64(p)).alias("tokens")).filter(F.size("tokens") >= least_pairs)
-    weights = one.sparkSession.sparkContext.broadcast(_weights(tokens))
-    ranked = tokens.select("num", *scope, F.size("tokens").alias("n"), offers(F.col("tokens"), weights, share).alias("o"))
-    offered = ranked.select("num", *scope, "n", "o.even", "o.odd", F.explode("o.rare").alias("pair"))
-    # A frequent pair's blocks are dealt to parts, each of which meets all of the pair's blocks.
-    offered = written(offered, "offered")
-    met = offered.groupBy(*scope, "pair").agg(F.count("*").alias("uses")).filter("uses > 1").select(*scope, "pair", (F.floor(F.col("uses") / PAIR_BLOCKS) + 1).cast("int").alias("parts"))
-    offered = written(offered.join(met, [*scope, "pair"]), "met")
-    a, b = (offered.select(*scope, "pair", "parts", *(F.col(c).alias(f"{c}_{s}") for c in ("num", "n", "even", "odd"))) for s in "ab")
-    a = a.withColumn("part", F.pmod(F.xxhash64("num_a"), F.col("parts")).cast("int")).drop("parts")
-    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    each = offered.select("num", *scope, "o.n", "o.even", "o.odd", F.explode("o.rare").alias("pair")).withColumn("bin", F.xxhash64(*scope, "pair").bitwiseAND(BINS - 1))
+    # A frequent pair's blocks are dealt to parts, each of which meets all of the pair's blocks; bins bound how frequent it is.
+    hot = each.groupBy("bin").agg(F.count("*").alias("uses")).filter(F.col("uses") > PAIR_BLOCKS)
+    hot = written(hot.select("bin", F.ceil(F.col("uses") / PAIR_BLOCKS).cast("int").alias("parts")), "hot")
+    parts = F.coalesce("parts", F.lit(1))
+    met = each.join(F.broadcast(hot), "bin", "left").withColumn("own", F.pmod(F.xxhash64("num"), parts).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # Both sides are the same shuffle, so they have the same columns: two blocks meet in the part of one of them.
+    a, b = (met.select(*scope, "pair", "part", *(F.col(c).alias(f"{c}_{s}") for c in ("num", "n", "even", "odd", "own"))) for s in "ab")
+    here = F.col("part") == F.when((F.col("num_a") + F.col("num_b")) % 2 == 0, F.col("own_a")).otherwise(F.col("own_b"))
     sized_alike = 100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")
     # Of sets of n_a and n_b that share so much, at most this many members are in one alone; each odd place shows one at least.
     apart = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) * (100 + share) <= (100 - share) * (F.col("n_a") + F.col("n_b"))
-    candidates = written(a.join(b, [*scope, "pair", "part"]).filter((F.col("num_a") < F.col("num_b")) & sized_alike & apart("even") & apart("odd")).select("num_a", "num_b").distinct(), "candidates")
+    candidates = written(a.join(b, [*scope, "pair", "part"]).filter((F.col("num_a") < F.col("num_b")) & here & sized_alike & apart("even") & apart("odd")).select("num_a", "num_b").distinct(), "candidates")
     ends = candidates.select(F.explode(F.array("num_a", "num_b")).alias("num")).distinct()
-    sets = written(one.join(ends, "num", "left_semi").select("num", "text"), "sets")
+    sets = written(_marked(texts.select("num", "text"), "num", ends).join(ends, "num", "left_semi"), "sets")
     both = candidates.join(sets.select(F.col("num").alias("num_a"), F.col("text").alias("text_a")), "num_a").join(sets.select(F.col("num").alias("num_b"), F.col("text").alias("text_b")), "num_b")
     paired = both.select("num_a", "num_b", word_pairs(F.col("text_a")).alias("pairs_a"), word_pairs(F.col("text_b")).alias("pairs_b"))
     found = paired.withColumn("common", F.size(F.array_intersect("pairs_a", "pairs_b"))).withColumn("total", F.size("pairs_a") + F.size("pairs_b") - F.col("common"))
@@ -108,10 +133,12 @@ def alike(one: DataFrame, scope: list[str], share: int, least_pairs: int) -> Dat
 def near_duplicates(blocks: DataFrame, key: str, text: str, share: int = 90, least: int = 200, least_pairs: int = 8) -> DataFrame:
     """Pairs of blocks whose word pairs overlap in ``share`` percent (see :func:`alike`). Equal blocks count once, through their first."""
     sized = blocks.select(F.col(key).alias("id"), folded(F.col(text)).alias("text")).filter(F.length("text") >= least)
-    one = sized.groupBy(F.unhex(F.sha2("text", 256)).alias("hash")).agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
-    one = written(one.select(F.monotonically_increasing_id().alias("num"), "id", "text"), "texts")
-    ids = one.select("num", "id")
-    near = written(alike(one.select("num", "text"), [], share, least_pairs), "near")
+    texts = written(sized.withColumn("num", F.monotonically_increasing_id()), "texts")
+    # Equal texts meet by hash, with what they offer instead of themselves.
+    each = offering(texts.withColumn("hash", F.unhex(F.sha2("text", 256))), share, least_pairs)
+    offered = written(each.groupBy("hash").agg(F.min(F.struct("id", "num", "o")).alias("first")).select("first.*"), "offered")
+    ids = offered.select("num", "id")
+    near = written(alike(offered, texts, [], share), "near")
     found = near.join(ids.select(F.col("num").alias("num_a"), F.col("id").alias("a")), "num_a").join(ids.select(F.col("num").alias("num_b"), F.col("id").alias("b")), "num_b")
     return found.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "common", "total")
 
@@ -130,7 +157,8 @@ def repeated_paragraphs(sections: DataFrame, outline: str, most: int = 16) -> Da
     blocks = written(each.select(outline, at.alias("at"), "text", F.unhex(F.sha2("text", 256)).alias("hash")), "paragraphs")
     firsts = blocks.groupBy(outline, "hash").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.any_value("text").alias("text"))
     firsts = written(firsts.withColumn("num", F.monotonically_increasing_id()), "firsts")
-    near = written(alike(firsts.filter(F.length("text") >= 200).select("num", outline, "text"), [outline], share=90, least_pairs=8), "near")
+    long = firsts.filter(F.length("text") >= 200).select("num", outline, "text")
+    near = written(alike(written(offering(long, share=90, least_pairs=8), "offered"), long, [outline], share=90), "near")
     both = near.select("num_a", "num_b").unionAll(near.select(F.col("num_b").alias("num_a"), F.col("num_a").alias("num_b")))
     other = both.join(firsts.select(F.col("num").alias("num_b"), "first"), "num_b").join(firsts.select(F.col("num").alias("num_a"), outline, "hash"), "num_a").select(outline, "hash", "first", F.lit(False).alias("exact"))
     # What stands once and is near nothing has no say.

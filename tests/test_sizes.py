@@ -195,6 +195,28 @@ def test_frequent_pairs_leave_few_candidates(spark, monkeypatch, bins):
     assert len(want) <= spark.read.parquet(candidates).count() <= 2 * len(want)
 
 
+def _shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_texts_without_near_copies_are_not_shuffled(spark):
+    """What is shuffled to find near copies is much less than the texts; of equal ones the least id counts, wherever it stands."""
+    from millrace.operators import quality
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(100)) for _ in range(200)]
+    texts += [*texts[:50], f"{texts[7]} more", f"{texts[150]} more"]
+    blocks = spark.createDataFrame([(len(texts) - k, t) for k, t in enumerate(texts)], "id bigint, text string")
+    before = _shuffled(spark)
+    found = quality.near_duplicates(blocks, "id", "text").collect()
+    shuffled = _shuffled(spark) - before
+    assert {tuple(r) for r in found} == {(2, len(texts) - 207, 99, 100), (1, len(texts) - 150, 99, 100)}
+    assert shuffled < sum(map(len, texts)) / 2
+
+
 @pytest.mark.parametrize("links", [1 << 18, 60, 0])
 def test_small_scopes_are_walked_without_rounds(spark, monkeypatch, links):
     """Components of scopes of few links are found in the walk, of larger ones by joins; places are the same."""
