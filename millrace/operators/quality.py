@@ -103,10 +103,11 @@ def alike(offered: DataFrame, texts: DataFrame, scope: list[str], share: int) ->
 
     ``offered`` is a written table of ``num``, scope and ``o`` (see
     :func:`offering`), each text once in its scope; ``texts`` has ``num`` and
-    ``text`` of these and perhaps others. A block offers only its rarest word pairs, as hashes, as many as
-    a partner must share one of. Where two meet, their sizes and the parities of
-    their hashes bound how far their sets differ, so that few others than true
-    pairs are compared on the words themselves. What is offered is shuffled once
+    ``text`` of these and perhaps others. A block offers only its rarest word
+    pairs, as hashes, as many as a partner must share one of. Where two meet,
+    their sizes and the parities of their hashes bound how far their sets differ,
+    so that few others than true pairs are compared on the words themselves. What
+    is offered is shuffled once
     and read for both sides; texts are shuffled only of blocks left to compare.
     """
     each = offered.select("num", *scope, "o.n", "o.even", "o.odd", F.explode("o.rare").alias("pair")).withColumn("bin", F.xxhash64(*scope, "pair").bitwiseAND(BINS - 1))
