@@ -122,10 +122,12 @@ def artifact_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 IDLE_MS = 3_600_000
 #: Files of a batch at most, more than a step has.
 FILES = 1_000_000
+STEPS = 8
 
 
 @contextmanager
 def _state_store(spark: SparkSession):
+    """For streams that keep their state in the store: ``draining_tail`` and ``newest_events``."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, tails.STORE)
@@ -145,18 +147,18 @@ def _streamed(spark: SparkSession, sf_dir: str, folder: str, start: Callable[[Da
     data = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "running").otherwise(F.col("event_type"))
     rows = events.select(F.col("user_id").cast("bigint").alias("run"), F.col("event_id").cast("bigint").alias("id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), data.alias("data"))
     low, high = rows.agg(F.min("id"), F.max("id")).first()
-    for k in range(8):
-        place = F.floor((F.col("id") - low) * 8 / (high - low + 1)) if low is not None else F.lit(0)
-        rows.filter(place == k).write.mode("append").parquet(f"{folder}/source")
+    # Bounds of ids, by which files skip what is not of the step.
+    bounds = [low + (high - low + 1) * k // STEPS for k in range(STEPS + 1)] if low is not None else [0] * (STEPS + 1)
+    for k in range(STEPS):
+        rows.filter((F.col("id") >= bounds[k]) & (F.col("id") < bounds[k + 1])).write.mode("append").parquet(f"{folder}/source")
         start(read_events(spark, f"{folder}/source", tails.EVENT, files_per_trigger=FILES)).awaitTermination()
 
 
 def run_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What tails of all users' events have sent, and which of them have closed."""
     folder = new_folder(spark, "tails")
-    with _state_store(spark):
-        _streamed(spark, sf_dir, folder, lambda events: tails.draining_tail(events, idle_ms=IDLE_MS).writeStream.format("parquet").option("path", f"{folder}/sent").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-    rows, is_end = spark.read.schema(tails.SENT).parquet(f"{folder}/sent"), F.col("kind") == "stream-end"
+    _streamed(spark, sf_dir, folder, lambda events: tails.drain(events, folder, IDLE_MS))
+    rows, is_end = tails.sent(spark, folder), F.col("kind") == "stream-end"
     sent = F.when(~is_end, F.col("id"))
     return rows.groupBy("run").agg(F.count(sent).alias("events"), F.countDistinct(sent).alias("ids"), F.max(sent).alias("last"), (F.coalesce(F.max(F.when(is_end, F.col("id"))), F.lit(-1)) == F.max(sent)).alias("closed"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.operators.state import TERMINAL
@@ -15,6 +16,10 @@ from millrace.operators.state import TERMINAL
 EVENT = "run bigint, id bigint, at timestamp, kind string, data string"
 SENT = "run bigint, id bigint, kind string, data string"
 BUFFER = "run bigint, id bigint, kind string, data string, missing bigint"
+#: State of a tail by run, times in microseconds: a run that is over closes when the stream comes to ``due``.
+HELD_TAIL = "run bigint, cursor bigint, over boolean, latest bigint, due bigint"
+#: Events of a batch and ends, as they stand in the files of :func:`drain`; what is not fresh is not sent.
+_MET = SENT + ", at bigint, fresh boolean"
 #: The state store that streams with state of their own need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -124,3 +129,59 @@ class NewestEvents(StatefulProcessor):
 def newest_events(events: DataFrame, size: int = 300) -> DataFrame:
     """``run, id, kind, data, missing``: after each batch the buffer of every run that it touched; needs :data:`STORE`."""
     return events.groupBy("run").transformWithStateInPandas(NewestEvents(size), BUFFER, "Update", "None")
+
+
+def _folded(events: DataFrame, folder: str, schema: str, fold: Callable[[DataFrame, DataFrame, int], DataFrame], then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """A stream whose state is a table by batch: ``fold(held, batch, number)`` makes the next of the last, ``then`` sees it written.
+
+    A batch that runs again starts from the same state and writes the same files; states before the last two go.
+    """
+    adaptive = "spark.sql.adaptive.enabled"
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        # Off in streams, for the sake of the store; a small batch would run all shuffle partitions.
+        spark.conf.set(adaptive, events.sparkSession.conf.get(adaptive))
+        state = lambda n: spark.read.schema(schema).parquet(f"{folder}/state/{n}")
+        fold(state(number - 1) if number else spark.createDataFrame([], schema), batch, number).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        if then:
+            then(state(number), number)
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/{number - 2}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def drain(events: DataFrame, folder: str, idle_ms: int = 500, status: str = "status") -> StreamingQuery:
+    """Sends what :func:`draining_tail` does, for batches that touch many runs; :func:`sent` reads it.
+
+    That calls a Python function and the store several times for every run of a
+    batch; here all runs of a batch meet their state in one join.
+    """
+    ended = (F.col("kind") == status) & F.col("data").isin(*TERMINAL)
+
+    def fold(held: DataFrame, batch: DataFrame, number: int) -> DataFrame:
+        mark = held.agg(F.max("latest")).first()[0]
+        rows = batch.select("run", "id", "kind", "data", F.unix_micros("at").alias("at")).repartition("run").dropDuplicates(["run", "id"])
+        met = rows.join(held.select("run", "cursor").hint("merge"), "run", "left").withColumn("fresh", F.col("cursor").isNull() | (F.col("id") > F.col("cursor")))
+        met.drop("cursor").write.mode("overwrite").parquet(f"{folder}/sent/{number}/events")
+        met = batch.sparkSession.read.schema(_MET).parquet(f"{folder}/sent/{number}/events")
+        state_id = F.when(F.col("fresh") & (F.col("kind") == status), F.col("id"))
+        news = met.groupBy("run").agg(F.max(F.when(F.col("fresh"), F.col("id"))).alias("to"), F.max_by(ended, state_id).alias("ended"), F.max("at").alias("at"), F.max("fresh").alias("fresh"))
+        now = held.join(news.hint("merge"), "run", "full")
+        # A later state that is not terminal opens the run again; times need not rise with ids.
+        now = now.select("run", F.coalesce("to", "cursor").alias("cursor"), F.coalesce("ended", "over", F.lit(False)).alias("over"), F.greatest("latest", "at").alias("latest"), F.when(F.col("due") > F.lit(mark), F.col("due")).alias("due"), "fresh")
+        put_off = F.when(F.col("over") & (F.col("due").isNotNull() | F.col("fresh")), F.col("latest") + idle_ms * 1000)
+        return now.select("run", "cursor", "over", "latest", F.when(F.col("fresh").isNull(), F.col("due")).otherwise(put_off).alias("due"))
+
+    def close(held: DataFrame, number: int) -> None:
+        mark = held.agg(F.max("latest")).first()[0]
+        ends = held.filter(F.col("due") <= F.lit(mark)).select("run", F.col("cursor").alias("id"), F.lit("stream-end").alias("kind"), F.lit("terminal").alias("data"), F.lit(None).cast("bigint").alias("at"), F.lit(True).alias("fresh"))
+        ends.write.mode("overwrite").parquet(f"{folder}/sent/{number}/ends")
+
+    return _folded(events, folder, HELD_TAIL, fold, close)
+
+
+def sent(spark: SparkSession, folder: str) -> DataFrame:
+    """``run, id, kind, data`` that :func:`drain` has sent into ``folder``."""
+    return spark.read.schema(_MET).parquet(f"{folder}/sent/*/*").filter("fresh").select("run", "id", "kind", "data")

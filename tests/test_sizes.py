@@ -255,3 +255,43 @@ def test_diagrams_are_counted_once(spark):
     from millrace.plans import registry
 
     assert "EvalPython" not in plan(registry.queries()["diagram_issues"](spark, SF))
+
+
+def _fed(spark, folder, batches, start):
+    """``start`` run on batches that arrive one after another; the last of them is run twice, as after a failure."""
+    import glob
+    import os
+
+    for batch in batches:
+        df = spark.createDataFrame(batch, "run bigint, id bigint, at double, kind string, data string").withColumn("at", F.col("at").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        run = lambda: start(spark.readStream.schema("run bigint, id bigint, at timestamp, kind string, data string").parquet(f"{folder}/in"), f"{folder}/out")
+        query = run()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"] == []
+    for path in glob.glob(f"{folder}/out/checkpoint/commits/*{len(batches) - 1}*") + glob.glob(f"{folder}/out/checkpoint/commits/.*{len(batches) - 1}*"):
+        os.remove(path)
+    run().awaitTermination()
+
+
+def test_a_batch_of_many_runs_is_drained_at_once(spark, tmp_path, monkeypatch):
+    """No function and no store are called by run; events behind the mark are sent, repeats are not, and a run closes by its latest time."""
+    from millrace.plans import registry
+    from millrace.streaming import tails
+
+    batches = [
+        [(1, 1, 100.0, "progress", "x"), (1, 1, 100.0, "progress", "x"), (1, 2, 50.0, "status", "completed"), (2, 3, 400.0, "progress", "x"), (5, -4, 1.0, "status", "failed"), (6, 1, 389.0, "status", "completed")],
+        [(1, 4, 10.0, "progress", "late"), (3, 5, 20.0, "status", "completed"), (4, 6, 395.0, "progress", "x"), (6, 2, 395.0, None, None)],
+        [(4, 7, 30.0, "status", "completed"), (2, 8, 0.0, "progress", "x"), (1, 2, 50.0, "status", "completed")],
+        [(1, 9, 405.0, "status", "running"), (5, 7, 404.999999, "status", "completed"), (6, 1, 389.0, "status", "completed")],
+        [(1, 9, 405.0, "status", "running"), (2, 10, 415.0, "progress", "x"), (5, -4, 1.0, "status", "failed")],
+    ]
+    _fed(spark, str(tmp_path), batches, lambda events, folder: tails.drain(events, folder, idle_ms=10_000))
+    rows = tails.sent(spark, f"{tmp_path}/out").collect()
+    of = lambda run: sorted((r.id, r.kind or "") for r in rows if r.run == run)
+    p, s, end = "progress", "status", "stream-end"
+    assert of(1) == [(1, p), (2, s), (2, end), (4, p), (4, end), (9, s)] and of(2) == [(3, p), (8, p), (10, p)]
+    assert of(3) == [(5, s), (5, end)] and of(4) == [(6, p), (7, s), (7, end)]
+    assert of(5) == [(-4, s), (-4, end), (7, s), (7, end)] and of(6) == [(1, s), (1, end), (2, ""), (2, end)]
+    monkeypatch.setattr(tails, "draining_tail", None)
+    assert registry.queries()["run_tails"](spark, SF).count() > 0
