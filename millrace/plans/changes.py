@@ -166,15 +166,8 @@ def run_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest twenty events of every user after the stream, and how many are gone."""
     folder = new_folder(spark, "buffers")
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batches/{number}")
-
-    with _state_store(spark):
-        _streamed(spark, sf_dir, folder, lambda events: tails.newest_events(events, size=20).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-    rows = spark.read.schema(tails.BUFFER + ", batch int").parquet(f"{folder}/batches/*")
-    last = rows.groupBy("run").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["run", "batch"]).select(F.col("run").alias("user_id"), F.col("id").alias("event_id"), "kind", "data", "missing")
+    _streamed(spark, sf_dir, folder, lambda events: tails.keep_newest(events, folder, 20))
+    return tails.buffers(spark, folder).select(F.col("run").alias("user_id"), F.col("id").alias("event_id"), "kind", "data", "missing")
 
 
 QUERIES = {f.__name__: f for f in (repair_targets, reading_fallback, ignored_paths, graph_rebuild, artifact_commit, run_tails, event_buffer)}

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +18,8 @@ SENT = "run bigint, id bigint, kind string, data string"
 BUFFER = "run bigint, id bigint, kind string, data string, missing bigint"
 #: State of a tail by run, times in microseconds: a run that is over closes when the stream comes to ``due``.
 HELD_TAIL = "run bigint, cursor bigint, over boolean, latest bigint, due bigint"
+#: State of a buffer: its events, each with how many of the run went and the largest id that did.
+HELD_BUFFER = "run bigint, id bigint, kind string, data string, missing bigint, below bigint"
 #: Events of a batch and ends, as they stand in the files of :func:`drain`; what is not fresh is not sent.
 _MET = SENT + ", at bigint, fresh boolean"
 #: The state store that streams with state of their own need.
@@ -185,3 +187,27 @@ def drain(events: DataFrame, folder: str, idle_ms: int = 500, status: str = "sta
 def sent(spark: SparkSession, folder: str) -> DataFrame:
     """``run, id, kind, data`` that :func:`drain` has sent into ``folder``."""
     return spark.read.schema(_MET).parquet(f"{folder}/sent/*/*").filter("fresh").select("run", "id", "kind", "data")
+
+
+def keep_newest(events: DataFrame, folder: str, size: int = 300) -> StreamingQuery:
+    """Holds what :func:`newest_events` does, for batches that touch many runs, by a window over all of them; :func:`buffers` reads it."""
+    run = Window.partitionBy("run")
+    newest = run.orderBy(F.desc("id"), F.desc("old"))
+
+    def fold(held: DataFrame, batch: DataFrame, number: int) -> DataFrame:
+        new = batch.select("run", "id", "kind", "data").withColumn("old", F.lit(False))
+        rows = held.withColumn("old", F.lit(True)).unionByName(new, allowMissingColumns=True)
+        rows = rows.select("run", "id", "kind", "data", "old", F.coalesce(F.max("missing").over(run), F.lit(0)).alias("missing"), F.max("below").over(run).alias("below"), F.lag("id").over(newest).alias("after"))
+        # An event at or below the largest id that went is taken for a repeat.
+        rows = rows.filter((F.col("old") | F.col("below").isNull() | (F.col("id") > F.col("below"))) & (F.col("after").isNull() | (F.col("after") != F.col("id"))))
+        rows = rows.withColumn("place", F.row_number().over(newest)).withColumn("n", F.count("*").over(run)).withColumn("went", F.max(F.when(F.col("place") == size + 1, F.col("id"))).over(run))
+        return rows.filter(F.col("place") <= size).select("run", "id", "kind", "data", (F.col("missing") + F.greatest(F.col("n") - size, F.lit(0))).alias("missing"), F.coalesce("went", "below").alias("below"))
+
+    return _folded(events, folder, HELD_BUFFER, fold)
+
+
+def buffers(spark: SparkSession, folder: str) -> DataFrame:
+    """``run, id, kind, data, missing`` as :func:`keep_newest` holds it in ``folder``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    last = max(int(s.getPath().getName()) for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
+    return spark.read.schema(HELD_BUFFER).parquet(f"{folder}/state/{last}").drop("below")

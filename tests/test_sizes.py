@@ -295,3 +295,23 @@ def test_a_batch_of_many_runs_is_drained_at_once(spark, tmp_path, monkeypatch):
     assert of(5) == [(-4, s), (-4, end), (7, s), (7, end)] and of(6) == [(1, s), (1, end), (2, ""), (2, end)]
     monkeypatch.setattr(tails, "draining_tail", None)
     assert registry.queries()["run_tails"](spark, SF).count() > 0
+
+
+def test_buffers_of_many_runs_are_held_at_once(spark, tmp_path, monkeypatch):
+    """No function and no store are called by run; the events held and the count of those gone are as of all events at once."""
+    from millrace.plans import registry
+    from millrace.streaming import tails
+
+    rng = random.Random(12)
+    ids = sorted(rng.sample(range(-50, 1000), 90))
+    rows = [(run, i, float(rng.randrange(99)), "p", f"{run} {i}") for i in ids for run in (1, 2) if run == 1 or i < 200] + [(3, 990, 0.0, None, None)]
+    batches = [rows[k : k + 25] + rows[max(0, k - 3) : k] + rows[k : k + 2] for k in range(0, len(rows), 25)]
+    _fed(spark, str(tmp_path), [rng.sample(b, len(b)) for b in batches], lambda events, folder: tails.keep_newest(events, folder, size=10))
+    want = {}
+    for run in (1, 2, 3):
+        mine = sorted({(r[1], *r[3:]) for r in rows if r[0] == run}, key=lambda r: r[0])
+        want |= {(run, *r, max(0, len(mine) - 10)): 1 for r in mine[-10:]}
+    got = [tuple(r) for r in tails.buffers(spark, f"{tmp_path}/out").select("run", "id", "kind", "data", "missing").collect()]
+    assert len(got) == len(want) and set(got) == set(want)
+    monkeypatch.setattr(tails, "newest_events", None)
+    assert registry.queries()["event_buffer"](spark, SF).count() > 0
